@@ -52,7 +52,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, size, j (start), h (hash), places and values of the slots, total (windows of the item)."""
     b = templates(benchmark, "item_id").filter("size(t) > 0").dropDuplicates(["item_id"]).withColumn("size", F.least(F.size("t"), F.lit(WINDOW)))
     sized = F.coalesce(*[F.when(F.col("size") == n, _windows(n)) for n in range(1, WINDOW + 1)])
-    b = b.select("item_id", "size", "w", "t", F.posexplode(sized).alias("j", "h"))
+    b = b.select("item_id", "size", "w", "t", F.posexplode_outer(sized).alias("j", "h")).filter("h is not null")
     b = b.withColumn("t", F.slice("t", F.col("j") + 1, F.col("size"))).withColumn("w", F.slice("w", F.col("j") + 1, F.col("size")))
     places = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.get("t", k).isin("<num>", "<unit>", "<name>"))
     b = b.withColumn("places", places).filter(F.col("size") - F.size("places") >= F.least(F.lit(LITERALS), F.ceil(F.col("size") / 2)))
@@ -66,10 +66,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = {r["size"]: r["n"] for r in bench.groupBy("size").agg(F.count("*").alias("n")).collect()}  # 8 rows at most
     d = templates(docs, "doc_id")
     every = _windows(WINDOW) if set(sizes) <= {WINDOW} else F.concat(*[F.coalesce(F.transform(_windows(n), lambda h, i: F.struct(h.alias("h"), i.alias("i"))), F.array()) for n in sorted(sizes)])
+    # outer: else Spark infers a filter on the windows and evaluates all templates anew for each of them
     if set(sizes) <= {WINDOW}:
-        at = d.select("doc_id", "w", every.alias("x")).select("doc_id", "w", F.posexplode("x").alias("i", "h"))
+        at = d.select("doc_id", "w", every.alias("x")).select("doc_id", "w", F.posexplode_outer("x").alias("i", "h"))
     else:
-        at = d.select("doc_id", "w", every.alias("x")).select("doc_id", "w", F.explode("x").alias("x")).select("doc_id", "w", "x.i", "x.h")
+        at = d.select("doc_id", "w", every.alias("x")).select("doc_id", "w", F.explode_outer("x").alias("x")).select("doc_id", "w", "x.i", "x.h")
     if sum(sizes.values()) <= BROADCAST_ROWS:
         met = at.join(F.broadcast(bench), "h")
     else:

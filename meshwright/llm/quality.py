@@ -72,7 +72,9 @@ def signals(docs: DataFrame, *carried: str) -> DataFrame:
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("bigint").alias("n")),
         lambda acc, x: F.struct(x.alias("last"), (acc["n"] + F.least(F.lit(3), x - acc["last"])).alias("n")),
     )["n"]
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("p", "starts")
+    # a filter on the result must not move below this step: it would evaluate the whole text anew for every word
+    place = F.monotonically_increasing_id()
+    return df.withColumns({"n_repeat_words": F.coalesce(covered, F.lit(0).cast("bigint")), "_place": place}).drop("p", "starts")
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -85,7 +87,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *carried: str) -> D
     """The signals, ``base_failed``, the names of the broken rules and the verdict ``kept``."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     df = signals(docs, *carried).withColumn("base_failed", base).withColumn("broken", compiled(rules))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+    return df.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0) & (F.col("_place") >= 0)).drop("_place")
 
 
 def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

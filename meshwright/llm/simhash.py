@@ -16,8 +16,10 @@ the component's smallest doc_id. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -100,43 +102,39 @@ def allocate(n: int, differ: np.ndarray, bits: int) -> list[tuple[int, int, int]
     ``differ[k]``: the probability that two fingerprints differ in the k-th bit of the order. A part costs its
     probes and the pairs expected to meet in it; thresholds plus one add up to bits + 1 over the parts.
     """
-    width, best = len(differ), {(0, 0): (0.0, [])}
-
-    def cost(first: int, end: int) -> list[float]:
-        near, probes, out = np.zeros(bits + 1), 1.0, [0.0]
+    width = len(differ)
+    cost = np.full((width, width + 1, bits + 2), np.inf)  # of a part (first, end) by its threshold + 1
+    for first in range(width):
+        near = np.zeros(bits + 1)  # the probability of 0, 1, ... differing bits in the part
         near[0] = 1.0
-        for q in differ[first:end]:
+        for end in range(first + 1, width + 1):
+            q = differ[end - 1]
             near[1:] = near[1:] * (1 - q) + near[:-1] * q
             near[0] *= 1 - q
-        for t in range(bits + 1):
-            probes = 1.0 if t == 0 else probes + np.prod([(end - first - i) / (i + 1) for i in range(t)])
-            out.append(n * probes + n * n / 2 * near[: t + 1].sum())
-        return out
-
+            probes = np.cumsum([math.comb(end - first, t) for t in range(bits + 1)])
+            cost[first, end] = np.concatenate(([0.0], n * probes + n * n / 2 * np.cumsum(near)))
+    best: dict[tuple[int, int], tuple[float, list]] = {(0, 0): (0.0, [])}
     for end in range(1, width + 1):
         for first in range(end):
-            c = cost(first, end)
             for used in range(bits + 2):
                 if (first, used) not in best:
                     continue
                 before, parts = best[first, used]
                 for t in range(-1, bits - used + 1):
-                    new = before + c[t + 1]
+                    new = before + cost[first, end, t + 1]
                     if (end, used + t + 1) not in best or new < best[end, used + t + 1][0]:
                         best[end, used + t + 1] = (new, [*parts, (first, end, t)])
     return [p for p in best[width, bits + 1][1] if p[2] >= 0]
 
 
-def _flips(places: list[int], threshold: int) -> list[int]:
-    """Masks of up to ``threshold`` of these bits, as signed longs."""
-    from itertools import combinations
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
-    masks = [sum(1 << b for b in c) for t in range(threshold + 1) for c in combinations(places, t)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
-
-def _xor(a: Column, mask: int) -> Column:
-    return a.bitwiseXOR(F.lit(mask).cast("bigint"))
+def _flips(places: list[int], threshold: int) -> Column:
+    """The masks of up to ``threshold`` of these bits, as one constant array."""
+    masks = [sum(1 << b for b in c) for t in range(threshold + 1) for c in combinations(places, t)]
+    return F.transform(F.split(F.lit(" ".join(str(_signed(m)) for m in masks)), " "), lambda x: x.cast("bigint"))
 
 
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
@@ -153,12 +151,13 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     parts = allocate(n, 2 * p * (1 - p), bits)
     exact, probes = [], []
     for k, (first, end, t) in enumerate(parts):
-        mask = sum(1 << b for b in order[first:end])
-        key = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint"))
-        exact.append(F.struct(F.lit(k).alias("part"), key.alias("key")))
-        probes += [F.struct(F.lit(k).alias("part"), _xor(key, m).alias("key")) for m in _flips(order[first:end], t)]
+        mask = F.lit(_signed(sum(1 << b for b in order[first:end]))).cast("bigint")
+        key = F.col("fp").bitwiseAND(mask)
+        own = lambda m, k=k, key=key: F.struct(F.lit(k).alias("part"), key.bitwiseXOR(m).alias("key"))
+        exact.append(own(F.lit(0).cast("bigint")))
+        probes.append(F.transform(_flips(order[first:end], t), own))
     at = fps.select("fp", F.explode(F.array(*exact)).alias("x")).select("x.*", "fp")
-    probe = fps.select("fp", F.explode(F.array(*probes)).alias("x")).select("x.*", "fp")
+    probe = fps.select("fp", F.explode(F.concat(*probes)).alias("x")).select("x.*", "fp")
     sizes = at.groupBy("part", "key").agg(F.count("*").alias("n"), F.min("fp").alias("one"))
     # a fingerprint that meets nothing but itself needs no more work
     met = written(probe.join(sizes, ["part", "key"]).filter("n > 1 or one <> fp").drop("one"), "simhash-probes")
@@ -169,8 +168,8 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     # what probes a crowded bucket, and what it holds
     crowded = met.filter(F.col("n") > BUCKET).select("part", "key").distinct()
     many = met.filter(F.col("n") > BUCKET).select("fp").union(at.join(crowded, ["part", "key"], "left_semi").select("fp")).distinct()
-    ball = F.array(*[F.lit(m).cast("bigint") for m in _flips(list(range(BITS)), bits // 2)])
-    near = many.select("fp", F.explode(ball).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"))
+    flips = _flips(list(range(BITS)), bits // 2)
+    near = many.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
     meet = near.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").select("v", "a")
     pair = near.join(meet, "v").filter("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.union(pair).distinct()
