@@ -17,7 +17,7 @@ the component's smallest doc_id. Only doc_id and text are read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -137,6 +137,10 @@ def _flips(places: list[int], threshold: int) -> Column:
     return F.transform(F.split(F.lit(" ".join(str(_signed(m)) for m in masks)), " "), lambda x: x.cast("bigint"))
 
 
+def _prober(part: int, key: Column) -> Callable[[Column], Column]:
+    return lambda flipped: F.struct(F.lit(part).alias("part"), key.bitwiseXOR(flipped).alias("key"))
+
+
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """Pairs a < b of distinct fingerprints that connect all those within ``bits`` differing bits (2 or 4).
 
@@ -153,9 +157,8 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     for k, (first, end, t) in enumerate(parts):
         mask = F.lit(_signed(sum(1 << b for b in order[first:end]))).cast("bigint")
         key = F.col("fp").bitwiseAND(mask)
-        own = lambda m, k=k, key=key: F.struct(F.lit(k).alias("part"), key.bitwiseXOR(m).alias("key"))
-        exact.append(own(F.lit(0).cast("bigint")))
-        probes.append(F.transform(_flips(order[first:end], t), own))
+        exact.append(_prober(k, key)(F.lit(0).cast("bigint")))
+        probes.append(F.transform(_flips(order[first:end], t), _prober(k, key)))
     at = fps.select("fp", F.explode(F.array(*exact)).alias("x")).select("x.*", "fp")
     probe = fps.select("fp", F.explode(F.concat(*probes)).alias("x")).select("x.*", "fp")
     sizes = at.groupBy("part", "key").agg(F.count("*").alias("n"), F.min("fp").alias("one"))
