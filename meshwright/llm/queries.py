@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm import decontaminate, packing, quality, simhash, substring, urls
+from meshwright.llm import ctw, decontaminate, langid, packing, quality, simhash, substring, toxicity, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_substring_dedup": substring.op2_substring_dedup,
+        "op3_language_id": langid.op3_language_id,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_ctw_score": ctw.op6_ctw_score,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+        "op8_warc_derivatives": warc.op8_warc_derivatives,
         "op9_url_filter": urls.op9_url_filter,
         "op10_length_buckets": packing.op10_length_buckets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op2_substring_dedup": substring.OP2_SQL, "op5_quality_rules": quality.OP5_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op2_substring_dedup": substring.OP2_SQL, "op5_quality_rules": quality.OP5_SQL, "op8_warc_derivatives": warc.OP8_SQL}
