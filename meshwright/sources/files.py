@@ -11,17 +11,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
-def csv(spark: SparkSession, schema: StructType, *paths: str) -> DataFrame:
+def csv(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     """One or more CSV files with a header; a row that doesn't fit the schema fails."""
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("nanValue", "nan").csv(list(paths))
 
 
-def documents(spark: SparkSession, schema: StructType, *paths: str) -> DataFrame:
+def documents(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     """JSON documents, one a file; what can't be read has its text in ``_corrupt`` and nulls elsewhere."""
-    return spark.read.schema(StructType(schema.fields).add("_corrupt", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(list(paths), multiLine=True)
+    return spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(list(paths), multiLine=True)
 
 
 def found(spark: SparkSession, root: str, pattern: str) -> DataFrame:
