@@ -36,32 +36,35 @@ BUCKET = 16
 _CHUNK = 1 << 16
 
 
-def simhash(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """The signed 64-bit fingerprint of a text's word shingles."""
+def simhash(text: bytes | None, shingle: int = 3, count: int = 1) -> list[int]:
+    """``count`` signed 64-bit fingerprints of a text's word shingles: of XXH64, and of mixes of it."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return [0] * count
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((count, BITS), np.int64)
     for k in range(0, n, _CHUNK):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[k : k + _CHUNK], ends[k : k + _CHUNK], strict=True)], "<u8")
-        ones += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[k : k + _CHUNK], ends[k : k + _CHUNK], strict=True)], "<u8")
+        for c in range(count):
+            ones[c] += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, seeds: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, count: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = pa.array([[simhash(t.as_py(), shingle, s) for s in seeds] for t in b.column(1)], pa.list_(pa.int64()))
+        fp = pa.array([simhash(t.as_py(), shingle, count) for t in b.column(1)], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """doc_id and fp (one fingerprint for each seed), one row for each input row."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(partial(_fingerprints, shingle=shingle, seeds=seeds), "doc_id bigint, fp array<bigint>")
+def fingerprints(docs: DataFrame, shingle: int = 3, count: int = 1) -> DataFrame:
+    """doc_id and fp (an array of ``count`` fingerprints), one row for each input row."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(partial(_fingerprints, shingle=shingle, count=count), "doc_id bigint, fp array<bigint>")
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -142,10 +145,11 @@ def _prober(part: int, key: Column) -> Callable[[Column], Column]:
 
 
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
-    """Pairs a < b of distinct fingerprints that connect all those within ``bits`` differing bits (2 or 4).
+    """Pairs a < b that connect all fingerprints of one set s within ``bits`` differing bits (2 or 4).
 
-    Pairs that share a bucket of more than ``BUCKET`` are given through the smallest fingerprint that is as near
-    to a common neighbour as they are.
+    ``fps``: distinct (s, fp). Pairs that share a bucket of more than ``BUCKET`` are given through the smallest
+    fingerprint that is as near to a common neighbour as they are. Joins are merged: an exploded side is far
+    larger than Spark's estimate of it, and must not be broadcast.
     """
     if bits not in (2, 4):
         raise ValueError("bits must be 2 or 4")
@@ -159,49 +163,47 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
         key = F.col("fp").bitwiseAND(mask)
         exact.append(_prober(k, key)(F.lit(0).cast("bigint")))
         probes.append(F.transform(_flips(order[first:end], t), _prober(k, key)))
-    at = fps.select("fp", F.explode(F.array(*exact)).alias("x")).select("x.*", "fp")
-    probe = fps.select("fp", F.explode(F.concat(*probes)).alias("x")).select("x.*", "fp")
-    sizes = at.groupBy("part", "key").agg(F.count("*").alias("n"), F.min("fp").alias("one"))
+    bucket = ["s", "part", "key"]
+    at = fps.select("s", "fp", F.explode(F.array(*exact)).alias("x")).select("s", "x.*", "fp")
+    probe = fps.select("s", "fp", F.explode(F.concat(*probes)).alias("x")).select("s", "x.*", "fp")
+    sizes = at.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("fp").alias("one"))
     # a fingerprint that meets nothing but itself needs no more work
-    met = written(probe.join(sizes, ["part", "key"]).filter("n > 1 or one <> fp").drop("one"), "simhash-probes")
-    few = at.join(sizes.filter(F.col("n") <= BUCKET).select("part", "key"), ["part", "key"]).groupBy("part", "key").agg(F.collect_list("fp").alias("members"))
-    pairs = met.filter(F.col("n") <= BUCKET).join(few, ["part", "key"])
-    pairs = pairs.select(F.col("fp").alias("a"), F.explode(F.filter("members", lambda m: F.bit_count(m.bitwiseXOR(F.col("fp"))) <= bits)).alias("b"))
-    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = written(probe.hint("merge").join(sizes, bucket).filter("n > 1 or one <> fp").drop("one"), "simhash-probes")
+    few = at.hint("merge").join(sizes.filter((F.col("n") <= BUCKET) & (F.col("n") > (0 if any(t for _, _, t in parts) else 1))).select(*bucket), bucket)
+    few = few.groupBy(*bucket).agg(F.collect_list("fp").alias("members"))
+    pairs = met.filter(F.col("n") <= BUCKET).hint("merge").join(few, bucket)
+    pairs = pairs.select("s", F.col("fp").alias("a"), F.explode(F.filter("members", lambda m: F.bit_count(m.bitwiseXOR(F.col("fp"))) <= bits)).alias("b"))
+    pairs = pairs.filter("a <> b").select("s", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # what probes a crowded bucket, and what it holds
-    crowded = met.filter(F.col("n") > BUCKET).select("part", "key").distinct()
-    many = met.filter(F.col("n") > BUCKET).select("fp").union(at.join(crowded, ["part", "key"], "left_semi").select("fp")).distinct()
+    crowded = met.filter(F.col("n") > BUCKET).select(*bucket).distinct()
+    many = met.filter(F.col("n") > BUCKET).select("s", "fp").union(at.hint("merge").join(crowded, bucket, "left_semi").select("s", "fp")).distinct()
     flips = _flips(list(range(BITS)), bits // 2)
-    near = many.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
-    meet = near.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").select("v", "a")
-    pair = near.join(meet, "v").filter("fp <> a").select("a", F.col("fp").alias("b"))
+    near = many.select("s", "fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
+    meet = near.groupBy("s", "v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").select("s", "v", "a")
+    pair = near.hint("merge").join(meet, ["s", "v"]).filter("fp <> a").select("s", "a", F.col("fp").alias("b"))
     return pairs.union(pair).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """doc_id, fp (of the first seed) and component_id, one row for each input row.
+def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, count: int = 1) -> DataFrame:
+    """doc_id, fp (the first fingerprint) and component_id, one row for each input row.
 
-    Documents link if the fingerprints of any one seed are within ``bits`` bits; component_id is the smallest
+    Documents link if any of their ``count`` fingerprints are within ``bits`` bits; component_id is the smallest
     doc_id reachable over links.
     """
-    prints = written(fingerprints(docs, shingle, seeds), "simhash")
+    prints = written(fingerprints(docs, shingle, count), "simhash")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    edges = links(distinct.select(F.element_at("fp", 1).alias("fp")).distinct() if len(seeds) > 1 else distinct.select(F.col("fp")[0].alias("fp")), bits)
-    if len(seeds) == 1:
-        distinct = distinct.withColumn("node", F.col("fp")[0])
-        root = connected_components(edges)
-    else:  # nodes are the documents' numbers; equal or near fingerprints of any seed connect them
-        distinct = distinct.withColumn("node", F.col("first"))
-        joined = []
-        for k in range(len(seeds)):
-            own = written(distinct.groupBy(F.col("fp")[k].alias("fp")).agg(F.min("node").alias("node")), "simhash-own")
-            near = edges if k == 0 else links(own.select("fp"), bits)
-            joined.append(near.join(own.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y"))
-            joined.append(distinct.select(F.col("fp")[k].alias("fp"), F.col("node").alias("x")).join(own.select("fp", F.col("node").alias("y")), "fp").filter("x <> y").select("x", "y"))
-        every = joined[0]
-        for x in joined[1:]:
-            every = every.union(x)
-        root = connected_components(every, "x", "y")
+    distinct = distinct.withColumn("node", F.xxhash64("fp") if count > 1 else F.col("fp")[0])
+    each = distinct.select("node", F.posexplode("fp").alias("s", "fp"))
+    own = written(each.groupBy("s", "fp").agg(F.min("node").alias("node")), "simhash-own")
+    ends = links(own.select("s", "fp"), bits)
+    if count > 1:  # from fingerprints to the distinct texts' numbers, and between texts that share a fingerprint
+        of = lambda end, x: own.select("s", F.col("fp").alias(end), F.col("node").alias(x))
+        edges = ends.hint("merge").join(of("a", "x"), ["s", "a"]).hint("merge").join(of("b", "y"), ["s", "b"]).select("x", "y")
+        shared = each.hint("merge").join(own.withColumnRenamed("node", "y"), ["s", "fp"]).filter("node <> y")
+        edges = edges.union(shared.select(F.col("node").alias("x"), "y"))
+    else:
+        edges = ends.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    root = connected_components(edges, "x", "y")
     named = distinct.join(root, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = written(named.join(lowest, "root").select("fp", "component_id"), "simhash-components")

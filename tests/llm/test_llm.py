@@ -113,13 +113,13 @@ def test_links_lose_no_component(spark, monkeypatch, bits):
     signed = [f - 2**64 if f >> 63 else f for f in fps]
     from meshwright.operators.components import connected_components
 
-    got = {r["node"]: r["root"] for r in connected_components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), bits)).collect()}
+    got = {r["node"]: r["root"] for r in connected_components(simhash.links(spark.createDataFrame([(0, f) for f in signed], "s int, fp bigint"), bits)).collect()}
     for a in signed:
         for b in signed:
             if a < b and ((a ^ b) % 2**64).bit_count() <= bits:
                 assert got[a] == got[b]
     with pytest.raises(ValueError, match="bits"):
-        simhash.links(spark.createDataFrame([(1,)], "fp bigint"), 3)
+        simhash.links(spark.createDataFrame([(0, 1)], "s int, fp bigint"), 3)
 
 
 def test_pigeonhole_thresholds_add_up():
