@@ -10,7 +10,8 @@ linked exactly and in linear size: two values differ in at most 2r bits if and o
 from each in at most r, so each meets the others at its neighbours (1 + 64 for r = 1, 2081 for r = 2).
 
 Null and empty texts have the fingerprint zero, linked like any other. Copies collapse to one fingerprint
-before anything is linked, so no group of copies is ever expanded. Rows with a null doc_id take part and get
+before anything is linked, so no group of copies is ever expanded. Where a similarity is asked for, links are
+verified by the texts' whole sets of shingles; a crowd is verified along the links above. Rows with a null doc_id take part and get
 the component's smallest doc_id. Only doc_id and text are read.
 """
 
@@ -32,39 +33,48 @@ from meshwright.operators.components import connected_components
 from meshwright.shared import written
 
 BITS = 64
-BUCKET = 16
+#: Comparing a fingerprint with as many as it has neighbours costs no more than to shuffle those.
+BUCKET = 64
 _CHUNK = 1 << 16
 
 
-def simhash(text: bytes | None, shingle: int = 3, count: int = 1) -> list[int]:
-    """``count`` signed 64-bit fingerprints of a text's word shingles: of XXH64, and of mixes of it."""
+def simhash(text: bytes | None, shingle: int | tuple[int, ...] = 3, count: int = 1) -> list[int]:
+    """``count`` signed 64-bit fingerprints of a text's word shingles (of one or several lengths): of XXH64, and of mixes of it."""
     words = (text or b"").lower().split()
     if not words:
         return [0] * count
-    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-    ends = ends[min(shingle, len(words)) - 1 :].tolist()
+    joined, total = b" ".join(words), 0
+    last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    first = np.concatenate(([0], last[:-1] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
     ones = np.zeros((count, BITS), np.int64)
-    for k in range(0, n, _CHUNK):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[k : k + _CHUNK], ends[k : k + _CHUNK], strict=True)], "<u8")
-        for c in range(count):
-            ones[c] += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
-
-
-def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, count: int) -> Iterator[pa.RecordBatch]:
+    for size in (shingle,) if isinstance(shingle, int) else shingle:
+        ends = last[min(size, len(words)) - 1 :].tolist()
+        total += len(ends)
+        for k in range(0, len(ends), _CHUNK):
+            h = np.array([digest(joined[a:b], 42) for a, b in zip(first[k : k + _CHUNK], ends[k : k + _CHUNK], strict=False)], "<u8")
+            for c in range(count):
+                ones[c] += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+    return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int | tuple[int, ...], count: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = pa.array([simhash(t.as_py(), shingle, count) for t in b.column(1)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), fp, b.column(2)], ["doc_id", "fp", "content"])
+
 
+def _readable(docs: DataFrame) -> DataFrame:
+    """doc_id, text (UTF-8) and content (a hash of the text)."""
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    return d.withColumn("content", F.xxhash64("text"))
 
-def fingerprints(docs: DataFrame, shingle: int = 3, count: int = 1) -> DataFrame:
-    """doc_id and fp (an array of ``count`` fingerprints), one row for each input row."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(partial(_fingerprints, shingle=shingle, count=count), "doc_id bigint, fp array<bigint>")
+
+def fingerprints(docs: DataFrame, shingle: int | tuple[int, ...] = 3, count: int = 1) -> DataFrame:
+    """doc_id, fp (an array of ``count`` fingerprints) and content (a hash of the text), one row for each input row."""
+    return _readable(docs).mapInArrow(partial(_fingerprints, shingle=shingle, count=count), "doc_id bigint, fp array<bigint>, content bigint")
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -179,35 +189,68 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     many = met.filter(F.col("n") > BUCKET).select("s", "fp").union(at.hint("merge").join(crowded, bucket, "left_semi").select("s", "fp")).distinct()
     flips = _flips(list(range(BITS)), bits // 2)
     near = many.select("s", "fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
-    meet = near.groupBy("s", "v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").select("s", "v", "a")
-    pair = near.hint("merge").join(meet, ["s", "v"]).filter("fp <> a").select("s", "a", F.col("fp").alias("b"))
+    meet = near.groupBy("s", "v").agg(F.collect_list("fp").alias("m")).filter("size(m) > 1")  # a value has as many neighbours as there are flips
+    pair = meet.select("s", F.array_min("m").alias("a"), F.explode("m").alias("b")).filter("a <> b")
     return pairs.union(pair).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, count: int = 1) -> DataFrame:
+def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = []
+        for t in b.column(1):
+            words = (t.as_py() or b"").lower().split()
+            size = min(shingle, len(words))
+            grams = {xxhash.xxh64_intdigest(b" ".join(words[k : k + size])) for k in range(len(words) - size + 1)} if words else set()
+            sets.append(np.fromiter(grams, np.uint64, len(grams)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def similar(edges: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (x, y) whose texts' sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Two texts without a word are alike. Only texts at an end of an edge are read into sets, one for each node.
+    """
+    ends = edges.select(F.col("x").alias("node")).union(edges.select(F.col("y").alias("node"))).distinct()
+    needed = distinct.join(ends, "node", "left_semi").select("node", F.col("first").alias("doc_id"), "content").dropDuplicates(["node"])
+    rows = _readable(docs).withColumnsRenamed({"doc_id": "d", "content": "c"})
+    rows = rows.join(needed, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("c") == F.col("content"))).select("node", "text")
+    sets = written(rows.mapInArrow(partial(_shingle_sets, shingle=shingle), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "simhash-shingles")
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
+    both = edges.hint("merge").join(of("x"), "x").hint("merge").join(of("y"), "y")
+    shared = F.size(F.array_intersect("of_x", "of_y"))
+    return both.filter(shared >= similarity * (F.size("of_x") + F.size("of_y") - shared)).select("x", "y")
+
+
+def near_duplicates(docs: DataFrame, shingle: int | tuple[int, ...] = 3, bits: int = 2, count: int = 1, similarity: float | None = None) -> DataFrame:
     """doc_id, fp (the first fingerprint) and component_id, one row for each input row.
 
-    Documents link if any of their ``count`` fingerprints are within ``bits`` bits; component_id is the smallest
-    doc_id reachable over links.
+    Documents link if any of their ``count`` fingerprints are within ``bits`` bits and, where a ``similarity`` is
+    given, the Jaccard similarity of their texts' sets of 5-word shingles is at least that. component_id is the
+    smallest doc_id reachable over links.
     """
     prints = written(fingerprints(docs, shingle, count), "simhash")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    distinct = distinct.withColumn("node", F.xxhash64("fp") if count > 1 else F.col("fp")[0])
+    # with a similarity, a node is a text, else a fingerprint
+    by = ["fp"] if similarity is None else ["fp", "content"]
+    distinct = prints.groupBy(*by).agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64(*by) if count > 1 or similarity is not None else F.col("fp")[0])
+    distinct = written(distinct, "simhash-distinct")
     each = distinct.select("node", F.posexplode("fp").alias("s", "fp"))
     own = written(each.groupBy("s", "fp").agg(F.min("node").alias("node")), "simhash-own")
     ends = links(own.select("s", "fp"), bits)
-    if count > 1:  # from fingerprints to the distinct texts' numbers, and between texts that share a fingerprint
+    if count > 1 or similarity is not None:  # from fingerprints to the nodes' numbers, and between nodes that share a fingerprint
         of = lambda end, x: own.select("s", F.col("fp").alias(end), F.col("node").alias(x))
         edges = ends.hint("merge").join(of("a", "x"), ["s", "a"]).hint("merge").join(of("b", "y"), ["s", "b"]).select("x", "y")
         shared = each.hint("merge").join(own.withColumnRenamed("node", "y"), ["s", "fp"]).filter("node <> y")
         edges = edges.union(shared.select(F.col("node").alias("x"), "y"))
+        if similarity is not None:
+            edges = written(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "simhash-edges")
+            edges = similar(edges, distinct, docs, 5, similarity)
     else:
         edges = ends.select(F.col("a").alias("x"), F.col("b").alias("y"))
     root = connected_components(edges, "x", "y")
-    named = distinct.join(root, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
+    named = distinct.join(root, "node", "left").select(*by, "first", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = written(named.join(lowest, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(of, "fp").select("doc_id", F.col("fp")[0].alias("fp"), "component_id")
+    of = written(named.join(lowest, "root").select(*by, "component_id"), "simhash-components")
+    return prints.join(of, by).select("doc_id", F.col("fp")[0].alias("fp"), "component_id")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -104,6 +105,26 @@ def test_simhash_groups_equal_brute_force(spark, sf, monkeypatch, bucket):
     assert {r["doc_id"]: r["component_id"] for r in got} == root
 
 
+def test_near_duplicates_of_a_similarity(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows, k = [], 0
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(300)]
+        for changed in (0, 1, 3, 40):
+            words = list(base)
+            for at in rng.sample(range(300), changed):
+                words[at] = rng.choice(vocabulary)
+            rows.append((k, " ".join(words)))
+            k += 1
+    rows += [(None, rows[0][1]), (900, None), (901, ""), (902, "one two"), (902, "one two"), (903, "One Two")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), shingle=(1, 2), bits=2, count=12, similarity=0.8).collect()}
+    want = {None: 0, 900: 900, 901: 900, 902: 902, 903: 902}
+    for i in range(0, 48, 4):  # 3 changed words leave 285 of 311 shingles at least; 40 leave half of them at most
+        want |= {i: i, i + 1: i, i + 2: i, i + 3: i + 3}
+    assert got == want
+
+
 @pytest.mark.parametrize("bits", [2, 4])
 def test_links_lose_no_component(spark, monkeypatch, bits):
     monkeypatch.setattr(simhash, "BUCKET", 2)
