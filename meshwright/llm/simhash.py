@@ -35,6 +35,8 @@ from meshwright.shared import written
 BITS = 64
 #: Comparing a fingerprint with as many as it has neighbours costs no more than to shuffle those.
 BUCKET = 64
+#: Lowest hashes of a set of shingles, and what their estimate of a similarity may be off.
+SKETCH, MARGIN = 256, 0.1
 _CHUNK = 1 << 16
 
 
@@ -200,25 +202,46 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
         for t in b.column(1):
             words = (t.as_py() or b"").lower().split()
             size = min(shingle, len(words))
-            grams = {xxhash.xxh64_intdigest(b" ".join(words[k : k + size])) for k in range(len(words) - size + 1)} if words else set()
-            sets.append(np.fromiter(grams, np.uint64, len(grams)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            grams = {xxhash.xxh32_intdigest(b" ".join(words[k : k + size])) for k in range(len(words) - size + 1)} if words else set()
+            sets.append(np.sort(np.fromiter(grams, np.uint32, len(grams))).view(np.int32))
+        low = pa.array([x[:SKETCH] for x in sets], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), low, pa.array(sets, pa.list_(pa.int32()))], ["node", "size", "low", "shingles"])
+
+
+def _estimated(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Edges that may be similar; ``sure`` where the lowest hashes of both sets settle it."""
+    for b in batches:
+        sure = []
+        for m, n, p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+            _, times = np.unique(np.concatenate((p.values.to_numpy().view(np.uint32), q.values.to_numpy().view(np.uint32))), return_counts=True)
+            whole = max(m, n) <= SKETCH
+            times = times if whole else times[:SKETCH]
+            found = (times == 2).mean() if len(times) else 1.0
+            sure.append(bool(found >= similarity + (0 if whole else MARGIN)) or (None if whole or found < similarity - MARGIN else False))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure, pa.bool_())], ["x", "y", "sure"])
 
 
 def similar(edges: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The edges (x, y) whose texts' sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Two texts without a word are alike. Only texts at an end of an edge are read into sets, one for each node.
+    Two texts without a word are alike. Only texts at an end of an edge become sets, one for each node. The sizes
+    and the ``SKETCH`` lowest hashes decide what is further than ``MARGIN`` (four standard errors) from the
+    similarity; whole sets decide the rest, so long sets seldom travel.
     """
     ends = edges.select(F.col("x").alias("node")).union(edges.select(F.col("y").alias("node"))).distinct()
     needed = distinct.join(ends, "node", "left_semi").select("node", F.col("first").alias("doc_id"), "content").dropDuplicates(["node"])
     rows = _readable(docs).withColumnsRenamed({"doc_id": "d", "content": "c"})
     rows = rows.join(needed, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("c") == F.col("content"))).select("node", "text")
-    sets = written(rows.mapInArrow(partial(_shingle_sets, shingle=shingle), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "simhash-shingles")
-    of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
-    both = edges.hint("merge").join(of("x"), "x").hint("merge").join(of("y"), "y")
+    sets = rows.mapInArrow(partial(_shingle_sets, shingle=shingle), "node bigint, size int, low array<int>, shingles array<int>")
+    sets = written(sets, "simhash-shingles")
+    of = lambda end, c: sets.dropDuplicates(["node"]).select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col(c).alias(f"of_{end}"))
+    low = edges.hint("merge").join(of("x", "low"), "x").hint("merge").join(of("y", "low"), "y")
+    low = low.filter(F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y"))
+    judged = written(low.select("x", "y", "size_x", "size_y", "of_x", "of_y").mapInArrow(partial(_estimated, similarity=similarity), "x bigint, y bigint, sure boolean").filter("sure is not null"), "simhash-judged")
+    both = judged.filter("not sure").select("x", "y").hint("merge").join(of("x", "shingles"), "x").hint("merge").join(of("y", "shingles"), "y")
     shared = F.size(F.array_intersect("of_x", "of_y"))
-    return both.filter(shared >= similarity * (F.size("of_x") + F.size("of_y") - shared)).select("x", "y")
+    exact = both.filter(shared >= similarity * (F.size("of_x") + F.size("of_y") - shared))
+    return judged.filter("sure").select("x", "y").union(exact.select("x", "y"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int | tuple[int, ...] = 3, bits: int = 2, count: int = 1, similarity: float | None = None) -> DataFrame:
