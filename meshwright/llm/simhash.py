@@ -37,6 +37,8 @@ BITS = 64
 BUCKET = 64
 #: Lowest hashes of a set of shingles, and what their estimate of a similarity may be off.
 SKETCH, MARGIN = 256, 0.1
+#: Rows of three integers that are broadcast, at most.
+BROADCAST_ROWS = 100_000
 _CHUNK = 1 << 16
 
 
@@ -230,6 +232,8 @@ def similar(edges: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int
     """
     ends = edges.select(F.col("x").alias("node")).union(edges.select(F.col("y").alias("node"))).distinct()
     needed = distinct.join(ends, "node", "left_semi").select("node", F.col("first").alias("doc_id"), "content").dropDuplicates(["node"])
+    needed = written(needed, "simhash-needed")
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed  # else every text is shuffled
     rows = _readable(docs).withColumnsRenamed({"doc_id": "d", "content": "c"})
     rows = rows.join(needed, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("c") == F.col("content"))).select("node", "text")
     sets = rows.mapInArrow(partial(_shingle_sets, shingle=shingle), "node bigint, size int, low array<int>, shingles array<int>")

@@ -105,7 +105,9 @@ def test_simhash_groups_equal_brute_force(spark, sf, monkeypatch, bucket):
     assert {r["doc_id"]: r["component_id"] for r in got} == root
 
 
-def test_near_duplicates_of_a_similarity(spark):
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_near_duplicates_of_a_similarity(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast)
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(3000)]
     rows, k = [], 0
