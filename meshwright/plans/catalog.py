@@ -290,7 +290,7 @@ def log1p_target_roundtrip(t):
 _PRIORITIES = ("1-URGENT", "2-HIGH", "5-LOW")
 
 
-@query("select o_orderkey, " + ", ".join(f"(o_orderpriority = '{p}')::double as \"p_{p}\"" for p in _PRIORITIES) + ", round(sin(2 * pi() * month(o_orderdate) / 12), 6) as sin_month, round(cos(2 * pi() * month(o_orderdate) / 12), 6) as cos_month from orders")
+@query("select o_orderkey, " + ", ".join(f"(o_orderpriority = '{p}')::double as \"p_{p}\"" for p in _PRIORITIES) + ", round(sin(2 * pi() * month(o_orderdate) / 12), 6) + 0.0 as sin_month, round(cos(2 * pi() * month(o_orderdate) / 12), 6) + 0.0 as cos_month from orders")
 def onehot_trig_features(t):
     a = 2 * F.pi() * F.month("o_orderdate") / 12
     return rounded(t("orders").select("o_orderkey", *fn.one_hot(F.col("o_orderpriority"), _PRIORITIES, "p"), F.sin(a).alias("sin_month"), F.cos(a).alias("cos_month")))
