@@ -68,41 +68,34 @@ def plain_text(html: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(x, "\n+", "\n"), " +", " "), F.lit(" \n"))
 
 
-def _derived(records: DataFrame, kind: str, content_type: str, block: Column) -> DataFrame:
-    return records.select(
-        "page_id",
-        F.lit(kind).alias("record_type"),
-        _uuid(F.concat_ws("|", F.lit(kind), "record_id")).alias("record_id"),
-        F.col("record_id").alias("refers_to"),
-        "target_uri",
-        "warc_date",
-        F.lit(content_type).alias("content_type"),
-        _sha(block).alias("block_digest"),
-        "payload_digest",
-        F.octet_length(block).cast("bigint").alias("content_length"),
-        block.alias("block"),
-    )
-
-
 def derivatives(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record for each response record (columns of ``responses``)."""
-    records = records.withColumn("text", plain_text(F.col("payload")))
-    field = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit(CRLF)))
     first = lambda pattern: F.regexp_extract("payload", pattern, 1)
+    records = records.withColumns({
+        "text": plain_text(F.col("payload")), "title": first(r"(?is)<title[^>]*>(.*?)</title"), "language": first(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']([^\"'>]*)"),
+    })
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
+    found = lambda name: F.when(F.col(name) != "", line(name, F.regexp_replace(name, r"[\r\n]+", " ")))
     links = F.regexp_extract_all("payload", F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"'>]*)"), 1)
     source = F.filter(F.split(F.regexp_replace("http_head", "\r", ""), "\n"), lambda x: x.contains(": "))
     fields = F.concat_ws(
         "",
-        field("title", first(r"(?is)<title[^>]*>(.*?)</title")),
-        field("language", first(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']([^\"'>]*)")),
-        F.array_join(F.transform(source, lambda x: F.concat(F.lit("source-header: "), x, F.lit(CRLF))), ""),
-        field("source-payload-digest", F.col("payload_digest")),
-        field("source-payload-length", F.octet_length("payload").cast("string")),
-        field("text-digest", _sha(F.col("text"))),
-        F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, r"[\r\n]+", " "), F.lit(CRLF))), ""),
+        found("title"),
+        found("language"),
+        F.array_join(F.transform(source, lambda x: line("source-header", x)), ""),
+        line("source-payload-digest", F.col("payload_digest")),
+        line("source-payload-length", F.octet_length("payload").cast("string")),
+        line("text-digest", _sha(F.col("text"))),
+        F.array_join(F.transform(links, lambda x: line("outlink", F.regexp_replace(x, r"[\r\n]+", " "))), ""),
     )
-    records = records.withColumn("fields", fields)
-    return _derived(records, "metadata", "application/warc-fields", F.col("fields")).unionByName(_derived(records, "conversion", "text/plain; charset=utf-8", F.col("text")))
+    made = lambda kind, content_type, block: F.struct(F.lit(kind).alias("record_type"), F.lit(content_type).alias("content_type"), block.alias("block"))
+    both = F.array(made("metadata", "application/warc-fields", fields), made("conversion", "text/plain; charset=utf-8", F.col("text")))
+    # one pass over a page makes both of its records
+    rows = records.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "payload_digest", F.explode(both).alias("made"))
+    rows = rows.select("*", "made.*").withColumns({
+        "record_id": _uuid(F.concat_ws("|", "record_type", "refers_to")), "block_digest": _sha(F.col("block")), "content_length": F.octet_length("block").cast("bigint"),
+    })
+    return rows.select(*RECORD)
 
 
 def record_text() -> Column:
