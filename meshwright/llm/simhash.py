@@ -10,9 +10,9 @@ linked exactly and in linear size: two values differ in at most 2r bits if and o
 from each in at most r, so each meets the others at its neighbours (1 + 64 for r = 1, 2081 for r = 2).
 
 Null and empty texts have the fingerprint zero, linked like any other. Copies collapse to one fingerprint
-before anything is linked, so no group of copies is ever expanded. Where a similarity is asked for, links are
-verified by the texts' whole sets of shingles; a crowd is verified along the links above. Rows with a null doc_id take part and get
-the component's smallest doc_id. Only doc_id and text are read.
+before anything is linked, so no group of copies is ever expanded. Where a similarity is asked for, candidates
+share a bucket of least hashes of their sets of shingles (``near_copies``) instead, and links are verified by the
+whole sets. Rows with a null doc_id take part and get the component's smallest doc_id. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -40,6 +40,9 @@ SKETCH, MARGIN = 256, 0.1
 #: Rows of three integers that are broadcast, at most.
 BROADCAST_ROWS = 100_000
 _CHUNK = 1 << 16
+#: Buckets of a set of shingles: a pair of similarity 0.8 misses all of them once in 16,000 times, one of 0.5 meets in one of 64.
+BANDS, ROWS = 32, 6
+_FACTORS, _TERMS = np.random.default_rng(7).integers(0, 2**32, (2, BANDS * ROWS), np.uint32) | np.array([[1], [0]], np.uint32)
 
 
 def simhash(text: bytes | None, shingle: int | tuple[int, ...] = 3, count: int = 1) -> list[int]:
@@ -198,14 +201,35 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     return pairs.union(pair).distinct()
 
 
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The sorted 32-bit hashes of a text's different word shingles; of a shorter text, of all its words."""
+    words = (text or b"").lower().split()
+    size = min(shingle, len(words))
+    grams = {xxhash.xxh32_intdigest(b" ".join(words[k : k + size])) for k in range(len(words) - size + 1)} if words else set()
+    return np.sort(np.fromiter(grams, np.uint32, len(grams)))
+
+
+def bands(grams: np.ndarray) -> np.ndarray:
+    """A set's ``BANDS`` bucket numbers, each of the least values of ``ROWS`` permutations of its hashes."""
+    low = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    for k in range(0, len(grams), 1024):
+        low = np.minimum(low, (grams[k : k + 1024, None] * _FACTORS + _TERMS).min(axis=0))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for x in low.reshape(BANDS, ROWS).T.astype(np.uint64):
+        out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _banded(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = pa.array([bands(shingle_set(t.as_py(), shingle)) for t in b.column(1)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), found], ["doc_id", "content", "bands"])
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = []
-        for t in b.column(1):
-            words = (t.as_py() or b"").lower().split()
-            size = min(shingle, len(words))
-            grams = {xxhash.xxh32_intdigest(b" ".join(words[k : k + size])) for k in range(len(words) - size + 1)} if words else set()
-            sets.append(np.sort(np.fromiter(grams, np.uint32, len(grams))).view(np.int32))
+        sets = [shingle_set(t.as_py(), shingle).view(np.int32) for t in b.column(1)]
         low = pa.array([x[:SKETCH] for x in sets], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), low, pa.array(sets, pa.list_(pa.int32()))], ["node", "size", "low", "shingles"])
 
@@ -248,36 +272,58 @@ def similar(edges: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int
     return judged.filter("sure").select("x", "y").union(exact.select("x", "y"))
 
 
+def near_copies(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
+    """doc_id, content (a hash of the text) and root (the component's smallest content), one row for each input row.
+
+    Texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is ``similarity`` or more. Pairs
+    that share one of ``BANDS`` buckets are compared, wherever in the text an edit lies.
+    """
+    prints = written(_readable(docs).mapInArrow(partial(_banded, shingle=shingle), "doc_id bigint, content bigint, bands array<bigint>"), "simhash-bands")
+    distinct = written(prints.groupBy(F.col("content").alias("node")).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "simhash-distinct")
+    at = distinct.select("node", F.explode("bands").alias("key"))
+    sizes = at.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("one")).filter("n > 1")
+    met = written(at.hint("merge").join(sizes, "key"), "simhash-met")
+    # most buckets of a group hold the same texts
+    few = met.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m")).select("m").distinct()
+    pairs = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y > F.col("x"))).alias("y"))
+    star = met.filter((F.col("n") > BUCKET) & (F.col("node") > F.col("one"))).select(F.col("one").alias("x"), F.col("node").alias("y"))
+    edges = written(pairs.union(star).distinct(), "simhash-edges")
+    nodes = distinct.select("node", "first", F.col("node").alias("content"))
+    found = similar(edges, nodes, docs, shingle, similarity)
+    root = connected_components(found, "x", "y")
+    return prints.select("doc_id", "content").join(root.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "content", F.coalesce("root", "content").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int | tuple[int, ...] = 3, bits: int = 2, count: int = 1, similarity: float | None = None) -> DataFrame:
     """doc_id, fp (the first fingerprint) and component_id, one row for each input row.
 
-    Documents link if any of their ``count`` fingerprints are within ``bits`` bits and, where a ``similarity`` is
-    given, the Jaccard similarity of their texts' sets of 5-word shingles is at least that. component_id is the
-    smallest doc_id reachable over links.
+    Documents link if any of their ``count`` fingerprints are within ``bits`` bits or, where a ``similarity`` is
+    given, if the Jaccard similarity of their texts' sets of 5-word shingles is at least that, whatever their
+    fingerprints. component_id is the smallest doc_id reachable over links.
     """
     prints = written(fingerprints(docs, shingle, count), "simhash")
-    # with a similarity, a node is a text, else a fingerprint
-    by = ["fp"] if similarity is None else ["fp", "content"]
-    distinct = prints.groupBy(*by).agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64(*by) if count > 1 or similarity is not None else F.col("fp")[0])
+    if similarity is not None:
+        copies = written(near_copies(docs, similarity), "simhash-copies")
+        lowest = copies.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        of = copies.select("content", "root").distinct().join(lowest, "root").select("content", "component_id")
+        return prints.join(of, "content").select("doc_id", F.col("fp")[0].alias("fp"), "component_id")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fp") if count > 1 else F.col("fp")[0])
     distinct = written(distinct, "simhash-distinct")
     each = distinct.select("node", F.posexplode("fp").alias("s", "fp"))
     own = written(each.groupBy("s", "fp").agg(F.min("node").alias("node")), "simhash-own")
     ends = links(own.select("s", "fp"), bits)
-    if count > 1 or similarity is not None:  # from fingerprints to the nodes' numbers, and between nodes that share a fingerprint
+    if count > 1:  # from fingerprints to the nodes' numbers, and between nodes that share a fingerprint
         of = lambda end, x: own.select("s", F.col("fp").alias(end), F.col("node").alias(x))
         edges = ends.hint("merge").join(of("a", "x"), ["s", "a"]).hint("merge").join(of("b", "y"), ["s", "b"]).select("x", "y")
         shared = each.hint("merge").join(own.withColumnRenamed("node", "y"), ["s", "fp"]).filter("node <> y")
         edges = edges.union(shared.select(F.col("node").alias("x"), "y"))
-        if similarity is not None:
-            edges = written(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "simhash-edges")
-            edges = similar(edges, distinct, docs, 5, similarity)
     else:
         edges = ends.select(F.col("a").alias("x"), F.col("b").alias("y"))
     root = connected_components(edges, "x", "y")
-    named = distinct.join(root, "node", "left").select(*by, "first", F.coalesce("root", "node").alias("root"))
+    named = distinct.join(root, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = written(named.join(lowest, "root").select(*by, "component_id"), "simhash-components")
-    return prints.join(of, by).select("doc_id", F.col("fp")[0].alias("fp"), "component_id")
+    of = written(named.join(lowest, "root").select("fp", "component_id"), "simhash-components")
+    return prints.join(of, "fp").select("doc_id", F.col("fp")[0].alias("fp"), "component_id")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,27 @@ def test_near_duplicates_of_a_similarity(spark, monkeypatch, broadcast):
     assert got == want
 
 
+def jaccard(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_duplicates_of_clustered_edits(spark):
+    rng = random.Random(11)
+    word = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(0, 240, 2):
+        base = word(rng.randrange(80, 400))
+        n = int(len(base) * rng.uniform(0.03, 0.17))
+        at = rng.randrange(len(base) - n)
+        copy = (base[:-n], base + word(n), base[:at] + word(n // 2) + base[at + n // 2 :])[k // 2 % 3]
+        rows += [(k, " ".join(base)), (k + 1, " ".join(copy))]
+        pairs.append((k, jaccard(*(t for _, t in rows[-2:]))))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), shingle=(1, 2), bits=2, count=12, similarity=0.8).collect()}
+    assert sum(0.8 <= j < 0.85 for _, j in pairs) > 15
+    assert {k: got[k + 1] for k, _ in pairs} == {k: k if j >= 0.8 else k + 1 for k, j in pairs}
+
+
 @pytest.mark.parametrize("bits", [2, 4])
 def test_links_lose_no_component(spark, monkeypatch, bits):
     monkeypatch.setattr(simhash, "BUCKET", 2)
