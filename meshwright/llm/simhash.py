@@ -272,11 +272,39 @@ def similar(edges: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int
     return judged.filter("sure").select("x", "y").union(exact.select("x", "y"))
 
 
+def _settled(found: DataFrame, crowds: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The components (node, root) of the edges ``found`` and of all pairs of a crowd that ``alike`` keeps.
+
+    ``crowds``: (key, node), without the node of each that was compared with all others. Each round compares,
+    in every crowd that isn't one component yet, some nodes outside its largest component with all nodes of other
+    components, and takes them out; so none but pairs that are linked already stay uncompared. Twice as many
+    nodes a round keep the rounds logarithmic.
+    """
+    root = written(connected_components(found, "x", "y"), "simhash-roots")
+    several = 1
+    while True:
+        named = crowds.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        parts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+        main = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("main")).filter("parts > 1")
+        named = written(named.join(main.select("key", F.col("main.root").alias("main")), "key"), "simhash-crowds")
+        if named.isEmpty():
+            return root
+        turn = named.filter("root <> main").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(several)).alias("k"))
+        turn = written(turn.agg(F.min(F.struct("node", "root")).alias("at")).select("key", F.col("at.node").alias("x"), F.col("at.root").alias("of_x")), "simhash-turn")
+        pairs = named.join(turn, "key").filter("root <> of_x")
+        pairs = written(pairs.select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct(), "simhash-edges")
+        found = written(found.union(alike(pairs)), "simhash-found")
+        root = written(connected_components(found, "x", "y"), "simhash-roots")
+        crowds = written(named.join(turn.select("key", F.col("x").alias("node")), ["key", "node"], "left_anti").select("key", "node"), "simhash-crowds")
+        several *= 2
+
+
 def near_copies(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
     """doc_id, content (a hash of the text) and root (the component's smallest content), one row for each input row.
 
     Texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is ``similarity`` or more. Pairs
-    that share one of ``BANDS`` buckets are compared, wherever in the text an edit lies.
+    that share one of ``BANDS`` buckets are compared, wherever in the text an edit lies; in buckets of more than
+    ``BUCKET`` texts, until no pair is left that isn't linked through others (``_settled``).
     """
     prints = written(_readable(docs).mapInArrow(partial(_banded, shingle=shingle), "doc_id bigint, content bigint, bands array<bigint>"), "simhash-bands")
     distinct = written(prints.groupBy(F.col("content").alias("node")).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "simhash-distinct")
@@ -290,7 +318,9 @@ def near_copies(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFra
     edges = written(pairs.union(star).distinct(), "simhash-edges")
     nodes = distinct.select("node", "first", F.col("node").alias("content"))
     found = similar(edges, nodes, docs, shingle, similarity)
-    root = connected_components(found, "x", "y")
+    found = written(found, "simhash-found")
+    crowds = met.filter((F.col("n") > BUCKET) & (F.col("node") != F.col("one"))).select("key", "node")
+    root = _settled(found, crowds, partial(similar, distinct=nodes, docs=docs, shingle=shingle, similarity=similarity))
     return prints.select("doc_id", "content").join(root.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "content", F.coalesce("root", "content").alias("root"))
 
 

@@ -148,6 +148,20 @@ def test_near_duplicates_of_clustered_edits(spark):
     assert {k: got[k + 1] for k, _ in pairs} == {k: k if j >= 0.8 else k + 1 for k, j in pairs}
 
 
+def test_every_text_meets_its_bucket(spark, monkeypatch):
+    # in one crowd, 1 was compared with all others and is like none of them; alike: numbers 5 apart at most
+    crowd = [10, 15, 20, 40, 44, 90, 94, 98, 99]
+    crowds = spark.createDataFrame([(7, n) for n in crowd] + [(8, 200), (8, 300)], "key bigint, node bigint")
+    none = spark.createDataFrame([], "x bigint, y bigint")
+    got = simhash._settled(none, crowds, lambda e: e.filter("abs(x - y) <= 5"))
+    assert {r["node"]: r["root"] for r in got.collect()} == {10: 10, 15: 10, 20: 10, 40: 40, 44: 40, 90: 90, 94: 90, 98: 90, 99: 90}
+    # each text like the next longer one only
+    monkeypatch.setattr(simhash, "BUCKET", 1)
+    rows = [(10 * g + k, " ".join(f"g{g}w{i}" for i in range(n))) for g in range(8) for k, n in enumerate((100, 86, 74, 63))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), similarity=0.8).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
 @pytest.mark.parametrize("bits", [2, 4])
 def test_links_lose_no_component(spark, monkeypatch, bits):
     monkeypatch.setattr(simhash, "BUCKET", 2)
