@@ -10,9 +10,9 @@ all their words are compared over all documents, and only the first start of eac
 Unique fingerprints and first starts travel back to their documents, never the copies, so a passage in a third
 of all documents costs a partial count in each task and one row.
 
-Null and empty texts and texts of fewer than ``WINDOW`` words lose nothing. Documents are ordered by doc_id, a
-null doc_id last; rows that repeat a doc_id are one document, each of them judged alike. Only doc_id and text
-are read. A very long text is held by one task at a time, as Spark holds the row.
+Null and empty texts and texts of fewer than ``WINDOW`` words lose nothing. Documents are ordered by doc_id; rows
+without a doc_id are documents of their own and come last, as do further texts of a doc_id that has several. Rows
+that repeat a doc_id and its text are one document, each of them judged alike. Only doc_id and text are read. A very long text is held by one task at a time, as Spark holds the row.
 """
 
 from __future__ import annotations
@@ -23,17 +23,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwright.llm.common import table
-from meshwright.shared import new_path, remove
+from meshwright.shared import new_path, remove, written
 
 WINDOW, GRAM = 20, 5
 _SPAN = WINDOW - GRAM + 1
 #: Odd multipliers of the two rolling digests.
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_LAST = (1 << 63) - 1
+#: Numbers from here on are of documents that have no doc_id of their own.
+_LATE = 1 << 62
 
 
 def _rolled(h: np.ndarray, n: int, m: np.uint64) -> np.ndarray:
@@ -134,7 +135,7 @@ def kept_words(words: list[bytes], removed: np.ndarray) -> tuple[int, list[bytes
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        doc, text, unique, first = b.columns
+        doc, text, unique, first, doc_id = b.columns
         n_words, n_removed, kept = [], [], []
         for t, u, f in zip(text, unique, first, strict=True):
             words = (t.as_py() or b"").split()
@@ -146,7 +147,7 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed.append(gone)
             kept.append(b" ".join(left))
         sha = pa.array([hashlib.sha256(k).hexdigest() for k in kept])
-        yield pa.RecordBatch.from_arrays([doc, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), sha, pa.array(kept, pa.binary())], ["doc", "n_words", "n_removed", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([doc, doc_id, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), sha, pa.array(kept, pa.binary())], ["doc", "doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
 class FingerprintIndex:
@@ -182,14 +183,35 @@ class FingerprintIndex:
             remove(self.spark, *old)
 
 
+def numbered(docs: DataFrame, name: str = "doc") -> DataFrame:
+    """``docs`` and a number for each document: its doc_id, if it is the only or the first text of it."""
+    own, content = F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
+    odd = docs.select(own.alias("_own"), content.alias("_text")).groupBy("_own").agg(F.min("_text").alias("_least"), F.max("_text").alias("_most"))
+    odd = written(odd.filter("_own is null or _least <> _most"), "substring-odd")
+    late = lambda *x: F.lit(_LATE) + F.xxhash64(*x).bitwiseAND(F.lit(_LATE - 1))
+    out = docs.withColumn(name, own)
+    if odd.isEmpty():
+        return out
+    several = odd.filter("_own is not null").select(F.col("_own").alias(name), "_least")
+    some = out.filter(F.col(name).isNotNull()).join(several, name, "left")
+    some = some.withColumn(name, F.when(content != F.col("_least"), late(name, content)).otherwise(F.col(name)))
+    none = out.filter(F.col(name).isNull()).withColumn("_nth", F.row_number().over(Window.partitionBy(content).orderBy(F.lit(0))))
+    return some.select(*docs.columns, name).union(none.withColumn(name, late("_nth", content)).select(*docs.columns, name))
+
+
 def dedup(docs: DataFrame, batches: int = 1, index: FingerprintIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the text that is left, UTF-8), a row for each input row.
 
     ``docs`` go into the index in ``batches`` parts by doc_id, then each window is judged against the whole index.
     An ``index`` that holds earlier documents needs those among ``docs`` too: verification reads their texts.
     """
+    return judged(numbered(docs), batches, index).drop("doc")
+
+
+def judged(docs: DataFrame, batches: int = 1, index: FingerprintIndex | None = None) -> DataFrame:
+    """What ``dedup`` returns and doc, for documents that have a number in doc."""
     spark = docs.sparkSession
-    d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.col("text").cast("binary").alias("text"))
+    d = docs.select("doc", F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
     new = index is None
     index = index or FingerprintIndex(spark)
     if new:
@@ -198,13 +220,12 @@ def dedup(docs: DataFrame, batches: int = 1, index: FingerprintIndex | None = No
     index.compact()
     # one exchange of unique places and one of texts serve both passes
     unique = index.merged().filter("n = 1").groupBy("doc").agg(F.collect_list("pos").alias("unique"))
-    with_unique = d.join(unique, "doc", "left").select("doc", "text", "unique")
+    with_unique = d.join(unique, "doc", "left").select("doc", "text", "unique", "doc_id")
     windows = with_unique.mapInArrow(_window_rows, "d1 bigint, d2 bigint, doc bigint, pos int")
     first = windows.groupBy("d1", "d2").agg(F.min(F.struct("doc", "pos")).alias("at")).select("at.*")
     first = first.groupBy("doc").agg(F.collect_list("pos").alias("first"))
-    rows = with_unique.join(first, "doc", "left").select("doc", "text", "unique", "first")
-    out = rows.mapInArrow(_decided, "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary")
-    return out.withColumn("doc_id", F.nullif("doc", F.lit(_LAST))).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+    rows = with_unique.join(first, "doc", "left").select("doc", "text", "unique", "first", "doc_id")
+    return rows.mapInArrow(_decided, "doc bigint, doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,3 +391,18 @@ def test_pipeline_stages(spark, sf):
     for _, stage in cp.STAGES:
         assert stage(spark, odd, sf).count() <= len(ODD)
         assert stage(spark, odd.limit(0), sf).count() == 0
+
+
+def test_documents_without_an_id_of_their_own(spark, sf):
+    import corpus_pipeline as cp
+
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").filter("length(text) > 200").first()["text"]
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (8, leak), (8, text["e"]), (None, leak + " more"), (9, text["f"]), (9, text["f"])]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = cp.near_dedup_stage(spark, d, sf)
+    assert sorted(r["text"] for r in got.collect()) == sorted([*text.values(), leak])
+    got = cp.decontamination_stage(spark, cp.substring_stage(spark, got, sf), sf)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (8, text["e"]), (9, text["f"])], key=str)
+    # copies without an id are removed, whatever their places
+    assert sorted(r["n_removed"] for r in substring.dedup(docs(spark, [(None, text["a"]), (None, text["a"]), (None, text["a"] + " end"), (3, text["b"])])).collect()) == [0, 0, 60, 60]
