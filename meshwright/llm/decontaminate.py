@@ -7,8 +7,9 @@ alignment of an item with a document, each benchmark value stands for one docume
 catches re-parameterised questions as well as exact copies.
 
 A document is contaminated by an item if consistent alignments cover half of the item's windows, or
-``ENOUGH`` of them. Windows with fewer than ``LITERALS`` words that aren't placeholders (or than half of a
-short window) say nothing and don't count; an item without any other is never matched.
+``ENOUGH`` of them. Templates with fewer than ``LITERALS`` words that aren't placeholders (or than half of a
+short window) say nothing and don't count. Windows of the lower-cased words themselves are joined too, all of them:
+copies match whatever their literals and case, by the same share of all of the item's windows.
 
 Null and empty texts match nothing, as does an empty benchmark. Rows that repeat a doc_id or item_id count
 once. Of either table only the id and the text are read.
@@ -42,55 +43,61 @@ def templates(rows: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.array_remove(F.split("c", SPACE), "").alias("w"), F.array_remove(F.split("t", SPACE), "").alias("t"))
 
 
-def _windows(size: int) -> F.Column:
-    """The hashes of all windows of ``size`` words of the column t."""
-    starts = F.sequence(F.lit(0), F.size("t") - size)
-    return F.when(F.size("t") >= size, F.transform(starts, lambda i: F.xxhash64(F.lit(size), *[F.get("t", i + k) for k in range(size)])))
+def _windows(size: int, of: str = "t") -> F.Column:
+    """The hashes of all windows of ``size`` words of the column t, or of l (the lower-cased words)."""
+    starts = F.sequence(F.lit(0), F.size(of) - size)
+    return F.when(F.size(of) >= size, F.transform(starts, lambda i: F.xxhash64(F.lit(size if of == "t" else -size), *[F.get(of, i + k) for k in range(size)])))
+
+
+def _lowered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("l", F.transform("w", F.lower))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size, j (start), h (hash), places and values of the slots, total (windows of the item)."""
+    """item_id, size, j (start), h (hash), exact (of the words, not of the template), places and values of the slots, total (such windows of the item)."""
     b = templates(benchmark, "item_id").filter("size(t) > 0").dropDuplicates(["item_id"]).withColumn("size", F.least(F.size("t"), F.lit(WINDOW)))
-    sized = F.coalesce(*[F.when(F.col("size") == n, _windows(n)) for n in range(1, WINDOW + 1)])
-    b = b.select("item_id", "size", "w", "t", F.posexplode_outer(sized).alias("j", "h")).filter("h is not null")
+    sized = lambda of: F.coalesce(*[F.when(F.col("size") == n, _windows(n, of)) for n in range(1, WINDOW + 1)])
+    both = F.arrays_zip(sized("t").alias("h"), sized("l").alias("copy"))
+    b = _lowered(b).select("item_id", "size", "w", "t", F.posexplode_outer(both).alias("j", "x")).select("item_id", "size", "w", "t", "j", "x.*").filter("h is not null")
     b = b.withColumn("t", F.slice("t", F.col("j") + 1, F.col("size"))).withColumn("w", F.slice("w", F.col("j") + 1, F.col("size")))
     places = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.get("t", k).isin("<num>", "<unit>", "<name>"))
-    b = b.withColumn("places", places).filter(F.col("size") - F.size("places") >= F.least(F.lit(LITERALS), F.ceil(F.col("size") / 2)))
-    b = b.select("item_id", "size", "j", "h", "places", F.transform("places", lambda k: F.get("w", k)).alias("asked"))
-    return b.join(b.groupBy("item_id").agg(F.count("*").alias("total")), "item_id")
+    b = b.withColumn("places", places)
+    copies = b.select("item_id", "size", "j", F.col("copy").alias("h"), F.lit(True).alias("exact"), F.slice("places", 1, 0).alias("places"), F.slice("w", 1, 0).alias("asked"))
+    b = b.filter(F.col("size") - F.size("places") >= F.least(F.lit(LITERALS), F.ceil(F.col("size") / 2)))
+    b = b.select("item_id", "size", "j", "h", F.lit(False).alias("exact"), "places", F.transform("places", lambda k: F.get("w", k)).alias("asked")).union(copies)
+    return b.join(b.groupBy("item_id", "exact").agg(F.count("*").alias("total")), ["item_id", "exact"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, diagonal, j and the slots (asked, found) of every window that both share."""
+    """doc_id, item_id, exact, diagonal, j and the slots (asked, found) of every window that both share."""
     bench = benchmark_windows(benchmark)
     sizes = {r["size"]: r["n"] for r in bench.groupBy("size").agg(F.count("*").alias("n")).collect()}  # 8 rows at most
-    d = templates(docs, "doc_id")
-    every = _windows(WINDOW) if set(sizes) <= {WINDOW} else F.concat(*[F.coalesce(F.transform(_windows(n), lambda h, i: F.struct(h.alias("h"), i.alias("i"))), F.array()) for n in sorted(sizes)])
+    d = _lowered(templates(docs, "doc_id"))
+    every = F.concat(*[F.coalesce(F.transform(_windows(n, of), lambda h, i: F.struct(h.alias("h"), i.alias("i"))), F.array()) for n in sorted(sizes) for of in "tl"]) if sizes else F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("i")))
     # outer: else Spark infers a filter on the windows and evaluates all templates anew for each of them
-    if set(sizes) <= {WINDOW}:
-        at = d.select("doc_id", "w", every.alias("x")).select("doc_id", "w", F.posexplode_outer("x").alias("i", "h"))
-    else:
-        at = d.select("doc_id", "w", every.alias("x")).select("doc_id", "w", F.explode_outer("x").alias("x")).select("doc_id", "w", "x.i", "x.h")
+    at = d.select("doc_id", "w", every.alias("x")).select("doc_id", "w", F.explode_outer("x").alias("x")).select("doc_id", "w", "x.i", "x.h")
     if sum(sizes.values()) <= BROADCAST_ROWS:
         met = at.join(F.broadcast(bench), "h")
     else:
         met = at.drop("w").join(bench, "h").join(d.select("doc_id", "w"), "doc_id")
     slots = F.zip_with("places", "asked", lambda k, a: F.struct(a.alias("asked"), F.get("w", F.col("i") + k).alias("found")))
-    return met.select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("diagonal"), "j", "total", slots.alias("slots"))
+    return met.select("doc_id", "item_id", "exact", (F.col("i") - F.col("j")).alias("diagonal"), "j", "total", slots.alias("slots"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (covered consistently), n_item_windows and n_changed (slots with another value)."""
-    along = matches(docs, benchmark).groupBy("doc_id", "item_id", "diagonal", "total").agg(
+    along = matches(docs, benchmark).groupBy("doc_id", "item_id", "exact", "diagonal", "total").agg(
         F.collect_set("j").alias("js"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["asked"])))
     along = along.filter(consistent).withColumn("changed", F.size(F.filter("slots", lambda s: s["asked"] != s["found"])))
-    found = along.groupBy("doc_id", "item_id", "total").agg(
+    found = along.groupBy("doc_id", "item_id", "exact", "total").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("js")))).cast("bigint").alias("n_windows"), F.min("changed").cast("bigint").alias("n_changed")
     )
     found = found.filter(F.col("n_windows") >= F.least(F.lit(ENOUGH), F.ceil(F.col("total") / 2)))
-    return found.select("doc_id", "item_id", "n_windows", F.col("total").alias("n_item_windows"), "n_changed")
+    # what its template says of an item goes before what its words say
+    one = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("exact", "n_windows", F.col("total").alias("n_item_windows"), "n_changed")).alias("x"))
+    return one.select("doc_id", "item_id", "x.n_windows", "x.n_item_windows", "x.n_changed")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

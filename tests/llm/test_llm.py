@@ -237,6 +237,15 @@ def test_reparameterised_question_is_caught(spark):
     assert whole.count() > 0 and 2 not in got  # one name cannot stand for two
 
 
+def test_copies_poor_in_literals_are_caught(spark):
+    items = ["What is 12 + 34 * 5?", "Solve 3x + 7 = 22 for x.", "Who wrote Pride and Prejudice?", "NAME THE LARGEST PLANET OF OUR SYSTEM AND ITS MOONS", "in which year did the river flood the old town for the first time"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = [(k, f"some words before {t} and some behind") for k, t in enumerate(items)]
+    rows += [(10, f"again {items[4].upper()} in capitals"), (11, "what is 13 + 34 * 5 and who wrote Emma and Persuasion"), (12, items[3].lower())]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(k, k) for k in range(5)} | {(10, 4), (12, 3)}
+
+
 def test_buckets_are_optimal(spark):
     rng = np.random.default_rng(5)
     n = rng.integers(1, 30, 80)
