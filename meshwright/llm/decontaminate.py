@@ -11,13 +11,14 @@ A document is contaminated by an item if consistent alignments cover half of the
 short window) say nothing and don't count. Windows of the lower-cased words themselves are joined too, all of them:
 copies match whatever their literals and case, by the same share of all of the item's windows.
 
-Null and empty texts match nothing, as does an empty benchmark. Rows that repeat a doc_id or item_id count
-once. Of either table only the id and the text are read.
+Null and empty texts match nothing, as does an empty benchmark. A document is a doc_id with a text: rows that repeat
+both count once, and texts without a doc_id or of one doc_id are documents of their own (``contaminated`` gives each
+its rows). Of items that repeat an item_id one counts. Of either table only the id and the text are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.llm.common import SPACE, table
@@ -25,6 +26,8 @@ from meshwright.llm.common import SPACE, table
 WINDOW, LITERALS, ENOUGH = 8, 4, 6
 #: Benchmark windows that are broadcast, at most; beyond that the windows meet in a shuffled join.
 BROADCAST_ROWS = 100_000
+#: Bits that mark hashes of benchmark windows (a megabyte).
+MARKS = 1 << 23
 #: Units of measure (fixed values).
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours "
@@ -33,17 +36,17 @@ UNITS = (
 ).split()
 
 
-def templates(rows: DataFrame, key: str) -> DataFrame:
-    """key, w (the words without punctuation) and t (their template words), of equal length."""
+def templates(rows: DataFrame, *key: str) -> DataFrame:
+    """The key columns, w (the words without punctuation) and t (their template words), of equal length."""
     clean = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+", "")
     t = F.regexp_replace("c", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{N}]*\p{N}[^\x20\x09-\x0D]*", "<num>")
     t = F.regexp_replace(t, rf"(?<=<num>[\x20\x09-\x0D])(?:{'|'.join(UNITS)})(?![^\x20\x09-\x0D])", "<unit>")
     t = F.regexp_replace(t, r"(?<![^\x20\x09-\x0D])\p{Lu}[^\x20\x09-\x0D]*", "<name>")
-    df = rows.select(key, clean.alias("c")).select(key, "c", F.lower(t).alias("t"))
-    return df.select(key, F.array_remove(F.split("c", SPACE), "").alias("w"), F.array_remove(F.split("t", SPACE), "").alias("t"))
+    df = rows.select(*key, clean.alias("c")).select(*key, "c", F.lower(t).alias("t"))
+    return df.select(*key, F.array_remove(F.split("c", SPACE), "").alias("w"), F.array_remove(F.split("t", SPACE), "").alias("t"))
 
 
-def _windows(size: int, of: str = "t") -> F.Column:
+def _windows(size: int, of: str = "t") -> Column:
     """The hashes of all windows of ``size`` words of the column t, or of l (the lower-cased words)."""
     starts = F.sequence(F.lit(0), F.size(of) - size)
     return F.when(F.size(of) >= size, F.transform(starts, lambda i: F.xxhash64(F.lit(size if of == "t" else -size), *[F.get(of, i + k) for k in range(size)])))
@@ -68,36 +71,61 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return b.join(b.groupBy("item_id", "exact").agg(F.count("*").alias("total")), ["item_id", "exact"])
 
 
+#: What tells documents apart: two hashes of a doc_id with its text.
+_DOC = ("doc_id", "doc_a", "doc_b")
+
+
+def _marks(bench: DataFrame) -> DataFrame:
+    """One row: ``marks``, as bits, where the hashes of benchmark windows lie; of a fixed size."""
+    at = F.shiftright(F.col("h").bitwiseAND(F.lit(MARKS - 1)), 6)
+    bits = bench.groupBy(at.alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    every = bench.sparkSession.range(MARKS >> 6).join(bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")).alias("x"))
+    return every.agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.transform("x", lambda x: x["bits"]).alias("marks"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, exact, diagonal, j and the slots (asked, found) of every window that both share."""
+    """doc_id, doc_a, doc_b, item_id, exact, diagonal, j and the slots (asked, found) of every window that both share.
+
+    Windows whose hash the benchmark doesn't mark go before rows are made of them; the others take their own words along.
+    """
     bench = benchmark_windows(benchmark)
     sizes = {r["size"]: r["n"] for r in bench.groupBy("size").agg(F.count("*").alias("n")).collect()}  # 8 rows at most
-    d = _lowered(templates(docs, "doc_id"))
-    every = F.concat(*[F.coalesce(F.transform(_windows(n, of), lambda h, i: F.struct(h.alias("h"), i.alias("i"))), F.array()) for n in sorted(sizes) for of in "tl"]) if sizes else F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("i")))
+    named = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("doc_b"))
+    d = _lowered(templates(named, *_DOC)).crossJoin(F.broadcast(_marks(bench)))
+    marked = lambda h: F.call_function("shiftright", F.get("marks", F.shiftright(h.bitwiseAND(F.lit(MARKS - 1)), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    def kept(n: int, of: str) -> Column:
+        found = F.filter(F.transform(_windows(n, of), lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: marked(x["h"]))
+        return F.coalesce(F.transform(found, lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.slice("w", x["i"] + 1, n).alias("own"))), F.array())
+
+    none = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("i"), F.col("w").alias("own")))
+    every = F.concat(*[kept(n, of) for n in sorted(sizes) for of in "tl"]) if sizes else none
     # outer: else Spark infers a filter on the windows and evaluates all templates anew for each of them
-    at = d.select("doc_id", "w", every.alias("x")).select("doc_id", "w", F.explode_outer("x").alias("x")).select("doc_id", "w", "x.i", "x.h")
-    if sum(sizes.values()) <= BROADCAST_ROWS:
-        met = at.join(F.broadcast(bench), "h")
-    else:
-        met = at.drop("w").join(bench, "h").join(d.select("doc_id", "w"), "doc_id")
-    slots = F.zip_with("places", "asked", lambda k, a: F.struct(a.alias("asked"), F.get("w", F.col("i") + k).alias("found")))
-    return met.select("doc_id", "item_id", "exact", (F.col("i") - F.col("j")).alias("diagonal"), "j", "total", slots.alias("slots"))
+    at = d.select(*_DOC, every.alias("x")).select(*_DOC, F.explode_outer("x").alias("x")).select(*_DOC, "x.*")
+    met = at.join(F.broadcast(bench) if sum(sizes.values()) <= BROADCAST_ROWS else bench, "h")
+    slots = F.zip_with("places", "asked", lambda k, a: F.struct(a.alias("asked"), F.get("own", k).alias("found")))
+    return met.select(*_DOC, "item_id", "exact", (F.col("i") - F.col("j")).alias("diagonal"), "j", "total", slots.alias("slots"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (covered consistently), n_item_windows and n_changed (slots with another value)."""
-    along = matches(docs, benchmark).groupBy("doc_id", "item_id", "exact", "diagonal", "total").agg(
+    return contaminations(docs, benchmark).select("doc_id", "item_id", "n_windows", "n_item_windows", "n_changed")
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What ``contaminated`` returns, with doc_a and doc_b."""
+    along = matches(docs, benchmark).groupBy(*_DOC, "item_id", "exact", "diagonal", "total").agg(
         F.collect_set("j").alias("js"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["asked"])))
     along = along.filter(consistent).withColumn("changed", F.size(F.filter("slots", lambda s: s["asked"] != s["found"])))
-    found = along.groupBy("doc_id", "item_id", "exact", "total").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("js")))).cast("bigint").alias("n_windows"), F.min("changed").cast("bigint").alias("n_changed")
+    found = along.groupBy(*_DOC, "item_id", "exact", "total").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("js")))).cast("bigint").alias("n_windows"), F.min("changed").cast("bigint").alias("n_changed")
     )
     found = found.filter(F.col("n_windows") >= F.least(F.lit(ENOUGH), F.ceil(F.col("total") / 2)))
     # what its template says of an item goes before what its words say
-    one = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("exact", "n_windows", F.col("total").alias("n_item_windows"), "n_changed")).alias("x"))
-    return one.select("doc_id", "item_id", "x.n_windows", "x.n_item_windows", "x.n_changed")
+    one = found.groupBy(*_DOC, "item_id").agg(F.min(F.struct("exact", "n_windows", F.col("total").alias("n_item_windows"), "n_changed")).alias("x"))
+    return one.select(*_DOC, "item_id", "x.n_windows", "x.n_item_windows", "x.n_changed")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
