@@ -308,13 +308,65 @@ def test_ctw_base_and_normalisation(spark, sf):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
-    m = ctw.model(d.select(F.col("text").cast("binary").alias("text")))
-    for ctx in (b"the ", b"\0\0\0\0", b"zqxj"):
-        g = np.array([int.from_bytes(ctx + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert (10 ** ctw.log10_bytes(g, m)).sum() == pytest.approx(1)
-    text = low(rows[0][1]).encode()
-    assert ctw.Scorer(m)([text])[0] == pytest.approx(ctw.log10_bytes(ctw.grams(text), m).sum())
-    assert got[rows[0][0]]["score"] > -len(text) * math.log10(256) * 0.8
+    want = brute_ctw({i: low(t).encode() for i, t in rows}, {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10})
+    for i, t in rows:
+        assert got[i]["score"] == pytest.approx(want[i], rel=1e-6)
+        assert got[i]["bits_per_byte"] == pytest.approx(-want[i] * math.log2(10) / (len(low(t).encode()) + 1), rel=1e-6)
+
+
+def brute_ctw(texts, training):
+    """The frozen context tree by its definition: a node's weighted probability by recursion, a bit's by its whole path."""
+    depth, counts = ctw.DEPTH, defaultdict(lambda: [0, 0])
+    steps = lambda text: ((bytes(depth) + text)[i : i + depth] + bytes([c]) for i, c in enumerate(text + b"\0"))
+    for i in training:
+        for g in steps(texts[i]):
+            for k in range(8):
+                for d in range(depth + 1):
+                    counts[g[depth - d : depth], (1 << k) | g[-1] >> (8 - k)][g[-1] >> (7 - k) & 1] += 1
+    children = defaultdict(list)
+    for ctx, bits in counts:
+        if ctx:
+            children[ctx[1:], bits].append((ctx, bits))
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    log_w, share = {}, {}
+    for node in sorted(counts, key=lambda x: -len(x[0])):
+        own, below = kt(*counts[node]), sum(log_w[c] for c in children[node])
+        log_w[node] = own if len(node[0]) == depth else np.logaddexp(own, below) - math.log(2)
+        share[node] = 1.0 if len(node[0]) == depth else math.exp(own - math.log(2) - log_w[node])
+    known = {}
+
+    def log10_gram(g):
+        total = 0.0
+        for k in range(8):
+            p = None
+            for d in range(depth, -1, -1):
+                node = g[depth - d : depth], (1 << k) | g[-1] >> (8 - k)
+                if node in counts:
+                    n0, n1 = counts[node]
+                    own = (n1 + 0.5) / (n0 + n1 + 1)
+                    p = own if p is None else share[node] * own + (1 - share[node]) * p
+            p = 0.5 if p is None else p
+            total += math.log10(p if g[-1] >> (7 - k) & 1 else 1 - p)
+        return total
+
+    out = {}
+    for i, text in texts.items():
+        out[i] = sum(known[g] if g in known else known.setdefault(g, log10_gram(g)) for g in steps(text))
+    return out
+
+
+def test_ctw_pieces_of_a_long_text(spark, monkeypatch):
+    rows = [(k, "abc de fgh " * 3 * k) for k in range(1, 12)]
+    want = {r["doc_id"]: r["score"] for r in ctw.score(docs(spark, rows)).collect()}
+    monkeypatch.setattr(ctw, "_PIECE", 16)
+    monkeypatch.setattr(ctw, "GROUP", 5)
+    assert [g for p in ctw.grams(b"abcdefgh" * 9) for g in p.tolist()] == [int.from_bytes((bytes(5) + b"abcdefgh" * 9 + b"\0")[i : i + 6], "big") for i in range(73)]
+    g = np.sort(np.unique(np.concatenate([p for _, t in rows for p in ctw.grams(t.encode())])))
+    whole = ctw._parts(__import__("pandas").DataFrame({"g": g.astype(np.int64), "n": np.ones(len(g), np.int64)}))
+    assert whole["g"].notna().sum() == len(g) and whole["key"].dropna().is_unique
+    assert {r["doc_id"]: r["score"] for r in ctw.score(docs(spark, rows)).collect()} == pytest.approx(want)
+    mix = np.array([np.frombuffer(x, np.float32) for x in whole["mix"].dropna()])
+    assert not np.isnan(mix).any()
 
 
 def test_ctw_weights_of_a_tiny_tree():
