@@ -22,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,18 +52,17 @@ def _features(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
     n = np.maximum(size - 2, 1)
     poly, heads = np.zeros(len(tokens), np.uint64), []
-    for k in range(int(size.max()) if len(size) else 0):  # the longest word
+    for k in range(max(HEADS)):  # a word's first bytes only, however long it is
         live = size > k
         poly[live] = (poly[live] ^ b[start[live] + k]) * _M
         poly[live] ^= poly[live] >> np.uint64(31)
         if k + 1 in HEADS:
             heads.append(poly >> np.uint64(64 - 12))
-    while len(heads) < len(HEADS):
-        heads.append(poly >> np.uint64(64 - 12))
+    whole = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
     own = np.concatenate([np.repeat(np.arange(len(tokens)), n), *[np.arange(len(tokens))] * len(HEADS)])
     rows = np.concatenate([tri[np.repeat(start, n) + _ranges(n)], *heads])
     order = np.argsort(own, kind="stable")
-    return (poly >> np.uint64(64 - 14)).astype(np.intp), rows[order].astype(np.intp), np.concatenate(([0], np.cumsum(n + len(HEADS))[:-1])).astype(np.intp)
+    return (whole >> np.uint64(64 - 14)).astype(np.intp), rows[order].astype(np.intp), np.concatenate(([0], np.cumsum(n + len(HEADS))[:-1])).astype(np.intp)
 
 
 def _ranges(n: np.ndarray) -> np.ndarray:
