@@ -23,6 +23,8 @@ from meshwright.shared import written
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 ORDER = 4
 BINS = 200  # of scores, for each unit
+#: Grams of the models that are broadcast, at most; beyond that the grams of URLs meet them in a shuffled join.
+BROADCAST_ROWS = 200_000
 _START = "\x02"
 
 
@@ -78,7 +80,8 @@ def models(urls: DataFrame) -> DataFrame:
 
 def scores(urls: DataFrame) -> DataFrame:
     """url and score: the models' log-likelihood difference per character."""
-    met = _grams(urls.select("url")).join(models(urls), "g")
+    known = written(models(urls), "url-model")
+    met = _grams(urls.select("url")).join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "g")
     return met.groupBy("url").agg((F.sum("llr") / F.count("*")).alias("score"))
 
 
@@ -98,7 +101,8 @@ def threshold(scored: DataFrame) -> float:
 def judged(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict and score, one row for each input row."""
     df = ruled(pages)
-    urls = written(df.select("url", "verdict").distinct(), "urls")
+    # as many files as there are partitions: each row becomes a row for each character
+    urls = written(df.select("url", "verdict").distinct().repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url"), "urls")
     scored = written(urls.join(scores(urls), "url", "left").select("url", "verdict", F.coalesce("score", F.lit(0.0)).alias("score")), "url-scores")
     cut = threshold(scored)
     known = scored.select("url", "score")
