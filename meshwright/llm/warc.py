@@ -9,7 +9,8 @@ writes records as gzip WARC files, ``read_warc`` reads such files again.
 Record identifiers are name-based: a digest of the record's kind, page_id and payload, so a rebuilt file is the
 same. A null url becomes ``urn:page:<page_id>``; a null or empty html is an empty payload with an empty
 text. Repeated rows give equal records; a null page_id is passed through and named ``null``. A page of any length
-is one row. Only page_id, url and html are read.
+is one row. Only page_id, url and html are read. Records of any WARC version are read, in one gzip member each or
+in one for all.
 """
 
 from __future__ import annotations
@@ -99,20 +100,28 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def record_text() -> Column:
-    """A record as it stands in a WARC file, but for its last line end: version, headers, block, line end."""
+    """A record as it stands in a WARC file: version, headers, block, two line ends."""
     header = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit(CRLF)))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         F.concat_ws("", *[header(n, c) for n, c in (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))]),
         F.lit(CRLF),
         F.col("block"),
-        F.lit(CRLF),
+        F.lit(CRLF * 2),
     )
 
 
+def _member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x.as_py(), mtime=0) for x in b.column(0)], pa.binary())], ["value"])
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    """Records as gzip WARC files, one for each partition."""
-    records.select(record_text().alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
+    """Records as gzip WARC files, one for each partition; each record is a gzip member, and an empty member divides two."""
+    members = records.select(record_text().cast("binary").alias("value")).mapInArrow(_member, "value binary")
+    # a binary column cast to text is written as it is; one byte is one character of ISO-8859-1
+    divider = gzip.compress(b"", mtime=0).decode("iso-8859-1")
+    members.select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", divider).text(path)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +131,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in b.column(0):
             f = gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))
             rows: list[list] = []
-            while line := f.readline():
-                if line.strip(b"\0\r\n") != b"WARC/1.1":
+            while line := f.readline():  # between records, blank lines
+                if not line.startswith(b"WARC/"):
                     continue
                 row: list = [None] * 10
                 while (line := f.readline()) not in (b"\r\n", b""):
