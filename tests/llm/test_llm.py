@@ -1,9 +1,12 @@
 """The training-data operators against brute force, and on odd tables."""
 
+import gzip
 import hashlib
 import math
 import random
 import re
+import time
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -237,6 +240,16 @@ def test_reparameterised_question_is_caught(spark):
     assert whole.count() > 0 and 2 not in got  # one name cannot stand for two
 
 
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_documents_of_one_id_are_told_apart(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    items = ["Anna buys 12 apples at 3 dollars each and then Anna sells 5 of them for what profit", "in which year did the river flood the old town for the first time"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = [(None, items[0]), (1, items[0]), (1, items[1]), (None, items[1]), (2, items[0].replace("Anna", "Peter")), (2, items[0].replace("Anna buys", "Maria buys")), (2, items[0].replace("Anna", "Peter"))]
+    got = [(r["doc_id"], r["item_id"], r["n_changed"]) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()]
+    assert sorted(got, key=str) == sorted([(None, 0, 0), (1, 0, 0), (1, 1, 0), (None, 1, 0), (2, 0, 1)] + [x for x in got if x == (2, 0, 0)], key=str)
+
+
 def test_copies_poor_in_literals_are_caught(spark):
     items = ["What is 12 + 34 * 5?", "Solve 3x + 7 = 22 for x.", "Who wrote Pride and Prejudice?", "NAME THE LARGEST PLANET OF OUR SYSTEM AND ITS MOONS", "in which year did the river flood the old town for the first time"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
@@ -265,6 +278,13 @@ def test_buckets_are_optimal(spark):
         assert sum(len(v) < max(1, 64 // v[0]["bucket_length"]) for (b, _), v in batches.items() if b == k) <= 1
 
 
+def test_long_lengths_are_exact(spark):
+    n = [3, 5, 4097, 4098, 4099, 5001, 5003, 9000]
+    got = packing.pack(docs(spark, [(i, "w " * k) for i, k in enumerate(n)]), buckets=3).collect()
+    best = min(sum(min(e for e in (a, b, max(n)) if e >= k) - k for k in n) for a in n for b in n)
+    assert sum(r["bucket_length"] - r["n_tokens"] for r in got) == best and max(r["bucket_length"] for r in got) == 9000
+
+
 def test_url_rules_and_model(spark):
     rows = [f"http://{h}{i}.example.net/en/{i}" for h in ("aa", "ab") for i in range(10)] + [f"http://zz{i}.example.com/de/{i}" for i in range(10)] + ["http://net/x", "http://sub.org/fr/1", "http://ORG/fr/", "http://org/FR/", "no scheme", "http://aa99.example.xyz/en/3", "http://zz99.example.xyz/de/3"]
     p = spark.createDataFrame([(i, u, None) for i, u in enumerate(rows)], "page_id bigint, url string, html string")
@@ -298,8 +318,6 @@ def test_ctw_base_and_normalisation(spark, sf):
     rows = [(i, t) for i, t, _ in sample(sf, 60)] + [(900, None), (901, "")]
     d = docs(spark, rows)
     got = {r["doc_id"]: r for r in ctw.score(d).collect()}
-    import zlib
-
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     toks = {i: re.findall(r"[^\x20\x09-\x0D]+", low(t)) + ["\n"] for i, t in rows}
     c = Counter(w for i, ws in toks.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
@@ -398,6 +416,78 @@ def test_toxicity_learns_words(spark):
     assert np.mean([x["predicted"] == (x["doc_id"] % 3 == 0) for x in r]) > 0.9
 
 
+def test_toxicity_of_a_very_long_word(spark):
+    begun = time.time()
+    word, tri, start = toxicity._features([b"ab", b"x" * 3_000_000, b"<script>"])
+    assert time.time() - begun < 10 and len(word) == len(start) == 3 and len(tri) == 3_000_000 + 2 + 8 + 3 * len(toxicity.HEADS)
+
+
+def brute_toxicity(net, text):
+    """The network's score of a text, step by step for each window."""
+    rows = toxicity.tokens(text.encode())
+    scores = []
+    for a in range(0, max(1, len(rows) - toxicity.STRIDE), toxicity.STRIDE):
+        e = [net.embed([w])[0] for w in rows[a : a + toxicity.WINDOW]]
+        states = {}
+        for s in "fb":
+            h, out = np.zeros(toxicity.HIDDEN), []
+            for x in e if s == "f" else e[::-1]:
+                i, u, n = net.w[f"i{s}"], net.w[f"u{s}"], net.w[f"n{s}"]
+                k = toxicity.HIDDEN
+                z, r = (1 / (1 + np.exp(-(x @ i[:, at] + n[at] + h @ u[:, at]))) for at in (slice(0, k), slice(k, 2 * k)))
+                c = np.tanh(x @ i[:, 2 * k :] + n[2 * k :] + (r * h) @ u[:, 2 * k :])
+                h = (1 - z) * h + z * c
+                out.append(h)
+            states[s] = out if s == "f" else out[::-1]
+        h = [np.concatenate(x) for x in zip(states["f"], states["b"], strict=True)]
+        weight = np.exp([np.tanh(x @ net.w["a"]) @ net.w["v"] for x in h])
+        scores.append(float(sum(w * x for w, x in zip(weight / weight.sum(), h, strict=True)) @ net.w["o"] + net.w["c"][0]))
+    p = 1 / (1 + np.exp(-np.array(scores)))
+    at, scale, w = net.calibration
+    x = (np.array([np.log(p.mean() + 1e-3), np.clip(max(scores), -8, 8), np.log(len(scores))]) - at) / scale
+    return 1 / (1 + np.exp(-(x @ w[:3] + w[3])))
+
+
+def test_toxicity_equals_brute_force(spark, sf):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    net = toxicity.train(d, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, labels).collect()}
+    rows = [(i, t) for i, t, _ in sample(sf, 60) if t and t.split() and len(t) < 8000]
+    assert len(rows) > 30
+    for i, t in rows:
+        assert got[i] == pytest.approx(brute_toxicity(net, t), abs=1e-4)
+
+
+def brute_language(net, text):
+    """A text's languages and their probabilities: filters slid over its windows one place at a time."""
+    x, width = text.encode().lower(), langid.WINDOW
+    step = width - max(langid.WIDTHS) + 1
+    total = np.zeros(len(net.labels))
+    for a in range(0, max(1, len(x) - max(langid.WIDTHS) + 1), step):
+        w = (x[a : a + width] + bytes(width))[:width]
+        h = []
+        for k in langid.WIDTHS:
+            at = [sum(net.w["e"][w[i + j]] @ net.w[f"f{k}"][j] for j in range(k)) + net.w[f"b{k}"] for i in range(width - k + 1)]
+            h.append(np.maximum(np.max(at, axis=0), 0))
+        z = np.concatenate(h) @ net.w["o"] + net.w["c"]
+        total += z - z.max() - np.log(np.exp(z - z.max()).sum())
+    windows = len(range(0, max(1, len(x) - max(langid.WIDTHS) + 1), step))
+    z = total / windows
+    p = np.exp(z - z.max())
+    return dict(zip(net.labels, p / p.sum(), strict=True))
+
+
+def test_language_equals_brute_force(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    net = langid.train(d)
+    got = {r["doc_id"]: r for r in langid.identify(d).collect()}
+    rows = [(i, t) for i, t, _ in sample(sf, 60) if t and re.search("[a-zA-Z]", t) and len(t) < 2500]
+    assert len(rows) > 15
+    for i, t in rows:
+        want = brute_language(net, t)
+        assert got[i]["score"] == pytest.approx(max(want.values()), abs=1e-3) and want[got[i]["lang_pred"]] == pytest.approx(max(want.values()), abs=1e-3)
+
+
 def test_gru_gradient():
     net = toxicity.BiGru()
     ws = [b"a", b"bc", b"def", b"ghij"]
@@ -426,12 +516,31 @@ def test_warc_round_trip(spark, sf, tmp_path):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     records = warc.derivatives(warc.responses(p))
     warc.write_warc(records, str(tmp_path / "w"))
-    back = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path / "w") + "/*.gz").collect()}
+    back = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path / "w") + "/part-*").collect()}
     source = {r["record_id"]: r for r in warc.responses(p).collect()}
-    for r in records.collect():
+    rows = records.collect()
+    for r in rows:
         b = back[r["record_id"]]
         assert b["block"] == r["block"] and b["refers_to"] in source and b["payload_digest"] == source[b["refers_to"]]["payload_digest"]
         assert b["block_digest"] == "sha256:" + hashlib.sha256(b["block"].encode()).hexdigest() and b["content_length"] == len(b["block"].encode())
+    # each record is a member of its own, which can be read from its first byte
+    members = 0
+    for path in (tmp_path / "w").glob("part-*"):
+        left = path.read_bytes()
+        while left:
+            d = zlib.decompressobj(31)
+            text, left = d.decompress(left), d.unused_data
+            assert text == b"" or (text.startswith(b"WARC/1.1\r\n") and text.endswith(b"\r\n\r\n"))
+            members += text != b""
+    assert members == len(rows)
+
+
+def test_warc_of_another_version(spark, tmp_path):
+    record = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{0}>\r\nContent-Length: 5\r\n\r\nhell{0}\r\n\r\n"
+    (tmp_path / "one.gz").write_bytes(gzip.compress("".join(record.format(k) for k in range(3)).encode()))
+    (tmp_path / "each.gz").write_bytes(b"".join(gzip.compress(record.format(k).encode()) for k in range(3, 6)))
+    got = warc.read_warc(spark, str(tmp_path / "*.gz")).collect()
+    assert sorted((r["record_type"], r["record_id"], r["block"]) for r in got) == [("response", f"<urn:uuid:{k}>", f"hell{k}") for k in range(6)]
 
 
 def test_pipeline_stages(spark, sf):
