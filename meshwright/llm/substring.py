@@ -2,23 +2,31 @@
 
 A window is ``WINDOW`` consecutive words. Its fingerprint is the smallest hash of the ``GRAM``-word sequences
 in it, so equal windows have equal fingerprints and neighbouring windows mostly share one: about an eighth as
-many rows as windows, and none lost. Each batch of documents adds one immutable run of the index, sorted by
-fingerprint, which is merged with the historical runs; runs are compacted into one. A window whose fingerprint
-occurs once in the index is unique and needs nothing more. The others are verified: the two 64-bit digests of
-all their words are compared over all documents, and only the first start of each word sequence stays.
-
-Unique fingerprints and first starts travel back to their documents, never the copies, so a passage in a third
-of all documents costs a partial count in each task and one row.
-
-Null and empty texts and texts of fewer than ``WINDOW`` words lose nothing. Documents are ordered by doc_id; rows
-without a doc_id are documents of their own and come last, as do further texts of a doc_id that has several. Rows
-that repeat a doc_id and its text are one document, each of them judged alike. Only doc_id and text are read. A very long text is held by one task at a time, as Spark holds the row.
+many rows as windows, and none lost. Each batch of documents becomes one immutable run: its fingerprints, sorted, in
+buckets of their hash, so that it is merge-joined with the historical runs where they lie. A window whose fingerprint
+occurs once in the batch and not in history is unique and needs nothing more. The others are verified: the two
+64-bit digests of all their words are compared with those of the batch and of history, and only the first start
+of each word sequence stays. History keeps the digests of all windows that were verified; a historical fingerprint that was
+unique until now gives its windows' digests from the index's own copy of that document, once. Runs are compacted into one
+when there are ``RUNS``.
+
+Unique fingerprints and first starts travel back to their documents, never the copies, and each task sends a
+digest once for each million of its windows, so a passage in a third of all documents costs little more than one that is
+nowhere else.
+
+Null and empty texts and texts of fewer than ``WINDOW`` words lose nothing. Documents of a batch are ordered by doc_id, and
+history comes before them; rows without a doc_id are documents of their own and come last, as do further texts of a
+doc_id that has several. Rows that repeat a doc_id and its text in a batch are one document, each of them judged alike. Only
+doc_id and text are read. A very long text is held by one task at a time, as Spark holds the row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +38,11 @@ from meshwright.llm.common import table
 from meshwright.shared import new_path, remove, written
 
 WINDOW, GRAM = 20, 5
+#: Runs of an index that are compacted; windows of a range of digests, about, were all of them verified.
+RUNS, RANGE = 4, 1 << 21
+#: Places of two integers that are broadcast, at most.
+BROADCAST_ROWS = 1_000_000
+_PIECE = 1 << 20
 _SPAN = WINDOW - GRAM + 1
 #: Odd multipliers of the two rolling digests.
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -109,17 +122,74 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (fps, docs, places)], ["fp", "doc", "pos"])
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of_places(h: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Starts of the windows whose fingerprint lies at one of these places."""
+    at, fp, low = anchors(h)
+    keep = np.isin(at, places)
+    if not keep.any():
+        return np.zeros(0, np.int64)
+    listed = np.full(len(low) + _SPAN - 1, 2**64 - 1, np.uint64)
+    listed[at[keep]] = fp[keep]
+    return np.flatnonzero(_over(np.minimum, listed, _SPAN) == low)
+
+
+#: Digests come from those that history verified, from historical texts, or from the batch.
+VERIFIED, HISTORY, BATCH = 0, 1, 2
+_RANGES = "bucket bigint, origin int, d1 binary, d2 binary, doc binary, pos binary"
+
+
+def _first_of(d1: np.ndarray, d2: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """Places of the first of each digest, by the further columns."""
+    at = np.lexsort((*reversed(order), d2, d1))
+    a, b = d1[at], d2[at]
+    return at[np.concatenate((np.ones(min(1, len(at)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])))]
+
+
+def _ranged(parts: list[list[np.ndarray]], origin: int, bits: int) -> pa.RecordBatch:
+    """Digests and starts, each digest once, as a row for each range of digests."""
+    d1, d2, doc, pos = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    at = _first_of(d1, d2, doc, pos)
+    bucket = (d1[at] >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), bucket[1:] != bucket[:-1])))
+    cut = lambda x: pa.array([p.tobytes() for p in np.split(x[at], first[1:])] if len(at) else [], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([origin] * len(first), pa.int32()), cut(d1), cut(d2), cut(doc), cut(pos)], ["bucket", "origin", "d1", "d2", "doc", "pos"])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], origin: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The digests of a batch's windows whose fingerprint isn't unique, or of a historical text's at the given places."""
+    parts, size = [], 0
     for b in batches:
-        out: list[list] = [[], [], [], []]
         for d, t, u in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
             h = hashed((t.as_py() or b"").split())
-            at = _suspects(h, u.values.to_numpy() if u.is_valid else None)
+            places = u.values.to_numpy() if u.is_valid else None
+            at = _suspects(h, places) if origin == BATCH else _of_places(h, places)
             if len(at):
-                for k, x in enumerate((_rolled(h, WINDOW, _M1)[at].view(np.int64), _rolled(h, WINDOW, _M2)[at].view(np.int64), np.full(len(at), d, np.int64), at.astype(np.int32))):
-                    out[k].append(x)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["d1", "d2", "doc", "pos"])
+                parts.append([_rolled(h, WINDOW, _M1)[at], _rolled(h, WINDOW, _M2)[at], np.full(len(at), d, np.int64), at.astype(np.int32)])
+                size += len(at)
+                if size >= _PIECE:
+                    yield _ranged(parts, origin, bits)
+                    parts, size = [], 0
+    if parts:
+        yield _ranged(parts, origin, bits)
+
+
+def _verified_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        d1, d2 = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+        if len(d1):
+            yield _ranged([[d1, d2, np.zeros(len(d1), np.int64), np.zeros(len(d1), np.int32)]], VERIFIED, bits)
+
+
+_FIRST = "d1 bigint, d2 bigint, doc bigint, pos int, origin int"
+
+
+def _firsts(t: pa.Table) -> pa.Table:
+    """For one range of digests: the first of each, unless history has verified it."""
+    d1, d2, doc, pos = (np.concatenate([np.frombuffer(x.as_py(), ty) for x in t.column(c)]) for c, ty in (("d1", np.uint64), ("d2", np.uint64), ("doc", np.int64), ("pos", np.int32)))
+    origin = np.repeat(np.array(t.column("origin").to_pylist(), np.int32), [len(x.as_py()) // 8 for x in t.column("d1")])
+    at = _first_of(d1, d2, origin, doc, pos)
+    at = at[origin[at] != VERIFIED]
+    return pa.table({"d1": d1[at].view(np.int64), "d2": d2[at].view(np.int64), "doc": doc[at], "pos": pos[at], "origin": origin[at]})
 
 
 def kept_words(words: list[bytes], removed: np.ndarray) -> tuple[int, list[bytes]]:
@@ -151,36 +221,87 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of (fp, n, doc, pos): how often a fingerprint occurs; where, if it does once."""
+    """What batches leave for those to come, in tables of the shared folder that never change.
 
-    SCHEMA = "fp bigint, n bigint, doc bigint, pos int"
-
-    def __init__(self, spark: SparkSession, runs: tuple[str, ...] = ()) -> None:
-        self.spark, self.runs = spark, list(runs)
-
-    def append(self, docs: DataFrame) -> None:
-        """Index a batch (columns doc, text) as one new run."""
-        rows = docs.mapInArrow(_anchor_rows, "fp bigint, doc bigint, pos int")
-        run = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min("pos").alias("pos"))
-        self._write(run)
+    ``runs``: tables (fp, n, batch, doc, pos), sorted and bucketed by fp: how often a fingerprint occurs; where, if it does once.
+    ``digests``: (d1, d2) of the windows that were verified, sorted. ``texts``: (batch, doc, text) of all batches.
+    ``spent`` names what compaction has replaced; results that aren't read yet may need it, so ``clean`` removes it when told to.
+    """
 
-    def _write(self, run: DataFrame) -> None:
-        path = new_path(self.spark, "index-run")
-        run.sortWithinPartitions("fp").write.parquet(path)
-        self.runs.append(path)
+    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
+        self.spark = spark
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.batches = 0
+        self.runs: list[str] = []
+        self.digests: list[str] = []
+        self.texts: list[str] = []
+        self.spent: list[str] = []
+        self.paths: dict[str, str] = {}
+
+    def write_run(self, rows: DataFrame) -> str:
+        """A run of rows (fp, n, batch, doc, pos) with one row for each fingerprint; returns its table's name."""
+        name = f"substring_run_{uuid.uuid4().hex}"
+        self.paths[name] = new_path(self.spark, "index-run")
+        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", self.paths[name]).format("parquet").saveAsTable(name)
+        return name
+
+    def run_of(self, docs: DataFrame) -> str:
+        """The run of a batch (columns doc, text)."""
+        rows = docs.select("doc", "text").mapInArrow(_anchor_rows, "fp bigint, doc bigint, pos int")
+        return self.write_run(rows.groupBy("fp").agg(F.count("*").alias("n"), F.lit(self.batches).alias("batch"), F.min("doc").alias("doc"), F.min("pos").alias("pos")))
+
+    def seen(self, run: str) -> DataFrame:
+        """fp, n, doc and pos of a batch's run, merge-joined with every historical run: ``before``, how often history has it, and ``at``, a place there."""
+        rows = self.spark.table(run).select("fp", "n", "doc", "pos")
+        before, at = F.lit(0).cast("bigint"), F.lit(None).cast("struct<batch: int, doc: bigint, pos: int>")
+        for k, old in enumerate(self.runs):
+            h = self.spark.table(old).select("fp", F.col("n").alias(f"n{k}"), F.struct("batch", "doc", "pos").alias(f"at{k}"))
+            rows = rows.join(h.hint("merge"), "fp", "left")
+            before, at = before + F.coalesce(f"n{k}", F.lit(0).cast("bigint")), F.coalesce(at, f"at{k}")
+        return rows.select("fp", "n", "doc", "pos", before.alias("before"), at.alias("at"))
+
+    def historical(self, seen: DataFrame, bits: int) -> DataFrame | None:
+        """Digests by range: those that history verified, and those of the fingerprints that it had once and this batch has too."""
+        if not self.runs:
+            return None
+        places = written(seen.filter("before = 1").select("at.batch", "at.doc", "at.pos"), "substring-places")
+        few = places.count() <= BROADCAST_ROWS
+        places = places.groupBy("batch", "doc").agg(F.collect_list("pos").alias("places"))  # a document's fingerprints at most
+        texts = self.spark.read.schema("batch int, doc bigint, text binary").parquet(*self.texts).join(F.broadcast(places) if few else places, ["batch", "doc"])
+        out = texts.select("doc", "text", "places").mapInArrow(partial(_window_rows, origin=HISTORY, bits=bits), _RANGES)
+        verified = self.spark.read.schema("d1 bigint, d2 bigint").parquet(*self.digests)
+        return out.union(verified.mapInArrow(partial(_verified_rows, bits=bits), _RANGES))
+
+    def append(self, run: str, docs: DataFrame, firsts: DataFrame) -> None:
+        """Make a judged batch history: its run, its texts, and the digests that came new; then compact."""
+        for tables, rows in ((self.texts, docs.select(F.lit(self.batches).alias("batch"), "doc", "text")), (self.digests, firsts.select("d1", "d2").sortWithinPartitions("d1", "d2"))):
+            tables.append(new_path(self.spark, "index-part"))
+            rows.write.parquet(tables[-1])
+        self.runs.append(run)
+        self.batches += 1
+        if len(self.runs) >= RUNS:
+            self.compact()
 
     def merged(self) -> DataFrame:
         """One row for each fingerprint of all runs."""
-        rows = self.spark.read.schema(self.SCHEMA).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], self.SCHEMA)
-        return rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"), F.min("pos").alias("pos")) if len(self.runs) > 1 else rows
+        rows = None
+        for run in self.runs:
+            rows = self.spark.table(run) if rows is None else rows.unionByName(self.spark.table(run))
+        return rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("batch").alias("batch"), F.min("doc").alias("doc"), F.min("pos").alias("pos"))
 
     def compact(self) -> None:
         """Replace all runs by one."""
         if len(self.runs) > 1:
-            old = list(self.runs)
-            self._write(self.merged())
-            self.runs = self.runs[-1:]
-            remove(self.spark, *old)
+            run = self.write_run(self.merged())
+            self.spent += self.runs
+            self.runs = [run]
+
+    def clean(self) -> None:
+        """Remove the runs that compaction has replaced."""
+        for run in self.spent:
+            self.spark.sql(f"drop table {run}")
+            remove(self.spark, self.paths.pop(run))
+        self.spent = []
 
 
 def numbered(docs: DataFrame, name: str = "doc") -> DataFrame:
@@ -202,28 +323,42 @@ def numbered(docs: DataFrame, name: str = "doc") -> DataFrame:
 def dedup(docs: DataFrame, batches: int = 1, index: FingerprintIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the text that is left, UTF-8), a row for each input row.
 
-    ``docs`` go into the index in ``batches`` parts by doc_id, then each window is judged against the whole index.
-    An ``index`` that holds earlier documents needs those among ``docs`` too: verification reads their texts.
+    ``docs`` are judged in ``batches`` parts of ascending doc_id, each against those before it. A given ``index`` holds earlier
+    documents, which needn't be read again, and holds these too when this returns. The result is read lazily.
     """
-    return judged(numbered(docs), batches, index).drop("doc")
-
-
-def judged(docs: DataFrame, batches: int = 1, index: FingerprintIndex | None = None) -> DataFrame:
-    """What ``dedup`` returns and doc, for documents that have a number in doc."""
-    spark = docs.sparkSession
+    rows = numbered(docs)
+    if batches == 1:
+        return judged(rows, index).drop("doc")
+    index, keep = index or FingerprintIndex(docs.sparkSession), index is not None
+    at = rows.select(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000).alias("at")).first()["at"] or []
+    at = sorted(set(at))
+    parts = [judged(rows.filter(((F.col("doc") > a) if a is not None else F.lit(True)) & ((F.col("doc") <= b) if b is not None else F.lit(True))), index, keep or b is not None) for a, b in zip([None, *at], [*at, None], strict=True)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.drop("doc")
+
+
+def judged(docs: DataFrame, index: FingerprintIndex | None = None, keep: bool = True) -> DataFrame:
+    """What ``dedup`` returns and doc, for one batch of documents that have a number in doc; ``keep``: the index gets them."""
     d = docs.select("doc", F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    new = index is None
-    index = index or FingerprintIndex(spark)
-    if new:
-        for k in range(batches):
-            index.append(d if batches == 1 else d.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k))
-    index.compact()
+    keep = keep and index is not None
+    index = index or FingerprintIndex(docs.sparkSession)
+    run = index.run_of(d)
+    total = docs.sparkSession.table(run).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(5, math.ceil(math.log2((_SPAN + 1) / 2 * max(1, total) / RANGE)))
+    seen = index.seen(run)
     # one exchange of unique places and one of texts serve both passes
-    unique = index.merged().filter("n = 1").groupBy("doc").agg(F.collect_list("pos").alias("unique"))
+    unique = seen.filter("n = 1 and before = 0").groupBy("doc").agg(F.collect_list("pos").alias("unique"))
     with_unique = d.join(unique, "doc", "left").select("doc", "text", "unique", "doc_id")
-    windows = with_unique.mapInArrow(_window_rows, "d1 bigint, d2 bigint, doc bigint, pos int")
-    first = windows.groupBy("d1", "d2").agg(F.min(F.struct("doc", "pos")).alias("at")).select("at.*")
-    first = first.groupBy("doc").agg(F.collect_list("pos").alias("first"))
+    windows = with_unique.select("doc", "text", "unique").mapInArrow(partial(_window_rows, origin=BATCH, bits=bits), _RANGES)
+    if (old := index.historical(seen, bits)) is not None:
+        windows = windows.union(old)
+    firsts = windows.groupBy("bucket").applyInArrow(_firsts, _FIRST)
+    if keep:
+        firsts = written(firsts, "substring-firsts")
+        index.append(run, d, firsts)
+    first = firsts.filter(F.col("origin") == BATCH).groupBy("doc").agg(F.collect_list("pos").alias("first"))
     rows = with_unique.join(first, "doc", "left").select("doc", "text", "unique", "first", "doc_id")
     return rows.mapInArrow(_decided, "doc bigint, doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary")
 
