@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -221,14 +222,38 @@ def test_substring_equals_brute_force(spark):
         assert got == brute_substring(rows)
 
 
-def test_index_runs_are_compacted(spark):
-    index = substring.FingerprintIndex(spark)
-    d = docs(spark, [(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(6)]).select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text"))
-    index.append(d.filter("doc < 3"))
-    index.append(d.filter("doc >= 3"))
-    n = index.merged().agg(F.sum("n")).first()[0]
-    index.compact()
-    assert len(index.runs) == 1 and index.merged().agg(F.sum("n")).first()[0] == n
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_index_of_earlier_batches(spark, monkeypatch, broadcast):
+    # batch after batch equals all at once, without earlier texts; runs are compacted on the way
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", broadcast)
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(300)]
+    passages = [[str(x) for x in rng.choice(vocab, 45)] for _ in range(6)]
+    rows = []
+    for i in range(75):
+        w = [str(x) for x in rng.choice(vocab, int(rng.integers(1, 120)))]
+        for p in rng.choice(6, int(rng.integers(0, 3))):
+            at, size = int(rng.integers(0, 20)), int(rng.integers(19, 40))
+            w[5:5] = passages[p][at : at + size]
+        rows.append((i, " ".join(w)))
+    rows[40] = (40, rows[3][1])
+    index, got = substring.FingerprintIndex(spark, 3), {}
+    for k in range(0, 75, 15):
+        found = substring.dedup(docs(spark, rows[k : k + 15]), index=index)
+        got |= {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found.collect()}
+    assert got == brute_substring(rows)
+    assert len(index.runs) == 2 and len(index.spent) == 4
+    spent = [index.paths[x] for x in index.spent]
+    index.clean()
+    assert not any(os.path.exists(p) for p in spent) and index.merged().count() > 0
+    # one document in history, one in the batch
+    index = substring.FingerprintIndex(spark, 3)
+    text = " ".join(passages[0])
+    first = substring.dedup(docs(spark, [(1, text)]), index=index).collect()
+    second = substring.dedup(docs(spark, [(2, "some words before " + text), (3, "nothing else")]), index=index).collect()
+    assert [(r["doc_id"], r["n_removed"]) for r in first] == [(1, 0)] and {r["doc_id"]: r["n_removed"] for r in second} == {2: 45, 3: 0}
+    plan = index.seen(index.runs[-1])._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning(fp" not in plan
 
 
 def test_reparameterised_question_is_caught(spark):
