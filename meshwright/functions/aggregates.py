@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions.scalars import nan_to_null
+from meshwright.operators.ordering import quantiles
 
 
 def metric_bundle(y: Column, p: Column) -> dict[str, Column]:
@@ -28,12 +29,18 @@ def metrics_by(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
 
 
 def wide_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """count, mean, std (sample), min, median and max of each column, NaN skipped as NULL is."""
-    aggs = []
+    """count, mean, std (sample), min, median and max of each column, NaN skipped as NULL is; exact, whatever a group's size."""
+    aggs, medians = [], []
     for c in columns:
         x = nan_to_null(F.col(c).cast("double"))
-        aggs += [F.count(x).alias(f"{c}_count"), F.avg(x).alias(f"{c}_mean"), F.stddev_samp(x).alias(f"{c}_std"), F.min(x).alias(f"{c}_min"), F.median(x).alias(f"{c}_median"), F.max(x).alias(f"{c}_max")]
-    return df.groupBy(*keys).agg(*aggs)
+        aggs += [F.count(x).alias(f"{c}_count"), F.avg(x).alias(f"{c}_mean"), F.stddev_samp(x).alias(f"{c}_std"), F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max")]
+        medians.append(F.max(F.when(F.col("name") == c, F.get("q", F.lit(0)))).alias(f"{c}_median"))
+    one = df.groupBy(*keys).agg(*aggs)
+    two = quantiles(df, keys, columns, (0.5,)).groupBy(*keys).agg(*medians)
+    same = F.lit(True)
+    for k in keys:
+        same = same & one[k].eqNullSafe(two[k])
+    return one.join(two, same, "left").select(*[one[c] for c in one.columns], *[two[f"{c}_median"] for c in columns])
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
@@ -54,11 +61,6 @@ def mean_std(df: DataFrame, columns: list[str], fixed: tuple[str, ...] = (), flo
     return df.agg(F.count(F.lit(1)).alias("n_fit"), *aggs)
 
 
-def quantiles(x: Column, at: tuple[float, ...]) -> Column:
-    """Exact, with linear interpolation."""
-    return F.percentile(nan_to_null(x), F.array(*[F.lit(q) for q in at]))
-
-
 def all_true(p: Column) -> Column:
     """NULL counts as false."""
     return F.bool_and(F.coalesce(p, F.lit(False)))
@@ -66,3 +68,18 @@ def all_true(p: Column) -> Column:
 
 def fraction(p: Column) -> Column:
     return F.avg(F.coalesce(p, F.lit(False)).cast("double"))
+
+
+def losses(y: Column, p: Column) -> dict[str, Column]:
+    """Mean squared and mean absolute error over all elements."""
+    return {"numel": F.count(F.lit(1)), "mse": F.sum((p - y) * (p - y)) / F.greatest(F.count(F.lit(1)), F.lit(1)), "l1": F.sum(F.abs(p - y)) / F.greatest(F.count(F.lit(1)), F.lit(1))}
+
+
+def vector_sum(*columns: str) -> list[Column]:
+    """The sum of vectors, component by component."""
+    return [F.sum(c).alias(c) for c in columns]
+
+
+def per_dimension(x: Column, width: int) -> list[Column]:
+    """Mean and population std of each element of an array column."""
+    return [f(F.get(x, F.lit(i))).alias(f"{n}_{i}") for i in range(width) for n, f in (("mean", F.avg), ("std", F.stddev_pop))]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spectral_signature(edges: DataFrame, k: int = 12) -> DataFrame:
@@ -23,24 +27,30 @@ def spectral_signature(edges: DataFrame, k: int = 12) -> DataFrame:
     return edges.select("sample_id", "source", "target").groupBy("sample_id").applyInPandas(spectrum, "sample_id string, rank bigint, value double")
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a grid (squared distances along one axis), each value the least over its line, farther by the square of the way."""
+    for b in batches:
+        out = []
+        for d in b.column(b.num_columns - 1):
+            x = d.values.to_numpy()
+            best = x.copy()
+            for m in range(1, len(x)):  # what lies m places away, on either side
+                best[m:] = np.minimum(best[m:], x[:-m] + m * m)
+                best[:-m] = np.minimum(best[:-m], x[m:] + m * m)
+            out.append(best)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.float64()))], b.schema.names)
+
+
 def distance_transform(grid: DataFrame) -> DataFrame:
     """Distance (in voxels) of each solid voxel to the nearest empty one: rows (sample_id, i, j, k, solid) of whole grids.
 
-    Exact and separable: along each axis, the lower envelope of squared distances over all offsets.
+    Exact and separable: three passes, each over the lines of one axis, so a task holds lines and never a grid.
     """
-
-    def edt(pdf: pd.DataFrame) -> pd.DataFrame:
-        ijk = pdf[["i", "j", "k"]].to_numpy()
-        d = np.full(ijk.max(0) + 1, 0.0)
-        d[tuple(ijk.T)] = np.where(pdf["solid"], np.inf, 0.0)
-        for axis in range(3):
-            n = d.shape[axis]
-            cost = (np.arange(n)[:, None] - np.arange(n)) ** 2.0
-            lines = np.moveaxis(d, axis, -1)
-            out = np.full(lines.shape, np.inf)
-            for m in range(n):  # what lies at m, seen from every place of its line
-                out = np.minimum(out, lines[..., m : m + 1] + cost[m])
-            d = np.moveaxis(out, -1, axis)
-        return pdf[["sample_id", "i", "j", "k"]].assign(distance=np.sqrt(d[tuple(ijk.T)]))
-
-    return grid.groupBy("sample_id").applyInPandas(edt, "sample_id string, i bigint, j bigint, k bigint, distance double")
+    d = grid.select("sample_id", *[F.col(c).cast("bigint").alias(c) for c in "ijk"], F.when(F.col("solid"), F.lit(float("inf"))).otherwise(F.lit(0.0)).alias("d"))
+    for axis in "ijk":
+        others = [c for c in "ijk" if c != axis]
+        line = d.groupBy("sample_id", *others).agg(F.array_sort(F.collect_list(F.struct(axis, "d"))).alias("x"))
+        line = line.select("sample_id", *others, F.transform("x", lambda v: v[axis]).alias(axis), F.transform("x", lambda v: v["d"]).alias("d"))  # noqa: B023
+        line = line.mapInArrow(_lines, line.schema)
+        d = line.select("sample_id", *others, F.explode(F.arrays_zip(axis, "d")).alias("x")).select("sample_id", *others, f"x.{axis}", "x.d")
+    return d.select("sample_id", "i", "j", "k", F.sqrt("d").alias("distance"))

@@ -97,3 +97,13 @@ def equivalent_strain(xx: Column, yy: Column, zz: Column, gxy: Column, gyz: Colu
 
 def azimuth_polar(dx: Column, dy: Column, dz: Column) -> tuple[Column, Column]:
     return F.atan2(dy, dx), F.acos(clip(F.try_divide(dz, norm(dx, dy, dz)), -1.0, 1.0))
+
+
+def affine(point: tuple, matrix: list[list[float]]) -> tuple[Column, ...]:
+    """A point's image under the first three rows of a 4 x 4 matrix."""
+    return tuple(sum((F.lit(float(m)) * p for m, p in zip(row[:3], point, strict=True)), F.lit(float(row[3]))) for row in matrix[:3])
+
+
+def iso_timestamp(x: Column) -> Column:
+    """A timestamp as text: yyyy-MM-ddTHH:mm:ss."""
+    return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 #: Keywords of the failure categories, in the order in which they are tried (fixed values).
 FAILURES = (
-    ("mapping", ("mapping", "k32", "radius")),
-    ("geometry", ("geometry", "component", "rho_err")),
-    ("mesh", ("mesh", "tetgen")),
+    ("mapping_qc", ("mapping", "k32", "radius")),
+    ("geometry_qc", ("geometry", "component", "rho_err")),
+    ("mesh_qc_or_meshing", ("mesh", "tetgen")),
     ("solver", ("ccx", "calculix", "solver")),
-    ("parse", ("parse", "stress", "strain")),
+    ("parser_or_field_output", ("parse", "stress", "strain")),
 )
 
 

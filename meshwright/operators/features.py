@@ -19,7 +19,7 @@ def design_vector(designs: DataFrame) -> DataFrame:
 def node_features(nodes: DataFrame, designs: DataFrame) -> DataFrame:
     """Six continuous features of each node, and two flags of its kind that are never scaled."""
     d = designs.select("sample_id", "target_relative_density")
-    return nodes.join(d, "sample_id").select("sample_id", "node", "x", "y", "z", F.col("degree").cast("double").alias("degree"), F.log1p(F.col("region_voxels").cast("double")).alias("log_region"), F.col("target_relative_density").alias("rho"), (F.col("kind") == "junction").cast("double").alias("is_junction"), (F.col("kind") == "endpoint").cast("double").alias("is_endpoint"))
+    return nodes.join(d, "sample_id").select("sample_id", "node", "x", "y", "z", F.col("degree").cast("double").alias("degree"), F.col("region_voxels").cast("double").alias("region_voxels"), F.col("target_relative_density").alias("rho"), (F.col("kind") == "junction").cast("double").alias("is_junction"), (F.col("kind") == "endpoint").cast("double").alias("is_endpoint"))
 
 
 def edge_features(edges: DataFrame) -> DataFrame:

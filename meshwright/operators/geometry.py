@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.functions.scalars import clip, cross, grading, minus, norm, tet_edge_ratio, tet_quality, tet_volume, tpms
-from meshwright.operators.components import connected_components
+from meshwright.operators.graphs import components
+from meshwright.operators.ordering import quantiles
+from meshwright.shared import written
 
 SIDE, ORIGIN = 20.0, (-10.0, -10.0, 0.0)
 
@@ -27,12 +29,10 @@ def field(grid: DataFrame, designs: DataFrame) -> DataFrame:
 
 
 def calibrated(fields: DataFrame) -> DataFrame:
-    """The threshold at which each sample's mask has its target density: one quantile of |f| over the profile."""
-    tau = fields.groupBy("sample_id", "target_relative_density").agg(F.percentile(F.abs("f") / F.col("profile"), F.array(*[F.lit(q / 1000) for q in range(1001)])).alias("q"))
-    at = F.col("target_relative_density") * 1000
-    low = F.floor(at).cast("int")
-    a, b = F.get("q", low), F.get("q", F.least(low + 1, F.lit(1000)))
-    return tau.select("sample_id", (a + (b - a) * (at - low)).alias("tau"))
+    """The threshold at which each sample's mask has its target density: that quantile of |f| over the profile, exactly."""
+    ratio = fields.select("sample_id", "target_relative_density", (F.abs("f") / F.col("profile")).alias("ratio"))
+    q = quantiles(ratio, ["sample_id", "target_relative_density"], ["ratio"], (F.col("target_relative_density"),))
+    return q.select("sample_id", F.get("q", F.lit(0)).alias("tau"))
 
 
 def boundary_contact(mask: DataFrame, n: int) -> DataFrame:
@@ -40,22 +40,54 @@ def boundary_contact(mask: DataFrame, n: int) -> DataFrame:
     return mask.groupBy("sample_id").agg(*[F.bool_or(F.col(c) == v).alias(f"touch_{a}{side}") for a, c in zip("xyz", "ijk", strict=True) for side, v in (("min", 0), ("max", n - 1))])
 
 
-def labelled(mask: DataFrame, connectivity: int = 26) -> DataFrame:
-    """Voxels (id, i, j, k of one sample) with ``root``, the smallest id of their component: neighbours meet by equi-join."""
+def adjacent(mask: DataFrame, connectivity: int = 26) -> DataFrame:
+    """Pairs (sample_id, a, b) of neighbouring voxels (sample_id, id, i, j, k), each once: they meet by equi-join."""
     offsets = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0) and (connectivity == 26 or abs(a) + abs(b) + abs(c) <= (1 if connectivity == 6 else 2))]
     step = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for v, n in zip(o, "abc", strict=True)]) for o in offsets])
-    near = mask.select("id", "i", "j", "k", F.explode(step).alias("o")).select(F.col("id").alias("a"), *[(F.col(c) + F.col(f"o.{d}")).alias(c) for c, d in zip("ijk", "abc", strict=True)])
-    e = near.join(mask.select(F.col("id").alias("b"), "i", "j", "k"), ["i", "j", "k"]).select("a", "b")
-    root = connected_components(e)
-    return mask.join(root, mask["id"] == root["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    near = mask.select("sample_id", "id", "i", "j", "k", F.explode(step).alias("o")).select("sample_id", F.col("id").alias("a"), *[(F.col(c) + F.col(f"o.{d}")).alias(c) for c, d in zip("ijk", "abc", strict=True)])
+    return near.join(mask.select("sample_id", F.col("id").alias("b"), "i", "j", "k"), ["sample_id", "i", "j", "k"]).select("sample_id", "a", "b")
+
+
+def labelled(mask: DataFrame, connectivity: int = 26) -> DataFrame:
+    """Voxels (sample_id, id, i, j, k) with ``root``, the smallest id of their component in their sample."""
+    nodes = mask.withColumnRenamed("id", "node")
+    edges = adjacent(mask, connectivity).select("sample_id", F.col("a").alias("source"), F.col("b").alias("target"))
+    return components(nodes, edges).withColumnRenamed("node", "id")
+
+
+def junction_regions(mask: DataFrame, connectivity: int = 26) -> DataFrame:
+    """Skeleton voxels (sample_id, id, i, j, k) as graph nodes: (sample_id, node, kind, voxels, i, j, k).
+
+    Touching voxels of more than two neighbours are one junction at their mean; ends and lone voxels are nodes of their
+    own. A node has the smallest id of its voxels.
+    """
+    pairs = written(adjacent(mask, connectivity), "voxel-pairs")
+    d = pairs.select("sample_id", F.explode(F.array("a", "b")).alias("id")).groupBy("sample_id", "id").agg(F.count(F.lit(1)).alias("d"))
+    v = mask.join(d, ["sample_id", "id"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    v = written(v.withColumn("kind", F.when(F.col("d") > 2, "junction").when(F.col("d") == 1, "endpoint").when(F.col("d") == 0, "isolated")).filter("kind is not null"), "voxel-nodes")
+    inside = v.filter("kind = 'junction'").select("sample_id", "id")
+    e = pairs.join(inside.withColumnRenamed("id", "a"), ["sample_id", "a"], "left_semi").join(inside.withColumnRenamed("id", "b"), ["sample_id", "b"], "left_semi")
+    named = components(v.withColumnRenamed("id", "node"), e.select("sample_id", F.col("a").alias("source"), F.col("b").alias("target")))
+    return named.groupBy("sample_id", F.col("root").alias("node"), "kind").agg(F.count(F.lit(1)).alias("voxels"), *[F.avg(c).alias(c) for c in "ijk"])
+
+
+def connectivity_sweep(mask: DataFrame, connectivities: tuple[int, ...] = (6, 18, 26)) -> DataFrame:
+    """(sample_id, connectivity, voxels, pairs, components): how the same voxels hang together under each neighbourhood."""
+    out = None
+    for c in connectivities:
+        n = adjacent(mask, c).groupBy("sample_id").agg(F.count(F.lit(1)).alias("pairs"))
+        one = labelled(mask, c).groupBy("sample_id").agg(F.count(F.lit(1)).alias("voxels"), F.countDistinct("root").alias("components")).join(n, "sample_id", "left")
+        one = one.select("sample_id", F.lit(c).alias("connectivity"), "voxels", F.coalesce("pairs", F.lit(0)).cast("bigint").alias("pairs"), "components")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def voxel_surface(mask: DataFrame) -> DataFrame:
-    """The faces between solid voxels and what is not: id, axis, side. (A smooth isosurface is left to a mesher.)"""
+    """The faces between solid voxels and what is not: sample_id, id, axis, side. (A smooth isosurface is left to a mesher.)"""
     step = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(s).alias("side")) for a in range(3) for s in (-1, 1)])
-    f = mask.select("id", "i", "j", "k", F.explode(step).alias("d")).select("id", "i", "j", "k", "d.axis", "d.side")
+    f = mask.select("sample_id", "id", "i", "j", "k", F.explode(step).alias("d")).select("sample_id", "id", "i", "j", "k", "d.axis", "d.side")
     moved = [(F.col(c) + F.when(F.col("axis") == n, F.col("side")).otherwise(0)).alias(c) for n, c in enumerate("ijk")]
-    return f.select("id", "axis", "side", *moved).join(mask.select("i", "j", "k"), ["i", "j", "k"], "left_anti").select("id", "axis", "side")
+    return f.select("sample_id", "id", "axis", "side", *moved).join(mask.select("sample_id", "i", "j", "k"), ["sample_id", "i", "j", "k"], "left_anti").select("sample_id", "id", "axis", "side")
 
 
 def with_corners(cells: DataFrame, points: DataFrame, corners: list[str]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meshwright.functions.aggregates import weighted_mean
 from meshwright.functions.scalars import azimuth_polar, norm
 from meshwright.operators.components import connected_components
+from meshwright.operators.ordering import quantiles
 from meshwright.operators.relational import dedup_edges
 from meshwright.shared import written
 
@@ -40,7 +42,7 @@ def component_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return components(nodes, edges).groupBy("sample_id").agg(F.countDistinct("root").alias("components"))
 
 
-def contract_short_edges(nodes: DataFrame, edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def contract_short_edges(nodes: DataFrame, edges: DataFrame, threshold: float | Column) -> tuple[DataFrame, DataFrame]:
     """Merge the ends of edges shorter than ``threshold``; what merges stands at its weighted centroid.
 
     A merged node, or one with a junction, is a junction; nodes keep the smallest number of those that merged.
@@ -59,7 +61,7 @@ def contract_short_edges(nodes: DataFrame, edges: DataFrame, threshold: float) -
     return merged.withColumnRenamed("root", "node"), e
 
 
-def prune_spurs(nodes: DataFrame, edges: DataFrame, threshold: float, max_passes: int = 10) -> tuple[DataFrame, DataFrame]:
+def prune_spurs(nodes: DataFrame, edges: DataFrame, threshold: float | Column, max_passes: int = 10) -> tuple[DataFrame, DataFrame]:
     """Remove, pass by pass, all edges shorter than ``threshold`` with an end of degree 1, and nodes left without edges."""
     edges = written(edges, "graph-prune")
     for _ in range(max_passes):
@@ -75,6 +77,44 @@ def prune_spurs(nodes: DataFrame, edges: DataFrame, threshold: float, max_passes
     return nodes.join(used, ["sample_id", "node"], "left_semi"), edges
 
 
+def connected_only(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes that have an edge, numbered from 0 in each sample in order, and the edges between the new numbers."""
+    used = edges.select("sample_id", F.explode(F.array("source", "target")).alias("node")).distinct()
+    w = Window.partitionBy("sample_id").orderBy("node")
+    to = written(used.withColumn("_to", (F.row_number().over(w) - 1).cast("bigint")), "graph-numbers")
+    n = nodes.join(to, ["sample_id", "node"]).withColumn("node", F.col("_to")).drop("_to")
+    e = edges
+    for end in ("source", "target"):
+        e = e.join(to.select("sample_id", F.col("node").alias(end), F.col("_to").alias(f"_{end}")), ["sample_id", end])
+    return n, e.withColumns({"source": F.col("_source"), "target": F.col("_target")}).drop("_source", "_target")
+
+
+#: Shares of a sample's median thickness below which edges are merged away, and spurs pruned (fixed values).
+SHORT_EDGE, SHORT_SPUR = 0.35, 0.50
+
+
+def canonical(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The canonical graph of each sample: parallel edges and loops gone, short edges contracted, spurs pruned, geometry and degrees anew.
+
+    Thresholds are shares of the median of the sample's edges' local_thickness_mean, NULL and NaN left out.
+    """
+    e = dedup_edges(edges, group=("sample_id",))
+    median = quantiles(e, ["sample_id"], ["local_thickness_mean"], (0.5,)).select("sample_id", F.get("q", F.lit(0)).alias("_median"))
+    nodes, e = connected_only(nodes, written(e.join(median, "sample_id", "left"), "graph-canonical"))
+    nodes, e = connected_only(*contract_short_edges(nodes, e, SHORT_EDGE * F.col("_median")))
+    nodes, e = prune_spurs(nodes, e, SHORT_SPUR * F.col("_median"))
+    nodes, e = connected_only(nodes, dedup_edges(e, group=("sample_id",)))
+    e = recomputed(nodes, e.drop("_median"))
+    return degrees(nodes, e), e
+
+
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row for each sample: counts, components, lengths and tortuosity of its canonical graph (nodes with degree)."""
+    n = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("simplified_nodes"), F.count_if(F.col("degree") == 1).alias("endpoint_count"), F.count_if(F.col("degree") >= 3).alias("junction_count"))
+    e = edges.groupBy("sample_id").agg(F.count(F.lit(1)).alias("simplified_edges"), F.sum("path_length").alias("total_path_length"), F.avg("tortuosity").alias("mean_tortuosity"))
+    return n.join(e, "sample_id", "left").join(component_count(nodes, edges), "sample_id", "left")
+
+
 def recomputed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Chord, path (at least the chord), tortuosity and angles of edges from their ends' positions."""
     at = lambda end, p: nodes.select("sample_id", F.col("node").alias(end), *[F.col(c).alias(f"{p}{c}") for c in "xyz"])

@@ -2,41 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meshwright.shared import written
+
 
-def knn_grid(queries: DataFrame, points: DataFrame, k: int, cell: float, max_rings: int = 64) -> DataFrame:
-    """The k nearest points of each query in 3-D: (qid, rank, pid, dist), ties by pid. Exact.
+def knn_grid(queries: DataFrame, points: DataFrame, k: int, cell: float, blocks: int = 8) -> DataFrame:
+    """The k nearest points of each query in 3-D: (qid, rank, pid, dist), ties by pid. Exact; fewer where there are fewer points.
 
-    Points are bucketed by grid cell; each query meets the cells of rings that widen (doubling) until its k-th
-    distance is within the searched radius. Queries settle one after another, so each pass joins fewer. A query
-    that never fills k within ``max_rings`` gets what the last ring has.
+    Points lie in grid cells. A query meets the 27 cells around it and is settled if its k-th distance is within a
+    cell's width; the others meet a grid twice as wide, and so on, until a cell spans all points and queries. So
+    passes grow with the logarithm of the extent, and a query never meets more than 27 cells. Crowded cells are
+    cut into ``blocks``, each of which keeps its own k first.
     """
-    c = {f"c{a}": F.floor(F.col(a) / cell) for a in "xyz"}
-    p = points.select("pid", *[F.col(a).alias(f"p{a}") for a in "xyz"], *[F.floor(F.col(a) / cell).alias(f"c{a}") for a in "xyz"])
-    left, out, ring = queries.select("qid", "x", "y", "z"), None, 1
+    p = written(points.select("pid", *[F.col(a).alias(f"p{a}") for a in "xyz"], F.pmod(F.xxhash64("pid"), F.lit(blocks)).alias("_b")), "knn-points")
+    left = written(queries.select("qid", "x", "y", "z"), "knn-left")
+    both = p.select(*[F.col(f"p{a}").alias(a) for a in "xyz"]).union(left.select("x", "y", "z"))
+    box = both.agg(F.greatest(*[F.max(a) - F.min(a) for a in "xyz"])).first()[0]
+    out = []
     while True:
-        step = F.sequence(F.lit(-ring), F.lit(ring))
-        q = left.withColumns(c)
+        last = box is None or cell > box
+        step = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+        at = left
         for a in "xyz":
-            q = q.withColumn("_d", F.explode(step)).withColumn(f"c{a}", F.col(f"c{a}") + F.col("_d")).drop("_d")
+            at = at.withColumn("_d", step).withColumn(f"c{a}", F.floor(F.col(a) / cell) + F.col("_d")).drop("_d")
+        at = at.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+        cells = p.select("*", *[F.floor(F.col(f"p{a}") / cell).alias(f"c{a}") for a in "xyz"])
         d = F.sqrt(sum(((F.col(a) - F.col(f"p{a}")) * (F.col(a) - F.col(f"p{a}")) for a in "xyz"), F.lit(0.0)))
-        near = q.join(p, ["cx", "cy", "cz"]).select("qid", "pid", d.alias("dist"))
-        w = Window.partitionBy("qid").orderBy("dist", "pid")
-        near = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        full = near.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")).filter((F.col("n") == k) & (F.col("far") <= ring * cell)).select("qid")
-        last = ring >= max_rings
-        done = near if last else near.join(full, "qid", "left_semi")
-        out = done if out is None else out.unionByName(done)
+        near = at.join(cells, ["cx", "cy", "cz", "_b"]).select("qid", "_b", "pid", d.alias("dist"))
+        near = near.withColumn("_r", F.row_number().over(Window.partitionBy("qid", "_b").orderBy("dist", "pid"))).filter(F.col("_r") <= k)
+        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "pid"))).filter(F.col("rank") <= k)
+        near = written(near.select("qid", F.col("rank").cast("bigint").alias("rank"), "pid", "dist"), "knn-near")
         if last:
+            out.append(near)
             break
-        left = left.join(full, "qid", "left_anti")
-        if left.limit(1).count() == 0:
+        full = near.filter((F.col("rank") == k) & (F.col("dist") <= cell)).select("qid")
+        out.append(near.join(full, "qid", "left_semi"))
+        left = written(left.join(full, "qid", "left_anti"), "knn-left")
+        if left.isEmpty():
             break
-        ring *= 2
-    return out.select("qid", F.col("rank").cast("bigint").alias("rank"), "pid", "dist")
+        cell *= 2
+    return reduce(DataFrame.unionByName, out)
 
 
 def knn_vectors(queries: DataFrame, points: DataFrame, k: int, dist: Column, blocks: int = 8) -> DataFrame:

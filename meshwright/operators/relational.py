@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meshwright.operators.ordering import positioned
+
 
 def duplicated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -57,15 +59,15 @@ def dedup_edges(edges: DataFrame, *tie: Column, group: tuple[str, ...] = ()) ->
 
 
 def reindexed(df: DataFrame, key: str, name: str, group: tuple[str, ...] = ()) -> DataFrame:
-    """Dense numbers from 0 in key order. Without a group, the distinct keys meet in one task."""
-    w = Window.partitionBy(*group).orderBy(key) if group else Window.orderBy(key)
-    return df.withColumn(name, (F.dense_rank().over(w) - 1).cast("bigint"))
+    """Dense numbers from 0 in key order, in each group or over all rows."""
+    if group:
+        return df.withColumn(name, (F.dense_rank().over(Window.partitionBy(*group).orderBy(key)) - 1).cast("bigint"))
+    return df.join(positioned(df.select(key).distinct(), [], [F.col(key)], name), key)
 
 
 def stratified_split(df: DataFrame, group: str, order: list[Column], train: float, validation: float) -> DataFrame:
     """Shares of each group, in the given order: train, validation, test."""
-    w = Window.partitionBy(group)
-    df = df.withColumns({"_r": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    df = positioned(df, [group], order, "_r", "_n")
     split = F.when(F.col("_r") < F.floor(F.col("_n") * train), "train").when(F.col("_r") < F.floor(F.col("_n") * (train + validation)), "validation").otherwise("test")
     return df.withColumn("split", split).drop("_r", "_n")
 
@@ -73,10 +75,8 @@ def stratified_split(df: DataFrame, group: str, order: list[Column], train: floa
 def leave_one_out(df: DataFrame, group: str, values: list[str], order: list[Column], validation: float) -> DataFrame:
     """A column for each value: its rows test, of the others the first share validation, the rest train."""
     for v in values:
-        rest = F.col(group) != v
-        w = Window.partitionBy(rest)
-        r, n = F.row_number().over(w.orderBy(*order)) - 1, F.count(F.lit(1)).over(w)
-        df = df.withColumn(f"leave_{v}", F.when(~rest, "test").when(r < F.floor(n * validation), "validation").otherwise("train"))
+        df = positioned(df.withColumn("_rest", F.col(group) != v), ["_rest"], order, "_r", "_n")
+        df = df.withColumn(f"leave_{v}", F.when(~F.col("_rest"), "test").when(F.col("_r") < F.floor(F.col("_n") * validation), "validation").otherwise("train")).drop("_r", "_n", "_rest")
     return df
 
 
@@ -85,10 +85,15 @@ def latin_hypercube(rows: DataFrame, n: int, dims: list[str], seed: int = 42) ->
     for k, d in enumerate(dims):
         h = F.xxhash64(F.lit(seed), F.lit(k), "i")
         u = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(k), "i"), F.lit(1 << 30)) / (1 << 30)
-        rows = rows.withColumn(d, (F.row_number().over(Window.orderBy(h, "i")) - 1 + u) / n)
+        rows = positioned(rows, [], [h, F.col("i")], "_r").withColumn(d, (F.col("_r") + u) / n).drop("_r")
     return rows
 
 
+def sampled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """A random sample of n rows (all, if there are fewer): those whose keys hash lowest, the same at every run."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
 def set_gate(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: keys missing on either side, and whether the sets are equal."""
     a, b = left.distinct(), right.distinct()
@@ -119,3 +124,29 @@ def running_best(df: DataFrame, keys: list[str], epoch: str, value: str, min_del
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).cast("bigint").alias("e"), F.col(value).cast("double").alias("v")))).alias("x"))
     out = rows.withColumn("f", F.aggregate("x", start, step))
     return out.select(*keys, F.col("f.best_epoch").alias("best_epoch"), F.col("f.best").alias("best"), F.coalesce(F.col("f.stop"), F.element_at("x", -1)["e"]).alias("stop_epoch"))
+
+
+def plateau(df: DataFrame, keys: list[str], epoch: str, value: str, rate: float, factor: float = 0.5, patience: int = 10, least: float = 1e-5, threshold: float = 1e-4) -> DataFrame:
+    """keys, epoch and the learning rate after it: cut by ``factor`` where more than ``patience`` epochs in a row bring no relative gain of ``threshold``.
+
+    A fold over the ordered epochs of one group.
+    """
+    none = F.array().cast("array<struct<e: bigint, rate: double>>")
+    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(float(rate)).alias("rate"), none.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        better = x["v"] < acc["best"] * (1 - threshold)
+        bad = F.when(better, F.lit(0)).otherwise(acc["bad"] + 1)
+        cut = bad > patience
+        new = F.when(cut, F.greatest(acc["rate"] * factor, F.lit(float(least)))).otherwise(acc["rate"])
+        return F.struct(F.when(better, x["v"]).otherwise(acc["best"]).alias("best"), F.when(cut, F.lit(0)).otherwise(bad).alias("bad"), new.alias("rate"), F.array_append(acc["out"], F.struct(x["e"].alias("e"), new.alias("rate"))).alias("out"))
+
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).cast("bigint").alias("e"), F.col(value).cast("double").alias("v")))).alias("x"))
+    return rows.select(*keys, F.explode(F.aggregate("x", start, step, lambda a: a["out"])).alias("o")).select(*keys, F.col("o.e").alias(epoch), F.col("o.rate").alias("rate"))
+
+
+def cover_gate(assigned: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """One row: keys assigned more than once, not at all, or not wanted, and whether the assignment covers exactly."""
+    n = assigned.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(wanted.select(key).distinct().withColumn("w", F.lit(1)), key, "full_outer")
+    out = n.agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("w").isNull()).alias("unwanted"))
+    return out.withColumn("exact", (F.col("repeated") == 0) & (F.col("missing") == 0) & (F.col("unwanted") == 0))

@@ -6,9 +6,7 @@ in for them. Fractions are rounded to six places on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,27 +15,10 @@ from meshwright.functions import kernels
 from meshwright.functions import scalars as fn
 from meshwright.operators import audit, features, geometry, graphs, mapping, relational
 from meshwright.operators.components import connected_components
+from meshwright.operators.ordering import quantiles
+from meshwright.plans.registry import QUERIES, SQL, query, rounded  # noqa: F401
 from meshwright.sources import reports
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def register(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, *keep: str) -> DataFrame:
-    """Doubles rounded to six places."""
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
-
-
 def predictions(t: Callable[[str], DataFrame]) -> DataFrame:
     """Prices of line items, and a prediction from quantity and retail price."""
     p = t("part").select("p_partkey", "p_brand", "p_retailprice")
@@ -79,7 +60,8 @@ def model_comparison_ranked(t):
 
 @query("select p_type, count(p_retailprice) as n, round(min(p_retailprice), 6) as low, round(max(p_retailprice), 6) as high, round(median(p_retailprice), 6) as mid from part group by p_type")
 def group_multi_agg(t):
-    return rounded(t("part").groupBy("p_type").agg(F.count("p_retailprice").alias("n"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"), F.median("p_retailprice").alias("mid")))
+    w = agg.wide_stats(t("part"), ["p_type"], ["p_retailprice"])
+    return rounded(w.select("p_type", *[F.col(f"p_retailprice_{a}").alias(b) for a, b in (("count", "n"), ("min", "low"), ("max", "high"), ("median", "mid"))]))
 
 
 _WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -307,7 +289,7 @@ _Q = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 @query("select l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) as q{i}" for i, q in enumerate(_Q)) + " from lineitem group by 1")
 def multi_quantiles(t):
-    g = t("lineitem").groupBy("l_returnflag").agg(agg.quantiles(F.col("l_extendedprice"), _Q).alias("q"))
+    g = quantiles(t("lineitem"), ["l_returnflag"], ["l_extendedprice"], _Q)
     return rounded(g.select("l_returnflag", *[F.col("q")[i].alias(f"q{i}") for i in range(len(_Q))]))
 
 
@@ -502,20 +484,21 @@ def boundary_contact(t):
 
 @query()
 def component_label_3d(t):
-    m = _mask(t)[1].filter("sample_id = 'a'").select("id", "i", "j", "k")
-    return geometry.labelled(m).groupBy("root").agg(F.count(F.lit(1)).alias("voxels"))
+    m = _mask(t)[1].select("sample_id", "id", "i", "j", "k")
+    return geometry.labelled(m).groupBy("sample_id", "root").agg(F.count(F.lit(1)).alias("voxels"))
 
 
-@query(f"{_TAUS}, s as (select id, i, j, k from m where sample_id = 'a'), o as (select * from (values (0, 1, 0, 0), (0, -1, 0, 0), (1, 0, 1, 0), (1, 0, -1, 0), (2, 0, 0, 1), (2, 0, 0, -1)) o(axis, a, b, c)) select axis, count(*) as faces from s, o where not exists (select 1 from s n where n.i = s.i + a and n.j = s.j + b and n.k = s.k + c) group by 1")
+@query(f"{_TAUS}, s as (select sample_id, id, i, j, k from m), o as (select * from (values (0, 1, 0, 0), (0, -1, 0, 0), (1, 0, 1, 0), (1, 0, -1, 0), (2, 0, 0, 1), (2, 0, 0, -1)) o(axis, a, b, c)) select sample_id, axis, count(*) as faces from s, o where not exists (select 1 from s n where n.sample_id = s.sample_id and n.i = s.i + a and n.j = s.j + b and n.k = s.k + c) group by 1, 2")
 def surface_extract(t):
-    m = _mask(t)[1].filter("sample_id = 'a'").select("id", "i", "j", "k")
-    return geometry.voxel_surface(m).groupBy("axis").agg(F.count(F.lit(1)).alias("faces"))
+    m = _mask(t)[1].select("sample_id", "id", "i", "j", "k")
+    return geometry.voxel_surface(m).groupBy("sample_id", "axis").agg(F.count(F.lit(1)).alias("faces"))
 
 
-@query()
+@query(f"""{_TAUS}, e as (select f.sample_id, f.i, f.j, f.k from f left join m on m.sample_id = f.sample_id and m.id = f.id where m.id is null),
+d as (select m.sample_id, m.id, sqrt(min((m.i - e.i) ** 2 + (m.j - e.j) ** 2 + (m.k - e.k) ** 2)) as d from m join e on e.sample_id = m.sample_id group by 1, 2) select sample_id, round(max(d), 6) as deepest, round(sum(d) / {_N**3}, 6) as mean from d group by 1""")
 def distance_transform(t):
     tau, _ = _mask(t)
-    g = _fields(t).join(F.broadcast(tau), "sample_id").select("sample_id", *[F.col(c).cast("bigint").alias(c) for c in "ijk"], (F.abs("f") / F.col("profile") <= F.col("tau")).alias("solid"))
+    g = _fields(t).join(F.broadcast(tau), "sample_id").select("sample_id", *[F.col(c).cast("bigint").alias(c) for c in "ijk"], (F.abs("f") / F.col("profile") <= F.col("tau") + 1e-9).alias("solid"))
     return rounded(kernels.distance_transform(g).groupBy("sample_id").agg(F.max("distance").alias("deepest"), F.avg("distance").alias("mean")))
 
 
@@ -674,7 +657,8 @@ def graph_totals(t):
     return _vector_graph(t)[0].groupBy("sample_id").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query()
+@query(f"""{_VG}, d as (select source as a, target as b from e where w < 0.4 union select target, source from e where w < 0.4), r as (select vec_id as node, vec_id as root from v union select d.b, r.root from r join d on d.a = r.node),
+c as (select node, min(root) as root from r group by 1) select label::varchar as sample_id, count(distinct root) as components from v join c on vec_id = node group by 1""")
 def graph_components(t):
     nodes, edges = _vector_graph(t)
     return graphs.component_count(nodes, edges.filter("path_length < 0.4"))

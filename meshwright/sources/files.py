@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def csv(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
@@ -23,10 +24,27 @@ def documents(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(list(paths), multiLine=True)
 
 
-def found(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """Files under a root by name: path, length, modificationTime; shortest paths are the preferred ones."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select("path", "length", "modificationTime").orderBy(F.length("path"), "path")
+def found(spark: SparkSession, pattern: str, *roots: str) -> DataFrame:
+    """Files by name under one or more roots, each once: path, length, modificationTime, root (its number) and place.
+
+    ``place`` 1 is the preferred one of a file name: from the first root that has it, then the shortest path.
+    """
+    out = None
+    for k, root in enumerate(roots):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+        files = files.select("path", "length", "modificationTime", F.lit(k).alias("root"))
+        out = files if out is None else out.unionByName(files)
+    once = out.groupBy("path").agg(F.min("length").alias("length"), F.min("modificationTime").alias("modificationTime"), F.min("root").alias("root"))
+    w = Window.partitionBy(F.element_at(F.split("path", "/"), -1)).orderBy("root", F.length("path"), "path")
+    return once.withColumn("place", F.row_number().over(w))
+
+
+def missing_markers(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """(folder, missing): the folders under a root that have some of the named files, and those they lack."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", "^(.*)/([^/]*)$", 1).alias("folder"), F.regexp_extract("path", "^(.*)/([^/]*)$", 2).alias("name"))
+    have = files.groupBy("folder").agg(F.collect_set("name").alias("have"))
+    lack = F.filter(F.array(*[F.lit(n) for n in names]), lambda x: ~F.array_contains("have", x))
+    return have.filter(F.arrays_overlap("have", F.array(*[F.lit(n) for n in names]))).select("folder", lack.alias("missing"))
 
 
 def _binary(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -46,9 +64,26 @@ def _npz_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"path": [path], "key": [None], "shape": [None], "finite": [None], "values": [None], "error": [str(x)]})
 
 
-def npz(spark: SparkSession, path: str) -> DataFrame:
+def npz(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFrame:
     """Arrays of NPZ files, one a row: path, key, shape, finite, values (row by row), error (unreadable files)."""
-    return _binary(spark, path, "*.npz").mapInPandas(_npz_rows, "path string, key string, shape array<bigint>, finite boolean, values array<double>, error string")
+    return _binary(spark, path, pattern).mapInPandas(_npz_rows, "path string, key string, shape array<bigint>, finite boolean, values array<double>, error string")
+
+
+def _npy_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            row = {"path": [path], "shape": [None], "values": [None], "error": [None]}
+            try:
+                a = np.load(io.BytesIO(content), allow_pickle=False)
+                row |= {"shape": [list(a.shape)], "values": [a.astype(float).ravel()]}
+            except (ValueError, OSError, EOFError) as x:
+                row["error"] = [str(x)]
+            yield pd.DataFrame(row)
+
+
+def npy(spark: SparkSession, path: str) -> DataFrame:
+    """NPY files, one array a row: path, shape, values (row by row), error (unreadable files)."""
+    return _binary(spark, path, "*.npy").mapInPandas(_npy_rows, "path string, shape array<bigint>, values array<double>, error string")
 
 
 def npz_probe(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +94,12 @@ def npz_probe(spark: SparkSession, path: str) -> DataFrame:
 def _zip_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+            except zipfile.BadZipFile:
+                yield pd.DataFrame({"path": [path], "member": [None], "ok": [False], "content": [None]})
+                continue
+            with archive as z:
                 for m in z.infolist():
                     safe = not m.filename.startswith("/") and ".." not in m.filename.split("/")
                     if not m.is_dir():
@@ -71,7 +111,7 @@ def _zip_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """Members of ZIP archives: path, member, ok (intact, and named inside the archive), content."""
+    """Members of ZIP archives: path, member, ok (intact, and named inside the archive), content; a broken archive is one row."""
     return _binary(spark, path, "*.zip").mapInPandas(_zip_rows, "path string, member string, ok boolean, content binary")
 
 
@@ -79,13 +119,18 @@ def _stl_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     record = np.dtype([("n", "<f4", 3), ("v", "<f4", (3, 3)), ("a", "<u2")])
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            (n,) = struct.unpack("<I", content[80:84])
-            v = np.frombuffer(content, record, n, 84)["v"].astype(float)
+            (n,) = struct.unpack("<I", content[80:84]) if len(content) >= 84 else (0,)
+            if len(content) == 84 + record.itemsize * n and n:
+                v = np.frombuffer(content, record, n, 84)["v"].astype(float)
+            else:  # text: three vertices for each facet
+                words = [line.split()[1:] for line in content.decode("ascii", "replace").splitlines() if line.split()[:1] == ["vertex"]]
+                v = np.array(words, float).reshape(-1, 3, 3)
+                n = len(v)
             yield pd.DataFrame({"path": path, "face": np.repeat(np.arange(n), 3), "corner": np.tile(np.arange(3), n), "x": v[:, :, 0].ravel(), "y": v[:, :, 1].ravel(), "z": v[:, :, 2].ravel()})
 
 
 def stl(spark: SparkSession, path: str) -> DataFrame:
-    """Corners of binary STL files' faces; equal (x, y, z) are one vertex (``merged``)."""
+    """Corners of binary and text STL files' faces; equal (x, y, z) are one vertex (``merged``)."""
     return _binary(spark, path, "*.stl").mapInPandas(_stl_rows, "path string, face bigint, corner int, x double, y double, z double")
 
 

@@ -5,10 +5,14 @@ Input lines are rows (file, line, text); everything here is windows and joins ov
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meshwright.operators.ordering import positioned
+
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eEdD][-+]?\d+)?"
 #: Words of a section's head line, and its name (fixed values).
 SECTIONS = {"forces": "reaction", "stresses": "stress", "strains": "strain"}
@@ -62,6 +66,33 @@ def id_set(df: DataFrame, keyword: str, name: str) -> DataFrame:
 
 def deck_set(ids: DataFrame, keyword: str, name: str, per_line: int = 16) -> DataFrame:
     """(line, text) of a deck's id set: ids (from 0) counted from 1, ``per_line`` on each line, in order."""
-    r = ids.withColumn("_r", F.row_number().over(Window.orderBy("id")) - 1)
+    r = positioned(ids.select("id"), [], [F.col("id")], "_r")
     body = r.groupBy((F.floor(F.col("_r") / per_line) + 1).alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: (x + 1).cast("string")), ", ").alias("text"))
     return ids.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("line"), F.lit(f"*{keyword.upper()}, {keyword.upper()}={name}").alias("text")).union(body)
+
+
+def deck(points: DataFrame, tets: DataFrame, node_sets: dict[str, DataFrame], element_sets: dict[str, DataFrame], modulus: float, ratio: float, displacement: float) -> DataFrame:
+    """(block, line, text) of a whole solver deck: nodes, elements, sets, material and one static step; ids (from 0) counted from 1.
+
+    ``points``: nid, x, y, z; ``tets``: eid, n0 to n3; sets: tables of id. ``block`` and ``line`` order the text
+    (``sinks.ordered_text`` writes it). The sets named TOP, BOTTOM, ANCHOR_A and ANCHOR_B carry the boundary conditions.
+    """
+    spark = points.sparkSession
+    said = lambda block, *lines: spark.createDataFrame([(block, -len(lines) + k, x) for k, x in enumerate(lines)], "block int, line bigint, text string")
+    one = lambda *cs: F.concat_ws(",", *[c.cast("string") for c in cs])
+    parts = [
+        said(0, "*HEADING", "static compression", "*NODE"),
+        points.select(F.lit(0).alias("block"), F.col("nid").cast("bigint").alias("line"), one(F.col("nid") + 1, F.col("x"), F.col("y"), F.col("z")).alias("text")),
+        said(1, "*ELEMENT,TYPE=C3D4,ELSET=SOLID"),
+        tets.select(F.lit(1).alias("block"), F.col("eid").cast("bigint").alias("line"), one(*[F.col(c) + 1 for c in ("eid", "n0", "n1", "n2", "n3")]).alias("text")),
+    ]
+    block = 2
+    for keyword, sets in (("NSET", node_sets), ("ELSET", element_sets)):
+        for name, ids in sets.items():
+            parts.append(deck_set(ids, keyword, name).select(F.lit(block).alias("block"), "line", "text"))
+            block += 1
+    parts.append(said(
+        block, "*MATERIAL,NAME=TI64", "*ELASTIC", f"{modulus},{ratio}", "*SOLID SECTION,ELSET=SOLID,MATERIAL=TI64", "*STEP", "*STATIC", "*BOUNDARY", "BOTTOM,3,3,0.", f"TOP,3,3,{displacement}",
+        "ANCHOR_A,1,2,0.", "ANCHOR_B,2,2,0.", "*NODE PRINT,NSET=TOP", "RF", "*EL PRINT,ELSET=TARGETS", "S", "E", "*END STEP",
+    ))
+    return reduce(DataFrame.union, parts)

@@ -2,23 +2,75 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEDGER = "sample_id string, stage string, status string, message string, at timestamp"
 
 
+def _digest(df: DataFrame) -> tuple[int, int]:
+    """How many rows, and a digest of them that their order doesn't change; digests of unions are their digests' XOR."""
+    r = df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0))).first()
+    return r[0], r[1]
+
+
 def verified_write(df: DataFrame, path: str, partition: str | None = None, mode: str = "errorifexists") -> DataFrame:
-    """Write Parquet and read it again; fails unless as many rows and the same content come back."""
+    """Write Parquet in any mode and read it again; fails unless what was there (if appended to) and what was written come back."""
+    spark = df.sparkSession
+    before = (0, 0)
+    if mode == "append":
+        try:
+            before = _digest(spark.read.parquet(path).select(df.columns))
+        except AnalysisException:  # nothing there yet
+            pass
     w = df.write.mode(mode)
     (w.partitionBy(partition) if partition else w).parquet(path)
-    back = df.sparkSession.read.parquet(path).select(df.columns)
-    digest = lambda x: x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*x.columns))).first()
-    if mode == "errorifexists" and digest(df) != digest(back):
+    back, new = spark.read.parquet(path).select(df.columns), _digest(df)
+    if mode != "ignore" and _digest(back) != (before[0] + new[0], before[1] ^ new[1]):
         raise ValueError(f"{path} differs from what was written")
     return back
 
 
+def csv(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """Write CSV with a header and read it again as the same schema; fails unless as many rows come back."""
+    df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", '""').csv(path)
+    back = df.sparkSession.read.schema(df.schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    if mode in ("errorifexists", "overwrite") and back.count() != df.count():
+        raise ValueError(f"{path} has other rows than were written")
+    return back
+
+
+def _archive(t: pa.Table) -> pa.Table:
+    """One sample's arrays (name, shape, values) as an NPZ archive."""
+    arrays = {n: np.array(v, float).reshape(s) for n, s, v in zip(*(t.column(c).to_pylist() for c in ("name", "shape", "values")), strict=True)}
+    f = io.BytesIO()
+    np.savez(f, **arrays)
+    with zipfile.ZipFile(f, "a") as z:  # the archive's comment is the line end that a text writer adds
+        z.comment = b"\n"
+    return pa.table({"sample_id": t.column("sample_id").slice(0, 1), "content": pa.array([f.getvalue()[:-1]], pa.binary())})
+
+
+def npz(arrays: DataFrame, path: str) -> None:
+    """Rows (sample_id, name, shape, values: row by row) as an NPZ archive in a folder for each sample."""
+    rows = arrays.select(F.col("sample_id").cast("string").alias("sample_id"), "name", F.col("shape").cast("array<bigint>").alias("shape"), F.col("values").cast("array<double>").alias("values"))
+    files = rows.groupBy("sample_id").applyInArrow(_archive, "sample_id string, content binary")
+    # a binary column cast to text is written as it is
+    one = files.select("sample_id", F.col("content").cast("string").alias("value")).repartition("sample_id")
+    one.write.option("maxRecordsPerFile", 1).partitionBy("sample_id").text(path)
+
+
+def ordered_text(lines: DataFrame, order: list[str], path: str) -> None:
+    """The column text as text files whose names and lines keep the order; each file is a range of it."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(n, *order).sortWithinPartitions(*order).select("text").write.text(path)
+
+
 def append_ledger(rows: DataFrame, path: str) -> None:
     """Add (sample_id, stage, status, message) rows, with the time."""
     rows.select("sample_id", "stage", "status", "message", F.current_timestamp().alias("at")).write.mode("append").parquet(path)

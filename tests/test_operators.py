@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwright.functions import aggregates, kernels, scalars
-from meshwright.operators import audit, features, geometry, graphs, mapping, relational
+from meshwright.operators import audit, features, geometry, graphs, mapping, networks, ordering, relational
 from meshwright.operators.components import connected_components
 from meshwright.sources import files, reports, sinks
 
@@ -101,9 +101,9 @@ def test_distance_transform_and_labels(spark):
     g = spark.range(125).select(F.lit("s").alias("sample_id"), F.floor(F.col("id") / 25).alias("i"), (F.floor(F.col("id") / 5) % 5).alias("j"), (F.col("id") % 5).alias("k"), "id")
     d = kernels.distance_transform(g.withColumn("solid", F.col("id") != 62))
     assert {(r["i"], r["j"], r["k"]): r["distance"] for r in d.collect()}[0, 0, 0] == pytest.approx(np.sqrt(12))
-    two = geometry.labelled(g.filter("i in (0, 2)").select("id", "i", "j", "k"))
+    two = geometry.labelled(g.filter("i in (0, 2)").select(F.lit("s").alias("sample_id"), "id", "i", "j", "k"))
     assert two.select("root").distinct().count() == 2
-    assert geometry.voxel_surface(g.select("id", "i", "j", "k")).count() == 150
+    assert geometry.voxel_surface(g.select(F.lit("s").alias("sample_id"), "id", "i", "j", "k")).count() == 150
 
 
 def test_spectrum_of_a_triangle(spark):
@@ -157,3 +157,114 @@ def test_verified_write_and_ledger(spark, tmp_path):
     rows = df.select("sample_id", F.lit("fea").alias("stage"), F.when(F.col("v") < 4, "SUCCESS").otherwise("FAILURE").alias("status"), F.lit("").alias("message"))
     sinks.append_ledger(rows, str(tmp_path / "l"))
     assert sinks.pending(df.select("sample_id"), sinks.latest(spark, str(tmp_path / "l")), "fea").count() == 6
+
+
+def test_positions_and_quantiles_of_hot_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else None, int(rng.integers(0, 40)), i) for i in range(400)] + [("one", 7, 900)]
+    df = spark.createDataFrame(rows, "k string, v int, i bigint")
+    got = ordering.positioned(df, ["k"], [F.col("v"), F.col("i")], "at", "n").collect()
+    for k in ("hot", None, "one"):
+        want = sorted((v, i) for g, v, i in rows if g == k)
+        assert sorted((r["v"], r["i"], r["at"], r["n"]) for r in got if r["k"] == k) == [(*x, at, len(want)) for at, x in enumerate(want)]
+    at = (0.0, 0.01, 0.5, 0.777, 1.0)
+    q = {r["k"]: r["q"] for r in ordering.quantiles(df, ["k"], ["v"], at).collect()}
+    for k in ("hot", None, "one"):
+        assert q[k] == pytest.approx(np.quantile([v for g, v, _ in rows if g == k], at))
+    assert ordering.quantiles(df.limit(0), ["k"], ["v"], at).count() == 0
+
+
+def test_neighbours_far_beyond_a_cell(spark):
+    rng = np.random.default_rng(6)
+    p = np.concatenate((rng.random((60, 3)), rng.random((5, 3)) + 500, [[-4000.0, 0, 0]]))
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "pid bigint, x double, y double, z double")
+    queries = [(0, 0.5, 0.5, 0.5), (1, 499.0, 500.0, 501.0), (2, 30000.0, 0.0, 0.0), (3, -4000.0, 0.0, 0.0)]
+    got = mapping.knn_grid(spark.createDataFrame(queries, "qid bigint, x double, y double, z double"), points, 7, 0.1).collect()
+    for qid, *x in queries:
+        d = np.sqrt(((p - x) ** 2).sum(1))
+        want = sorted(zip(d, range(len(p)), strict=True))[:7]
+        assert [r["pid"] for r in sorted((r for r in got if r["qid"] == qid), key=lambda r: r["rank"])] == [i for _, i in want]
+    few = mapping.knn_grid(spark.createDataFrame(queries, "qid bigint, x double, y double, z double"), points.limit(3), 7, 0.1)
+    assert few.groupBy("qid").count().filter("count = 3").count() == 4
+
+
+def test_canonical_graph_and_convergence(spark):
+    # a square with a short edge, a parallel edge, a loop and a spur
+    xyz = {0: (0, 0), 1: (4, 0), 2: (4, 4), 3: (0, 4), 4: (0.1, 0), 5: (4, 4.4)}
+    nodes = spark.createDataFrame([("a", 10 * n, float(x), float(y), 0.0, "junction", 1) for n, (x, y) in xyz.items()], "sample_id string, node bigint, x double, y double, z double, kind string, region_voxels bigint")
+    edges = [(4, 1, 4.0), (1, 2, 4.0), (2, 3, 4.0), (3, 0, 4.0), (0, 4, 0.1), (2, 1, 5.0), (1, 1, 3.0), (2, 5, 0.45)]
+    e = spark.createDataFrame([("a", 10 * s, 10 * t, w, 1.0) for s, t, w in edges], "sample_id string, source bigint, target bigint, path_length double, local_thickness_mean double")
+    n, c = graphs.canonical(nodes, e)
+    got = {r["node"]: (round(r["x"], 6), r["y"], r["degree"]) for r in n.collect()}
+    assert got == {0: (0.05, 0, 2), 1: (4, 0, 2), 2: (4, 4, 2), 3: (0, 4, 2)}
+    assert {(r["source"], r["target"]) for r in c.collect()} == {(0, 1), (1, 2), (2, 3), (0, 3)}
+    r = graphs.summary(n, c).first()
+    assert (r["simplified_nodes"], r["simplified_edges"], r["components"], r["endpoint_count"]) == (4, 4, 1, 0)
+
+
+def test_junction_regions_of_a_cross(spark):
+    voxels = [(x, 0, 0) for x in range(5)] + [(2, 1, 0), (2, 2, 0)] + [(9, 9, 9)]
+    m = spark.createDataFrame([("s", k, *map(int, v)) for k, v in enumerate(voxels)], "sample_id string, id bigint, i bigint, j bigint, k bigint")
+    got = sorted((r["kind"], r["voxels"]) for r in geometry.junction_regions(m, 6).collect())
+    assert got == [("endpoint", 1)] * 3 + [("isolated", 1), ("junction", 1)]
+    sweep = {r["connectivity"]: (r["voxels"], r["pairs"], r["components"]) for r in geometry.connectivity_sweep(m).collect()}
+    assert sweep == {6: (8, 6, 2), 18: (8, 8, 2), 26: (8, 8, 2)}
+
+
+def test_sum_block_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    h, e, ends = rng.random((4, 3)), rng.random((5, 3)), [(0, 1), (1, 2), (2, 0), (3, 1), (1, 0)]
+    layers = lambda n: [(rng.normal(size=(n, 3)).tolist(), rng.normal(size=3).tolist()), (rng.normal(size=(3, 3)).tolist(), rng.normal(size=3).tolist())]
+    edge, node = layers(9), layers(6)
+
+    def net(x, layers):
+        for w, b in layers:
+            x = np.maximum(x @ np.array(w) + b, 0)
+        return (x - x.mean()) / np.sqrt(x.var() + 1e-5)
+
+    nodes = spark.createDataFrame([("s", i, x.tolist()) for i, x in enumerate(h)], "sample_id string, node bigint, h array<double>")
+    edges = spark.createDataFrame([("s", a, b, x.tolist()) for (a, b), x in zip(ends, e, strict=True)], "sample_id string, source bigint, target bigint, attr array<double>")
+    n, out = networks.sum_block(nodes, edges, edge, node)
+    got = {r["node"]: r["h"] for r in n.collect()}
+    for i in range(4):
+        m = sum((net(np.concatenate((h[t], h[s], x)), edge) for (s, t), x in zip(ends, e, strict=True) if t == i), np.zeros(3))
+        assert got[i] == pytest.approx(h[i] + net(np.concatenate((m, h[i])), node))
+    got = {(r["source"], r["target"]): r["attr"] for r in out.collect()}
+    for (s, t), x in zip(ends, e, strict=True):
+        assert got[s, t] == pytest.approx(x + net(np.concatenate((h[s], h[t], x)), edge))
+
+
+def test_more_files(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.arange(6.0).reshape(2, 3))
+    (tmp_path / "bad.npy").write_bytes(b"no array")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.npy(spark, str(tmp_path)).collect()}
+    assert got["a.npy"]["shape"] == [2, 3] and got["a.npy"]["values"] == list(range(6)) and got["bad.npy"]["error"]
+    (tmp_path / "broken.zip").write_bytes(b"PK no archive")
+    assert [(r["ok"], r["member"]) for r in files.zip_members(spark, str(tmp_path)).collect()] == [(False, None)]
+    (tmp_path / "t.stl").write_text("solid t\nfacet normal 0 0 1\nouter loop\nvertex 0 0 0\nvertex 1 0 0\nvertex 0 1 0\nendloop\nendfacet\nendsolid t\n")
+    assert sorted((r["x"], r["y"], r["z"]) for r in files.stl(spark, str(tmp_path)).collect()) == [(0, 0, 0), (0, 1, 0), (1, 0, 0)]
+    for root in ("one", "two/deep"):
+        (tmp_path / root).mkdir(parents=True)
+        (tmp_path / root / "metadata.json").write_text("{}")
+    r = files.found(spark, "metadata.json", str(tmp_path / "two"), str(tmp_path)).collect()
+    assert len(r) == 2 and {x["place"]: x["path"].rsplit("/", 2)[1] for x in r} == {1: "deep", 2: "one"}
+    assert {x["folder"].rsplit("/", 1)[1]: x["missing"] for x in files.missing_markers(spark, str(tmp_path), ["metadata.json", "SUCCESS.txt"]).collect()} == {"one": ["SUCCESS.txt"], "deep": ["SUCCESS.txt"]}
+
+
+def test_writes_are_verified_in_every_mode(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "i bigint, s string")
+    for mode, n in (("append", 2), ("append", 4), ("overwrite", 2)):
+        assert sinks.verified_write(df, path, mode=mode).count() == n
+    lines = spark.createDataFrame([(k, f"line {k}") for k in range(20, 0, -1)], "line bigint, text string")
+    sinks.ordered_text(lines, ["line"], str(tmp_path / "deck"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "deck").glob("part-*")))
+    assert text.split("\n")[:-1] == [f"line {k}" for k in range(1, 21)]
+
+
+def test_samples_and_covers(spark):
+    df = spark.range(100)
+    a = {r["id"] for r in relational.sampled(df, "id", 10).collect()}
+    assert len(a) == 10 and a == {r["id"] for r in relational.sampled(df.repartition(7), "id", 10).collect()}
+    assert relational.sampled(df, "id", 500).count() == 100
+    assert relational.cover_gate(df, df, "id").first()["exact"] and not relational.cover_gate(df.union(df.limit(1)), df, "id").first()["exact"]
