@@ -39,6 +39,8 @@ BUCKET = 64
 SKETCH, MARGIN = 256, 0.1
 #: Rows of three integers that are broadcast, at most.
 BROADCAST_ROWS = 100_000
+#: Texts that the buckets of a group of copies choose for their first comparison; texts of a crowd that a round compares with all others.
+REPRESENTATIVES, TURN = 4, 8
 _CHUNK = 1 << 16
 #: Buckets of a set of shingles: a pair of similarity 0.8 misses all of them once in 16,000 times, one of 0.5 meets in one of 64.
 BANDS, ROWS = 32, 6
@@ -247,22 +249,23 @@ def _estimated(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure, pa.bool_())], ["x", "y", "sure"])
 
 
-def similar(edges: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges (x, y) whose texts' sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more.
-
-    Two texts without a word are alike. Only texts at an end of an edge become sets, one for each node. The sizes
-    and the ``SKETCH`` lowest hashes decide what is further than ``MARGIN`` (four standard errors) from the
-    similarity; whole sets decide the rest, so long sets seldom travel.
-    """
-    ends = edges.select(F.col("x").alias("node")).union(edges.select(F.col("y").alias("node"))).distinct()
-    needed = distinct.join(ends, "node", "left_semi").select("node", F.col("first").alias("doc_id"), "content").dropDuplicates(["node"])
-    needed = written(needed, "simhash-needed")
+def shingle_sets(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node, size, low (the ``SKETCH`` lowest hashes) and shingles of the texts of ``nodes`` (node, first: a doc_id, content)."""
+    needed = written(nodes.select("node", F.col("first").alias("doc_id"), "content"), "simhash-needed")
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed  # else every text is shuffled
     rows = _readable(docs).withColumnsRenamed({"doc_id": "d", "content": "c"})
     rows = rows.join(needed, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("c") == F.col("content"))).select("node", "text")
     sets = rows.mapInArrow(partial(_shingle_sets, shingle=shingle), "node bigint, size int, low array<int>, shingles array<int>")
-    sets = written(sets, "simhash-shingles")
-    of = lambda end, c: sets.dropDuplicates(["node"]).select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col(c).alias(f"of_{end}"))
+    return written(sets.dropDuplicates(["node"]), "simhash-shingles")
+
+
+def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (x, y) whose texts' ``shingle_sets`` have a Jaccard similarity of ``similarity`` or more.
+
+    Two texts without a word are alike. The sizes and the ``SKETCH`` lowest hashes decide what is further than ``MARGIN``
+    (four standard errors) from the similarity; whole sets decide the rest, so long sets seldom travel.
+    """
+    of = lambda end, c: sets.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col(c).alias(f"of_{end}"))
     low = edges.hint("merge").join(of("x", "low"), "x").hint("merge").join(of("y", "low"), "y")
     low = low.filter(F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y"))
     judged = written(low.select("x", "y", "size_x", "size_y", "of_x", "of_y").mapInArrow(partial(_estimated, similarity=similarity), "x bigint, y bigint, sure boolean").filter("sure is not null"), "simhash-judged")
@@ -272,31 +275,36 @@ def similar(edges: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int
     return judged.filter("sure").select("x", "y").union(exact.select("x", "y"))
 
 
-def _settled(found: DataFrame, crowds: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The components (node, root) of the edges ``found`` and of all pairs of a crowd that ``alike`` keeps.
+def _settled(nodes: DataFrame, found: DataFrame, crowds: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The components (node, root) of ``nodes`` under the edges ``found`` and all pairs of a crowd that ``alike`` keeps.
 
-    ``crowds``: (key, node), without the node of each that was compared with all others. Each round compares,
-    in every crowd that isn't one component yet, some nodes outside its largest component with all nodes of other
-    components, and takes them out; so none but pairs that are linked already stay uncompared. Twice as many
-    nodes a round keep the rounds logarithmic.
+    ``crowds``: (key, node), without nodes that were compared with all others. Each round compares, in every crowd that
+    isn't one component yet, some nodes outside its largest component with all nodes of other components, and takes
+    them out; so none but pairs that are linked already stay uncompared. Four times as many nodes a round keep the
+    rounds logarithmic. What a round links are components, so later rounds work on their roots alone.
     """
-    root = written(connected_components(found, "x", "y"), "simhash-roots")
-    several = 1
+    root = connected_components(found, "x", "y")
+    root = written(nodes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "simhash-roots")
+    several = TURN
     while True:
-        named = crowds.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        parts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
-        main = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("main")).filter("parts > 1")
+        named = crowds.join(root, "node")
+        main = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("main")).filter("parts > 1")
         named = written(named.join(main.select("key", F.col("main.root").alias("main")), "key"), "simhash-crowds")
         if named.isEmpty():
             return root
         turn = named.filter("root <> main").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(several)).alias("k"))
         turn = written(turn.agg(F.min(F.struct("node", "root")).alias("at")).select("key", F.col("at.node").alias("x"), F.col("at.root").alias("of_x")), "simhash-turn")
         pairs = named.join(turn, "key").filter("root <> of_x")
-        pairs = written(pairs.select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct(), "simhash-edges")
-        found = written(found.union(alike(pairs)), "simhash-found")
-        root = written(connected_components(found, "x", "y"), "simhash-roots")
-        crowds = written(named.join(turn.select("key", F.col("x").alias("node")), ["key", "node"], "left_anti").select("key", "node"), "simhash-crowds")
-        several *= 2
+        pairs = pairs.select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
+        more = alike(pairs)
+        for end in ("x", "y"):
+            more = more.join(root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
+        more = written(more.filter("root_x <> root_y").select("root_x", "root_y").distinct(), "simhash-found")
+        if not more.isEmpty():
+            up = connected_components(more, "root_x", "root_y").select(F.col("node").alias("root"), F.col("root").alias("up"))
+            root = written(root.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "simhash-roots")
+        crowds = named.join(turn.select("key", F.col("x").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+        several *= 4
 
 
 def near_copies(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
@@ -304,23 +312,25 @@ def near_copies(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFra
 
     Texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is ``similarity`` or more. Pairs
     that share one of ``BANDS`` buckets are compared, wherever in the text an edit lies; in buckets of more than
-    ``BUCKET`` texts, until no pair is left that isn't linked through others (``_settled``).
+    ``BUCKET`` texts, with one text of the bucket first (of ``REPRESENTATIVES`` that a group's buckets choose), then until
+    no pair is left that isn't linked through others (``_settled``).
     """
     prints = written(_readable(docs).mapInArrow(partial(_banded, shingle=shingle), "doc_id bigint, content bigint, bands array<bigint>"), "simhash-bands")
     distinct = written(prints.groupBy(F.col("content").alias("node")).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "simhash-distinct")
-    at = distinct.select("node", F.explode("bands").alias("key"))
-    sizes = at.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("one")).filter("n > 1")
-    met = written(at.hint("merge").join(sizes, "key"), "simhash-met")
+    at = distinct.select("node", F.posexplode("bands").alias("band", "key"))
+    pick = F.struct(F.xxhash64("node", F.col("band") % REPRESENTATIVES), "node")
+    sizes = at.groupBy("key").agg(F.count("*").alias("n"), F.min(pick).alias("one")).filter("n > 1").select("key", "n", F.col("one.node").alias("one"))
+    met = written(at.drop("band").hint("merge").join(sizes, "key"), "simhash-met")
     # most buckets of a group hold the same texts
     few = met.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m")).select("m").distinct()
     pairs = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y > F.col("x"))).alias("y"))
-    star = met.filter((F.col("n") > BUCKET) & (F.col("node") > F.col("one"))).select(F.col("one").alias("x"), F.col("node").alias("y"))
-    edges = written(pairs.union(star).distinct(), "simhash-edges")
-    nodes = distinct.select("node", "first", F.col("node").alias("content"))
-    found = similar(edges, nodes, docs, shingle, similarity)
-    found = written(found, "simhash-found")
+    star = met.filter((F.col("n") > BUCKET) & (F.col("node") != F.col("one"))).select(F.least("one", "node").alias("x"), F.greatest("one", "node").alias("y"))
+    edges = pairs.union(star).distinct()
+    nodes = written(met.select("node").distinct(), "simhash-nodes")
+    sets = shingle_sets(distinct.join(nodes, "node", "left_semi").select("node", "first", F.col("node").alias("content")), docs, shingle)
+    found = written(similar(edges, sets, similarity), "simhash-found")
     crowds = met.filter((F.col("n") > BUCKET) & (F.col("node") != F.col("one"))).select("key", "node")
-    root = _settled(found, crowds, partial(similar, distinct=nodes, docs=docs, shingle=shingle, similarity=similarity))
+    root = _settled(nodes, found, crowds, partial(similar, sets=sets, similarity=similarity))
     return prints.select("doc_id", "content").join(root.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "content", F.coalesce("root", "content").alias("root"))
 
 
