@@ -11,9 +11,11 @@ DIR_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """The session's ``spark.checkpoint.dir``; where none is set, a temporary folder, but on one machine only."""
     path = spark.conf.get(DIR_KEY, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{DIR_KEY} must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="meshwright-")
         spark.conf.set(DIR_KEY, path)
     return path.rstrip("/")
