@@ -35,6 +35,8 @@ ROUNDS, STEPS, BATCH, RATE = 3, 250, 96, 0.02
 PREDICTED = 0.7
 #: Bytes of the heads of words, with a mark before them; texts that a word must be in for a row of its own.
 HEADS, KNOWN = (5, 7, 9), 4
+#: Bytes of a word that are hashed one by one.
+LONG = 64
 _CACHE, _CHUNK = 300_000, 2048
 _EDGE = b".,;:!?\"'()[]{}*#$%&|<>"
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -52,17 +54,20 @@ def _features(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
     n = np.maximum(size - 2, 1)
     poly, heads = np.zeros(len(tokens), np.uint64), []
-    for k in range(max(HEADS)):  # a word's first bytes only, however long it is
+    for k in range(min(LONG, int(size.max()) if len(size) else 0)):
         live = size > k
         poly[live] = (poly[live] ^ b[start[live] + k]) * _M
         poly[live] ^= poly[live] >> np.uint64(31)
         if k + 1 in HEADS:
             heads.append(poly >> np.uint64(64 - 12))
-    whole = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    while len(heads) < len(HEADS):
+        heads.append(poly >> np.uint64(64 - 12))
+    for i in np.flatnonzero(size > LONG):  # what is beyond is hashed at once
+        poly[i] ^= np.uint64(xxhash.xxh3_64_intdigest(tokens[i]))
     own = np.concatenate([np.repeat(np.arange(len(tokens)), n), *[np.arange(len(tokens))] * len(HEADS)])
     rows = np.concatenate([tri[np.repeat(start, n) + _ranges(n)], *heads])
     order = np.argsort(own, kind="stable")
-    return (whole >> np.uint64(64 - 14)).astype(np.intp), rows[order].astype(np.intp), np.concatenate(([0], np.cumsum(n + len(HEADS))[:-1])).astype(np.intp)
+    return (poly >> np.uint64(64 - 14)).astype(np.intp), rows[order].astype(np.intp), np.concatenate(([0], np.cumsum(n + len(HEADS))[:-1])).astype(np.intp)
 
 
 def _ranges(n: np.ndarray) -> np.ndarray:
