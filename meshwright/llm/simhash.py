@@ -40,7 +40,7 @@ SKETCH, MARGIN = 256, 0.1
 #: Rows of three integers that are broadcast, at most.
 BROADCAST_ROWS = 100_000
 #: Texts that the buckets of a group of copies choose for their first comparison; texts of a crowd that a round compares with all others.
-REPRESENTATIVES, TURN = 4, 8
+REPRESENTATIVES, TURN = 4, 1
 _CHUNK = 1 << 16
 #: Buckets of a set of shingles: a pair of similarity 0.8 misses all of them once in 16,000 times, one of 0.5 meets in one of 64.
 BANDS, ROWS = 32, 6
@@ -237,16 +237,21 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 
 def _estimated(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Edges that may be similar; ``sure`` where the lowest hashes of both sets settle it."""
+    """Edges that may be similar; ``sure`` where the lowest hashes of both sets settle it. One sure edge of two roots in a batch is enough."""
     for b in batches:
-        sure = []
-        for m, n, p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+        sure, linked = [], set()
+        for roots, m, n, p, q in zip(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True), b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6), b.column(7), strict=True):
+            if roots in linked:
+                sure.append(None)
+                continue
             _, times = np.unique(np.concatenate((p.values.to_numpy().view(np.uint32), q.values.to_numpy().view(np.uint32))), return_counts=True)
             whole = max(m, n) <= SKETCH
             times = times if whole else times[:SKETCH]
             found = (times == 2).mean() if len(times) else 1.0
             sure.append(bool(found >= similarity + (0 if whole else MARGIN)) or (None if whole or found < similarity - MARGIN else False))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure, pa.bool_())], ["x", "y", "sure"])
+            if sure[-1]:
+                linked.add(roots)
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sure, pa.bool_())], ["x", "y", "root_x", "root_y", "sure"])
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -260,30 +265,32 @@ def shingle_sets(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (x, y) whose texts' ``shingle_sets`` have a Jaccard similarity of ``similarity`` or more.
+    """(root_x, root_y): roots that edges (x, y, root_x, root_y) link whose texts' ``shingle_sets`` have a Jaccard similarity of ``similarity`` or more.
 
     Two texts without a word are alike. The sizes and the ``SKETCH`` lowest hashes decide what is further than ``MARGIN``
     (four standard errors) from the similarity; whole sets decide the rest, so long sets seldom travel.
     """
+    ends = ["x", "y", "root_x", "root_y"]
     of = lambda end, c: sets.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col(c).alias(f"of_{end}"))
     low = edges.hint("merge").join(of("x", "low"), "x").hint("merge").join(of("y", "low"), "y")
     low = low.filter(F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y"))
-    judged = written(low.select("x", "y", "size_x", "size_y", "of_x", "of_y").mapInArrow(partial(_estimated, similarity=similarity), "x bigint, y bigint, sure boolean").filter("sure is not null"), "simhash-judged")
-    both = judged.filter("not sure").select("x", "y").hint("merge").join(of("x", "shingles"), "x").hint("merge").join(of("y", "shingles"), "y")
+    judged = low.select(*ends, "size_x", "size_y", "of_x", "of_y").mapInArrow(partial(_estimated, similarity=similarity), "x bigint, y bigint, root_x bigint, root_y bigint, sure boolean")
+    judged = written(judged.filter("sure is not null"), "simhash-judged")
+    both = judged.filter("not sure").select(*ends).hint("merge").join(of("x", "shingles"), "x").hint("merge").join(of("y", "shingles"), "y")
     shared = F.size(F.array_intersect("of_x", "of_y"))
     exact = both.filter(shared >= similarity * (F.size("of_x") + F.size("of_y") - shared))
-    return judged.filter("sure").select("x", "y").union(exact.select("x", "y"))
+    return judged.filter("sure").select("root_x", "root_y").union(exact.select("root_x", "root_y"))
 
 
 def _settled(nodes: DataFrame, found: DataFrame, crowds: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The components (node, root) of ``nodes`` under the edges ``found`` and all pairs of a crowd that ``alike`` keeps.
+    """The components (node, root) of ``nodes`` under the edges ``found`` (root_x, root_y) and all pairs of a crowd that ``alike`` keeps.
 
     ``crowds``: (key, node), without nodes that were compared with all others. Each round compares, in every crowd that
     isn't one component yet, some nodes outside its largest component with all nodes of other components, and takes
-    them out; so none but pairs that are linked already stay uncompared. Four times as many nodes a round keep the
+    them out; so none but pairs that are linked already stay uncompared. Twice as many nodes a round keep the
     rounds logarithmic. What a round links are components, so later rounds work on their roots alone.
     """
-    root = connected_components(found, "x", "y")
+    root = connected_components(found, "root_x", "root_y")
     root = written(nodes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "simhash-roots")
     several = TURN
     while True:
@@ -295,16 +302,13 @@ def _settled(nodes: DataFrame, found: DataFrame, crowds: DataFrame, alike: Calla
         turn = named.filter("root <> main").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(several)).alias("k"))
         turn = written(turn.agg(F.min(F.struct("node", "root")).alias("at")).select("key", F.col("at.node").alias("x"), F.col("at.root").alias("of_x")), "simhash-turn")
         pairs = named.join(turn, "key").filter("root <> of_x")
-        pairs = pairs.select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
-        more = alike(pairs)
-        for end in ("x", "y"):
-            more = more.join(root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
-        more = written(more.filter("root_x <> root_y").select("root_x", "root_y").distinct(), "simhash-found")
+        pairs = pairs.select("x", F.col("node").alias("y"), F.col("of_x").alias("root_x"), F.col("root").alias("root_y")).distinct()
+        more = written(alike(pairs).distinct(), "simhash-found")
         if not more.isEmpty():
             up = connected_components(more, "root_x", "root_y").select(F.col("node").alias("root"), F.col("root").alias("up"))
             root = written(root.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "simhash-roots")
         crowds = named.join(turn.select("key", F.col("x").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-        several *= 4
+        several *= 2
 
 
 def near_copies(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
@@ -325,7 +329,7 @@ def near_copies(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFra
     few = met.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m")).select("m").distinct()
     pairs = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y > F.col("x"))).alias("y"))
     star = met.filter((F.col("n") > BUCKET) & (F.col("node") != F.col("one"))).select(F.least("one", "node").alias("x"), F.greatest("one", "node").alias("y"))
-    edges = pairs.union(star).distinct()
+    edges = pairs.union(star).distinct().select("x", "y", F.col("x").alias("root_x"), F.col("y").alias("root_y"))
     nodes = written(met.select("node").distinct(), "simhash-nodes")
     sets = shingle_sets(distinct.join(nodes, "node", "left_semi").select("node", "first", F.col("node").alias("content")), docs, shingle)
     found = written(similar(edges, sets, similarity), "simhash-found")
