@@ -146,8 +146,8 @@ def test_every_text_meets_its_bucket(spark, monkeypatch):
     # in one crowd, 1 was compared with all others and is like none of them; alike: numbers 5 apart at most
     crowd = [10, 15, 20, 40, 44, 90, 94, 98, 99]
     crowds = spark.createDataFrame([(7, n) for n in crowd] + [(8, 200), (8, 300)], "key bigint, node bigint")
-    none = spark.createDataFrame([], "x bigint, y bigint")
-    got = simhash._settled(crowds.select("node").distinct(), none, crowds, lambda e: e.filter("abs(x - y) <= 5"))
+    none = spark.createDataFrame([], "root_x bigint, root_y bigint")
+    got = simhash._settled(crowds.select("node").distinct(), none, crowds, lambda e: e.filter("abs(x - y) <= 5").select("root_x", "root_y"))
     assert {r["node"]: r["root"] for r in got.collect()} == {10: 10, 15: 10, 20: 10, 40: 40, 44: 40, 90: 90, 94: 90, 98: 90, 99: 90, 200: 200, 300: 300}
     # each text like the next longer one only
     monkeypatch.setattr(simhash, "BUCKET", 1)
