@@ -8,8 +8,10 @@ catches re-parameterised questions as well as exact copies.
 
 A document is contaminated by an item if consistent alignments cover half of the item's windows, or
 ``ENOUGH`` of them. Templates with fewer than ``LITERALS`` words that aren't placeholders (or than half of a
-short window) say nothing and don't count. Windows of the lower-cased words themselves are joined too, all of them:
-copies match whatever their literals and case, by the same share of all of the item's windows.
+short window) say nothing and don't count. Windows of the lower-cased words themselves are joined too, all of an item's,
+so copies match whatever their literals and case, by the same share of all of the item's windows. Documents take part
+in that with all windows if the benchmark has items of up to ``SHORT`` windows or items most of whose windows say nothing, as
+those can't be found otherwise, and else if five of their words in a row are capitalised, as no template finds copies in capitals.
 
 Null and empty texts match nothing, as does an empty benchmark. A document is a doc_id with a text: rows that repeat
 both count once, and texts without a doc_id or of one doc_id are documents of their own (``contaminated`` gives each
@@ -18,16 +20,19 @@ its rows). Of items that repeat an item_id one counts. Of either table only the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwright.llm.common import SPACE, table
+from meshwright.shared import written
 
-WINDOW, LITERALS, ENOUGH = 8, 4, 6
+WINDOW, LITERALS, ENOUGH, SHORT = 8, 4, 6, 3
 #: Benchmark windows that are broadcast, at most; beyond that the windows meet in a shuffled join.
 BROADCAST_ROWS = 100_000
 #: Bits that mark hashes of benchmark windows (a megabyte).
 MARKS = 1 << 23
+#: Five capitalised words in a row.
+SHOUTED = r"(?:\p{Lu}[^\x20\x09-\x0D]*[\x20\x09-\x0D]+){4}\p{Lu}"
 #: Units of measure (fixed values).
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours "
@@ -57,17 +62,18 @@ def _lowered(rows: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size, j (start), h (hash), exact (of the words, not of the template), places and values of the slots, total (such windows of the item)."""
+    """item_id, size, j (start), h (hash), exact (of the words, not of the template), places and values of the slots, needed (only so can it be found), total (such windows of the item)."""
     b = templates(benchmark, "item_id").filter("size(t) > 0").dropDuplicates(["item_id"]).withColumn("size", F.least(F.size("t"), F.lit(WINDOW)))
     sized = lambda of: F.coalesce(*[F.when(F.col("size") == n, _windows(n, of)) for n in range(1, WINDOW + 1)])
     both = F.arrays_zip(sized("t").alias("h"), sized("l").alias("copy"))
-    b = _lowered(b).select("item_id", "size", "w", "t", F.posexplode_outer(both).alias("j", "x")).select("item_id", "size", "w", "t", "j", "x.*").filter("h is not null")
+    b = _lowered(b).select("item_id", "size", "w", "t", F.size(both).alias("long"), F.posexplode_outer(both).alias("j", "x")).select("item_id", "size", "w", "t", "long", "j", "x.*").filter("h is not null")
     b = b.withColumn("t", F.slice("t", F.col("j") + 1, F.col("size"))).withColumn("w", F.slice("w", F.col("j") + 1, F.col("size")))
     places = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.get("t", k).isin("<num>", "<unit>", "<name>"))
     b = b.withColumn("places", places)
-    copies = b.select("item_id", "size", "j", F.col("copy").alias("h"), F.lit(True).alias("exact"), F.slice("places", 1, 0).alias("places"), F.slice("w", 1, 0).alias("asked"))
-    b = b.filter(F.col("size") - F.size("places") >= F.least(F.lit(LITERALS), F.ceil(F.col("size") / 2)))
-    b = b.select("item_id", "size", "j", "h", F.lit(False).alias("exact"), "places", F.transform("places", lambda k: F.get("w", k)).alias("asked")).union(copies)
+    says = F.col("size") - F.size("places") >= F.least(F.lit(LITERALS), F.ceil(F.col("size") / 2))
+    copies = b.select("item_id", "size", "j", F.col("copy").alias("h"), F.lit(True).alias("exact"), F.slice("places", 1, 0).alias("places"), F.slice("w", 1, 0).alias("asked"), ((2 * F.sum(says.cast("int")).over(Window.partitionBy("item_id")) < F.col("long")) | (F.col("long") <= SHORT)).alias("needed"))
+    b = b.filter(says)
+    b = b.select("item_id", "size", "j", "h", F.lit(False).alias("exact"), "places", F.transform("places", lambda k: F.get("w", k)).alias("asked"), F.lit(True).alias("needed")).union(copies)
     return b.join(b.groupBy("item_id", "exact").agg(F.count("*").alias("total")), ["item_id", "exact"])
 
 
@@ -86,25 +92,40 @@ def _marks(bench: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, doc_a, doc_b, item_id, exact, diagonal, j and the slots (asked, found) of every window that both share.
 
-    Windows whose hash the benchmark doesn't mark go before rows are made of them; the others take their own words along.
+    Windows meet without their words. The words of slots come after, from the documents that have such a match.
     """
     bench = benchmark_windows(benchmark)
-    sizes = {r["size"]: r["n"] for r in bench.groupBy("size").agg(F.count("*").alias("n")).collect()}  # 8 rows at most
-    named = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("doc_b"))
-    d = _lowered(templates(named, *_DOC)).crossJoin(F.broadcast(_marks(bench)))
+    sizes = {(r["size"], r["exact"]): r for r in bench.groupBy("size", "exact").agg(F.count("*").alias("n"), F.bool_or("needed").alias("needed")).collect()}  # 16 rows at most
+    few = sum(r["n"] for r in sizes.values()) <= BROADCAST_ROWS
+    # the condition always holds; with it, Spark hashes a text once, where it would do so anew for each of its windows
+    once = lambda h: F.when(F.monotonically_increasing_id() >= 0, h)
+    named = docs.select("doc_id", "text", once(F.xxhash64("doc_id", "text")).alias("doc_a"), once(F.xxhash64(F.lit(1), "text", "doc_id")).alias("doc_b"))
+    d = _lowered(templates(named.withColumn("shouted", F.coalesce(F.col("text").rlike(SHOUTED), F.lit(False))), *_DOC, "shouted"))
     marked = lambda h: F.call_function("shiftright", F.get("marks", F.shiftright(h.bitwiseAND(F.lit(MARKS - 1)), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    def kept(n: int, of: str) -> Column:
-        found = F.filter(F.transform(_windows(n, of), lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: marked(x["h"]))
-        return F.coalesce(F.transform(found, lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.slice("w", x["i"] + 1, n).alias("own"))), F.array())
+    def placed(n: int, exact: bool) -> Column:
+        at = _windows(n, "l" if exact else "t")
+        found = F.transform(at if sizes[n, exact]["needed"] else F.when(F.col("shouted"), at), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.coalesce(found if few else F.filter(found, lambda x: marked(x["h"])), F.array())
 
-    none = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("i"), F.col("w").alias("own")))
-    every = F.concat(*[kept(n, of) for n in sorted(sizes) for of in "tl"]) if sizes else none
+    none = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("i")))
+    every = F.concat(*[placed(*x) for x in sorted(sizes)]) if sizes else none
+    if not few:  # windows that the benchmark doesn't mark go before rows are made of them
+        d = d.crossJoin(F.broadcast(_marks(bench)))
     # outer: else Spark infers a filter on the windows and evaluates all templates anew for each of them
     at = d.select(*_DOC, every.alias("x")).select(*_DOC, F.explode_outer("x").alias("x")).select(*_DOC, "x.*")
-    met = at.join(F.broadcast(bench) if sum(sizes.values()) <= BROADCAST_ROWS else bench, "h")
-    slots = F.zip_with("places", "asked", lambda k, a: F.struct(a.alias("asked"), F.get("own", k).alias("found")))
-    return met.select(*_DOC, "item_id", "exact", (F.col("i") - F.col("j")).alias("diagonal"), "j", "total", slots.alias("slots"))
+    met = at.join(F.broadcast(bench) if few else bench, "h")
+    met = written(met.select(*_DOC, "item_id", "exact", "i", "j", "total", "places", "asked"), "template-matches")
+    slot = F.array(F.struct(F.lit("").alias("asked"), F.lit("").alias("found")))
+    plain = met.filter("size(places) = 0").select(*_DOC, "item_id", "exact", (F.col("i") - F.col("j")).alias("diagonal"), "j", "total", F.slice(slot, 1, 0).alias("slots"))
+    asking = met.filter("size(places) > 0").groupBy(*_DOC).agg(F.collect_list(F.struct("item_id", "exact", "i", "j", "total", "places", "asked")).alias("m"))  # a document's matches
+    asking = written(asking, "template-slots")
+    need = asking.select("doc_a", "doc_b")
+    text = named.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, ["doc_a", "doc_b"], "left_semi").dropDuplicates(["doc_a", "doc_b"])
+    both = asking.join(templates(text, "doc_a", "doc_b").drop("t"), ["doc_a", "doc_b"])
+    found = lambda x: F.zip_with(x["places"], x["asked"], lambda k, a: F.struct(a.alias("asked"), F.get("w", x["i"] + k).alias("found")))
+    slots = F.transform("m", lambda x: F.struct(x["item_id"].alias("item_id"), x["exact"].alias("exact"), (x["i"] - x["j"]).alias("diagonal"), x["j"].alias("j"), x["total"].alias("total"), found(x).alias("slots")))
+    return plain.union(both.select(*_DOC, slots.alias("m")).select(*_DOC, F.explode("m").alias("m")).select(*_DOC, "m.*"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
