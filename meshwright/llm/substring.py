@@ -26,7 +26,7 @@ import hashlib
 import math
 import uuid
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -224,7 +224,7 @@ class FingerprintIndex:
     """What batches leave for those to come, in tables of the shared folder that never change.
 
     ``runs``: tables (fp, n, batch, doc, pos), sorted and bucketed by fp: how often a fingerprint occurs; where, if it does once.
-    ``digests``: (d1, d2) of the windows that were verified, sorted. ``texts``: (batch, doc, text) of all batches.
+    ``digests``: (d1, d2) of the windows that were verified, sorted. ``texts``: a table of each batch, bucketed by doc.
     ``spent`` names what compaction has replaced; results that aren't read yet may need it, so ``clean`` removes it when told to.
     """
 
@@ -240,9 +240,18 @@ class FingerprintIndex:
 
     def write_run(self, rows: DataFrame) -> str:
         """A run of rows (fp, n, batch, doc, pos) with one row for each fingerprint; returns its table's name."""
-        name = f"substring_run_{uuid.uuid4().hex}"
-        self.paths[name] = new_path(self.spark, "index-run")
-        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", self.paths[name]).format("parquet").saveAsTable(name)
+        return self._save(rows.repartition(self.buckets, "fp"), "fp", True)
+
+    def write_texts(self, rows: DataFrame) -> DataFrame:
+        """A batch's rows (doc, text and others), kept for batches to come, where those of a document lie together."""
+        self.texts.append(self._save(rows.withColumn("batch", F.lit(self.batches)), "doc"))
+        return self.spark.table(self.texts[-1]).select(*rows.columns)
+
+    def _save(self, rows: DataFrame, key: str, order: bool = False) -> str:
+        name = f"substring_{key}_{uuid.uuid4().hex}"
+        self.paths[name] = new_path(self.spark, "index")
+        w = rows.write.format("parquet").bucketBy(self.buckets, key)
+        (w.sortBy(key) if order else w).option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def run_of(self, docs: DataFrame) -> str:
@@ -267,16 +276,15 @@ class FingerprintIndex:
         places = written(seen.filter("before = 1").select("at.batch", "at.doc", "at.pos"), "substring-places")
         few = places.count() <= BROADCAST_ROWS
         places = places.groupBy("batch", "doc").agg(F.collect_list("pos").alias("places"))  # a document's fingerprints at most
-        texts = self.spark.read.schema("batch int, doc bigint, text binary").parquet(*self.texts).join(F.broadcast(places) if few else places, ["batch", "doc"])
+        texts = reduce(DataFrame.union, [self.spark.table(x).select("batch", "doc", "text") for x in self.texts]).join(F.broadcast(places) if few else places, ["batch", "doc"])
         out = texts.select("doc", "text", "places").mapInArrow(partial(_window_rows, origin=HISTORY, bits=bits), _RANGES)
         verified = self.spark.read.schema("d1 bigint, d2 bigint").parquet(*self.digests)
         return out.union(verified.mapInArrow(partial(_verified_rows, bits=bits), _RANGES))
 
-    def append(self, run: str, docs: DataFrame, firsts: DataFrame) -> None:
-        """Make a judged batch history: its run, its texts, and the digests that came new; then compact."""
-        for tables, rows in ((self.texts, docs.select(F.lit(self.batches).alias("batch"), "doc", "text")), (self.digests, firsts.select("d1", "d2").sortWithinPartitions("d1", "d2"))):
-            tables.append(new_path(self.spark, "index-part"))
-            rows.write.parquet(tables[-1])
+    def append(self, run: str, firsts: DataFrame) -> None:
+        """Make a judged batch history: its run and the digests that came new; then compact."""
+        self.digests.append(new_path(self.spark, "index-digests"))
+        firsts.select("d1", "d2").sortWithinPartitions("d1", "d2").write.parquet(self.digests[-1])
         self.runs.append(run)
         self.batches += 1
         if len(self.runs) >= RUNS:
@@ -348,16 +356,19 @@ def judged(docs: DataFrame, index: FingerprintIndex | None = None, keep: bool =
     total = docs.sparkSession.table(run).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(5, math.ceil(math.log2((_SPAN + 1) / 2 * max(1, total) / RANGE)))
     seen = index.seen(run)
-    # one exchange of unique places and one of texts serve both passes
+    # one exchange of unique places and one of texts serve both passes, by way of the index's table where it keeps the texts
     unique = seen.filter("n = 1 and before = 0").groupBy("doc").agg(F.collect_list("pos").alias("unique"))
     with_unique = d.join(unique, "doc", "left").select("doc", "text", "unique", "doc_id")
+    old = index.historical(seen, bits)
+    if keep:
+        with_unique = index.write_texts(with_unique)
     windows = with_unique.select("doc", "text", "unique").mapInArrow(partial(_window_rows, origin=BATCH, bits=bits), _RANGES)
-    if (old := index.historical(seen, bits)) is not None:
+    if old is not None:
         windows = windows.union(old)
     firsts = windows.groupBy("bucket").applyInArrow(_firsts, _FIRST)
     if keep:
         firsts = written(firsts, "substring-firsts")
-        index.append(run, d, firsts)
+        index.append(run, firsts)
     first = firsts.filter(F.col("origin") == BATCH).groupBy("doc").agg(F.collect_list("pos").alias("first"))
     rows = with_unique.join(first, "doc", "left").select("doc", "text", "unique", "first", "doc_id")
     return rows.mapInArrow(_decided, "doc bigint, doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary")
