@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm import ctw, decontaminate, langid, packing, quality, simhash, substring, toxicity, urls, warc
+from meshwright.llm import ctw, decontaminate, divergence, langid, licenses, packing, quality, simhash, substring, toxicity, urls, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_derivatives": warc.op8_warc_derivatives,
         "op9_url_filter": urls.op9_url_filter,
         "op10_length_buckets": packing.op10_length_buckets,
+        "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_license_scan": licenses.op12_license_scan,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op2_substring_dedup": substring.OP2_SQL, "op5_quality_rules": quality.OP5_SQL, "op8_warc_derivatives": warc.OP8_SQL}
+    return {
+        "op1_decontaminate": decontaminate.OP1_SQL, "op2_substring_dedup": substring.OP2_SQL, "op5_quality_rules": quality.OP5_SQL, "op8_warc_derivatives": warc.OP8_SQL,
+        "op11_source_divergence": divergence.OP11_SQL,
+    }
