@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions.scalars import clip, cross, grading, minus, norm, tet_edge_ratio, tet_quality, tet_volume, tpms
 from meshwright.operators.graphs import components
 from meshwright.operators.ordering import quantiles
-from meshwright.shared import written
 
 SIDE, ORIGIN = 20.0, (-10.0, -10.0, 0.0)
 
 
-def voxels(spark: SparkSession, n: int) -> DataFrame:
-    """Centres of an n^3 grid over the cube: i, j, k, x, y, z; one row each, made where it is used."""
-    i, j, k = F.floor(F.col("id") / (n * n)), F.floor(F.col("id") / n) % n, F.col("id") % n
-    at = lambda c, o: F.lit(o) + (c + 0.5) * (SIDE / n)
-    return spark.range(n**3).select("id", i.alias("i"), j.alias("j"), k.alias("k"), *[at(c, o).alias(a) for a, c, o in zip("xyz", (i, j, k), ORIGIN, strict=True)])
+def voxels(df: DataFrame, n: int) -> DataFrame:
+    """Each row of ``df`` over the n^3 voxels of the cube: its columns with id, i, j, k and the centres x, y, z.
+
+    Slices are dealt out before they are filled, so that a row's grid is made in parallel.
+    """
+    line = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    v = df.withColumn("i", F.explode(line)).repartition(*[F.col(c) for c in (*df.columns[:1], "i")]).withColumn("j", F.explode(line)).withColumn("k", F.explode(line))
+    at = [(F.lit(o) + (F.col(c) + 0.5) * (SIDE / n)).alias(a) for a, c, o in zip("xyz", "ijk", ORIGIN, strict=True)]
+    return v.select("*", ((F.col("i") * n + F.col("j")) * n + F.col("k")).alias("id"), *at)
 
 
-def field(grid: DataFrame, designs: DataFrame) -> DataFrame:
-    """The implicit field of each design (a table of a proven few rows per run) over the grid, and its threshold profile."""
-    df = designs.crossJoin(grid)
+def field(designs: DataFrame, n: int) -> DataFrame:
+    """The implicit field of each design over an n^3 grid, and its threshold profile."""
+    df = voxels(designs, n)
     f = tpms(F.col("architecture"), *[F.col(c) for c in ("x", "y", "z", "cell_size_mm", "phase_x_rad", "phase_y_rad", "phase_z_rad")])
     profile = clip(1 + F.col("grading_amplitude") * grading(F.col("grading_mode"), F.col("z") / SIDE), 0.2)
     return df.withColumns({"f": f, "profile": profile})
 
 
+def masked(fields: DataFrame) -> DataFrame:
+    """The voxels of fields with ``tau``, their sample's calibrated threshold, and ``solid``: within it, times the profile."""
+    f = fields.join(calibrated(fields), "sample_id")
+    return f.withColumn("solid", F.abs("f") / F.col("profile") <= F.col("tau") + 1e-9)
+
+
 def calibrated(fields: DataFrame) -> DataFrame:
     """The threshold at which each sample's mask has its target density: that quantile of |f| over the profile, exactly."""
     ratio = fields.select("sample_id", "target_relative_density", (F.abs("f") / F.col("profile")).alias("ratio"))
@@ -55,22 +64,6 @@ def labelled(mask: DataFrame, connectivity: int = 26) -> DataFrame:
     return components(nodes, edges).withColumnRenamed("node", "id")
 
 
-def junction_regions(mask: DataFrame, connectivity: int = 26) -> DataFrame:
-    """Skeleton voxels (sample_id, id, i, j, k) as graph nodes: (sample_id, node, kind, voxels, i, j, k).
-
-    Touching voxels of more than two neighbours are one junction at their mean; ends and lone voxels are nodes of their
-    own. A node has the smallest id of its voxels.
-    """
-    pairs = written(adjacent(mask, connectivity), "voxel-pairs")
-    d = pairs.select("sample_id", F.explode(F.array("a", "b")).alias("id")).groupBy("sample_id", "id").agg(F.count(F.lit(1)).alias("d"))
-    v = mask.join(d, ["sample_id", "id"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
-    v = written(v.withColumn("kind", F.when(F.col("d") > 2, "junction").when(F.col("d") == 1, "endpoint").when(F.col("d") == 0, "isolated")).filter("kind is not null"), "voxel-nodes")
-    inside = v.filter("kind = 'junction'").select("sample_id", "id")
-    e = pairs.join(inside.withColumnRenamed("id", "a"), ["sample_id", "a"], "left_semi").join(inside.withColumnRenamed("id", "b"), ["sample_id", "b"], "left_semi")
-    named = components(v.withColumnRenamed("id", "node"), e.select("sample_id", F.col("a").alias("source"), F.col("b").alias("target")))
-    return named.groupBy("sample_id", F.col("root").alias("node"), "kind").agg(F.count(F.lit(1)).alias("voxels"), *[F.avg(c).alias(c) for c in "ijk"])
-
-
 def connectivity_sweep(mask: DataFrame, connectivities: tuple[int, ...] = (6, 18, 26)) -> DataFrame:
     """(sample_id, connectivity, voxels, pairs, components): how the same voxels hang together under each neighbourhood."""
     out = None

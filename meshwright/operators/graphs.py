@@ -28,14 +28,12 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with ``root``, the smallest node of their component in their sample."""
-    key = lambda c: F.struct("sample_id", F.col(c).alias("node"))
-    pairs = edges.select(key("source").alias("a"), key("target").alias("b"))
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().select("k", F.xxhash64("k").alias("h")), "graph-ids")
-    e = pairs.join(ids.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(ids.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b")
-    root = connected_components(e.select("ha", "hb"), "ha", "hb").join(ids, F.col("node") == F.col("h")).select("k", "root")
-    low = root.groupBy("root").agg(F.min("k.node").alias("low"))
-    named = root.join(low, "root").select(F.col("k.sample_id").alias("sample_id"), F.col("k.node").alias("node"), "low")
-    return nodes.join(named, ["sample_id", "node"], "left").withColumn("root", F.coalesce("low", "node")).drop("low")
+    kind = nodes.schema["node"].dataType
+    key = lambda c: F.xxhash64("sample_id", F.col(c).cast(kind))
+    root = connected_components(edges.select(key("source").alias("a"), key("target").alias("b"))).select(F.col("node").alias("_h"), F.col("root").alias("_root"))
+    named = nodes.withColumn("_h", key("node")).join(root, "_h", "left")
+    low = named.filter("_root is not null").groupBy("_root").agg(F.min("node").alias("low"))
+    return named.join(low, "_root", "left").withColumn("root", F.coalesce("low", "node")).drop("low", "_root", "_h")
 
 
 def component_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ in for them. Fractions are rounded to six places on both sides.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,8 +19,10 @@ from meshwright.operators import audit, features, geometry, graphs, mapping, rel
 from meshwright.operators.components import connected_components
 from meshwright.operators.ordering import quantiles
 from meshwright.plans.registry import QUERIES, SQL, query, rounded  # noqa: F401
+from meshwright.shared import written
 from meshwright.sources import reports
 
+
 def predictions(t: Callable[[str], DataFrame]) -> DataFrame:
     """Prices of line items, and a prediction from quantity and retail price."""
     p = t("part").select("p_partkey", "p_brand", "p_retailprice")
@@ -434,71 +438,77 @@ def recompute_geometry(t):
     return rounded(graphs.recomputed(*_vector_graph(t)).select("source", "target", "chord_length", "tortuosity", "azimuth", "polar"))
 
 
-_DESIGNS = "(values ('a', 'gyroid', 0.4, 5.0, 'linear', 0.2), ('b', 'diamond', 0.3, 4.0, 'sinusoidal', 0.1), ('c', 'primitive', 0.5, 8.0, 'uniform', 0.0)) d(sample_id, arch, rho, cell, mode, amp)"
-_N = 16
+_N = 12
 
 
-def _fields(t) -> DataFrame:
-    spark = t("region").sparkSession
-    d = spark.createDataFrame([("a", "gyroid", 0.4, 5.0, "linear", 0.2), ("b", "diamond", 0.3, 4.0, "sinusoidal", 0.1), ("c", "primitive", 0.5, 8.0, "uniform", 0.0)], "sample_id string, architecture string, target_relative_density double, cell_size_mm double, grading_mode string, grading_amplitude double")
-    d = d.withColumns({f"phase_{a}_rad": F.lit(v) for a, v in zip("xyz", (0.1, 0.2, 0.3), strict=True)})
-    return geometry.field(geometry.voxels(spark, _N), d)
+def _designs(t) -> DataFrame:
+    """A design for each supplier."""
+    k = F.col("s_suppkey")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (k % n + 1).cast("int"))
+    return t("supplier").select(
+        k.cast("string").alias("sample_id"), pick(("gyroid", "diamond", "primitive"), 3).alias("architecture"), ((25 + F.col("s_nationkey")) / 100).alias("target_relative_density"), (4 + k % 5).cast("double").alias("cell_size_mm"),
+        pick(("uniform", "linear", "sinusoidal", "linear"), 4).alias("grading_mode"), F.when(k % 4 == 0, 0.0).otherwise(k % 6 / 24).alias("grading_amplitude"), *[(F.lit(v) * (k % m)).alias(f"phase_{a}_rad") for a, v, m in zip("xyz", (0.1, 0.2, 0.3), (7, 11, 5), strict=True)],
+    )
 
 
-_FIELD = f"""with g as (select range as id, range // {_N * _N} as i, range // {_N} % {_N} as j, range % {_N} as k from range({_N**3})),
-p as (select sample_id, arch, rho::double as rho, amp::double as amp, mode, id, i, j, k, 2 * pi() * (-10 + (i + 0.5) * {20 / _N}) / cell + 0.1 as a, 2 * pi() * (-10 + (j + 0.5) * {20 / _N}) / cell + 0.2 as b, 2 * pi() * ((k + 0.5) * {20 / _N}) / cell + 0.3 as c, (k + 0.5) / {_N} as z from g, {_DESIGNS}),
+_DESIGNS = """(select s_suppkey::varchar as sample_id, ['gyroid', 'diamond', 'primitive'][s_suppkey % 3 + 1] as arch, ((25 + s_nationkey) / 100)::double as rho, (4 + s_suppkey % 5)::double as cell, ['uniform', 'linear', 'sinusoidal', 'linear'][s_suppkey % 4 + 1] as mode,
+  case when s_suppkey % 4 = 0 then 0::double else (s_suppkey % 6) / 24 end as amp, 0.1::double * (s_suppkey % 7) as px, 0.2::double * (s_suppkey % 11) as py, 0.3::double * (s_suppkey % 5) as pz from supplier)"""
+_FIELD = f"""with recursive g as (select range as id, range // {_N * _N} as i, range // {_N} % {_N} as j, range % {_N} as k from range({_N**3})),
+p as (select sample_id, arch, rho, amp, mode, id, i, j, k, 2 * pi() * (-10 + (i + 0.5) * (20::double / {_N})) / cell + px as a, 2 * pi() * (-10 + (j + 0.5) * (20::double / {_N})) / cell + py as b, 2 * pi() * ((k + 0.5) * (20::double / {_N})) / cell + pz as c, (k + 0.5) / {_N} as z from g, {_DESIGNS}),
 f as (select *, case arch when 'gyroid' then sin(a) * cos(b) + sin(b) * cos(c) + sin(c) * cos(a) when 'diamond' then sin(a) * sin(b) * sin(c) + sin(a) * cos(b) * cos(c) + cos(a) * sin(b) * cos(c) + cos(a) * cos(b) * sin(c) else cos(a) + cos(b) + cos(c) end as f,
-  greatest(0.2, 1 + amp * case mode when 'linear' then 2 * z - 1 when 'sinusoidal' then sin(2 * pi() * z) else 0 end) as profile from p),
-q as (select sample_id, quantile_cont(abs(f) / profile, rho) as tau from (select *, max(rho) over (partition by sample_id) from f) group by sample_id, rho),
-m as (select f.*, tau from f join q using (sample_id) where abs(f) / profile <= tau + 1e-9)"""
+  greatest(0.2, 1 + amp * case mode when 'linear' then 2 * z - 1 when 'sinusoidal' then sin(2 * pi() * z) else 0 end) as profile from p)"""
+_MASKED = f"""{_FIELD}, l as (select sample_id, list(abs(f) / profile order by abs(f) / profile) as v, any_value(rho) * (count(*) - 1) as pos from f group by 1),
+q as (select sample_id, v[floor(pos)::int + 1] * (1 - (pos - floor(pos))) + v[least(floor(pos)::int + 2, len(v))] * (pos - floor(pos)) as tau from l), m as (select f.*, tau from f join q using (sample_id) where abs(f) / profile <= tau + 1e-9)"""
 
 
-def _mask(t) -> tuple[DataFrame, DataFrame]:
-    f = _fields(t)
-    tau = geometry.calibrated(f)
-    return tau, f.join(F.broadcast(tau), "sample_id").filter(F.abs("f") / F.col("profile") <= F.col("tau") + 1e-9)
+def _fields(t) -> DataFrame:
+    return geometry.field(_designs(t), _N)
 
 
-_FIELD_ONLY = _FIELD[: _FIELD.index("q as (")].rstrip().rstrip(",")
+def solid(t) -> DataFrame:
+    """The voxels of every design's mask."""
+    return written(geometry.masked(_fields(t)).filter("solid").select("sample_id", "id", "i", "j", "k", "tau"), "designs")
 
 
-@query(f"{_FIELD_ONLY} select sample_id, id, round(f, 6) as f, round(profile, 6) as profile from f")
+@query(f"{_FIELD} select sample_id, id, round(f, 6) + 0.0 as f, round(profile, 6) as profile from f")
 def tpms_field_grid(t):
     return rounded(_fields(t).select("sample_id", "id", "f", "profile"))
 
 
-_TAUS = f"""{_FIELD_ONLY}, q as (select sample_id, unnest([quantile_cont(abs(f) / profile, 0.4), quantile_cont(abs(f) / profile, 0.3), quantile_cont(abs(f) / profile, 0.5)]) as tau, unnest([0.4, 0.3, 0.5])::double as r, any_value(rho) as rho from f group by 1),
-m as (select f.*, tau from f join q on f.sample_id = q.sample_id and q.r = q.rho where abs(f) / profile <= tau + 1e-9)"""
-
-
-@query(f"{_TAUS} select sample_id, round(max(tau), 6) as tau, round(count(*) / {_N**3}.0, 6) as density from m group by 1")
+@query(f"{_MASKED} select sample_id, round(max(tau), 6) as tau, round(count(*) / {_N**3}.0, 6) as density from m group by 1")
 def calibrated_mask_density(t):
-    _, m = _mask(t)
-    return rounded(m.groupBy("sample_id").agg(F.max("tau").alias("tau"), (F.count(F.lit(1)) / _N**3).alias("density")))
+    return rounded(solid(t).groupBy("sample_id").agg(F.max("tau").alias("tau"), (F.count(F.lit(1)) / _N**3).alias("density")))
 
 
-@query(f"{_TAUS} select sample_id, " + ", ".join(f"bool_or({c} = {v}) as touch_{a}{s}" for a, c in zip("xyz", "ijk", strict=True) for s, v in (("min", 0), ("max", _N - 1))) + " from m group by 1")
+@query(f"{_MASKED} select sample_id, " + ", ".join(f"bool_or({c} = {v}) as touch_{a}{s}" for a, c in zip("xyz", "ijk", strict=True) for s, v in (("min", 0), ("max", _N - 1))) + " from m group by 1")
 def boundary_contact(t):
-    return geometry.boundary_contact(_mask(t)[1], _N)
+    return geometry.boundary_contact(solid(t), _N)
 
 
-@query()
+def labels(x: str, out: str = "lab") -> str:
+    """SQL tables, the last one ``out`` (sample_id, id, root): components of x (sample_id, id, i, j, k), flooded from voxels without a smaller neighbour."""
+    near = " and ".join(f"b.{c} = a.{c} + o.d{c}" for c in "ijk")
+    steps = ", ".join(str((a, b, c)) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0))
+    return f"""{out}_o(di, dj, dk) as (values {steps}), {out}_n as (select a.sample_id, a.id, b.id as nid from {x} a, {out}_o o, {x} b where b.sample_id = a.sample_id and {near}),
+{out}_s as (select sample_id, id from {x} except select sample_id, id from {out}_n where nid < id),
+{out}_r as (select sample_id, id as root, id from {out}_s union select r.sample_id, r.root, n.nid from {out}_r r join {out}_n n on n.sample_id = r.sample_id and n.id = r.id),
+{out} as (select sample_id, id, min(root) as root from {out}_r group by 1, 2)"""
+
+
+@query(f"{_MASKED}, {labels('m')} select sample_id, root, count(*) as voxels from lab group by 1, 2")
 def component_label_3d(t):
-    m = _mask(t)[1].select("sample_id", "id", "i", "j", "k")
-    return geometry.labelled(m).groupBy("sample_id", "root").agg(F.count(F.lit(1)).alias("voxels"))
+    return geometry.labelled(solid(t).drop("tau")).groupBy("sample_id", "root").agg(F.count(F.lit(1)).alias("voxels"))
 
 
-@query(f"{_TAUS}, s as (select sample_id, id, i, j, k from m), o as (select * from (values (0, 1, 0, 0), (0, -1, 0, 0), (1, 0, 1, 0), (1, 0, -1, 0), (2, 0, 0, 1), (2, 0, 0, -1)) o(axis, a, b, c)) select sample_id, axis, count(*) as faces from s, o where not exists (select 1 from s n where n.sample_id = s.sample_id and n.i = s.i + a and n.j = s.j + b and n.k = s.k + c) group by 1, 2")
+@query(f"{_MASKED}, s as (select sample_id, id, i, j, k from m), o as (select * from (values (0, 1, 0, 0), (0, -1, 0, 0), (1, 0, 1, 0), (1, 0, -1, 0), (2, 0, 0, 1), (2, 0, 0, -1)) o(axis, a, b, c)) select sample_id, axis, count(*) as faces from s, o where not exists (select 1 from s n where n.sample_id = s.sample_id and n.i = s.i + a and n.j = s.j + b and n.k = s.k + c) group by 1, 2")
 def surface_extract(t):
-    m = _mask(t)[1].select("sample_id", "id", "i", "j", "k")
-    return geometry.voxel_surface(m).groupBy("sample_id", "axis").agg(F.count(F.lit(1)).alias("faces"))
+    return geometry.voxel_surface(solid(t)).groupBy("sample_id", "axis").agg(F.count(F.lit(1)).alias("faces"))
 
 
-@query(f"""{_TAUS}, e as (select f.sample_id, f.i, f.j, f.k from f left join m on m.sample_id = f.sample_id and m.id = f.id where m.id is null),
+@query(f"""{_MASKED}, e as (select f.sample_id, f.i, f.j, f.k from f left join m on m.sample_id = f.sample_id and m.id = f.id where m.id is null),
 d as (select m.sample_id, m.id, sqrt(min((m.i - e.i) ** 2 + (m.j - e.j) ** 2 + (m.k - e.k) ** 2)) as d from m join e on e.sample_id = m.sample_id group by 1, 2) select sample_id, round(max(d), 6) as deepest, round(sum(d) / {_N**3}, 6) as mean from d group by 1""")
 def distance_transform(t):
-    tau, _ = _mask(t)
-    g = _fields(t).join(F.broadcast(tau), "sample_id").select("sample_id", *[F.col(c).cast("bigint").alias(c) for c in "ijk"], (F.abs("f") / F.col("profile") <= F.col("tau") + 1e-9).alias("solid"))
+    g = geometry.masked(_fields(t)).select("sample_id", "i", "j", "k", "solid")
     return rounded(kernels.distance_transform(g).groupBy("sample_id").agg(F.max("distance").alias("deepest"), F.avg("distance").alias("mean")))
 
 

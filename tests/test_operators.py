@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwright.functions import aggregates, kernels, scalars
-from meshwright.operators import audit, features, geometry, graphs, mapping, networks, ordering, relational
+from meshwright.operators import audit, features, geometry, graphs, mapping, networks, ordering, relational, skeletons
 from meshwright.operators.components import connected_components
 from meshwright.sources import files, reports, sinks
 
@@ -205,7 +205,7 @@ def test_canonical_graph_and_convergence(spark):
 def test_junction_regions_of_a_cross(spark):
     voxels = [(x, 0, 0) for x in range(5)] + [(2, 1, 0), (2, 2, 0)] + [(9, 9, 9)]
     m = spark.createDataFrame([("s", k, *map(int, v)) for k, v in enumerate(voxels)], "sample_id string, id bigint, i bigint, j bigint, k bigint")
-    got = sorted((r["kind"], r["voxels"]) for r in geometry.junction_regions(m, 6).collect())
+    got = sorted((r["kind"], r["region_voxels"]) for r in skeletons.regions(skeletons.region_voxels(m, geometry.adjacent(m, 6))).collect())
     assert got == [("endpoint", 1)] * 3 + [("isolated", 1), ("junction", 1)]
     sweep = {r["connectivity"]: (r["voxels"], r["pairs"], r["components"]) for r in geometry.connectivity_sweep(m).collect()}
     assert sweep == {6: (8, 6, 2), 18: (8, 8, 2), 26: (8, 8, 2)}
