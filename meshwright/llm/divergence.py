@@ -22,7 +22,7 @@ large source or language is no task of its own. What is collected is a posting l
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,8 @@ from meshwright.shared import written
 MIN_DOCS, TOP = 10, 10
 #: Groups of a posting list at most; terms of a tile, about; groups of a block.
 POSTINGS, TILE, BLOCK = 64, 512, 256
+#: Groups up to which tables of groups and of languages (never more than groups) are broadcast; beyond that they are shuffled.
+BROADCAST_GROUPS = 200_000
 #: Distinct counted terms that a task holds before it passes them on.
 _HELD = 400_000
 #: Bytes of terms, A-Z in lower case; a blank for every other byte.
@@ -141,18 +143,18 @@ def _tile(key: tuple, terms: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame
 _PARTS = "lang string, a bigint, b bigint, value bigint"
 
 
-def heavy_sums(heavy: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, a, b, value): partial sums of heavy terms (lang, term, at, p) by dense tiles."""
+def heavy_sums(heavy: DataFrame, groups: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(lang, a, b, value): partial sums of heavy terms (lang, term, at, p) by dense tiles; ``near`` is what is done to a table of groups that is joined."""
     blocks = groups.groupBy("lang").agg(F.floor((F.max("at")) / BLOCK).alias("last"))
     tiles = heavy.groupBy("lang").agg(F.ceil(F.count_if("first") / TILE).alias("tiles"))
-    size = blocks.join(tiles, "lang")
+    size = near(blocks.join(near(tiles), "lang"))
     block = F.floor(F.col("at") / BLOCK)
     every = F.sequence(F.lit(0).cast("bigint"), F.col("last"))
     pairs = F.explode(F.transform(every, lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y"))))
     t = heavy.join(size, "lang").select("lang", "term", "at", "p", "last", block.alias("block"), F.pmod(F.xxhash64("term"), F.col("tiles")).alias("tile"))
     t = t.select("lang", "term", "at", "p", "block", "tile", pairs.alias("pair")).select("lang", "tile", "pair.x", "pair.y", "term", "at", "p", "block")
-    terms = heavy.filter("first").join(tiles, "lang").groupBy("lang", F.pmod(F.xxhash64("term"), F.col("tiles")).alias("tile")).agg(F.count(F.lit(1)).alias("terms"))
-    g = groups.join(blocks, "lang").join(terms, "lang").select("lang", "at", "p0", "last", block.alias("block"), "tile", "terms")
+    terms = heavy.filter("first").join(near(tiles), "lang").groupBy("lang", F.pmod(F.xxhash64("term"), F.col("tiles")).alias("tile")).agg(F.count(F.lit(1)).alias("terms"))
+    g = groups.join(near(blocks), "lang").join(terms, "lang").select("lang", "at", "p0", "last", block.alias("block"), "tile", "terms")
     g = g.select("lang", "at", "p0", "block", "tile", "terms", pairs.alias("pair")).select("lang", "tile", "pair.x", "pair.y", "at", "p0", "block", "terms")
     key = ["lang", "tile", "x", "y"]
     return t.groupBy(*key).cogroup(g.groupBy(*key)).applyInPandas(_tile, _PARTS)
@@ -185,11 +187,11 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.string()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.int64()), pa.array(list(sums.values()), pa.int64())], ["lang", "a", "b", "value"])
 
 
-def light_sums(light: DataFrame, groups: DataFrame) -> DataFrame:
+def light_sums(light: DataFrame, groups: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(lang, a, b, value): partial sums of light terms (lang, term, at, p, p0): a start for each pair, corrected by group and by pair."""
     many = light.groupBy("lang").agg(F.count_if("first").alias("light"))
-    g = groups.join(many, "lang").select("lang", "at", "p0", "light")
-    other = g.select("lang", F.col("at").alias("b"), F.col("p0").alias("q0"))
+    g = groups.join(near(many), "lang").select("lang", "at", "p0", "light")
+    other = near(g.select("lang", F.col("at").alias("b"), F.col("p0").alias("q0")))
     start = g.join(other, "lang").filter("at < b").select("lang", F.col("at").alias("a"), "b", (F.col("light") * difference(F.col("p0"), F.col("q0"))).alias("value"))
     alike = light.groupBy("lang", "at", "p0", "p").agg(F.count(F.lit(1)).alias("m")).join(other, "lang").filter("at <> b")
     alone = F.sum(F.col("m") * (difference(F.col("p"), F.col("q0")) - difference(F.col("p0"), F.col("q0"))))
@@ -203,9 +205,10 @@ def audit(docs: DataFrame, top: int = TOP) -> DataFrame:
     """Rows (lang, source, part, item, value, rank): each group's other sources, and the terms that set it apart."""
     counts = written(term_counts(docs), "divergence-counts")
     groups = written(groups_of(docs, counts), "divergence-groups")
-    t = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", "first", "at", "p0", share(F.col("count"), F.col("n"), F.col("v")).alias("p"), share(F.col("total"), F.col("q_n"), F.col("v")).alias("q"), ((F.col("groups") * 4 > F.col("members")) | (F.col("groups") > POSTINGS)).alias("heavy"))
+    near = F.broadcast if groups.count() <= BROADCAST_GROUPS else lambda df: df
+    t = counts.join(near(groups), ["lang", "source"]).select("lang", "source", "term", "first", "at", "p0", share(F.col("count"), F.col("n"), F.col("v")).alias("p"), share(F.col("total"), F.col("q_n"), F.col("v")).alias("q"), ((F.col("groups") * 4 > F.col("members")) | (F.col("groups") > POSTINGS)).alias("heavy"))
     t = written(t, "divergence-shares")
-    pairs = heavy_sums(t.filter("heavy"), groups).unionByName(light_sums(t.filter("not heavy"), groups))
+    pairs = heavy_sums(t.filter("heavy"), groups, near).unionByName(light_sums(t.filter("not heavy"), groups, near))
     zero = groups.select("lang", F.col("at").alias("a")).join(groups.select("lang", F.col("at").alias("b")), "lang").filter("a < b").withColumn("value", F.lit(0).cast("bigint"))
     pairs = pairs.unionByName(zero).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     pairs = pairs.select("lang", "value", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
