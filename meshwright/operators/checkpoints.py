@@ -18,43 +18,64 @@ KINDS = ("junction", "endpoint")
 MAX_DENSITY_ERROR, MIN_SOLID_VOXELS, MIN_SURFACE_FACES = 0.010, 5000, 2000
 MAX_TETS, MAX_NODES, ZERO_VOLUME, MIN_QUALITY_Q01, MAX_EDGE_RATIO_P99, MIN_END_NODES = 5_000_000, 1_300_000, 1e-14, 0.10, 8.0, 100
 MIN_COVERAGE = 0.999
-#: Metric of two resolutions, and the percent that it may change between them.
-CONVERGENCE = (("junctions", "junction_count", 10), ("edges", "simplified_edges", 25), ("path_length", "total_path_length", 15), ("thickness", "median_local_thickness", 15), ("tortuosity", "mean_tortuosity", 10))
+ARRAY_FILES = ("mapping_k32.npz", "target_scalar_elements.npz", "graph_targets_scalar.npz")
+#: Gate, metric of two resolutions, and the percent that it may change between them (fixed values).
+CONVERGENCE = (
+    ("junctions_converged_10pct", "junction_count", 10), ("edges_converged_25pct", "simplified_edges", 25), ("path_length_converged_15pct", "total_path_length", 15),
+    ("thickness_converged_15pct", "median_local_thickness", 15), ("tortuosity_converged_10pct", "mean_tortuosity", 10),
+)
+#: Features that must be finite.
+NODE_FEATURES = ("x_norm", "y_norm", "z_norm", "degree_norm", "top_flag", "bottom_flag", "dist_to_bottom", "dist_to_top")
+EDGE_FEATURES = ("path_length", "chord_length", "tortuosity", "azimuth", "polar", "local_thickness_mean", "local_thickness_min", "voxel_count")
+
+
+def _said(name: str, value: Column, wrong: Column, none: str = "None") -> Column:
+    """``name=value`` where a rule is broken; an unknown outcome breaks it."""
+    return F.when(F.coalesce(wrong, F.lit(True)), F.concat(F.lit(f"{name}="), F.coalesce(value.cast("string"), F.lit(none))))
 
 
-def _said(name: str, value: Column, wrong: Column) -> Column:
-    """``name=value`` where a rule is broken; an unknown outcome breaks it."""
-    return F.when(F.coalesce(wrong, F.lit(True)), F.concat(F.lit(f"{name}="), F.coalesce(value.cast("string"), F.lit("None"))))
+def _listed(x: Column) -> Column:
+    """An array of strings as ['a', 'b']."""
+    return F.when(x.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(x, lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", "), F.lit("]")))
+
+
+def _number(x: Column) -> Column:
+    return F.when(F.isnan(x) | x.isNull(), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(x.cast("string"))
 
 
 def success_issues() -> Column:
     """The messages of the rules that a success breaks, in order.
 
-    Rows have files (names), unreadable and nonfinite (names of arrays' files), expected_id, expected_architecture,
-    expected_split, and meta: a struct of the metadata, null where it can't be read.
+    Rows have files (names), expected_id, expected_architecture, expected_split; meta: a struct of the metadata, null where
+    it can't be read, and then meta_error; arrays: a list of (file, error, nonfinite) for each file of arrays that is there,
+    with the reason why it can't be read, or the names of arrays that have other than finite numbers.
     """
     m = lambda c: F.col(f"meta.{c}")
     missing = F.filter(F.array(*[F.lit(f) for f in REQUIRED_FILES]), lambda x: ~F.array_contains("files", x))
-    listed = lambda c, what: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(x, F.lit(what)))
     meta = F.array(
         _said("metadata_sample_id", m("sample_id"), m("sample_id") != F.col("expected_id")),
         _said("metadata_architecture", m("architecture"), F.lower(m("architecture")) != F.col("expected_architecture")),
         _said("metadata_iid_split", m("iid_split"), F.lower(m("iid_split")) != F.col("expected_split")),
         F.when(~F.coalesce(m("checkpoint_verified"), F.lit(False)), "checkpoint_verified_not_true"),
         F.when(~F.coalesce(m("solver_completed"), F.lit(False)), "solver_completed_not_true"),
-        _said("returncode", m("returncode"), m("returncode") != 0),
+        _said("ccx_returncode", m("ccx_returncode"), m("ccx_returncode") != 0),
         _said("mesh_label", m("mesh_label"), m("mesh_label") != MESH_LABEL),
         _said("mapping_k", m("mapping_k"), m("mapping_k") != MAPPING_K),
         _said("idw_power", m("idw_power"), ~close(m("idw_power"), F.lit(IDW_POWER))),
         F.when(F.coalesce(m("full_tensor_targets_authorized"), F.lit(True)), "full_tensor_targets_authorized_not_false"),
-        _said("authorized_targets", F.array_join(m("authorized_targets"), ","), m("authorized_targets") != F.array(*[F.lit(x) for x in TARGETS])),
+        _said("authorized_targets", _listed(m("authorized_targets")), m("authorized_targets") != F.array(*[F.lit(x) for x in TARGETS])),
         _said("graph_components", m("graph_components"), m("graph_components") != 1),
         _said("zero_volume_tets", m("zero_volume_tets"), m("zero_volume_tets") != 0),
-        _said("k32_radius_p95_mm", m("k32_radius_p95_mm"), ~(finite(m("k32_radius_p95_mm")) & (m("k32_radius_p95_mm") <= MAX_RADIUS_P95))),
+        _said("k32_radius_p95_mm", _number(m("k32_radius_p95_mm")), ~(finite(m("k32_radius_p95_mm")) & (m("k32_radius_p95_mm") <= MAX_RADIUS_P95))),
     )
-    files = F.array(F.when(F.size(missing) > 0, F.concat(F.lit("missing_success_files="), F.array_join(missing, ","))), F.when(F.array_contains("files", "metadata.json") & F.col("meta").isNull(), "metadata_json_error"))
-    rules = F.concat(files, F.when(F.col("meta").isNotNull(), meta).otherwise(F.array().cast("array<string>")), listed(F.col("unreadable"), "_unreadable"), listed(F.col("nonfinite"), "_nonfinite"))
-    return F.array_compact(rules)
+    there = F.array_contains("files", "metadata.json") & F.col("meta").isNull()
+    files = F.array(F.when(F.size(missing) > 0, F.concat(F.lit("missing_success_files="), F.array_join(missing, ","))), F.when(there, F.concat(F.lit("metadata_json_error="), F.coalesce("meta_error", F.lit("unknown")))))
+    arrays = []
+    for name in ARRAY_FILES:
+        a = F.get(F.filter("arrays", lambda x: x["file"] == name), F.lit(0))  # noqa: B023
+        bad = F.concat(F.lit(f"{name}_unreadable="), a["error"])
+        arrays.append(F.when(a["error"].isNotNull(), bad).when(F.size(a["nonfinite"]) > 0, F.concat(F.lit(f"{name}_nonfinite_keys="), _listed(a["nonfinite"]))))
+    return F.array_compact(F.concat(files, F.when(F.col("meta").isNotNull(), meta).otherwise(F.array().cast("array<string>")), F.array(*arrays)))
 
 
 def graph_issues(samples: DataFrame, nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -84,11 +105,12 @@ def graph_issues(samples: DataFrame, nodes: DataFrame, edges: DataFrame, targets
 
 
 def geometry_pass(contacts: list[str]) -> Column:
-    """Whether a sample's geometry passes: density, voxels, one component, a closed surface, and contact with all six faces."""
-    conditions = [
-        F.col("density_abs_error") <= MAX_DENSITY_ERROR, F.col("solid_voxels") >= MIN_SOLID_VOXELS, F.col("solid_components") <= 1, F.col("surface_faces") >= MIN_SURFACE_FACES,
-        F.col("watertight"), F.col("winding_consistent"), F.col("surface_components") == 1, *[F.col(c) for c in contacts],
-    ]
+    """Whether a sample's geometry passes: density, voxels, one component, a closed surface, and contact with all six faces.
+
+    A sample that was screened without a surface (surface_faces is null) has no surface to fail by.
+    """
+    surface = (F.col("surface_faces") >= MIN_SURFACE_FACES) & F.col("watertight") & F.col("winding_consistent") & (F.col("surface_components") == 1)
+    conditions = [F.col("density_abs_error") <= MAX_DENSITY_ERROR, F.col("solid_voxels") >= MIN_SOLID_VOXELS, F.col("solid_components") <= 1, F.col("surface_faces").isNull() | surface, *[F.col(c) for c in contacts]]
     return F.coalesce(reduce(lambda a, b: a & b, conditions), F.lit(False))
 
 
@@ -121,13 +143,56 @@ def coverage_gate(wanted: DataFrame, records: DataFrame, sections: tuple[str, ..
     return out.withColumn("coverage", F.col("found") / F.col("wanted")).withColumn("pass", F.col("coverage") >= MIN_COVERAGE)
 
 
-def convergence_gates(summaries: DataFrame, coarse: int, fine: int) -> DataFrame:
-    """(gate, status): PASS or WARN for connectivity at both resolutions and for the change of each metric between them.
+def convergence_gates(summaries: DataFrame, nodes: DataFrame, edges: DataFrame, coarse: int, fine: int) -> DataFrame:
+    """(sample_id, gate, status): PASS or WARN for each sample's graph at two resolutions.
 
-    ``summaries``: a row for each resolution, with components and the metrics of ``CONVERGENCE``.
+    ``summaries``: a row for each sample and resolution, with components and the metrics of ``CONVERGENCE``. ``nodes`` and
+    ``edges`` are those of the coarse resolution, with ``NODE_FEATURES`` and ``EDGE_FEATURES``; none at all have nothing to fail by.
     """
     at = lambda c, r: F.max(F.when(F.col("resolution") == r, F.col(c).cast("double")))
-    gates = {"coarse_connected": at("components", coarse) == 1, "fine_connected": at("components", fine) == 1}
-    gates |= {f"{name}_converged": percent_change(at(c, coarse), at(c, fine)) <= most for name, c, most in CONVERGENCE}
-    row = summaries.agg(*[F.when(F.coalesce(p, F.lit(False)), "PASS").otherwise("WARN").alias(name) for name, p in gates.items()])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).alias("status")) for g in gates])).alias("x")).select("x.*")
+    all_finite = lambda columns: F.bool_and(reduce(lambda a, b: a & b, [finite(F.col(c).cast("double")) for c in columns]))
+    gates = {"canonical_connected": at("components", coarse) == 1, "sensitivity_connected": at("components", fine) == 1}
+    gates |= {name: percent_change(at(c, coarse), at(c, fine)) <= most for name, c, most in CONVERGENCE}
+    row = summaries.groupBy("sample_id").agg(*[F.coalesce(p, F.lit(False)).alias(name) for name, p in gates.items()])
+    n = nodes.groupBy("sample_id").agg(all_finite(NODE_FEATURES).alias("node_features_finite"))
+    e = edges.groupBy("sample_id").agg(all_finite(EDGE_FEATURES).alias("edge_features_finite"), F.bool_and(F.col("source") != F.col("target")).alias("no_self_loops"))
+    row = row.join(n, "sample_id", "left").join(e, "sample_id", "left")
+    every = [*gates, "node_features_finite", "edge_features_finite", "no_self_loops"]
+    status = [F.struct(F.lit(g).alias("gate"), F.when(F.coalesce(g, F.lit(True)), "PASS").otherwise("WARN").alias("status")) for g in every]
+    return row.select("sample_id", F.explode(F.array(*status)).alias("x")).select("sample_id", "x.*")
+
+
+def freeze_gates(index: DataFrame, assigned: DataFrame, expected: int = 20) -> DataFrame:
+    """(worker, gate, pass): whether each worker's finished samples may be frozen.
+
+    ``assigned``: worker, sample_id, architecture (the worker's). ``index``: worker, sample_id and the metadata of each finished sample.
+    """
+    i = index.join(assigned.select("worker", "sample_id", F.lit(True).alias("_own")), ["worker", "sample_id"], "left").join(assigned.groupBy("worker").agg(F.min("architecture").alias("_architecture")), "worker", "left")
+    every = lambda p: F.bool_and(F.coalesce(p, F.lit(False)))
+    gates = {
+        f"exactly {expected} assigned checkpoints": (F.count(F.lit(1)) == expected) & (F.countDistinct("sample_id") == expected),
+        "exact frozen ID set": (F.count_if(F.col("_own").isNull()) == 0) & (F.countDistinct("sample_id") == F.max("_assigned")),
+        "all of the worker's architecture": every(F.col("architecture") == F.col("_architecture")),
+        "all solver return codes zero": every(F.col("ccx_returncode") == 0),
+        "all checkpoints verified": every(F.col("checkpoint_verified") & F.col("solver_completed")),
+        "all mesh resource gates pass": every((F.col("mesh_tets") <= MAX_TETS) & (F.col("mesh_nodes") <= MAX_NODES)),
+        "all mesh quality gates pass": every((F.col("mesh_q01") >= MIN_QUALITY_Q01) & (F.col("mesh_edge_ratio_p99") <= MAX_EDGE_RATIO_P99)),
+        "all mapping gates pass": every(F.col("k32_radius_p95_mm") <= MAX_RADIUS_P95),
+        "scalar targets only": every(~F.col("full_tensor_targets_authorized")),
+    }
+    i = i.join(assigned.groupBy("worker").agg(F.countDistinct("sample_id").alias("_assigned")), "worker", "left")
+    row = i.groupBy("worker").agg(*[F.coalesce(p, F.lit(False)).alias(g) for g, p in gates.items()])
+    row = assigned.select("worker").distinct().join(row, "worker", "left")
+    return row.select("worker", F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.coalesce(F.col(f"`{g}`"), F.lit(False)).alias("pass")) for g in gates])).alias("x")).select("worker", "x.*")
+
+
+def finalisation(audit: DataFrame, expected: int = 120) -> DataFrame:
+    """One row: how many of the audited samples are in each state, and whether the audit may be finalised.
+
+    decision: INVALID where a checkpoint is, REFUSED_UNFINISHED where one is missing, REFUSED_ACCOUNTING where finished ones
+    don't add up to ``expected``, else FINALIZED.
+    """
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    row = audit.agg(is_("VERIFIED").alias("verified"), is_("TERMINAL_QC_FAILURE").alias("terminal_qc_failures"), is_("MISSING_OR_IN_PROGRESS").alias("unfinished"), F.count_if(F.col("status").startswith("INVALID")).alias("invalid"))
+    decision = F.when(F.col("invalid") > 0, "INVALID").when(F.col("unfinished") > 0, "REFUSED_UNFINISHED").when(F.col("verified") + F.col("terminal_qc_failures") != expected, "REFUSED_ACCOUNTING").otherwise("FINALIZED")
+    return row.withColumn("decision", decision)

@@ -91,26 +91,35 @@ def connected_only(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
 SHORT_EDGE, SHORT_SPUR = 0.35, 0.50
 
 
-def canonical(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def median_thickness(edges: DataFrame) -> DataFrame:
+    """(sample_id, median_local_thickness) of the edges' local_thickness_mean, NULL and NaN left out."""
+    return quantiles(edges, ["sample_id"], ["local_thickness_mean"], (0.5,)).select("sample_id", F.get("q", F.lit(0)).alias("median_local_thickness"))
+
+
+def canonical(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The canonical graph of each sample: parallel edges and loops gone, short edges contracted, spurs pruned, geometry and degrees anew.
 
-    Thresholds are shares of the median of the sample's edges' local_thickness_mean, NULL and NaN left out.
+    Nodes, edges, and what the traced graphs were: (sample_id, raw_branch_nodes, raw_branch_edges, median_local_thickness).
+    Thresholds are shares of that median.
     """
-    e = dedup_edges(edges, group=("sample_id",))
-    median = quantiles(e, ["sample_id"], ["local_thickness_mean"], (0.5,)).select("sample_id", F.get("q", F.lit(0)).alias("_median"))
-    nodes, e = connected_only(nodes, written(e.join(median, "sample_id", "left"), "graph-canonical"))
+    nodes, e = connected_only(nodes, written(dedup_edges(edges, group=("sample_id",)), "graph-canonical"))
+    nodes, e = written(nodes, "graph-nodes"), written(e, "graph-edges")
+    raw = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("raw_branch_nodes")).join(e.groupBy("sample_id").agg(F.count(F.lit(1)).alias("raw_branch_edges")), "sample_id").join(median_thickness(e), "sample_id", "left")
+    raw = written(raw, "graph-raw")
+    e = written(e.join(raw.select("sample_id", F.col("median_local_thickness").alias("_median")), "sample_id", "left"), "graph-canonical")
     nodes, e = connected_only(*contract_short_edges(nodes, e, SHORT_EDGE * F.col("_median")))
     nodes, e = prune_spurs(nodes, e, SHORT_SPUR * F.col("_median"))
     nodes, e = connected_only(nodes, dedup_edges(e, group=("sample_id",)))
     e = recomputed(nodes, e.drop("_median"))
-    return degrees(nodes, e), e
+    return written(degrees(nodes, e), "graph-nodes"), written(e, "graph-edges"), raw
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row for each sample: counts, components, lengths and tortuosity of its canonical graph (nodes with degree)."""
     n = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("simplified_nodes"), F.count_if(F.col("degree") == 1).alias("endpoint_count"), F.count_if(F.col("degree") >= 3).alias("junction_count"))
     e = edges.groupBy("sample_id").agg(F.count(F.lit(1)).alias("simplified_edges"), F.sum("path_length").alias("total_path_length"), F.avg("tortuosity").alias("mean_tortuosity"))
-    return n.join(e, "sample_id", "left").join(component_count(nodes, edges), "sample_id", "left")
+    middle = quantiles(edges, ["sample_id"], ["path_length"], (0.5,)).select("sample_id", F.get("q", F.lit(0)).alias("median_path_length"))
+    return n.join(e, "sample_id", "left").join(middle, "sample_id", "left").join(component_count(nodes, edges), "sample_id", "left")
 
 
 def recomputed(nodes: DataFrame, edges: DataFrame) -> DataFrame:

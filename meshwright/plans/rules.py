@@ -19,32 +19,35 @@ _MISS = ", ".join(f"case when o_orderkey % {17 + i} = 0 then '{f}' end" for i, f
 @query(f"""with m as (select *, list_filter([{_MISS}], lambda x: x is not null) as missing, o_orderkey % 18 <> 0 and o_orderkey % 29 <> 0 as readable from orders),
 i as (select o_orderkey, list_filter([
   case when len(missing) > 0 then 'missing_success_files=' || array_to_string(missing, ',') end,
-  case when o_orderkey % 18 <> 0 and not readable then 'metadata_json_error' end,
+  case when o_orderkey % 18 <> 0 and not readable then 'metadata_json_error=JSONDecodeError: line ' || o_orderkey % 5 end,
   case when readable and o_orderkey % 31 = 0 then 'metadata_sample_id=other' end,
   case when readable and o_orderstatus = 'P' then 'metadata_architecture=P' end,
   case when readable and o_orderkey % 37 = 0 then 'checkpoint_verified_not_true' end,
-  case when readable and o_orderkey % 5 > 0 and o_custkey % 41 = 0 then 'returncode=' || (o_custkey % 7 + 1) end,
+  case when readable and o_orderkey % 5 > 0 and o_custkey % 41 = 0 then 'ccx_returncode=' || (o_custkey % 7 + 1) end,
   case when readable and o_custkey % 43 = 0 then 'mapping_k=16' end,
   case when readable and o_custkey % 47 = 0 then 'idw_power=3.0' end,
   case when readable and o_custkey % 53 = 0 then 'full_tensor_targets_authorized_not_false' end,
-  case when readable and o_custkey % 59 = 0 then 'authorized_targets=von_mises_stress' end,
+  case when readable and o_custkey % 59 = 0 then 'authorized_targets=[''von_mises_stress'']' end,
   case when readable and o_custkey % 61 = 0 then 'graph_components=2' end,
-  case when readable and o_custkey % 67 = 0 then 'k32_radius_p95_mm=0.75' end,
-  case when o_custkey % 71 = 0 then 'mapping_k32.npz_unreadable' end], lambda x: x is not null) as issues from m)
+  case when readable and o_custkey % 67 = 0 then 'k32_radius_p95_mm=0.75' when readable and o_custkey % 79 = 0 then 'k32_radius_p95_mm=nan' end,
+  case when o_custkey % 71 = 0 then 'mapping_k32.npz_unreadable=BadZipFile: ' || o_custkey end,
+  case when o_custkey % 73 = 0 then 'target_scalar_elements.npz_nonfinite_keys=[''von_mises'', ''equivalent_strain'']' end], lambda x: x is not null) as issues from m)
 select o_orderkey, array_to_string(issues, ' | ') as issues from i where len(issues) > 0""")
 def success_issues(t):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     have = F.array_compact(F.array(*[F.when(k % (17 + i) != 0, F.lit(f)) for i, f in enumerate(checkpoints.REQUIRED_FILES)]))
     meta = {
         "sample_id": F.when(k % 31 == 0, "other").otherwise(k.cast("string")), "architecture": F.col("o_orderstatus"), "iid_split": F.lit("train"), "checkpoint_verified": k % 37 != 0, "solver_completed": F.lit(True),
-        "returncode": F.when((k % 5 > 0) & (c % 41 == 0), c % 7 + 1).otherwise(0), "mesh_label": F.lit("S250k"), "mapping_k": F.when(c % 43 == 0, 16).otherwise(32), "idw_power": F.when(c % 47 == 0, 3.0).otherwise(2.0),
+        "ccx_returncode": F.when((k % 5 > 0) & (c % 41 == 0), c % 7 + 1).otherwise(0), "mesh_label": F.lit("S250k"), "mapping_k": F.when(c % 43 == 0, 16).otherwise(32), "idw_power": F.when(c % 47 == 0, 3.0).otherwise(2.0),
         "full_tensor_targets_authorized": c % 53 == 0, "authorized_targets": F.when(c % 59 == 0, F.array(F.lit("von_mises_stress"))).otherwise(F.array(*[F.lit(x) for x in checkpoints.TARGETS])),
-        "graph_components": F.when(c % 61 == 0, 2).otherwise(1), "zero_volume_tets": F.lit(0), "k32_radius_p95_mm": F.when(c % 67 == 0, 0.75).otherwise(0.25),
+        "graph_components": F.when(c % 61 == 0, 2).otherwise(1), "zero_volume_tets": F.lit(0), "k32_radius_p95_mm": F.when(c % 67 == 0, 0.75).when(c % 79 != 0, 0.25),
     }
+    readable = (k % 18 != 0) & (k % 29 != 0)
+    wrong = F.when(c % 73 == 0, F.array(F.lit("von_mises"), F.lit("equivalent_strain")))
+    arrays = F.array(F.struct(F.lit("target_scalar_elements.npz").alias("file"), F.lit(None).cast("string").alias("error"), wrong.alias("nonfinite")), F.struct(F.lit("mapping_k32.npz").alias("file"), F.when(c % 71 == 0, F.concat(F.lit("BadZipFile: "), c)).alias("error"), F.array().cast("array<string>").alias("nonfinite")))
     rows = t("orders").select(
-        "o_orderkey", have.alias("files"), F.when(c % 71 == 0, F.array(F.lit("mapping_k32.npz"))).alias("unreadable"), F.lit(None).cast("array<string>").alias("nonfinite"), k.cast("string").alias("expected_id"),
-        F.when(F.col("o_orderstatus") == "P", "x").otherwise(F.lower("o_orderstatus")).alias("expected_architecture"), F.lit("train").alias("expected_split"),
-        F.when((k % 18 != 0) & (k % 29 != 0), F.struct(*[v.alias(n) for n, v in meta.items()])).alias("meta"),
+        "o_orderkey", have.alias("files"), arrays.alias("arrays"), k.cast("string").alias("expected_id"), F.when(F.col("o_orderstatus") == "P", "x").otherwise(F.lower("o_orderstatus")).alias("expected_architecture"), F.lit("train").alias("expected_split"),
+        F.when(readable, F.struct(*[v.alias(n) for n, v in meta.items()])).alias("meta"), F.concat(F.lit("JSONDecodeError: line "), k % 5).alias("meta_error"),
     )
     return rows.select("o_orderkey", checkpoints.success_issues().alias("i")).filter("size(i) > 0").select("o_orderkey", F.array_join("i", " | ").alias("issues"))
 
@@ -66,10 +69,10 @@ def verified_graph_issues(t):
 _TOUCH = ["touch_xmin", "touch_xmax", "touch_ymin", "touch_ymax", "touch_zmin", "touch_zmax"]
 
 
-@query("""select p_partkey, p_retailprice / 100000 <= 0.01 and p_size * 1000 >= 5000 and p_partkey % 9 <= 1 and p_size * 400 >= 2000 and p_partkey % 5 > 0 and p_partkey % 7 > 0 and p_size % 4 > 0 as pass from part""")
+@query("""select p_partkey, p_retailprice / 100000 <= 0.01 and p_size * 1000 >= 5000 and p_partkey % 9 <= 1 and (p_partkey % 13 = 0 or p_size * 400 >= 2000 and p_partkey % 5 > 0 and p_partkey % 7 > 0) and p_size % 4 > 0 as pass from part""")
 def geometry_gate(t):
     p = t("part").select(
-        "p_partkey", (F.col("p_retailprice") / 100000).alias("density_abs_error"), (F.col("p_size") * 1000).alias("solid_voxels"), (F.col("p_partkey") % 9).alias("solid_components"), (F.col("p_size") * 400).alias("surface_faces"),
+        "p_partkey", (F.col("p_retailprice") / 100000).alias("density_abs_error"), (F.col("p_size") * 1000).alias("solid_voxels"), (F.col("p_partkey") % 9).alias("solid_components"), F.when(F.col("p_partkey") % 13 != 0, F.col("p_size") * 400).alias("surface_faces"),
         (F.col("p_partkey") % 5 > 0).alias("watertight"), (F.col("p_partkey") % 7 > 0).alias("winding_consistent"), F.lit(1).alias("surface_components"), *[(F.col("p_size") % 4 > 0).alias(c) for c in _TOUCH],
     )
     return p.select("p_partkey", checkpoints.geometry_pass(_TOUCH).alias("pass"))
@@ -100,15 +103,57 @@ def coverage_gate(t):
 
 
 _CONV = {"junction_count": "count(distinct l_partkey)", "simplified_edges": "count(*)", "total_path_length": "sum(l_extendedprice)", "median_local_thickness": "avg(l_discount)", "mean_tortuosity": "avg(l_quantity)"}
+_LIMITS = (("junctions_converged_10pct", "junction_count", 10), ("edges_converged_25pct", "simplified_edges", 25), ("path_length_converged_15pct", "total_path_length", 15), ("thickness_converged_15pct", "median_local_thickness", 15), ("tortuosity_converged_10pct", "mean_tortuosity", 10))
 
 
-@query(f"""with x as (select case when l_linestatus = 'O' then 256 else 128 end as r, l_linestatus = 'O' or l_returnflag = 'A' as keep, * from lineitem), s as (select r, {", ".join(f"({v})::double as {k}" for k, v in _CONV.items())} from x where keep group by 1),
-p as (select a.r, {", ".join(f"100 * abs(b.{k} - a.{k}) / greatest(abs(a.{k}), 1e-12) as {k}" for k in _CONV)} from s a, s b where a.r = 128 and b.r = 256)
-select unnest(['coarse_connected', 'fine_connected', {", ".join(f"'{n}_converged'" for n, _, _ in checkpoints.CONVERGENCE)}]) as gate, unnest(['PASS', 'WARN', {", ".join(f"case when {c} <= {m} then 'PASS' else 'WARN' end" for _, c, m in checkpoints.CONVERGENCE)}]) as status from p""")
+@query(f"""with x as (select l_suppkey as k, case when l_linestatus = 'O' then 256 else 128 end as r, l_linestatus = 'O' or l_returnflag = 'A' as keep, * from lineitem), s as (select k, r, case when r = 128 then 1 + (k % 4 = 0)::int else 1 + (k % 5 = 0)::int end as components, {", ".join(f"({v})::double as {c}" for c, v in _CONV.items())} from x where keep group by 1, 2),
+a as (select * from s where r = 128), b as (select * from s where r = 256), f as (select l_suppkey as k, not bool_or(l_tax = 0.08 and l_quantity > 45) as nodes_ok, not bool_or(l_tax = 0.07 and l_quantity > 48) as edges_ok, bool_and(l_partkey % 50 <> l_linenumber) as no_loops from lineitem group by 1),
+g as (select f.k, [coalesce(a.components = 1, false), coalesce(b.components = 1, false), {", ".join(f"coalesce(100 * abs(b.{c} - a.{c}) / greatest(abs(a.{c}), 1e-12) <= {m}, false)" for _, c, m in _LIMITS)}, nodes_ok, edges_ok, no_loops] as ok from f left join a on a.k = f.k left join b on b.k = f.k)
+select k as sample_id, unnest(['canonical_connected', 'sensitivity_connected', {", ".join(f"'{n}'" for n, _, _ in _LIMITS)}, 'node_features_finite', 'edge_features_finite', 'no_self_loops']) as gate, unnest(list_transform(ok, lambda v: case when v then 'PASS' else 'WARN' end)) as status from g""")
 def convergence_gates(t):
-    line = t("lineitem").withColumn("resolution", F.when(F.col("l_linestatus") == "O", 256).otherwise(128)).filter("l_linestatus = 'O' or l_returnflag = 'A'")
-    s = line.groupBy("resolution").agg(*[F.expr(v).alias(k) for k, v in _CONV.items()]).withColumn("components", F.when(F.col("resolution") == 128, 1).otherwise(2))
-    return checkpoints.convergence_gates(s, 128, 256)
+    line = t("lineitem").withColumn("sample_id", F.col("l_suppkey"))
+    s = line.withColumn("resolution", F.when(F.col("l_linestatus") == "O", 256).otherwise(128)).filter("l_linestatus = 'O' or l_returnflag = 'A'")
+    parts = F.when(F.col("resolution") == 128, 1 + (F.col("sample_id") % 4 == 0).cast("int")).otherwise(1 + (F.col("sample_id") % 5 == 0).cast("int"))
+    s = s.groupBy("sample_id", "resolution").agg(*[F.expr(v).alias(k) for k, v in _CONV.items()]).withColumn("components", parts)
+    lost = lambda at, over: F.when(~((F.col("l_tax") == at) & (F.col("l_quantity") > over)), F.col("l_tax"))
+    nodes = line.select("sample_id", *[(lost(0.08, 45) if c == "z_norm" else F.col("l_discount")).alias(c) for c in checkpoints.NODE_FEATURES])
+    edges = line.select("sample_id", (F.col("l_partkey") % 50).alias("source"), F.col("l_linenumber").alias("target"), *[(lost(0.07, 48) if c == "polar" else F.col("l_discount")).alias(c) for c in checkpoints.EDGE_FEATURES])
+    return checkpoints.convergence_gates(s, nodes, edges, 128, 256)
+
+
+@query("""with a as (select s_nationkey as worker, s_suppkey as id, s_nationkey % 3 as arch from supplier), i as (select *, s_suppkey as id from supplier where s_suppkey % 11 <> 5),
+n as (select worker, count(*) as assigned from a group by 1), g as (select s_nationkey as worker, [count(*) = 4, count(*) = any_value(assigned), bool_and(s_suppkey % 17 <> 3), bool_and(s_suppkey % 13 <> 7), bool_and(s_acctbal > -900), bool_and(s_suppkey % 29 <> 1), bool_and(s_acctbal < 9000), bool_and(s_suppkey % 31 <> 4), bool_and(s_suppkey % 37 <> 5)] as ok
+  from i join n on worker = s_nationkey group by 1)
+select n.worker, unnest(['exactly 4 assigned checkpoints', 'exact frozen ID set', 'all of the worker''s architecture', 'all solver return codes zero', 'all checkpoints verified', 'all mesh resource gates pass', 'all mesh quality gates pass', 'all mapping gates pass', 'scalar targets only']) as gate,
+  unnest(coalesce(ok, [false, false, false, false, false, false, false, false, false])) as pass from n left join g using (worker)""")
+def freeze_gates(t):
+    s, k = t("supplier"), F.col("s_suppkey")
+    arch = (F.col("s_nationkey") % 3).cast("string")
+    assigned = s.select(F.col("s_nationkey").alias("worker"), k.alias("sample_id"), arch.alias("architecture"))
+    index = s.filter("s_suppkey % 11 <> 5").select(
+        F.col("s_nationkey").alias("worker"), k.alias("sample_id"), F.when(k % 17 != 3, arch).otherwise("x").alias("architecture"), F.when(k % 13 == 7, 1).otherwise(0).alias("ccx_returncode"), (F.col("s_acctbal") > -900).alias("checkpoint_verified"), F.lit(True).alias("solver_completed"),
+        F.when(k % 29 == 1, 5_000_001).otherwise(1_900_000).alias("mesh_tets"), F.lit(1_000_000).alias("mesh_nodes"), F.when(F.col("s_acctbal") < 9000, 0.2).otherwise(0.05).alias("mesh_q01"), F.lit(3.0).alias("mesh_edge_ratio_p99"), F.when(k % 31 == 4, 0.51).otherwise(0.3).alias("k32_radius_p95_mm"), (k % 37 == 5).alias("full_tensor_targets_authorized"),
+    )
+    return checkpoints.freeze_gates(index, assigned, 4)
+
+
+@query("""select count(*) filter (o_orderstatus = 'F') as verified, count(*) filter (o_orderstatus = 'O') as terminal_qc_failures, 0::bigint as unfinished, count(*) filter (o_orderstatus = 'P') as invalid,
+  case when count(*) filter (o_orderstatus = 'P') > 0 then 'INVALID' else 'FINALIZED' end as decision from orders""")
+def finalisation(t):
+    status = F.when(F.col("o_orderstatus") == "F", "VERIFIED").when(F.col("o_orderstatus") == "O", "TERMINAL_QC_FAILURE").otherwise("INVALID_CONFLICT")
+    return checkpoints.finalisation(t("orders").select(status.alias("status")))
+
+
+@query(f"""{catalog._VG}, d as (select node, count(*) as degree from (select source as node from e union all select target from e) group by 1), n as (select v.*, coalesce(degree, 0) as degree from v left join d on node = vec_id),
+l as (select e.label, sqrt((a.e0 - b.e0) ** 2 + (a.e1 - b.e1) ** 2 + (a.e2 - b.e2) ** 2) as len from e join v a on a.vec_id = source join v b on b.vec_id = target), m as (select label, median(len) / 20 as s from l group by 1),
+b as (select label, min(e0) as lx, max(e0) as hx, min(e1) as ly, max(e1) as hy, min(e2) as lz, max(e2) as hz, max(degree) as most from n group by 1)
+select label::varchar as sample_id, vec_id as node, (e2 <= lz + 2 * s)::int as bottom_flag, (e2 >= hz - 2 * s)::int as top_flag, round(e2 - lz, 6) as dist_to_bottom, round(hz - e2, 6) as dist_to_top, round((e0 - lx) / (hx - lx), 6) as x_norm, round((e1 - ly) / (hy - ly), 6) as y_norm, round((e2 - lz) / (hz - lz), 6) as z_norm, round(degree / most, 6) as degree_norm
+from n join b using (label) join m using (label)""")
+def structural_features(t):
+    nodes, edges = catalog._vector_graph(t)
+    far = graphs.recomputed(nodes, edges).select("sample_id", (F.col("chord_length") / 20).alias("length"))
+    out = features.structural_features(graphs.degrees(nodes, edges), features.surface_box(nodes, far))
+    return rounded(out.drop("x", "y", "z", "kind", "region_voxels", "degree"))
 
 
 def _designs(t) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.operators import geometry, skeletons
+from meshwright.operators import checkpoints, geometry, skeletons, surfaces, sweeps
 from meshwright.plans import catalog
 from meshwright.plans.registry import query, rounded
 from meshwright.shared import written
@@ -71,3 +71,38 @@ def branch_traces(t):
     r = _rods(t)
     pairs = written(geometry.adjacent(r), "rod-pairs")
     return rounded(skeletons.branches(r, pairs, skeletons.region_voxels(r.drop("thickness"), pairs)))
+
+
+@query(f"""{catalog._MASKED}, s as (select sample_id, i, j, k from m), o as (select * from (values (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(a, b, c)),
+x as (select sample_id, count(*) as v from s, o where not exists (select 1 from s n where n.sample_id = s.sample_id and n.i = s.i + a and n.j = s.j + b and n.k = s.k + c) group by 1),
+u as (select s.sample_id, a, b, c, count(*) as n from s, (values (0), (1)) a(a), (values (0), (1)) b(b), (values (0), (1)) c(c)
+  where (a = 0 or exists (select 1 from s n where n.sample_id = s.sample_id and n.i = s.i + 1 and n.j = s.j and n.k = s.k)) and (b = 0 or exists (select 1 from s n where n.sample_id = s.sample_id and n.i = s.i and n.j = s.j + 1 and n.k = s.k))
+  and (c = 0 or exists (select 1 from s n where n.sample_id = s.sample_id and n.i = s.i and n.j = s.j and n.k = s.k + 1))
+  and (a + b < 2 or exists (select 1 from s n where n.sample_id = s.sample_id and n.i = s.i + 1 and n.j = s.j + 1 and n.k = s.k)) and (a + c < 2 or exists (select 1 from s n where n.sample_id = s.sample_id and n.i = s.i + 1 and n.j = s.j and n.k = s.k + 1))
+  and (b + c < 2 or exists (select 1 from s n where n.sample_id = s.sample_id and n.i = s.i and n.j = s.j + 1 and n.k = s.k + 1)) and (a + b + c < 3 or exists (select 1 from s n where n.sample_id = s.sample_id and n.i = s.i + 1 and n.j = s.j + 1 and n.k = s.k + 1)) group by all),
+h as (select sample_id from (select sample_id, count(*) as n, sum(4 * da + 2 * db + dc) as q from s, (values (0), (1)) a(da), (values (0), (1)) b(db), (values (0), (1)) c(dc) group by sample_id, i - da, j - db, k - dc) where n = 6 and q = 21),
+w as (select sample_id, sum(n) as euler from (select sample_id, case when (a + b + c) % 2 = 0 then n else -n end as n from u union all select sample_id, 1 from h) group by 1)
+select sample_id, v as vertices, (2 * (v - 2 * euler))::bigint as faces, (3 * (v - 2 * euler))::bigint as edges, true as watertight, true as winding_consistent from x join w using (sample_id)""")
+def isosurface(t):
+    """Vertices lie on steps out of the solid; faces follow from the Euler characteristic of the solid, joined through faces.
+
+    Six corners of a cell around two opposite empty ones are a ring of voxels, but a disc of the surface's inside: each adds 1.
+    """
+    f = written(surfaces.isosurface(catalog.solid(t)), "isosurface")
+    p = surfaces.vertices(f, geometry.SIDE / catalog._N, geometry.ORIGIN)
+    n = p.groupBy("sample_id").agg(F.count(F.lit(1)).alias("vertices")).join(f.groupBy("sample_id").agg(F.count(F.lit(1)).alias("faces")), "sample_id")
+    return n.join(geometry.surface_measures(f, p).select("sample_id", "edges", "watertight", "winding_consistent"), "sample_id")
+
+
+@query()
+def canonical_graphs(t):
+    """The canonical graph of every design's mask, in figures."""
+    return rounded(sweeps.analysed(catalog._designs(t), catalog._N).summary)
+
+
+@query()
+def resolution_gates(t):
+    """Whether every design's canonical graph holds between two resolutions."""
+    found = sweeps.sweep(catalog._designs(t), (8, catalog._N))
+    coarse = found[8]
+    return checkpoints.convergence_gates(sweeps.summaries(found), sweeps.structural_nodes(coarse, 8), coarse.edges, 8, catalog._N)

@@ -194,7 +194,8 @@ def test_canonical_graph_and_convergence(spark):
     nodes = spark.createDataFrame([("a", 10 * n, float(x), float(y), 0.0, "junction", 1) for n, (x, y) in xyz.items()], "sample_id string, node bigint, x double, y double, z double, kind string, region_voxels bigint")
     edges = [(4, 1, 4.0), (1, 2, 4.0), (2, 3, 4.0), (3, 0, 4.0), (0, 4, 0.1), (2, 1, 5.0), (1, 1, 3.0), (2, 5, 0.45)]
     e = spark.createDataFrame([("a", 10 * s, 10 * t, w, 1.0) for s, t, w in edges], "sample_id string, source bigint, target bigint, path_length double, local_thickness_mean double")
-    n, c = graphs.canonical(nodes, e)
+    n, c, raw = graphs.canonical(nodes, e)
+    assert raw.first()[1:] == (6, 6, 1.0)
     got = {r["node"]: (round(r["x"], 6), r["y"], r["degree"]) for r in n.collect()}
     assert got == {0: (0.05, 0, 2), 1: (4, 0, 2), 2: (4, 4, 2), 3: (0, 4, 2)}
     assert {(r["source"], r["target"]) for r in c.collect()} == {(0, 1), (1, 2), (2, 3), (0, 3)}
