@@ -274,6 +274,31 @@ def test_copies_poor_in_literals_are_caught(spark):
     assert got == {(k, k) for k in range(5)} | {(10, 4), (12, 3)}
 
 
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_an_item_does_not_depend_on_others(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    words_ = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta", "eps", "zeta") for b in ("ro", "ta", "mi", "lu", "se", "no")]
+    item = " ".join(words_)
+    every = lambda n: " ".join(w.upper() if k % n == 0 else w for k, w in enumerate(words_))
+    d = docs(spark, [(1, f"so {every(2)} and on"), (2, every(5)), (3, item.title()), (4, " ".join(words_[::-1]))])
+    alone = [(7, item)]
+    for bench in (alone, [*alone, (8, "one short item of nine words is not alike")], [(None, item)], [*alone, (7, "another text under the same number that nothing holds"), (7, item)]):
+        got = decontaminate.contaminated(d, spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+        assert sorted((r["doc_id"], r["item_id"] or 0, r["n_windows"]) for r in got) == [(k, bench[0][0] or 0, 29) for k in (1, 2, 3)]
+
+
+@pytest.mark.parametrize("size", range(1, 9))
+def test_windows_of_every_size(spark, size):
+    rows = [(k, " ".join(t)) for k, t in enumerate((["a", "b", "a", "b", "a", "c", "d", "e", "f", "a", "b"], ["a"] * 8, ["x"] * (size - 1), ["a", "b", "a", "b", "a", "c", "d", "e", "f"]))]
+    d = decontaminate._pieces(decontaminate.templates(docs(spark, rows), "doc_id"), ["doc_id"], {"t": {size}, "l": set()})
+    got = {r["doc_id"]: r["h"] for r in d.select("doc_id", decontaminate._windows(size, "t").alias("h")).collect()}
+    windows = {(k, i): tuple(t.split()[i : i + size]) for k, t in rows for i in range(len(t.split()) - size + 1)}
+    hashes = {}
+    for (k, i), w in windows.items():
+        assert hashes.setdefault(w, got[k][i]) == got[k][i]
+    assert len(set(hashes.values())) == len(hashes) and all(len(got[k]) == max(0, len(t.split()) - size + 1) for k, t in rows)
+
+
 def test_buckets_are_optimal(spark):
     rng = np.random.default_rng(5)
     n = rng.integers(1, 30, 80)
