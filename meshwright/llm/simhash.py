@@ -35,8 +35,12 @@ from meshwright.shared import written
 BITS = 64
 #: Comparing a fingerprint with as many as it has neighbours costs no more than to shuffle those.
 BUCKET = 64
+#: Texts of a bucket of near copies that are compared pair by pair; what a larger one doesn't link at once goes by rare shingles.
+CROWD = 16
 #: Lowest hashes of a set of shingles, and what their estimate of a similarity may be off.
 SKETCH, MARGIN = 256, 0.1
+#: Counters of shingles' frequencies, which put rare ones first: what is broadcast has this many, whatever the texts.
+COUNTERS = 1 << 18
 #: Rows of three integers that are broadcast, at most.
 BROADCAST_ROWS = 100_000
 #: Texts that the buckets of a group of copies choose for their first comparison; texts of a crowd that a round compares with all others.
@@ -282,32 +286,85 @@ def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return judged.filter("sure").select("root_x", "root_y").union(exact.select("root_x", "root_y"))
 
 
-def _settled(nodes: DataFrame, found: DataFrame, crowds: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The components (node, root) of ``nodes`` under the edges ``found`` (root_x, root_y) and all pairs of a crowd that ``alike`` keeps.
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of all sets fall to each of ``COUNTERS`` counters: an order of rarity that needs no table of shingles."""
+    slot = F.explode(F.transform("shingles", lambda x: x.bitwiseAND(F.lit(COUNTERS - 1))))
+    rows = sets.select(slot.alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
 
-    ``crowds``: (key, node), without nodes that were compared with all others. Each round compares, in every crowd that
-    isn't one component yet, some nodes outside its largest component with all nodes of other components, and takes
-    them out; so none but pairs that are linked already stay uncompared. Twice as many nodes a round keep the
-    rounds logarithmic. What a round links are components, so later rounds work on their roots alone.
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(key, node, pos, size) of the rarest shingles of sets (node, size, shingles): those that a set similar to it must share one of."""
+    for b in batches:
+        nodes, at = b.column(0).to_numpy(), [np.empty((0, 3), np.int64)]
+        for node, x in enumerate(b.column(2)):
+            tokens = x.values.to_numpy().view(np.uint32)
+            times = counts.value[tokens & np.uint32(COUNTERS - 1)]
+            order = np.lexsort((tokens, times))[: len(tokens) - math.ceil(similarity * len(tokens) - 1e-9) + 1]
+            pos = np.flatnonzero(times[order] > 1)  # a shingle that no other set has leads nowhere
+            at.append(np.stack([tokens[order][pos].astype(np.int64), np.full(len(pos), node), pos], axis=1))
+        key, row, pos = np.concatenate(at).T
+        sizes = b.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[row]), pa.array(pos.astype(np.int32)), pa.array(sizes[row])], ["key", "node", "pos", "size"])
+
+
+def postings(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, pos, size): sets by their rarest shingles, enough of them for any two similar sets to share one."""
+    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+    return sets.select("node", "size", "shingles").mapInArrow(partial(_prefixes, counts=counts, similarity=similarity), "key bigint, node bigint, pos int, size int")
+
+
+def plausible(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two sets that share a shingle at these places (node, pos, size) can be similar, if it is the rarest that they share.
+
+    Sets of m and n shingles must share s / (1 + s) (m + n). That many must be left from either place on, and the smaller
+    set has a shingle among its first m - 2 s / (1 + s) m + 1.
+    """
+    part = similarity / (1 + similarity)
+    needed = part * (x["size"] + y["size"]) - 1e-9
+    small = F.when((x["size"] < y["size"]) | ((x["size"] == y["size"]) & (x["node"] < y["node"])), x).otherwise(y)
+    first = small["pos"] <= small["size"] - 2 * part * small["size"] + 1e-9
+    return first & (F.least(x["size"] - x["pos"], y["size"] - y["pos"]) >= needed) & (F.least(x["size"], y["size"]) >= similarity * F.greatest(x["size"], y["size"]) - 1e-9)
+
+
+def _settled(nodes: DataFrame, found: DataFrame, crowds: DataFrame, alike: Callable[[DataFrame], DataFrame], plausible: Callable[[Column, Column], Column]) -> DataFrame:
+    """The components (node, root) of ``nodes`` under the edges ``found`` (root_x, root_y) and all plausible pairs of a crowd that ``alike`` keeps.
+
+    ``crowds``: (key, node, pos, size). In each crowd that isn't one component yet, nodes of different components are compared: all of
+    them in a crowd of up to ``BUCKET``; in a larger one, round by round, some outside its largest component with all
+    others, which takes them out. Twice as many nodes a round keep the rounds logarithmic. A pair is compared once. What a round
+    links are components, so later rounds work on their roots alone.
     """
     root = connected_components(found, "root_x", "root_y")
     root = written(nodes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "simhash-roots")
-    several = TURN
+    several, before = TURN, None
+    ordered = lambda x, y: F.when(x["node"] < y["node"], F.struct(x["node"].alias("x"), y["node"].alias("y"), x["root"].alias("root_x"), y["root"].alias("root_y"))).otherwise(F.struct(y["node"].alias("x"), x["node"].alias("y"), y["root"].alias("root_x"), x["root"].alias("root_y")))
+    apart = lambda x, y: (x["root"] != y["root"]) & plausible(x, y)
     while True:
-        named = crowds.join(root, "node")
-        main = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("main")).filter("parts > 1")
-        named = written(named.join(main.select("key", F.col("main.root").alias("main")), "key"), "simhash-crowds")
+        named = crowds.join(root, "node").select("key", F.struct("node", "root", "pos", "size").alias("at"))
+        main = named.groupBy("key", "at.root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).filter("parts > 1")
+        named = written(named.join(main.select("key", "n", F.col("main.root").alias("main")), "key"), "simhash-crowds")
         if named.isEmpty():
             return root
-        turn = named.filter("root <> main").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(several)).alias("k"))
-        turn = written(turn.agg(F.min(F.struct("node", "root")).alias("at")).select("key", F.col("at.node").alias("x"), F.col("at.root").alias("of_x")), "simhash-turn")
-        pairs = named.join(turn, "key").filter("root <> of_x")
-        pairs = pairs.select("x", F.col("node").alias("y"), F.col("of_x").alias("root_x"), F.col("root").alias("root_y")).distinct()
+        few = named.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("at").alias("m")).select(F.explode("m").alias("x"), "m")
+        few = few.select("x", F.explode(F.filter("m", lambda y: (y["node"] > F.col("x.node")) & apart(F.col("x"), y))).alias("y"))
+        many = named.filter(F.col("n") > BUCKET)
+        turn = many.filter("at.root <> main").groupBy("key", F.pmod(F.xxhash64("at.node"), F.lit(several)).alias("k")).agg(F.min("at").alias("x")).drop("k")
+        turn = written(turn, "simhash-turn")
+        crowd = many.select("key", F.col("at").alias("y")).join(turn, "key").filter(apart(F.col("x"), F.col("y"))).select("x", "y")
+        pairs = few.union(crowd).select(ordered(F.col("x"), F.col("y")).alias("p")).select("p.*").distinct()
+        if before is not None:
+            pairs = pairs.join(before, ["x", "y"], "left_anti")
+        pairs = written(pairs, "simhash-pairs")
         more = written(alike(pairs).distinct(), "simhash-found")
+        before = pairs.select("x", "y") if before is None else before.union(pairs.select("x", "y"))
         if not more.isEmpty():
             up = connected_components(more, "root_x", "root_y").select(F.col("node").alias("root"), F.col("root").alias("up"))
             root = written(root.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "simhash-roots")
-        crowds = named.join(turn.select("key", F.col("x").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+        left = many.select("key", F.col("at.node").alias("node"), F.col("at.pos").alias("pos"), F.col("at.size").alias("size"))
+        crowds = left.join(turn.select("key", F.col("x.node").alias("node")), ["key", "node"], "left_anti")
         several *= 2
 
 
@@ -315,9 +372,10 @@ def near_copies(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFra
     """doc_id, content (a hash of the text) and root (the component's smallest content), one row for each input row.
 
     Texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is ``similarity`` or more. Pairs
-    that share one of ``BANDS`` buckets are compared, wherever in the text an edit lies; in buckets of more than
-    ``BUCKET`` texts, with one text of the bucket first (of ``REPRESENTATIVES`` that a group's buckets choose), then until
-    no pair is left that isn't linked through others (``_settled``).
+    that share one of ``BANDS`` buckets are compared, wherever in the text an edit lies. Buckets of more than ``CROWD`` texts
+    are compared with one text of theirs (of ``REPRESENTATIVES`` that a group's buckets choose). What isn't linked then
+    meets by its rarest shingles (``postings``), enough of them that no similar pair of these texts is lost, until none is
+    left that isn't linked through others (``_settled``). So a crowd that shares much, but less than the similarity, makes no pairs.
     """
     prints = written(_readable(docs).mapInArrow(partial(_banded, shingle=shingle), "doc_id bigint, content bigint, bands array<bigint>"), "simhash-bands")
     distinct = written(prints.groupBy(F.col("content").alias("node")).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "simhash-distinct")
@@ -326,15 +384,16 @@ def near_copies(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFra
     sizes = at.groupBy("key").agg(F.count("*").alias("n"), F.min(pick).alias("one")).filter("n > 1").select("key", "n", F.col("one.node").alias("one"))
     met = written(at.drop("band").hint("merge").join(sizes, "key"), "simhash-met")
     # most buckets of a group hold the same texts
-    few = met.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m")).select("m").distinct()
+    few = met.filter(F.col("n") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m")).select("m").distinct()
     pairs = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y > F.col("x"))).alias("y"))
-    star = met.filter((F.col("n") > BUCKET) & (F.col("node") != F.col("one"))).select(F.least("one", "node").alias("x"), F.greatest("one", "node").alias("y"))
+    star = met.filter((F.col("n") > CROWD) & (F.col("node") != F.col("one"))).select(F.least("one", "node").alias("x"), F.greatest("one", "node").alias("y"))
     edges = pairs.union(star).distinct().select("x", "y", F.col("x").alias("root_x"), F.col("y").alias("root_y"))
     nodes = written(met.select("node").distinct(), "simhash-nodes")
     sets = shingle_sets(distinct.join(nodes, "node", "left_semi").select("node", "first", F.col("node").alias("content")), docs, shingle)
     found = written(similar(edges, sets, similarity), "simhash-found")
-    crowds = met.filter((F.col("n") > BUCKET) & (F.col("node") != F.col("one"))).select("key", "node")
-    root = _settled(nodes, found, crowds, partial(similar, sets=sets, similarity=similarity))
+    crowd = sets.join(met.filter(F.col("n") > CROWD).select("node").distinct(), "node", "left_semi")
+    crowds = written(postings(crowd, similarity), "simhash-postings")
+    root = _settled(nodes, found, crowds, partial(similar, sets=sets, similarity=similarity), partial(plausible, similarity=similarity))
     return prints.select("doc_id", "content").join(root.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "content", F.coalesce("root", "content").alias("root"))
 
 

@@ -145,17 +145,47 @@ def test_near_duplicates_of_clustered_edits(spark):
 def test_every_text_meets_its_bucket(spark, monkeypatch):
     # in one crowd, 1 was compared with all others and is like none of them; alike: numbers 5 apart at most
     crowd = [10, 15, 20, 40, 44, 90, 94, 98, 99]
-    crowds = spark.createDataFrame([(7, n) for n in crowd] + [(8, 200), (8, 300)], "key bigint, node bigint")
+    crowds = spark.createDataFrame([(7, n) for n in crowd] + [(8, 200), (8, 300)], "key bigint, node bigint").withColumns({"pos": F.lit(0), "size": F.lit(1)})
     none = spark.createDataFrame([], "root_x bigint, root_y bigint")
-    got = simhash._settled(crowds.select("node").distinct(), none, crowds, lambda e: e.filter("abs(x - y) <= 5").select("root_x", "root_y"))
-    assert {r["node"]: r["root"] for r in got.collect()} == {10: 10, 15: 10, 20: 10, 40: 40, 44: 40, 90: 90, 94: 90, 98: 90, 99: 90, 200: 200, 300: 300}
+    for bucket in (64, 3):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        got = simhash._settled(crowds.select("node").distinct(), none, crowds, lambda e: e.filter("abs(x - y) <= 5").select("root_x", "root_y"), lambda x, y: F.lit(True))
+        assert {r["node"]: r["root"] for r in got.collect()} == {10: 10, 15: 10, 20: 10, 40: 40, 44: 40, 90: 90, 94: 90, 98: 90, 99: 90, 200: 200, 300: 300}
     # each text like the next longer one only
     monkeypatch.setattr(simhash, "BUCKET", 1)
+    monkeypatch.setattr(simhash, "CROWD", 1)
     rows = [(10 * g + k, " ".join(f"g{g}w{i}" for i in range(n))) for g in range(8) for k, n in enumerate((100, 86, 74, 63))]
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), similarity=0.8).collect()}
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+@pytest.mark.parametrize("n", [100, 400])
+def test_a_crowd_below_the_similarity_makes_no_pairs(spark, monkeypatch, n):
+    rng = random.Random(2)
+    shared = [f"s{k}" for k in range(300)]
+    rows = [(k, " ".join(shared[:150] + [f"w{rng.randrange(10**9)}" for _ in range(rng.choice([50, 55, 60]))] + shared[150:])) for k in range(n)]
+    rows.append((n, rows[0][1] + " and more"))
+    compared, whole = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda edges, sets, similarity: (compared.append(edges.count()), whole(edges, sets, similarity))[1])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), similarity=0.8).collect()}
+    assert got == {i: i for i in range(n)} | {n: 0}
+    assert 0 < sum(compared) <= 64 * n, compared
+
+
+def test_postings_lose_no_similar_pair(spark):
+    rng = random.Random(8)
+    base = [rng.randrange(2000) for _ in range(120)]
+    sets = {0: base}
+    for k in range(1, 90):
+        sets[k] = list({*rng.sample(base, rng.randrange(60, 121)), *(rng.randrange(2000) for _ in range(rng.randrange(40)))})
+    table = spark.createDataFrame([(k, len(set(v)), sorted(set(v))) for k, v in sets.items()], "node bigint, size int, shingles array<int>")
+    p = simhash.postings(table, 0.8)
+    both = p.alias("a").join(p.alias("b"), "key").filter("a.node < b.node").select(*[F.struct(*[F.col(f"{e}.{c}") for c in ("node", "pos", "size")]).alias(e) for e in "ab"])
+    got = {(r["a"]["node"], r["b"]["node"]) for r in both.filter(simhash.plausible(F.col("a"), F.col("b"), 0.8)).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    assert len(want) > 20 and want <= got and len(got) < 4005
+
+
 @pytest.mark.parametrize("bits", [2, 4])
 def test_links_lose_no_component(spark, monkeypatch, bits):
     monkeypatch.setattr(simhash, "BUCKET", 2)
@@ -675,3 +705,19 @@ def test_documents_without_an_id_of_their_own(spark, sf):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (8, text["e"]), (9, text["f"])], key=str)
     # copies without an id are removed, whatever their places
     assert sorted(r["n_removed"] for r in substring.dedup(docs(spark, [(None, text["a"]), (None, text["a"]), (None, text["a"] + " end"), (3, text["b"])])).collect()) == [0, 0, 60, 60]
+
+
+def test_pipeline_passes_any_columns_on(spark, sf):
+    import corpus_pipeline as cp
+
+    names = ["_key", "_first", "_content", "_doc", "_kept", "_nth", "_own", "row", "key", "doc", "kept", "first", "content", "node", "root", "text_", "a.b"]
+    text = {k: " ".join(f"{k}{i}x" for i in range(60)) for k in "abc"}
+    rows = [(1, text["a"]), (2, text["a"]), (None, text["b"]), (3, text["c"]), (3, text["b"] + " tail")]
+    d = spark.createDataFrame([(i, t, None, "s", None, *[f"{k}-{n}" for n in names]) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in cp.STAGES[1:4]:
+        d = stage(spark, d, sf)
+        assert d.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+    got = {r["text"]: r for r in d.collect()}
+    assert set(got) == {text["a"], text["c"], "tail"} | ({text["b"]} if text["b"] in got else set())
+    for t, r in got.items():
+        assert len({r[n].split("-")[0] for n in names}) == 1 and all(r[n].endswith(f"-{n}") for n in names), t
