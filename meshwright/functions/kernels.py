@@ -27,18 +27,50 @@ def spectral_signature(edges: DataFrame, k: int = 12) -> DataFrame:
     return edges.select("sample_id", "source", "target").groupBy("sample_id").applyInPandas(spectrum, "sample_id string, rank bigint, value double")
 
 
+#: Stands for no distance at all; squares of grids' sizes stay exact beside it.
+_FAR = 1e15
+
+
+def envelope(d: np.ndarray) -> np.ndarray:
+    """For each row of squared distances, the least of d[p] + (q - p)^2 over all places p, at every place q.
+
+    The lower envelope of parabolas (Felzenszwalb and Huttenlocher), for all rows at once: each place is put on a row's
+    stack once and taken off at most once, so the work is linear in a row.
+    """
+    m, n = d.shape
+    rows, top = np.arange(m), np.zeros(m, dtype=np.int64)
+    of, start = np.zeros((m, n), dtype=np.int64), np.full((m, n + 1), np.inf)
+    start[:, 0] = -np.inf
+    for q in range(1, n):
+        left, meet = rows, np.empty(m)
+        while len(left):
+            p = of[left, top[left]]
+            meet[left] = (d[left, q] + q * q - d[left, p] - p * p) / (2 * (q - p))
+            left = left[meet[left] <= start[left, top[left]]]
+            top[left] -= 1
+        top += 1
+        of[rows, top], start[rows, top], start[rows, top + 1] = q, meet, np.inf
+    out, top = np.empty_like(d), np.zeros(m, dtype=np.int64)
+    for q in range(n):
+        left = rows
+        while len(left := left[start[left, top[left] + 1] < q]):
+            top[left] += 1
+        p = of[rows, top]
+        out[:, q] = d[rows, p] + (q - p) ** 2
+    return out
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of a grid (squared distances along one axis), each value the least over its line, farther by the square of the way."""
     for b in batches:
-        out = []
-        for d in b.column(b.num_columns - 1):
-            x = d.values.to_numpy()
-            best = x.copy()
-            for m in range(1, len(x)):  # what lies m places away, on either side
-                best[m:] = np.minimum(best[m:], x[:-m] + m * m)
-                best[:-m] = np.minimum(best[:-m], x[m:] + m * m)
-            out.append(best)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.float64()))], b.schema.names)
+        column = b.column(b.num_columns - 1)
+        sizes, flat = np.asarray(column.value_lengths()), np.minimum(column.flatten().to_numpy(), _FAR)
+        ends = np.cumsum(sizes)
+        for n in np.unique(sizes):
+            of = np.flatnonzero(sizes == n)
+            best = envelope(flat[(ends[of] - n)[:, None] + np.arange(n)])
+            lines = pa.FixedSizeListArray.from_arrays(pa.array(np.where(best >= _FAR / 2, np.inf, best).ravel()), int(n)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(of)) for c in b.columns[:-1]], lines], b.schema.names)
 
 
 def distance_transform(grid: DataFrame) -> DataFrame:

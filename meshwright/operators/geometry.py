@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meshwright.functions.scalars import clip, cross, grading, minus, norm, tet_edge_ratio, tet_quality, tet_volume, tpms
 from meshwright.operators.graphs import components
@@ -49,6 +50,48 @@ def boundary_contact(mask: DataFrame, n: int) -> DataFrame:
     return mask.groupBy("sample_id").agg(*[F.bool_or(F.col(c) == v).alias(f"touch_{a}{side}") for a, c in zip("xyz", "ijk", strict=True) for side, v in (("min", 0), ("max", n - 1))])
 
 
+#: Columns of a tile's side: a triangle is dealt to tiles first, then to the columns of each.
+TILE = 16
+
+
+def voxelised(faces: DataFrame, points: DataFrame, pitch: float, origin: tuple[float, float, float] = ORIGIN) -> DataFrame:
+    """The voxels (sample_id, i, j, k) whose centres lie inside closed surfaces: faces (sample_id, a, b, c) with points (sample_id, nid, x, y, z).
+
+    Along each column of voxel centres, crossings with triangles are sorted, and what lies between the first and second, third and
+    fourth, and so on, is inside. A column through an edge belongs to one of the two triangles there: both see
+    the edge from the same end, and it counts for the one that it runs down on, or along to the left.
+    """
+    t = with_corners(faces, points, ["a", "b", "c"])
+    cell = lambda v, o: (v - F.lit(o)) / pitch - 0.5  # noqa: E731  # in columns
+    for axis, (name, o) in enumerate(zip("xy", origin[:2], strict=True)):
+        v = [F.col(f"p{n}{name}") for n in range(3)]
+        t = t.withColumns({f"_l{axis}": F.ceil(cell(F.least(*v), o) - 1e-9), f"_h{axis}": F.floor(cell(F.greatest(*v), o) + 1e-9)})
+    t = t.filter("_l0 <= _h0 and _l1 <= _h1")
+    for axis, c in enumerate("ij"):  # tiles, then columns: no row makes more than a tile's side, or the tiles that it spans
+        t = t.withColumn("_t", F.explode(F.sequence(F.floor(F.col(f"_l{axis}") / TILE), F.floor(F.col(f"_h{axis}") / TILE))))
+        t = t.withColumn(c, F.explode(F.sequence(F.greatest(F.col(f"_l{axis}"), F.col("_t") * TILE), F.least(F.col(f"_h{axis}"), F.col("_t") * TILE + TILE - 1)))).drop("_t")
+    x, y = F.lit(origin[0]) + (F.col("i") + 0.5) * pitch, F.lit(origin[1]) + (F.col("j") + 0.5) * pitch
+
+    def side(p: int, q: int) -> tuple[Column, Column]:
+        """On which side of the edge from p to q a column is (+1, -1), and the area that it spans with it."""
+        px, py, qx, qy = (F.col(f"p{n}{a}") for n in (p, q) for a in "xy")
+        turned = (px > qx) | ((px == qx) & (py > qy))
+        ax, ay, bx, by = F.when(turned, qx).otherwise(px), F.when(turned, qy).otherwise(py), F.when(turned, px).otherwise(qx), F.when(turned, py).otherwise(qy)
+        area = ((bx - ax) * (y - ay) - (by - ay) * (x - ax)) * F.when(turned, -1.0).otherwise(1.0)
+        tie = F.when((qy < py) | ((qy == py) & (qx < px)), 1).otherwise(-1)
+        return F.when(area > 0, 1).when(area < 0, -1).otherwise(tie), area
+
+    (s0, w0), (s1, w1), (s2, w2) = side(1, 2), side(2, 0), side(0, 1)
+    t = t.select("sample_id", "i", "j", *[c.alias(n) for c, n in zip((s0, s1, s2, w0, w1, w2), ("s0", "s1", "s2", "w0", "w1", "w2"), strict=True)], "p0z", "p1z", "p2z")
+    area = F.col("w0") + F.col("w1") + F.col("w2")
+    t = t.filter("s0 = s1 and s1 = s2").filter(area != 0)
+    t = t.select("sample_id", "i", "j", ((F.col("w0") * F.col("p0z") + F.col("w1") * F.col("p1z") + F.col("w2") * F.col("p2z")) / area).alias("z"))
+    w = Window.partitionBy("sample_id", "i", "j").orderBy("z")
+    t = t.select("sample_id", "i", "j", cell(F.col("z"), origin[2]).alias("from"), cell(F.lead("z").over(w), origin[2]).alias("to"), F.row_number().over(w).alias("n")).filter("n % 2 = 1 and to is not null")
+    low, high = F.ceil("from"), F.ceil("to") - 1
+    return t.filter(low <= high).select("sample_id", "i", "j", F.explode(F.sequence(low, high)).alias("k"))
+
+
 def adjacent(mask: DataFrame, connectivity: int = 26) -> DataFrame:
     """Pairs (sample_id, a, b) of neighbouring voxels (sample_id, id, i, j, k), each once: they meet by equi-join."""
     offsets = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0) and (connectivity == 26 or abs(a) + abs(b) + abs(c) <= (1 if connectivity == 6 else 2))]

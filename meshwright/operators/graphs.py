@@ -138,14 +138,3 @@ def neighbour_mean(nodes: DataFrame, edges: DataFrame, columns: list[str], how:
     m = edges.join(nodes.select(F.col("node").alias("source"), "sample_id", *columns), ["sample_id", "source"])
     m = m.groupBy("sample_id", F.col("target").alias("node")).agg(*[agg(c).alias(f"{c}_in") for c in columns])
     return nodes.join(m, ["sample_id", "node"], "left").withColumns({f"{c}_in": F.coalesce(f"{c}_in", F.lit(0.0)) for c in columns})
-
-
-def dense_layer(df: DataFrame, inputs: list[str], weights: list[list[float]], bias: list[float], names: list[str], relu: bool = True) -> DataFrame:
-    """A dense layer as column arithmetic: weights[i][j] from input i to output j."""
-    out = []
-    for j, name in enumerate(names):
-        x = F.lit(bias[j])
-        for i, c in enumerate(inputs):
-            x = x + F.col(c) * F.lit(weights[i][j])
-        out.append((F.greatest(x, F.lit(0.0)) if relu else x).alias(name))
-    return df.select("*", *out)

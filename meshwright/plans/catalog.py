@@ -317,7 +317,7 @@ k as (select *, row_number() over (partition by qid order by dist, pid) as rank
 
 def _knn(t, k: int) -> DataFrame:
     v = _vectors(t, 3).select(F.col("vec_id").alias("pid"), F.col("e0").alias("x"), F.col("e1").alias("y"), F.col("e2").alias("z"))
-    return mapping.knn_grid(v.filter("pid % 100 = 0").withColumnRenamed("pid", "qid"), v, k, 0.1)
+    return written(mapping.knn(v.filter("pid % 100 = 0").withColumnRenamed("pid", "qid"), v, k), "knn")
 
 
 @query(f"{_KNN} select qid, rank, pid, round(dist, 6) as dist from k where rank <= 32")
@@ -655,13 +655,6 @@ def gnn_mean_aggregate_layer(t):
     return rounded(graphs.neighbour_mean(nodes, graphs.doubled(edges), ["x", "y"]).select("sample_id", "node", "x_in", "y_in"))
 
 
-@query(f"{_GNN}, a as (select v.label, v.vec_id, v.e0, coalesce(sum(n.e0), 0) as x_in from v left join d on d.t = v.vec_id left join v n on n.vec_id = d.s group by all) select label::varchar as sample_id, vec_id as node, round(greatest(0, 0.1 + 0.5 * e0 + 0.25 * x_in), 6) as h0, round(greatest(0, -0.2 - 0.5 * e0 + 0.75 * x_in), 6) as h1 from a")
-def gnn_sum_block(t):
-    nodes, edges = _vector_graph(t)
-    m = graphs.neighbour_mean(nodes, graphs.doubled(edges), ["x"], "sum")
-    return rounded(graphs.dense_layer(m, ["x", "x_in"], [[0.5, -0.5], [0.25, 0.75]], [0.1, -0.2], ["h0", "h1"]).select("sample_id", "node", "h0", "h1"))
-
-
 @query(f"{_VG}, n as (select vec_id from v) select label::varchar as sample_id, count(*) as nodes from v group by 1")
 def graph_totals(t):
     return _vector_graph(t)[0].groupBy("sample_id").agg(F.count(F.lit(1)).alias("nodes"))

@@ -94,6 +94,15 @@ def isosurface(t):
     return n.join(geometry.surface_measures(f, p).select("sample_id", "edges", "watertight", "winding_consistent"), "sample_id")
 
 
+@query("""with s as (select s_suppkey, (s_suppkey % 7 + 1)::bigint as h from supplier)
+select s_suppkey::varchar as sample_id, (4 * h) ** 3 as voxels, 40::bigint as i0, 40 + 4 * h - 1 as i1, 0::bigint as k0, 4 * h - 1 as k1, round((4 * h - 1) / 2, 6) as middle from s""".replace("(4 * h) ** 3 as", "(64 * h * h * h)::bigint as"))
+def voxelised_solids(t):
+    """The outsides of the cubes of tetrahedra, as voxels of a quarter."""
+    p, tets = catalog._cubes(t)
+    v = geometry.voxelised(geometry.exterior_faces(tets), p, 0.25)
+    return rounded(v.groupBy("sample_id").agg(F.count(F.lit(1)).alias("voxels"), F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("k").alias("k0"), F.max("k").alias("k1"), (F.avg("j") - 40).alias("middle")))
+
+
 @query()
 def canonical_graphs(t):
     """The canonical graph of every design's mask, in figures."""

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from meshwright.plans import catalog, rules, voxels  # noqa: F401
+from meshwright.plans import catalog, learning, rules, voxels  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

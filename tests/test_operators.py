@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwright.functions import aggregates, kernels, scalars
-from meshwright.operators import audit, features, geometry, graphs, mapping, networks, ordering, relational, skeletons
+from meshwright.operators import audit, features, geometry, graphs, mapping, networks, ordering, relational, skeletons, surfaces
 from meshwright.operators.components import connected_components
 from meshwright.sources import files, reports, sinks
 
@@ -67,7 +67,7 @@ def test_knn_grid_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 3)) ** 3
     pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "pid bigint, x double, y double, z double")
-    got = {(r["qid"], r["rank"]): r["pid"] for r in mapping.knn_grid(pts.filter("pid % 20 = 0").withColumnRenamed("pid", "qid"), pts, 5, 0.3).collect()}
+    got = {(r["qid"], r["rank"]): r["pid"] for r in mapping.knn(pts.filter("pid % 20 = 0").withColumnRenamed("pid", "qid"), pts, 5).collect()}
     for q in range(0, 200, 20):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         assert [got[q, k] for k in range(1, 6)] == sorted(range(200), key=lambda i: (d[i], i))[:5]
@@ -174,18 +174,62 @@ def test_positions_and_quantiles_of_hot_groups(spark):
     assert ordering.quantiles(df.limit(0), ["k"], ["v"], at).count() == 0
 
 
-def test_neighbours_far_beyond_a_cell(spark):
+def test_neighbours_far_beyond_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(mapping, "CELL", 8)
     rng = np.random.default_rng(6)
     p = np.concatenate((rng.random((60, 3)), rng.random((5, 3)) + 500, [[-4000.0, 0, 0]]))
     points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "pid bigint, x double, y double, z double")
     queries = [(0, 0.5, 0.5, 0.5), (1, 499.0, 500.0, 501.0), (2, 30000.0, 0.0, 0.0), (3, -4000.0, 0.0, 0.0)]
-    got = mapping.knn_grid(spark.createDataFrame(queries, "qid bigint, x double, y double, z double"), points, 7, 0.1).collect()
+    got = mapping.knn(spark.createDataFrame(queries, "qid bigint, x double, y double, z double"), points, 7).collect()
     for qid, *x in queries:
         d = np.sqrt(((p - x) ** 2).sum(1))
         want = sorted(zip(d, range(len(p)), strict=True))[:7]
         assert [r["pid"] for r in sorted((r for r in got if r["qid"] == qid), key=lambda r: r["rank"])] == [i for _, i in want]
-    few = mapping.knn_grid(spark.createDataFrame(queries, "qid bigint, x double, y double, z double"), points.limit(3), 7, 0.1)
+    few = mapping.knn(spark.createDataFrame(queries, "qid bigint, x double, y double, z double"), points.limit(3), 7)
     assert few.groupBy("qid").count().filter("count = 3").count() == 4
+    assert mapping.knn(spark.createDataFrame(queries, "qid bigint, x double, y double, z double"), points.limit(0), 7).count() == 0
+
+
+def test_neighbours_where_most_points_lie_in_one_place(spark, monkeypatch):
+    monkeypatch.setattr(mapping, "CELL", 16)
+    rng = np.random.default_rng(4)
+    p = np.concatenate((rng.random((1800, 3)) * 1e-3, rng.random((200, 3)), np.full((1200, 3), 0.25)))
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "pid bigint, x double, y double, z double")
+    queries = points.filter("pid % 40 = 0").withColumnRenamed("pid", "qid")
+    rows = mapping.knn(queries, points, 9).collect()
+    got = {(r["qid"], r["rank"]): r["pid"] for r in rows}
+    assert len(rows) == 9 * 80
+    for q in range(0, len(p), 40):
+        d = np.sqrt(((p - p[q]) ** 2).sum(1))
+        want = np.lexsort((np.arange(len(p)), d))[:9]
+        assert [got[q, k + 1] for k in range(9)] == want.tolist() or sorted(d[[got[q, k + 1] for k in range(9)]]) == pytest.approx(sorted(d[want]), abs=1e-15)
+    tree = mapping.split(p, 6)
+    assert np.bincount(tree.of(p[:2000]), minlength=64).max() < 120  # dense places have cells of their own
+
+
+def test_voxels_of_surfaces(spark):
+    g = np.indices((12, 12, 12)) - 5.5
+    mask = [("ball", *map(int, c)) for c in np.argwhere((g**2).sum(0) < 25)]
+    ball = surfaces.isosurface(spark.createDataFrame(mask, "sample_id string, i bigint, j bigint, k bigint"))
+    got = geometry.voxelised(ball, surfaces.vertices(ball), 1.0, (0.0, 0.0, 0.0))
+    assert sorted(tuple(r) for r in got.select("sample_id", "i", "j", "k").collect()) == sorted(mask)  # around voxels, and back
+    fine = geometry.voxelised(ball, surfaces.vertices(ball), 0.25, (0.0, 0.0, 0.0)).count()
+    assert fine / 64 == pytest.approx(geometry.surface_measures(ball, surfaces.vertices(ball)).first()["volume"], rel=0.01)
+    # a cube whose sides run through columns of centres, and one that is turned
+    corners = [(x, y, z) for z in (0, 1) for y in (0, 1) for x in (0, 1)]
+    faces = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5)]
+    c, s = np.cos(0.4), np.sin(0.4)
+    turn = np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]) @ np.array([[1, 0, 0], [0, c, -s], [0, s, c]])
+    places = {"even": np.array(corners) * 4 + 0.5, "turned": (np.array(corners) * 6) @ turn.T}
+    points = spark.createDataFrame([(n, k, *map(float, x)) for n, p in places.items() for k, x in enumerate(p)], "sample_id string, nid bigint, x double, y double, z double")
+    f = spark.createDataFrame([(n, *t) for n in places for t in faces], "sample_id string, a bigint, b bigint, c bigint")
+    got = {}
+    for r in geometry.voxelised(f, points, 1.0, (0.0, 0.0, 0.0)).collect():
+        got.setdefault(r["sample_id"], set()).add((r["i"], r["j"], r["k"]))
+    assert len({(i, j) for i, j, _ in got["even"]}) == 16  # of 5 x 5 columns on its sides, each side takes its own once
+    centres = np.stack(np.meshgrid(*[np.arange(-10, 14)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    inside = (np.abs((centres + 0.5) @ turn - 3) < 3).all(axis=1)
+    assert got["turned"] == {tuple(map(int, v)) for v in centres[inside]}
 
 
 def test_canonical_graph_and_convergence(spark):
