@@ -297,10 +297,10 @@ def node_perceptron(t):
     return rounded(h.select("vec_id", F.col("h")[0].alias("h0"), F.col("h")[1].alias("h1")))
 
 
-@query("select n_nationkey, n_name, n_regionkey from nation")
+@query("select o_orderkey, o_orderstatus, o_totalprice, case when o_custkey % 5 > 0 then o_orderpriority end as o_orderpriority, case when o_custkey % 7 > 0 then o_custkey end as o_custkey from orders")
 def csv_round_trip(t):
-    n = t("nation")
-    return sinks.csv(n, new_path(n.sparkSession, "csv"))
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderpriority")).alias("o_orderpriority"), F.when(F.col("o_custkey") % 7 > 0, F.col("o_custkey")).alias("o_custkey"))
+    return sinks.csv(o, new_path(o.sparkSession, "csv"))
 
 
 @query("select vec_id::varchar as sample_id, 'embedding' as name, 64 as n, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total from embeddings")

@@ -5,9 +5,10 @@ Input lines are rows (file, line, text); everything here is windows and joins ov
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,10 +19,35 @@ NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eEdD][-+]?\d+)?"
 SECTIONS = {"forces": "reaction", "stresses": "stress", "strains": "strain"}
 
 
+#: Lines of a file that a task looks at together; what it needs of those before comes from a row for each such piece.
+PIECE = 1 << 20
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of text files; a file is one task's, as its lines need numbers."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    """(file, line, text) of text files, lines from 0. A large file is read by several tasks.
+
+    A task reads byte ranges of files, in order. Lines are numbered within a range, and ranges by what all before them
+    hold: counting those reads the files once more.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.col("value").alias("text"))
+    rows = rows.withColumn("_id", F.monotonically_increasing_id())
+    ranges = rows.groupBy("file", "_at").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("file", "_at", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(ranges, ["file", "_at"]).select("file", (F.col("_id") + F.col("_shift")).alias("line"), "text")
+
+
+def _carried(df: DataFrame, within: Column, all_of: Column, before: Callable[[Column], Column], both: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """``df`` with ``name``: something that goes on from line to line of a file, piece by piece.
+
+    ``within``: its value at a line, of the lines of its piece up to there. ``all_of``: an aggregate of a whole piece;
+    ``before``: the same of all earlier pieces' values; ``both``: what these and the value within a piece come to.
+    """
+    df = df.withColumn("_piece", F.floor(F.col("line") / PIECE))
+    earlier = Window.partitionBy("file").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = df.groupBy("file", "_piece").agg(all_of.alias("_all")).select("file", "_piece", before(F.col("_all")).over(earlier).alias("_before"))
+    w = Window.partitionBy("file", "_piece").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_within", within.over(w)).join(pieces, ["file", "_piece"]).withColumn(name, both(F.col("_before"), F.col("_within"))).drop("_piece", "_before", "_within")
 
 
 def numbers(df: DataFrame) -> DataFrame:
@@ -35,8 +61,9 @@ def sections(df: DataFrame) -> DataFrame:
     head = F.lit(None).cast("string")
     for word, name in SECTIONS.items():
         head = F.when(F.lower("text").contains(word), name).otherwise(head)
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_h", head).withColumn("section", F.last("_h", ignorenulls=True).over(w)).withColumn("is_head", F.col("_h").isNotNull()).drop("_h")
+    latest = lambda c: F.last(c, ignorenulls=True)
+    df = _carried(df.withColumn("_h", head), latest(F.col("_h")), F.max_by("_h", F.when(F.col("_h").isNotNull(), F.col("line"))), latest, lambda before, within: F.coalesce(within, before), "section")
+    return df.withColumn("is_head", F.col("_h").isNotNull()).drop("_h")
 
 
 def records(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -56,8 +83,8 @@ def records(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 def id_set(df: DataFrame, keyword: str, name: str) -> DataFrame:
     """(file, id): the ids of the first block of a deck with this keyword and name."""
     head = F.startswith(F.trim("text"), F.lit("*"))
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_head", head).withColumn("block", F.sum(F.col("_head").cast("int")).over(w))
+    heads = F.sum(F.col("_head").cast("int"))
+    df = _carried(df.withColumn("_head", head), heads, heads, F.sum, lambda before, within: within + F.coalesce(before, F.lit(0)), "block")
     wanted = F.upper(F.regexp_replace("text", r"\s", ""))
     named = df.filter("_head").filter(wanted.startswith(f"*{keyword.upper()}") & wanted.rlike(rf"=({name.upper()})(,|$)")).groupBy("file").agg(F.min("block").alias("block"))
     rows = df.filter("not _head").join(named, ["file", "block"], "left_semi")

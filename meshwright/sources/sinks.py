@@ -4,20 +4,31 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LEDGER = "sample_id string, stage string, status string, message string, at timestamp"
 
 
-def _digest(df: DataFrame) -> tuple[int, int]:
+def _figures(df: DataFrame) -> list[Column]:
     """How many rows, and a digest of them that their order doesn't change; digests of unions are their digests' XOR."""
-    r = df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0))).first()
-    return r[0], r[1]
+    return [F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("digest")]
+
+
+def _digest(df: DataFrame) -> tuple[int, int]:
+    return tuple(df.agg(*_figures(df)).first())
+
+
+def _written(df: DataFrame, write: Callable[[DataFrame], None]) -> tuple[int, int]:
+    """The digest of what ``write`` writes, taken on the way: the plan runs once, so one that isn't repeatable does no harm."""
+    seen = Observation()
+    write(df.observe(seen, *_figures(df)))
+    return seen.get["n"], seen.get["digest"]
 
 
 def verified_write(df: DataFrame, path: str, partition: str | None = None, mode: str = "errorifexists") -> DataFrame:
@@ -29,19 +40,27 @@ def verified_write(df: DataFrame, path: str, partition: str | None = None, mode:
             before = _digest(spark.read.parquet(path).select(df.columns))
         except AnalysisException:  # nothing there yet
             pass
-    w = df.write.mode(mode)
-    (w.partitionBy(partition) if partition else w).parquet(path)
-    back, new = spark.read.parquet(path).select(df.columns), _digest(df)
-    if mode != "ignore" and _digest(back) != (before[0] + new[0], before[1] ^ new[1]):
+
+    def write(rows: DataFrame) -> None:
+        w = rows.write.mode(mode)
+        (w.partitionBy(partition) if partition else w).parquet(path)
+
+    if mode == "ignore":  # nothing may be written, and nothing counted
+        write(df)
+        return spark.read.parquet(path).select(df.columns)
+    new = _written(df, write)
+    back = spark.read.parquet(path).select(df.columns)
+    if _digest(back) != (before[0] + new[0], before[1] ^ new[1]):
         raise ValueError(f"{path} differs from what was written")
     return back
 
 
 def csv(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
-    """Write CSV with a header and read it again as the same schema; fails unless as many rows come back."""
-    df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", '""').csv(path)
+    """Write CSV with a header and read it again as the same schema; fails unless the same rows come back (appended to others, unless all can be read)."""
+    write = lambda rows: rows.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", '""').csv(path)
+    new = write(df) if mode == "ignore" else _written(df, write)
     back = df.sparkSession.read.schema(df.schema).option("header", True).option("mode", "FAILFAST").csv(path)
-    if mode in ("errorifexists", "overwrite") and back.count() != df.count():
+    if mode in ("errorifexists", "overwrite", "error") and _digest(back) != new:
         raise ValueError(f"{path} has other rows than were written")
     return back
 

@@ -307,6 +307,43 @@ def test_writes_are_verified_in_every_mode(spark, tmp_path):
     assert text.split("\n")[:-1] == [f"line {k}" for k in range(1, 21)]
 
 
+def test_a_plan_that_is_not_repeatable_is_written_once(spark, tmp_path):
+    df = spark.range(50).select("id", F.rand().alias("r"))
+    assert sinks.verified_write(df, str(tmp_path / "p")).count() == 50
+    assert sinks.csv(df.withColumn("s", F.when(F.col("id") % 3 == 0, "a,\"b")), str(tmp_path / "c")).filter("s is null").count() == 33
+    assert sinks.verified_write(df.limit(0), str(tmp_path / "none")).count() == 0
+    assert sinks.verified_write(df, str(tmp_path / "none"), mode="ignore").count() == 0
+
+
+def test_a_large_report_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    rows = {"a.dat": [], "b.dat": [" no head 1 2 3", ""]}
+    for k in range(6000):
+        rows["a.dat"].append(" forces (fx,fy,fz) for set TOP" if k % 2500 == 20 else " stresses (elem, integ.pnt.,sxx..)" if k % 2500 == 1700 else f" {k} 1.5D+00 -2.0E-01 {k % 9}" if k % 11 else "")
+    for name, text in rows.items():
+        (tmp_path / name).write_text(("\r\n" if name == "b.dat" else "\n").join(text) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        df = reports.lines(spark, str(tmp_path / "*.dat"))
+        assert spark.read.text(str(tmp_path / "a.dat")).rdd.getNumPartitions() > 5
+        got = {(r["file"].rsplit("/", 1)[1], r["line"]): r["text"] for r in df.collect()}
+        assert got == {(n, k): v for n, text in rows.items() for k, v in enumerate(text)}
+        section, want = None, {}
+        for k, v in enumerate(rows["a.dat"]):
+            section = "reaction" if "forces" in v else "stress" if "stresses" in v else section
+            want[k] = section
+        for piece in (1 << 20, 700):
+            monkeypatch.setattr(reports, "PIECE", piece)
+            assert {r["line"]: r["section"] for r in reports.sections(df).filter("file like '%a.dat'").collect()} == want
+        assert reports.sections(df).filter("file like '%b.dat' and section is null").count() == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    deck = spark.createDataFrame([("f", k, t) for k, t in enumerate(["*NODE", "9", "*ELSET, ELSET=EALL", "1, 2,", "3", "*NSET, NSET=TOP", "4"])], "file string, line bigint, text string")
+    for piece in (1 << 20, 2):
+        monkeypatch.setattr(reports, "PIECE", piece)
+        assert sorted(r["id"] for r in reports.id_set(deck, "ELSET", "EALL").collect()) == [1, 2, 3]
+
+
 def test_samples_and_covers(spark):
     df = spark.range(100)
     a = {r["id"] for r in relational.sampled(df, "id", 10).collect()}
