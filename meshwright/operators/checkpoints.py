@@ -196,3 +196,15 @@ def finalisation(audit: DataFrame, expected: int = 120) -> DataFrame:
     row = audit.agg(is_("VERIFIED").alias("verified"), is_("TERMINAL_QC_FAILURE").alias("terminal_qc_failures"), is_("MISSING_OR_IN_PROGRESS").alias("unfinished"), F.count_if(F.col("status").startswith("INVALID")).alias("invalid"))
     decision = F.when(F.col("invalid") > 0, "INVALID").when(F.col("unfinished") > 0, "REFUSED_UNFINISHED").when(F.col("verified") + F.col("terminal_qc_failures") != expected, "REFUSED_ACCOUNTING").otherwise("FINALIZED")
     return row.withColumn("decision", decision)
+
+
+def target_summary(targets: DataFrame, reactions: DataFrame, displacement: float) -> DataFrame:
+    """One row for each sample: least, median, 95th percentile and largest of both targets, reactions in all, and apparent stiffness.
+
+    ``targets``: sample_id, y_vm, y_eq of a graph's nodes. ``reactions``: sample_id, x, y, z of the top's nodes.
+    """
+    q = quantiles(targets, ["sample_id"], ["y_vm", "y_eq"], (0.0, 0.5, 0.95, 1.0))
+    of = {f"{short}_graph_{name}{unit}": F.max(F.when(F.col("name") == c, F.get("q", F.lit(i)))) for c, short, unit in (("y_vm", "vm", "_MPa"), ("y_eq", "eq", "")) for i, name in enumerate(("min", "median", "p95", "max"))}
+    t = q.groupBy("sample_id").agg(*[v.alias(k) for k, v in of.items()])
+    r = reactions.groupBy("sample_id").agg(*[F.sum(c).alias(f"reaction_{c}_N") for c in "xyz"])
+    return t.join(r, "sample_id", "left").withColumn("apparent_stiffness_N_per_mm", F.abs(F.col("reaction_z_N") / displacement))

@@ -40,6 +40,14 @@ def component_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return components(nodes, edges).groupBy("sample_id").agg(F.countDistinct("root").alias("components"))
 
 
+def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row over all graphs: how many there are, their nodes and edges, the most nodes, the least edges, and the whole path length."""
+    n = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    e = edges.groupBy("sample_id").agg(F.count(F.lit(1)).alias("m"), F.sum("path_length").alias("w"))
+    g = n.join(e, "sample_id", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    return g.agg(F.count(F.lit(1)).alias("graphs"), F.sum("n").alias("nodes"), F.sum("m").alias("edges"), F.max("n").alias("most_nodes"), F.min("m").alias("least_edges"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("path_length"))
+
+
 def contract_short_edges(nodes: DataFrame, edges: DataFrame, threshold: float | Column) -> tuple[DataFrame, DataFrame]:
     """Merge the ends of edges shorter than ``threshold``; what merges stands at its weighted centroid.
 

@@ -119,9 +119,9 @@ def semi_filter(t):
     return t("customer").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_totalprice > 300000)")
 def anti_missing(t):
-    return t("customer").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return t("customer").join(t("orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("""select (select count(*) from lineitem where l_partkey in (select p_partkey from part)) as found,
@@ -425,6 +425,13 @@ def contract_short_edges(t):
     return rounded(graphs.contract_short_edges(*_vector_graph(t), 0.3)[0].select("sample_id", "node", "x", "kind"))
 
 
+@query(f"""{_VG}, d as (select source as a, target as b from e where w < 0.3 union select target, source from e where w < 0.3), r as (select vec_id as node, vec_id as root from v union select d.b, r.root from r join d on d.a = r.node),
+c as (select node, min(root) as root from r group by 1)
+select label::varchar as sample_id, least(s.root, t.root) as source, greatest(s.root, t.root) as target, round(min(w)::double, 6) as path_length from e join c s on s.node = source join c t on t.node = target where s.root <> t.root group by 1, 2, 3""")
+def contracted_edges(t):
+    return rounded(graphs.contract_short_edges(*_vector_graph(t), 0.3)[1].select("sample_id", "source", "target", "path_length"))
+
+
 @query()
 def prune_spurs(t):
     nodes, edges = _vector_graph(t)
@@ -597,9 +604,15 @@ def section_carry_forward(t):
 
 
 @query(f"""with r as ({_REPORT}), h as (select *, {_SECTION} as h from r), s as (select *, last_value(h ignore nulls) over (partition by file order by line rows unbounded preceding) as section, string_split_regex(trim(text), ' +') as w from h)
-select file, section, w[1]::bigint as id from s where h is null and section is not null and line % 13 <> 0 and len(w) = case when section = 'reaction' then 4 else 8 end""")
+select file, section, w[1]::bigint as id, array_to_string(list_transform(w[case when section = 'reaction' then 2 else 3 end:], lambda x: round(replace(x, 'D', 'E')::double, 3)::varchar), ' ') as parts
+from s where h is null and section is not null and line % 13 <> 0 and len(w) = case when section = 'reaction' then 4 else 8 end""")
 def report_records(t):
-    return reports.records(_report(t)).select("file", "section", "id")
+    return reports.records(_report(t)).select("file", "section", "id", F.array_join(F.transform("values", lambda v: F.round(v, 3).cast("string")), " ").alias("parts"))
+
+
+@query(f"""with r as ({_REPORT}), h as (select *, {_SECTION} as h, row_number() over (partition by file, {_SECTION} is null order by line) - 1 as k from r) select file, k as head, line, h as section, trim(text) as text from h where h is not null and k < 3""")
+def report_heads(t):
+    return reports.heads(_report(t), 3)
 
 
 @query("""with e as (select user_id::varchar as file, event_id, sum((event_id % 5 = 0)::int) over (partition by user_id order by event_id) as block from events),
@@ -655,9 +668,9 @@ def gnn_mean_aggregate_layer(t):
     return rounded(graphs.neighbour_mean(nodes, graphs.doubled(edges), ["x", "y"]).select("sample_id", "node", "x_in", "y_in"))
 
 
-@query(f"{_VG}, n as (select vec_id from v) select label::varchar as sample_id, count(*) as nodes from v group by 1")
+@query(f"{_VG}, n as (select label, count(*) as nodes from v group by 1), m as (select label, count(*) as edges, sum(w)::double as w from e group by 1) select count(*) as graphs, sum(nodes)::bigint as nodes, sum(edges)::bigint as edges, max(nodes) as most_nodes, min(edges) as least_edges, round(sum(w), 6) as path_length from n join m using (label)")
 def graph_totals(t):
-    return _vector_graph(t)[0].groupBy("sample_id").agg(F.count(F.lit(1)).alias("nodes"))
+    return rounded(graphs.totals(*_vector_graph(t)))
 
 
 @query(f"""{_VG}, d as (select source as a, target as b from e where w < 0.4 union select target, source from e where w < 0.4), r as (select vec_id as node, vec_id as root from v union select d.b, r.root from r join d on d.a = r.node),

@@ -156,6 +156,14 @@ def structural_features(t):
     return rounded(out.drop("x", "y", "z", "kind", "region_voxels", "degree"))
 
 
+@query("select l_suppkey as sample_id, " + ", ".join(f"round(quantile_cont({c}, {p}), 6) as {s}_graph_{n}{u}" for c, s, u in (("l_extendedprice / 100", "vm", "_MPa"), ("l_discount", "eq", "")) for n, p in (("min", 0.0), ("median", 0.5), ("p95", 0.95), ("max", 1.0))) + """,
+  round(sum(l_quantity), 6) as reaction_x_N, round(sum(-l_tax), 6) as reaction_y_N, round(sum(l_discount - 0.06), 6) as reaction_z_N, round(abs(sum(l_discount - 0.06) / -0.2::double), 6) as apparent_stiffness_N_per_mm from lineitem group by 1""")
+def target_summary(t):
+    line = t("lineitem").withColumn("sample_id", F.col("l_suppkey"))
+    targets = line.select("sample_id", (F.col("l_extendedprice") / 100).alias("y_vm"), F.col("l_discount").alias("y_eq"))
+    return rounded(checkpoints.target_summary(targets, line.select("sample_id", F.col("l_quantity").alias("x"), (-F.col("l_tax")).alias("y"), (F.col("l_discount") - 0.06).alias("z")), -0.2))
+
+
 def _designs(t) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(a) for a in ("gyroid", "diamond", "primitive")]), (F.col("p_partkey") % 3 + 1).cast("int"))
     trig = {f"phase_{a}_rad": F.col("p_size") * v for a, v in zip("xyz", (0.1, 0.2, 0.3), strict=True)}

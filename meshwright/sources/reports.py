@@ -56,13 +56,24 @@ def numbers(df: DataFrame) -> DataFrame:
     return df.withColumn("numbers", F.transform(found, lambda x: F.replace(F.upper(x), F.lit("D"), F.lit("E")).cast("double")))
 
 
-def sections(df: DataFrame) -> DataFrame:
-    """rows with the section whose head line came last in the file, and whether they are head lines."""
+def heads(df: DataFrame, n: int) -> DataFrame:
+    """(file, head, line, section, text): the first ``n`` head lines of each file, numbered from 0: what a report has, without reading its records."""
+    h = df.select("file", "line", F.trim("text").alias("text"), _head().alias("section")).filter("section is not null")
+    rank = F.row_number().over(Window.partitionBy("file").orderBy("line"))
+    return h.withColumn("head", (rank - 1).cast("bigint")).filter(F.col("head") < n).select("file", "head", "line", "section", "text")
+
+
+def _head() -> Column:
     head = F.lit(None).cast("string")
     for word, name in SECTIONS.items():
         head = F.when(F.lower("text").contains(word), name).otherwise(head)
+    return head
+
+
+def sections(df: DataFrame) -> DataFrame:
+    """rows with the section whose head line came last in the file, and whether they are head lines."""
     latest = lambda c: F.last(c, ignorenulls=True)
-    df = _carried(df.withColumn("_h", head), latest(F.col("_h")), F.max_by("_h", F.when(F.col("_h").isNotNull(), F.col("line"))), latest, lambda before, within: F.coalesce(within, before), "section")
+    df = _carried(df.withColumn("_h", _head()), latest(F.col("_h")), F.max_by("_h", F.when(F.col("_h").isNotNull(), F.col("line"))), latest, lambda before, within: F.coalesce(within, before), "section")
     return df.withColumn("is_head", F.col("_h").isNotNull()).drop("_h")
 
 
