@@ -124,9 +124,16 @@ def write_warc(records: DataFrame, path: str) -> None:
     members.select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", divider).text(path)
 
 
+def _text(content: bytes) -> str | None:
+    try:
+        return content.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = {"warc-type": 0, "warc-record-id": 1, "warc-refers-to": 2, "warc-target-uri": 3, "warc-date": 4, "content-type": 5, "warc-block-digest": 6, "warc-payload-digest": 7}
-    schema = pa.schema([(c, pa.string()) for c in ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "block_digest", "payload_digest")] + [("content_length", pa.int64()), ("block", pa.string())])
+    schema = pa.schema([(c, pa.string()) for c in ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "block_digest", "payload_digest")] + [("content_length", pa.int64()), ("block", pa.string()), ("content", pa.binary())])
     for b in batches:
         for content in b.column(0):
             f = gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))
@@ -134,14 +141,15 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while line := f.readline():  # between records, blank lines
                 if not line.startswith(b"WARC/"):
                     continue
-                row: list = [None] * 10
+                row: list = [None] * 11
                 while (line := f.readline()) not in (b"\r\n", b""):
                     name, _, value = line.decode("utf-8", "replace").partition(":")
                     if name.lower() in names:
                         row[names[name.lower()]] = value.strip()
                     elif name.lower() == "content-length":
                         row[8] = int(value)
-                row[9] = f.read(row[8] or 0).decode("utf-8", "replace")
+                row[10] = f.read(row[8] or 0)
+                row[9] = _text(row[10])
                 rows.append(row)
                 if len(rows) == 1024:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
@@ -151,9 +159,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of gzip WARC files; each file is read by one task."""
+    """The records of gzip WARC files; each file is read by one task, member after member.
+
+    ``content`` is a record's block as it stands, which its digest fits; ``block`` is its text, null where that isn't UTF-8.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_parsed, "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, block_digest string, payload_digest string, content_length bigint, block string")
+    return files.mapInArrow(_parsed, "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, block_digest string, payload_digest string, content_length bigint, block string, content binary")
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -605,6 +605,15 @@ def test_warc_round_trip(spark, sf, tmp_path):
     assert members == len(rows)
 
 
+def test_warc_blocks_that_are_no_text(spark, tmp_path):
+    block = bytes(range(256)) + "é".encode()
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}\r\nContent-Length: {len(block)}\r\n\r\n"
+    (tmp_path / "b.gz").write_bytes(gzip.compress(head.encode() + block + b"\r\n\r\n") + gzip.compress(b"WARC/1.0\r\nContent-Length: 2\r\n\r\n\xc3\xa9\r\n\r\n"))
+    one, two = warc.read_warc(spark, str(tmp_path / "*.gz")).collect()
+    assert bytes(one["content"]) == block and one["block"] is None and one["block_digest"] == f"sha256:{hashlib.sha256(block).hexdigest()}"
+    assert two["block"] == "é" and bytes(two["content"]) == "é".encode()
+
+
 def test_warc_of_another_version(spark, tmp_path):
     record = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{0}>\r\nContent-Length: 5\r\n\r\nhell{0}\r\n\r\n"
     (tmp_path / "one.gz").write_bytes(gzip.compress("".join(record.format(k) for k in range(3)).encode()))
