@@ -220,12 +220,16 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([doc, doc_id, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), sha, pa.array(kept, pa.binary())], ["doc", "doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
+_MANIFEST = "kind string, k int, name string, path string, batches int, buckets int"
+
+
 class FingerprintIndex:
     """What batches leave for those to come, in tables of the shared folder that never change.
 
     ``runs``: tables (fp, n, batch, doc, pos), sorted and bucketed by fp: how often a fingerprint occurs; where, if it does once.
     ``digests``: (d1, d2) of the windows that were verified, sorted. ``texts``: a table of each batch, bucketed by doc.
     ``spent`` names what compaction has replaced; results that aren't read yet may need it, so ``clean`` removes it when told to.
+    ``store`` writes a manifest, and ``open`` goes on from it in another session.
     """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
@@ -304,13 +308,64 @@ class FingerprintIndex:
             self.spent += self.runs
             self.runs = [run]
 
+    def compact_all(self) -> None:
+        """Replace runs, digests and texts by one table of each kind, so that a long history isn't one of many small tables."""
+        self.compact()
+        if len(self.digests) > 1:
+            path = new_path(self.spark, "index-digests")
+            every = self.spark.read.schema("d1 bigint, d2 bigint").parquet(*self.digests)
+            every.repartitionByRange(self.buckets, "d1", "d2").sortWithinPartitions("d1", "d2").write.parquet(path)
+            self.spent += self.digests
+            self.digests = [path]
+        if len(self.texts) > 1:
+            columns = ["batch", "doc", "text"]
+            rows = reduce(DataFrame.union, [self.spark.table(x).select(*columns) for x in self.texts])
+            name = self._save(rows.repartition(self.buckets, "doc"), "doc")
+            self.spent += self.texts
+            self.texts = [name]
+
     def clean(self) -> None:
-        """Remove the runs that compaction has replaced."""
-        for run in self.spent:
-            self.spark.sql(f"drop table {run}")
-            remove(self.spark, self.paths.pop(run))
+        """Remove what compaction has replaced."""
+        for old in self.spent:
+            self._remove(old)
         self.spent = []
 
+    def _remove(self, name: str) -> None:
+        if name in self.paths:
+            self.spark.sql(f"drop table if exists {name}")
+        remove(self.spark, self.paths.pop(name, name))
+
+    def drop(self) -> None:
+        """Remove the whole index."""
+        self.clean()
+        for name in (*self.runs, *self.digests, *self.texts):
+            self._remove(name)
+        self.runs, self.digests, self.texts, self.batches = [], [], [], 0
+
+    def store(self, path: str) -> None:
+        """Write a manifest: a row for each table, from which another session opens the index. Earlier manifests there are passed over."""
+        rows = [(kind, k, name, self.paths.get(name, name), self.batches, self.buckets) for kind in ("runs", "digests", "texts") for k, name in enumerate(getattr(self, kind))]
+        rows = rows or [("none", 0, "", "", self.batches, self.buckets)]
+        self.spark.createDataFrame(rows, _MANIFEST).withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index of the latest manifest at ``path``, its tables registered in this session where they aren't."""
+        rows = spark.read.schema(f"{_MANIFEST}, at timestamp").parquet(path)
+        rows = rows.join(rows.agg(F.max("at").alias("at")), "at", "left_semi").orderBy("kind", "k").collect()  # a row for each table
+        index = cls(spark, rows[0]["buckets"])
+        index.batches = rows[0]["batches"]
+        for r in rows:
+            if r["kind"] != "none":
+                getattr(index, r["kind"]).append(r["name"])
+            if r["kind"] in ("runs", "texts"):
+                index.paths[r["name"]] = r["path"]
+                if not spark.catalog.tableExists(r["name"]):
+                    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(r["path"]).schema)
+                    by = "clustered by (fp) sorted by (fp)" if r["kind"] == "runs" else "clustered by (doc)"
+                    spark.sql(f"create table {r['name']} ({columns}) using parquet {by} into {r['buckets']} buckets location '{r['path']}'")
+        return index
+
 
 def numbered(docs: DataFrame, name: str = "doc") -> DataFrame:
     """``docs`` and a number for each document: its doc_id, if it is the only or the first text of it."""

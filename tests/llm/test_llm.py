@@ -276,6 +276,38 @@ def test_index_of_earlier_batches(spark, monkeypatch, broadcast):
     assert "SortMergeJoin" in plan and "Exchange hashpartitioning(fp" not in plan
 
 
+def test_an_index_is_opened_by_another_session(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    vocab = [f"w{i}" for i in range(60)]
+    passage = [str(x) for x in rng.choice(vocab, 50)]
+    rows = [(i, " ".join([str(x) for x in rng.choice(vocab, 30)] + passage[i % 7 : 30 + i % 9] + [str(x) for x in rng.choice(vocab, 9)])) for i in range(40)]
+    digest = lambda found: {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found.collect()}
+    index, got = substring.FingerprintIndex(spark, 3), {}
+    for k in (0, 10):
+        got |= digest(substring.dedup(docs(spark, rows[k : k + 10]), index=index))
+    index.store(str(tmp_path / "manifest"))
+    got |= digest(substring.dedup(docs(spark, rows[20:30]), index=index))
+    index.compact_all()
+    assert len(index.runs) == len(index.digests) == len(index.texts) == 1
+    index.store(str(tmp_path / "manifest"))
+    index.clean()
+    for name in (*index.runs, *index.texts):  # another catalog doesn't know them
+        spark.sql(f"drop table {name}")
+    other = spark.newSession()
+    again = substring.FingerprintIndex.open(other, str(tmp_path / "manifest"))
+    assert (again.batches, again.runs, again.digests, again.texts) == (3, index.runs, index.digests, index.texts)
+    got |= digest(substring.dedup(docs(other, rows[30:]), index=again))
+    assert got == brute_substring(rows)
+    plan = again.seen(again.runs[-1])._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning(fp" not in plan
+    paths = [*again.paths.values(), *again.digests]
+    again.drop()
+    assert not any(os.path.exists(p) for p in paths)
+    empty = substring.FingerprintIndex(spark, 2)
+    empty.store(str(tmp_path / "empty"))
+    assert substring.FingerprintIndex.open(spark, str(tmp_path / "empty")).runs == []
+
+
 def test_reparameterised_question_is_caught(spark):
     bench = spark.createDataFrame([(1, "Anna buys 12 apples at 3 dollars each and then Anna sells 5 of them for what total profit")], "item_id bigint, text string")
     text = "intro words here Peter buys 40 apples at 7 dollars each and then {} sells 9 of them for what total profit end"
