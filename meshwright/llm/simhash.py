@@ -44,7 +44,7 @@ COUNTERS = 1 << 18
 #: Rows of three integers that are broadcast, at most.
 BROADCAST_ROWS = 100_000
 #: Texts that the buckets of a group of copies choose for their first comparison; texts of a crowd that a round compares with all others.
-REPRESENTATIVES, TURN = 4, 1
+REPRESENTATIVES, TURN = 4, 64
 _CHUNK = 1 << 16
 #: Buckets of a set of shingles: a pair of similarity 0.8 misses all of them once in 16,000 times, one of 0.5 meets in one of 64.
 BANDS, ROWS = 32, 6
@@ -334,7 +334,7 @@ def _settled(nodes: DataFrame, found: DataFrame, crowds: DataFrame, alike: Calla
 
     ``crowds``: (key, node, pos, size). In each crowd that isn't one component yet, nodes of different components are compared: all of
     them in a crowd of up to ``BUCKET``; in a larger one, round by round, some outside its largest component with all
-    others, which takes them out. Twice as many nodes a round keep the rounds logarithmic. A pair is compared once. What a round
+    others, which takes them out. Four times as many nodes a round keep the rounds logarithmic. A pair is compared once. What a round
     links are components, so later rounds work on their roots alone.
     """
     root = connected_components(found, "root_x", "root_y")
@@ -365,7 +365,7 @@ def _settled(nodes: DataFrame, found: DataFrame, crowds: DataFrame, alike: Calla
             root = written(root.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "simhash-roots")
         left = many.select("key", F.col("at.node").alias("node"), F.col("at.pos").alias("pos"), F.col("at.size").alias("size"))
         crowds = left.join(turn.select("key", F.col("x.node").alias("node")), ["key", "node"], "left_anti")
-        several *= 2
+        several *= 4
 
 
 def near_copies(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
