@@ -5,28 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spectral_signature(edges: DataFrame, k: int = 12) -> DataFrame:
-    """The k smallest nonzero eigenvalues of each sample graph's normalised Laplacian: sample_id, rank, value."""
-
-    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(pdf[["source", "target"]].to_numpy(), return_inverse=True)
-        s, t = at.reshape(-1, 2).T
-        a = np.zeros((len(ids), len(ids)))
-        a[s, t] = a[t, s] = 1
-        d = 1 / np.sqrt(a.sum(0))
-        values = np.linalg.eigvalsh(np.eye(len(ids)) - d[:, None] * a * d)
-        values = values[values > 1e-9][:k]
-        return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "rank": np.arange(1, len(values) + 1), "value": values})
-
-    return edges.select("sample_id", "source", "target").groupBy("sample_id").applyInPandas(spectrum, "sample_id string, rank bigint, value double")
-
-
 #: Stands for no distance at all; squares of grids' sizes stay exact beside it.
 _FAR = 1e15
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from meshwright.functions import aggregates as agg
 from meshwright.functions import kernels
 from meshwright.functions import scalars as fn
-from meshwright.operators import audit, features, geometry, graphs, mapping, relational
+from meshwright.operators import audit, features, geometry, graphs, mapping, relational, spectra
 from meshwright.operators.components import connected_components
 from meshwright.operators.ordering import quantiles
 from meshwright.plans.registry import QUERIES, SQL, query, rounded  # noqa: F401
@@ -656,7 +656,7 @@ def identity_mismatch(t):
 
 @query()
 def spectral_signature(t):
-    return rounded(kernels.spectral_signature(_vector_graph(t)[1]))
+    return rounded(spectra.spectral_signature(_vector_graph(t)[1]))
 
 
 _GNN = f"{_VG}, d as (select source as s, target as t from e union all select target, source from e)"

@@ -106,11 +106,6 @@ def test_distance_transform_and_labels(spark):
     assert geometry.voxel_surface(g.select(F.lit("s").alias("sample_id"), "id", "i", "j", "k")).count() == 150
 
 
-def test_spectrum_of_a_triangle(spark):
-    e = spark.createDataFrame([("t", 0, 1), ("t", 1, 2), ("t", 0, 2)], "sample_id string, source bigint, target bigint")
-    assert [r["value"] for r in kernels.spectral_signature(e).orderBy("rank").collect()] == pytest.approx([1.5, 1.5])
-
-
 def test_zscore_fits_on_train_only(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (9.0, 5.0)], "a double, b double")
     got = features.zscored(df, df.filter("a < 5"), ["a", "b"]).collect()
