@@ -1,9 +1,9 @@
 """Smallest eigenvalues of graphs' normalised Laplacians, for graphs of any size.
 
-A graph's spectrum is the union of its components'. A component of at most ``dense`` nodes is solved as a matrix. A larger
-one goes by block iteration on the normalised adjacency (LOBPCG, Knyazev 2001): its vectors lie in tiles of some thousand
-nodes, a product with the adjacency is a join with the edges and a sum, and only Gram matrices of a block's size meet in one
-task. The null vector, roots of the degrees, is known and projected away.
+A graph of at most ``dense`` nodes is solved as a matrix. The spectrum of a larger one is the union of its components', of
+which small ones are solved so too. A large component goes by block iteration on the normalised adjacency (LOBPCG, Knyazev
+2001): its vectors lie in tiles of some thousand nodes, a product with the adjacency is a join with the edges and a sum, and
+only Gram matrices of a block's size meet in one task. The null vector, roots of the degrees, is known and projected away.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ def _dense(k: int):
         a = np.zeros((len(ids), len(ids)))
         a[s, t] = 1
         d = 1 / np.sqrt(a.sum(0))
-        values = np.linalg.eigvalsh(np.eye(len(ids)) - d[:, None] * a * d)[1 : k + 1]
+        values = np.linalg.eigvalsh(np.eye(len(ids)) - d[:, None] * a * d)
+        values = values[values > 1e-9][:k]  # the least one that isn't zero is over 1 / (nodes x degrees)
         return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "root": pdf["root"].iloc[0], "value": values, "bound": 0.0})
 
     return solve
@@ -219,15 +220,25 @@ def spectral_signature(edges: DataFrame, k: int = 12, dense: int = 400, tile: in
     e = edges.select("sample_id", F.col("source").cast("bigint").alias("source"), F.col("target").cast("bigint").alias("target")).dropna()
     pairs = written(graphs.doubled(e).distinct(), "spectrum-pairs")
     nodes = pairs.groupBy("sample_id", F.col("source").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("degree"))
-    nodes = written(graphs.components(nodes, pairs), "spectrum-components")
-    sizes = nodes.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
-    nodes = written(nodes.join(sizes, GROUP).select(*GROUP, "node", "degree", "n"), "spectrum-sizes")
-    small = nodes.filter(F.col("n") <= dense).select("sample_id", "root", F.col("node").alias("source"))
-    parts = [pairs.join(small, ["sample_id", "source"]).select(*GROUP, "source", "target").groupBy(*GROUP).applyInPandas(_dense(k), VALUES)]
-    large = nodes.filter(F.col("n") > dense)
-    if large.limit(1).count():
-        own = pairs.join(large.select("sample_id", F.col("node").alias("source")), ["sample_id", "source"], "left_semi")
-        parts += _iterated(own, large, k, tile, steps, tolerance)
+
+    def sized(df: DataFrame, by: list[str]) -> DataFrame:
+        return written(df.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by), "spectrum-nodes")
+
+    def solved(small: DataFrame) -> DataFrame:
+        own = pairs.join(small.select(*GROUP, F.col("node").alias("source")), ["sample_id", "source"])
+        return own.select(*GROUP, "source", "target").groupBy(*GROUP).applyInPandas(_dense(k), VALUES)
+
+    nodes = sized(nodes, ["sample_id"])
+    parts = [solved(nodes.filter(F.col("n") <= dense).withColumn("root", F.lit(0).cast("bigint")))]
+    many = nodes.filter(F.col("n") > dense).drop("n")
+    if many.limit(1).count():
+        own = pairs.join(many.select("sample_id", F.col("node").alias("source")), ["sample_id", "source"], "left_semi")
+        many = sized(written(graphs.components(many, own), "spectrum-components"), GROUP)
+        parts.append(solved(many.filter(F.col("n") <= dense)))
+        large = many.filter(F.col("n") > dense)
+        if large.limit(1).count():
+            own = pairs.join(large.select("sample_id", F.col("node").alias("source")), ["sample_id", "source"], "left_semi")
+            parts += _iterated(own, large, k, tile, steps, tolerance)
     w = Window.partitionBy("sample_id").orderBy("value", "root")
     every = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w))
     return every.filter(F.col("rank") <= k).select("sample_id", F.col("rank").cast("bigint").alias("rank"), "value", "bound")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.operators import graphs, training
+from meshwright.operators import graphs, selection, training
 from meshwright.plans import catalog
 from meshwright.plans.registry import query, rounded
 from meshwright.shared import new_path, written
@@ -141,3 +141,17 @@ def gnn_training(t):
     nodes, edges = (written(df, "learning") for df in _graph(t))
     odd = F.col("sample_id").cast("int") % 2 == 1
     return training.train(training.Network("edge", 5, 2, 4, 1), training.Protocol(rate=0.02, epochs=2), nodes.filter(~odd), nodes.filter(odd), edges, new_path(nodes.sparkSession, "ledger"))
+
+
+@query()
+def gnn_selection(t):
+    """A network and the plain perceptron, trained on a third of the samples and validated on another; the network is frozen, then both are tested."""
+    nodes, edges = (written(df, "learning") for df in _graph(t))
+    third = F.col("sample_id").cast("int") % 3
+    spark, ledger, path = nodes.sparkSession, new_path(nodes.sparkSession, "ledger"), new_path(nodes.sparkSession, "frozen")
+    networks = {"EdgeAwareGNN": training.Network("edge", 5, 2, 8, 1), "MLP": training.Network("mlp", 5, 2, 8)}
+    for run, network in networks.items():
+        training.train(network, training.Protocol(rate=0.02, epochs=1), nodes.filter(third == 0), nodes.filter(third == 1), edges, ledger, run)
+    selection.freeze(spark, ledger, path, "EdgeAwareGNN")
+    overall, _ = selection.tested(ledger, path, networks, nodes.filter(third == 2), edges, ["u", "v"], batches=2)
+    return rounded(overall.drop("mean_inference_ms_per_graph", "median_inference_ms_per_graph"))
