@@ -214,7 +214,8 @@ def spectral_signature(edges: DataFrame, k: int = 12, dense: int = 400, tile: in
 
     Edges (sample_id, source, target, whole numbers) are taken once and both ways, rows with a null are left out. ``bound`` is 0
     for what was solved as a matrix; else an eigenvalue is no further from ``value`` than it. An iteration ends when no wanted
-    vector's residual is over ``tolerance`` (the value's error is about its square), or after ``steps``, with the bound reached.
+    vector's residual is over ``tolerance`` (a value's error is about its square over the gap to the next eigenvalues), or after
+    ``steps``, with the bound reached.
     """
     dense = max(dense, 4 * (k + GUARD))  # a block iteration needs more room than its basis
     e = edges.select("sample_id", F.col("source").cast("bigint").alias("source"), F.col("target").cast("bigint").alias("target")).dropna()
