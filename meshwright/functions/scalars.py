@@ -38,12 +38,22 @@ def one_hot(x: Column, vocabulary: tuple[str, ...], prefix: str) -> list[Column]
     return [F.coalesce((x == v).cast("double"), F.lit(0.0)).alias(f"{prefix}_{v}") for v in vocabulary]
 
 
+def turns(at: Column, cell: Column, phase: Column) -> Column:
+    """A place along an axis as an angle of a periodic surface of this cell size."""
+    return 2 * F.pi() * at / cell + phase
+
+
+def tpms_of(architecture: Column, a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column]) -> Column:
+    """The implicit field of a triply periodic surface, from the sine and cosine of each axis's angle."""
+    (sa, ca), (sb, cb), (sc, cc) = a, b, c
+    gyroid = sa * cb + sb * cc + sc * ca
+    diamond = sa * sb * sc + sa * cb * cc + ca * sb * cc + ca * cb * sc
+    return F.when(architecture == "gyroid", gyroid).when(architecture == "diamond", diamond).when(architecture == "primitive", ca + cb + cc)
+
+
 def tpms(architecture: Column, x: Column, y: Column, z: Column, cell: Column, px: Column, py: Column, pz: Column) -> Column:
     """The implicit field of a triply periodic surface at a point."""
-    a, b, c = (2 * F.pi() * v / cell + p for v, p in ((x, px), (y, py), (z, pz)))
-    gyroid = F.sin(a) * F.cos(b) + F.sin(b) * F.cos(c) + F.sin(c) * F.cos(a)
-    diamond = F.sin(a) * F.sin(b) * F.sin(c) + F.sin(a) * F.cos(b) * F.cos(c) + F.cos(a) * F.sin(b) * F.cos(c) + F.cos(a) * F.cos(b) * F.sin(c)
-    return F.when(architecture == "gyroid", gyroid).when(architecture == "diamond", diamond).when(architecture == "primitive", F.cos(a) + F.cos(b) + F.cos(c))
+    return tpms_of(architecture, *[(F.sin(t), F.cos(t)) for t in (turns(v, cell, p) for v, p in ((x, px), (y, py), (z, pz)))])
 
 
 def grading(mode: Column, z01: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Voxel grids, masks, tetrahedra and triangles as tables."""
+"""Voxel grids, masks, tetrahedra and triangles as tables.
+
+Spark takes exploded rows, and tables of voxels that compress well, for far smaller than they are: their joins are
+merged, so that none is broadcast.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meshwright.functions.scalars import clip, cross, grading, minus, norm, tet_edge_ratio, tet_quality, tet_volume, tpms
+from meshwright.functions.scalars import clip, cross, grading, minus, norm, tet_edge_ratio, tet_quality, tet_volume, tpms_of, turns
 from meshwright.operators.graphs import components
-from meshwright.operators.ordering import quantiles
+from meshwright.operators.ordering import positioned
+from meshwright.shared import tasks, written
 
 SIDE, ORIGIN = 20.0, (-10.0, -10.0, 0.0)
+#: Rows of some numbers for each sample that are broadcast, at most.
+BROADCAST_ROWS = 500_000
+#: Bins of a threshold's unit, by which values are counted.
+BINS = 16
 
 
 def voxels(df: DataFrame, n: int) -> DataFrame:
@@ -19,30 +28,57 @@ def voxels(df: DataFrame, n: int) -> DataFrame:
     Slices are dealt out before they are filled, so that a row's grid is made in parallel.
     """
     line = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-    v = df.withColumn("i", F.explode(line)).repartition(*[F.col(c) for c in (*df.columns[:1], "i")]).withColumn("j", F.explode(line)).withColumn("k", F.explode(line))
+    v = df.withColumn("i", F.explode(line)).repartition(tasks(df.sparkSession), *[F.col(c) for c in (*df.columns[:1], "i")]).withColumn("j", F.explode(line)).withColumn("k", F.explode(line))
     at = [(F.lit(o) + (F.col(c) + 0.5) * (SIDE / n)).alias(a) for a, c, o in zip("xyz", "ijk", ORIGIN, strict=True)]
     return v.select("*", ((F.col("i") * n + F.col("j")) * n + F.col("k")).alias("id"), *at)
 
 
 def field(designs: DataFrame, n: int) -> DataFrame:
-    """The implicit field of each design over an n^3 grid, and its threshold profile."""
+    """The implicit field of each design over an n^3 grid, and its threshold profile.
+
+    Angles, then their sines and cosines, are columns first: each is made once a voxel, and what Spark generates stays short enough to be compiled.
+    """
     df = voxels(designs, n)
-    f = tpms(F.col("architecture"), *[F.col(c) for c in ("x", "y", "z", "cell_size_mm", "phase_x_rad", "phase_y_rad", "phase_z_rad")])
+    df = df.withColumns({f"_{a}": turns(F.col(a), F.col("cell_size_mm"), F.col(f"phase_{a}_rad")) for a in "xyz"})
+    df = df.withColumns({f"_{name}{a}": wave(f"_{a}") for a in "xyz" for name, wave in (("sin", F.sin), ("cos", F.cos))})
+    f = tpms_of(F.col("architecture"), *[(F.col(f"_sin{a}"), F.col(f"_cos{a}")) for a in "xyz"])
     profile = clip(1 + F.col("grading_amplitude") * grading(F.col("grading_mode"), F.col("z") / SIDE), 0.2)
-    return df.withColumns({"f": f, "profile": profile})
+    return df.withColumns({"f": f, "profile": profile}).drop(*[f"_{name}{a}" for a in "xyz" for name in ("", "sin", "cos")])
+
+
+def _beside(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what a written table has for their keys: it is broadcast behind a count, and never the rows."""
+    return rows.join(F.broadcast(few), keys) if few.count() <= BROADCAST_ROWS else rows.hint("merge").join(few, keys)
 
 
 def masked(fields: DataFrame) -> DataFrame:
     """The voxels of fields with ``tau``, their sample's calibrated threshold, and ``solid``: within it, times the profile."""
-    f = fields.join(calibrated(fields), "sample_id")
+    f = _beside(fields, written(calibrated(fields), "thresholds"), ["sample_id"])
     return f.withColumn("solid", F.abs("f") / F.col("profile") <= F.col("tau") + 1e-9)
 
 
 def calibrated(fields: DataFrame) -> DataFrame:
-    """The threshold at which each sample's mask has its target density: that quantile of |f| over the profile, exactly."""
-    ratio = fields.select("sample_id", "target_relative_density", (F.abs("f") / F.col("profile")).alias("ratio"))
-    q = quantiles(ratio, ["sample_id", "target_relative_density"], ["ratio"], (F.col("target_relative_density"),))
-    return q.select("sample_id", F.get("q", F.lit(0)).alias("tau"))
+    """The threshold at which each sample's mask has its target density: that quantile of |f| over the profile, exactly.
+
+    Values are counted by bins first. Then only those of the bin, or two, around the quantile's place travel, and are put in order.
+    NULL and NaN have no bin. (They aren't filtered, nor bins matched by key: Spark would take the whole formula into
+    the filter, several times, and what it generates would be too long to be compiled.)
+    """
+    keys = ["sample_id", "target_relative_density"]
+    ratio = fields.select(*keys, (F.abs("f") / F.col("profile")).alias("ratio"))
+    ratio = ratio.withColumn("bin", F.when(~F.isnan("ratio"), F.floor(F.col("ratio") * BINS)))
+    whole = Window.partitionBy(*keys)
+    before = F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = ratio.groupBy(*keys, "bin").agg(F.count("bin").alias("n"))
+    bins = bins.withColumns({"before": F.coalesce(before, F.lit(0)), "place": F.col("target_relative_density") * (F.sum("n").over(whole) - 1)})
+    low, high = F.floor("place"), F.ceil("place")
+    bins = bins.filter((F.col("before") <= high) & (F.col("before") + F.col("n") > low))
+    bins = written(bins.groupBy(*keys, "place").agg(F.min("before").alias("first"), F.min("bin").alias("one"), F.max("bin").alias("two")), "field-bins")
+    near = _beside(ratio, bins, keys).filter((F.col("bin") == F.col("one")) | (F.col("bin") == F.col("two")))
+    near = positioned(near.drop("bin", "one", "two"), keys, [F.col("ratio")])
+    at = F.col("first") + F.col("position")
+    share = F.when((at == low) & (low == high), 1.0).when(at == low, high - F.col("place")).when(at == high, F.col("place") - low)
+    return near.withColumn("share", share).filter("share is not null").groupBy(*keys).agg(F.sum(F.col("ratio") * F.col("share")).alias("tau")).select("sample_id", "tau")
 
 
 def boundary_contact(mask: DataFrame, n: int) -> DataFrame:
@@ -92,12 +128,15 @@ def voxelised(faces: DataFrame, points: DataFrame, pitch: float, origin: tuple[f
     return t.filter(low <= high).select("sample_id", "i", "j", F.explode(F.sequence(low, high)).alias("k"))
 
 
-def adjacent(mask: DataFrame, connectivity: int = 26) -> DataFrame:
-    """Pairs (sample_id, a, b) of neighbouring voxels (sample_id, id, i, j, k), each once: they meet by equi-join."""
+def adjacent(mask: DataFrame, connectivity: int = 26, *keep: str) -> DataFrame:
+    """Pairs (sample_id, a, b) of neighbouring voxels (sample_id, id, i, j, k), each once: they meet by equi-join.
+
+    Kept, if asked for: ``axes``, along how many of which a pair differs (1: a face is shared, 2: an edge, 3: a corner).
+    """
     offsets = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0) and (connectivity == 26 or abs(a) + abs(b) + abs(c) <= (1 if connectivity == 6 else 2))]
-    step = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for v, n in zip(o, "abc", strict=True)]) for o in offsets])
-    near = mask.select("sample_id", "id", "i", "j", "k", F.explode(step).alias("o")).select("sample_id", F.col("id").alias("a"), *[(F.col(c) + F.col(f"o.{d}")).alias(c) for c, d in zip("ijk", "abc", strict=True)])
-    return near.join(mask.select("sample_id", F.col("id").alias("b"), "i", "j", "k"), ["sample_id", "i", "j", "k"]).select("sample_id", "a", "b")
+    step = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for v, n in zip(o, "abc", strict=True)], F.lit(sum(map(abs, o))).alias("axes")) for o in offsets])
+    near = mask.select("sample_id", "id", "i", "j", "k", F.explode(step).alias("o")).select("sample_id", F.col("id").alias("a"), "o.axes", *[(F.col(c) + F.col(f"o.{d}")).alias(c) for c, d in zip("ijk", "abc", strict=True)])
+    return near.hint("merge").join(mask.select("sample_id", F.col("id").alias("b"), "i", "j", "k"), ["sample_id", "i", "j", "k"]).select("sample_id", "a", "b", *keep)
 
 
 def labelled(mask: DataFrame, connectivity: int = 26) -> DataFrame:
@@ -123,13 +162,13 @@ def voxel_surface(mask: DataFrame) -> DataFrame:
     step = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(s).alias("side")) for a in range(3) for s in (-1, 1)])
     f = mask.select("sample_id", "id", "i", "j", "k", F.explode(step).alias("d")).select("sample_id", "id", "i", "j", "k", "d.axis", "d.side")
     moved = [(F.col(c) + F.when(F.col("axis") == n, F.col("side")).otherwise(0)).alias(c) for n, c in enumerate("ijk")]
-    return f.select("sample_id", "id", "axis", "side", *moved).join(mask.select("sample_id", "i", "j", "k"), ["sample_id", "i", "j", "k"], "left_anti").select("sample_id", "id", "axis", "side")
+    return f.select("sample_id", "id", "axis", "side", *moved).hint("merge").join(mask.select("sample_id", "i", "j", "k"), ["sample_id", "i", "j", "k"], "left_anti").select("sample_id", "id", "axis", "side")
 
 
 def with_corners(cells: DataFrame, points: DataFrame, corners: list[str]) -> DataFrame:
     """Cells with the coordinates of their corners: p<n>x, p<n>y, p<n>z."""
     for n, c in enumerate(corners):
-        cells = cells.join(points.select("sample_id", F.col("nid").alias(c), *[F.col(a).alias(f"p{n}{a}") for a in "xyz"]), ["sample_id", c])
+        cells = cells.hint("merge").join(points.select("sample_id", F.col("nid").alias(c), *[F.col(a).alias(f"p{n}{a}") for a in "xyz"]), ["sample_id", c])
     return cells
 
 
