@@ -103,9 +103,14 @@ def voxelised(faces: DataFrame, points: DataFrame, pitch: float, origin: tuple[f
         v = [F.col(f"p{n}{name}") for n in range(3)]
         t = t.withColumns({f"_l{axis}": F.ceil(cell(F.least(*v), o) - 1e-9), f"_h{axis}": F.floor(cell(F.greatest(*v), o) + 1e-9)})
     t = t.filter("_l0 <= _h0 and _l1 <= _h1")
-    for axis, c in enumerate("ij"):  # tiles, then columns: no row makes more than a tile's side, or the tiles that it spans
-        t = t.withColumn("_t", F.explode(F.sequence(F.floor(F.col(f"_l{axis}") / TILE), F.floor(F.col(f"_h{axis}") / TILE))))
-        t = t.withColumn(c, F.explode(F.sequence(F.greatest(F.col(f"_l{axis}"), F.col("_t") * TILE), F.least(F.col(f"_h{axis}"), F.col("_t") * TILE + TILE - 1)))).drop("_t")
+    for axis in (0, 1):  # tiles, then columns: no row makes more than a tile's side, or the tiles that it spans
+        t = t.withColumn(f"_t{axis}", F.explode(F.sequence(F.floor(F.col(f"_l{axis}") / TILE), F.floor(F.col(f"_h{axis}") / TILE))))
+    # triangles are few and small beside the columns that they make, so tiles are dealt out before
+    tile = ["sample_id", "_t0", "_t1"]
+    t = t.repartition(tasks(t.sparkSession), *tile)
+    for axis, c in enumerate("ij"):
+        low, high = F.col(f"_t{axis}") * TILE, F.col(f"_t{axis}") * TILE + TILE - 1
+        t = t.withColumn(c, F.explode(F.sequence(F.greatest(F.col(f"_l{axis}"), low), F.least(F.col(f"_h{axis}"), high))))
     x, y = F.lit(origin[0]) + (F.col("i") + 0.5) * pitch, F.lit(origin[1]) + (F.col("j") + 0.5) * pitch
 
     def side(p: int, q: int) -> tuple[Column, Column]:
@@ -118,11 +123,11 @@ def voxelised(faces: DataFrame, points: DataFrame, pitch: float, origin: tuple[f
         return F.when(area > 0, 1).when(area < 0, -1).otherwise(tie), area
 
     (s0, w0), (s1, w1), (s2, w2) = side(1, 2), side(2, 0), side(0, 1)
-    t = t.select("sample_id", "i", "j", *[c.alias(n) for c, n in zip((s0, s1, s2, w0, w1, w2), ("s0", "s1", "s2", "w0", "w1", "w2"), strict=True)], "p0z", "p1z", "p2z")
+    t = t.select(*tile, "i", "j", *[c.alias(n) for c, n in zip((s0, s1, s2, w0, w1, w2), ("s0", "s1", "s2", "w0", "w1", "w2"), strict=True)], "p0z", "p1z", "p2z")
     area = F.col("w0") + F.col("w1") + F.col("w2")
     t = t.filter("s0 = s1 and s1 = s2").filter(area != 0)
-    t = t.select("sample_id", "i", "j", ((F.col("w0") * F.col("p0z") + F.col("w1") * F.col("p1z") + F.col("w2") * F.col("p2z")) / area).alias("z"))
-    w = Window.partitionBy("sample_id", "i", "j").orderBy("z")
+    t = t.select(*tile, "i", "j", ((F.col("w0") * F.col("p0z") + F.col("w1") * F.col("p1z") + F.col("w2") * F.col("p2z")) / area).alias("z"))
+    w = Window.partitionBy(*tile, "i", "j").orderBy("z")  # a column lies in one tile, where its task has it
     t = t.select("sample_id", "i", "j", cell(F.col("z"), origin[2]).alias("from"), cell(F.lead("z").over(w), origin[2]).alias("to"), F.row_number().over(w).alias("n")).filter("n % 2 = 1 and to is not null")
     low, high = F.ceil("from"), F.ceil("to") - 1
     return t.filter(low <= high).select("sample_id", "i", "j", F.explode(F.sequence(low, high)).alias("k"))
@@ -209,16 +214,20 @@ def surface_measures(faces: DataFrame, points: DataFrame) -> DataFrame:
     n = cross(minus(p[1], p[0]), minus(p[2], p[0]))
     q = cross(p[1], p[2])
     size = with_corners(faces, points, ["a", "b", "c"]).groupBy("sample_id").agg(F.sum(0.5 * norm(*n)).alias("area"), (F.sum(p[0][0] * q[0] + p[0][1] * q[1] + p[0][2] * q[2]) / 6).alias("volume"))
-    d = face_edges(faces)
-    both = d.groupBy("sample_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"))
-    return size.join(both.groupBy("sample_id").agg(F.bool_and(F.col("n") == 2).alias("watertight"), F.bool_and(F.col("m") == 1).alias("winding_consistent"), F.count(F.lit(1)).alias("edges")), "sample_id")
+    d = _directed(faces).groupBy("sample_id", "u", "v").agg(F.count(F.lit(1)).alias("m"))
+    both = d.groupBy("sample_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("m").alias("n"), F.max("m").alias("m"))
+    return size.hint("merge").join(both.groupBy("sample_id").agg(F.bool_and(F.col("n") == 2).alias("watertight"), F.bool_and(F.col("m") == 1).alias("winding_consistent"), F.count(F.lit(1)).alias("edges")), "sample_id")
+
+
+def _directed(faces: DataFrame) -> DataFrame:
+    e = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in (("a", "b"), ("b", "c"), ("c", "a"))])
+    return faces.select("sample_id", F.explode(e).alias("e")).select("sample_id", "e.u", "e.v")
 
 
 def face_edges(faces: DataFrame) -> DataFrame:
     """Directed edges of faces and how often each occurs: sample_id, u, v, m (a row for each occurrence)."""
-    e = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in (("a", "b"), ("b", "c"), ("c", "a"))])
-    d = faces.select("sample_id", F.explode(e).alias("e")).select("sample_id", "e.u", "e.v")
-    return d.join(d.groupBy("sample_id", "u", "v").agg(F.count(F.lit(1)).alias("m")), ["sample_id", "u", "v"])
+    d = _directed(faces)
+    return d.hint("merge").join(d.groupBy("sample_id", "u", "v").agg(F.count(F.lit(1)).alias("m")), ["sample_id", "u", "v"])
 
 
 def anchors(nodes: DataFrame) -> DataFrame:
