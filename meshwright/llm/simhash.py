@@ -230,7 +230,8 @@ def bands(grams: np.ndarray) -> np.ndarray:
 def _banded(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = pa.array([bands(shingle_set(t.as_py(), shingle)) for t in b.column(1)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), found], ["doc_id", "content", "bands"])
+        fp = pa.array([simhash(t.as_py())[0] for t in b.column(1)], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp, found], ["doc_id", "content", "fp", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -371,14 +372,21 @@ def _settled(nodes: DataFrame, found: DataFrame, crowds: DataFrame, alike: Calla
 def near_copies(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
     """doc_id, content (a hash of the text) and root (the component's smallest content), one row for each input row.
 
-    Texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is ``similarity`` or more. Pairs
+    Texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is ``similarity`` or more. Compared are
+    texts whose SimHash fingerprints ``links`` finds within 2 bits. What is further apart than that at this similarity follows: pairs
     that share one of ``BANDS`` buckets are compared, wherever in the text an edit lies. Buckets of more than ``CROWD`` texts
     are compared with one text of theirs (of ``REPRESENTATIVES`` that a group's buckets choose). What isn't linked then
     meets by its rarest shingles (``postings``), enough of them that no similar pair of these texts is lost, until none is
     left that isn't linked through others (``_settled``). So a crowd that shares much, but less than the similarity, makes no pairs.
     """
-    prints = written(_readable(docs).mapInArrow(partial(_banded, shingle=shingle), "doc_id bigint, content bigint, bands array<bigint>"), "simhash-bands")
-    distinct = written(prints.groupBy(F.col("content").alias("node")).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "simhash-distinct")
+    prints = written(_readable(docs).mapInArrow(partial(_banded, shingle=shingle), "doc_id bigint, content bigint, fp bigint, bands array<bigint>"), "simhash-bands")
+    distinct = written(prints.groupBy(F.col("content").alias("node")).agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "simhash-distinct")
+    # texts of one fingerprint meet the first of them, and the first ones of near fingerprints meet
+    own = written(distinct.groupBy("fp").agg(F.min("node").alias("own")), "simhash-own")
+    end = lambda fp, x: own.select(F.col("fp").alias(fp), F.col("own").alias(x))
+    linked = links(own.select(F.lit(0).alias("s"), "fp")).hint("merge").join(end("a", "x"), "a").hint("merge").join(end("b", "y"), "b").select("x", "y")
+    linked = linked.union(distinct.select("node", "fp").hint("merge").join(own, "fp").filter("node <> own").select(F.col("own").alias("x"), F.col("node").alias("y")))
+    linked = written(linked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "simhash-links")
     at = distinct.select("node", F.posexplode("bands").alias("band", "key"))
     pick = F.struct(F.xxhash64("node", F.col("band") % REPRESENTATIVES), "node")
     sizes = at.groupBy("key").agg(F.count("*").alias("n"), F.min(pick).alias("one")).filter("n > 1").select("key", "n", F.col("one.node").alias("one"))
@@ -387,8 +395,9 @@ def near_copies(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFra
     few = met.filter(F.col("n") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m")).select("m").distinct()
     pairs = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y > F.col("x"))).alias("y"))
     star = met.filter((F.col("n") > CROWD) & (F.col("node") != F.col("one"))).select(F.least("one", "node").alias("x"), F.greatest("one", "node").alias("y"))
-    edges = pairs.union(star).distinct().select("x", "y", F.col("x").alias("root_x"), F.col("y").alias("root_y"))
-    nodes = written(met.select("node").distinct(), "simhash-nodes")
+    edges = linked.union(pairs).union(star).distinct().select("x", "y", F.col("x").alias("root_x"), F.col("y").alias("root_y"))
+    nodes = met.select("node").union(linked.select(F.explode(F.array("x", "y")).alias("node")))
+    nodes = written(nodes.distinct(), "simhash-nodes")
     sets = shingle_sets(distinct.join(nodes, "node", "left_semi").select("node", "first", F.col("node").alias("content")), docs, shingle)
     found = written(similar(edges, sets, similarity), "simhash-found")
     crowd = sets.join(met.filter(F.col("n") > CROWD).select("node").distinct(), "node", "left_semi")
