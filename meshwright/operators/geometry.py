@@ -125,8 +125,10 @@ def voxelised(faces: DataFrame, points: DataFrame, pitch: float, origin: tuple[f
     (s0, w0), (s1, w1), (s2, w2) = side(1, 2), side(2, 0), side(0, 1)
     t = t.select(*tile, "i", "j", *[c.alias(n) for c, n in zip((s0, s1, s2, w0, w1, w2), ("s0", "s1", "s2", "w0", "w1", "w2"), strict=True)], "p0z", "p1z", "p2z")
     area = F.col("w0") + F.col("w1") + F.col("w2")
-    t = t.filter("s0 = s1 and s1 = s2").filter(area != 0)
-    t = t.select(*tile, "i", "j", ((F.col("w0") * F.col("p0z") + F.col("w1") * F.col("p1z") + F.col("w2") * F.col("p2z")) / area).alias("z"))
+    z = (F.col("w0") * F.col("p0z") + F.col("w1") * F.col("p1z") + F.col("w2") * F.col("p2z")) / area
+    # exploded, not filtered: Spark would take the sides' formulas into the filter, several times, and what it generates would be too long to be compiled
+    inside = (F.col("s0") == F.col("s1")) & (F.col("s1") == F.col("s2")) & (area != 0)
+    t = t.select(*tile, "i", "j", F.explode(F.when(inside, F.array(z)).otherwise(F.array().cast("array<double>"))).alias("z"))
     w = Window.partitionBy(*tile, "i", "j").orderBy("z")  # a column lies in one tile, where its task has it
     t = t.select("sample_id", "i", "j", cell(F.col("z"), origin[2]).alias("from"), cell(F.lead("z").over(w), origin[2]).alias("to"), F.row_number().over(w).alias("n")).filter("n % 2 = 1 and to is not null")
     low, high = F.ceil("from"), F.ceil("to") - 1
