@@ -84,3 +84,30 @@ def test_repeated_values_and_short_bases():
     assert c[-1, :2] == pytest.approx(np.diag(x.T @ m @ x), abs=1e-9)
     assert x.T @ x == pytest.approx(np.eye(2), abs=1e-9)
     assert np.abs(x.T @ z).max() < 1e-9
+
+
+def ring(sample, n):
+    """Each of n nodes in a ring has links to the next and the third."""
+    return [(sample, i, (i + d) % n) for i in range(n) for d in (1, 3)]
+
+
+def test_long_rings_have_their_known_values(spark):
+    """Eigenvalues of some 10^-5 lie close together: inverse iteration separates them, in two components of a sample too."""
+    n = 3000
+    rows = ring("a", n) + [("b", s + o, t + o) for o in (0, 5000) for _, s, t in ring("b", n)] + communities("c", 500, 50, 4)
+    df = spectra.spectral_signature(spark.createDataFrame(rows, EDGES), k=4, dense=0, tile=300).cache()
+    got, angle = found(df), 2 * np.pi * np.arange(1, n // 2) / n
+    want = np.sort(np.repeat(1 - (np.cos(angle) + np.cos(3 * angle)) / 2, 2))
+    assert got["a"] == pytest.approx(want[:4], rel=1e-4)
+    assert got["b"] == pytest.approx(np.sort(np.repeat(want, 2))[:4], rel=1e-4)
+    assert got["c"] == pytest.approx(plain(communities("c", 500, 50, 4), 4)["c"], abs=1e-6)
+    assert df.filter("bound > 1e-3 * value").count() == 0
+
+
+def test_components_of_wide_borders_iterate(spark):
+    rows = communities("a", 120, 40, 1) + communities("b", 150, 30, 2)
+    df = spectra.spectral_signature(spark.createDataFrame(rows, EDGES), k=4, dense=0, tile=32, core=8).cache()
+    got, want = found(df), plain(rows, 4)
+    for sample in want:
+        assert got[sample] == pytest.approx(want[sample], abs=1e-6)
+    assert df.filter("bound > 1e-5").count() == 0
