@@ -6,9 +6,12 @@ import io
 import struct
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,6 +72,44 @@ def npz(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFrame:
     return _binary(spark, path, pattern).mapInPandas(_npz_rows, "path string, key string, shape array<bigint>, finite boolean, values array<double>, error string")
 
 
+_ARRAYS = "path string, sample_id string, key string, shape array<bigint>, finite boolean, values array<double>, error string"
+
+
+def _bundle_rows(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.float64()), pa.string()]
+    names = ["path", "sample_id", "key", "shape", "finite", "values", "error"]
+
+    def arrays(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            bundle = zipfile.ZipFile(io.BytesIO(content))
+        except zipfile.BadZipFile as x:
+            yield path, None, None, None, None, None, str(x)
+            return
+        with bundle:
+            for m in bundle.infolist():
+                name = m.filename.removesuffix(".npz")
+                sample = None if name == "%" else unquote(name)
+                try:
+                    with np.load(io.BytesIO(bundle.read(m)), allow_pickle=False) as z:
+                        for key in z.files:
+                            a = np.atleast_1d(z[key])
+                            number = np.issubdtype(a.dtype, np.number)
+                            yield path, sample, key, list(a.shape), bool(np.isfinite(a).all()) if number else None, a.astype(float).ravel() if number else None, None
+                except (ValueError, OSError, zipfile.BadZipFile) as x:
+                    yield path, sample, None, None, None, None, str(x)
+
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            of = arrays(path, content.as_py())
+            while some := list(islice(of, rows)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*some, strict=True), types, strict=True)], names)
+
+
+def npz_bundles(spark: SparkSession, path: str, pattern: str = "part-*") -> DataFrame:
+    """Arrays of bundles of NPZ archives (``sinks.npz_bundles``), one a row: path, sample_id, key, shape, finite, values, error (what can't be read)."""
+    return _binary(spark, path, pattern).mapInArrow(_bundle_rows, _ARRAYS)
+
+
 def _npy_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):

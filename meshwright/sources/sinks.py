@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +77,63 @@ def _archive(t: pa.Table) -> pa.Table:
     return pa.table({"sample_id": t.column("sample_id").slice(0, 1), "content": pa.array([f.getvalue()[:-1]], pa.binary())})
 
 
+def _rows_of_arrays(arrays: DataFrame) -> DataFrame:
+    return arrays.select(F.col("sample_id").cast("string").alias("sample_id"), "name", F.col("shape").cast("array<bigint>").alias("shape"), F.col("values").cast("array<double>").alias("values"))
+
+
+#: Bytes of archives after which a bundle is full.
+BUNDLE = 16 << 20
+#: The name of the archive of arrays without a sample, which no sample's can have.
+UNNAMED = "%"
+
+
+def _bundled(batches: Iterator[pa.RecordBatch], full: int) -> Iterator[pa.RecordBatch]:
+    """Bundles of NPZ archives, from arrays in order of samples: a ZIP archive whose members are ``sample_id.npz``."""
+
+    def closed(z: zipfile.ZipFile, f: io.BytesIO) -> pa.RecordBatch:
+        z.comment = b"\n"  # the line end that a text writer adds
+        z.close()
+        return pa.RecordBatch.from_arrays([pa.array([f.getvalue()[:-1]], pa.binary())], ["content"])
+
+    def added(z: zipfile.ZipFile, sample: str | None, arrays: dict[str, np.ndarray]) -> None:
+        one = io.BytesIO()
+        np.savez(one, **arrays)
+        z.writestr(zipfile.ZipInfo(f"{UNNAMED if sample is None else quote(sample, safe='')}.npz"), one.getbuffer())
+
+    f = z = None
+    last, arrays = None, {}
+    for batch in batches:
+        for sample, name, shape, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if z is None:
+                f = io.BytesIO()
+                z = zipfile.ZipFile(f, "w")
+            if arrays and sample != last:
+                added(z, last, arrays)
+                arrays = {}
+                if f.tell() >= full:
+                    yield closed(z, f)
+                    f = io.BytesIO()
+                    z = zipfile.ZipFile(f, "w")
+            last = sample
+            arrays[name] = values.values.to_numpy(zero_copy_only=False).reshape(shape)
+    if arrays:
+        added(z, last, arrays)
+        yield closed(z, f)
+
+
+def npz_bundles(arrays: DataFrame, path: str, full: int = BUNDLE) -> None:
+    """Rows (sample_id, name, shape, values: row by row) as an NPZ archive for each sample, many of them in a ZIP file.
+
+    A file has up to about ``full`` bytes, so files grow in number with the bytes and not with the samples.
+    """
+    rows = _rows_of_arrays(arrays).repartition("sample_id").sortWithinPartitions("sample_id")
+    bundles = rows.mapInArrow(partial(_bundled, full=full), "content binary")
+    bundles.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def npz(arrays: DataFrame, path: str) -> None:
     """Rows (sample_id, name, shape, values: row by row) as an NPZ archive in a folder for each sample."""
-    rows = arrays.select(F.col("sample_id").cast("string").alias("sample_id"), "name", F.col("shape").cast("array<bigint>").alias("shape"), F.col("values").cast("array<double>").alias("values"))
+    rows = _rows_of_arrays(arrays)
     files = rows.groupBy("sample_id").applyInArrow(_archive, "sample_id string, content binary")
     # a binary column cast to text is written as it is
     one = files.select("sample_id", F.col("content").cast("string").alias("value")).repartition("sample_id")

@@ -345,3 +345,34 @@ def test_samples_and_covers(spark):
     assert len(a) == 10 and a == {r["id"] for r in relational.sampled(df.repartition(7), "id", 10).collect()}
     assert relational.sampled(df, "id", 500).count() == 100
     assert relational.cover_gate(df, df, "id").first()["exact"] and not relational.cover_gate(df.union(df.limit(1)), df, "id").first()["exact"]
+
+
+def test_archives_lie_in_few_files(spark, tmp_path):
+    """Each sample has its NPZ archive, but not a file; names of any kind, and none, come back."""
+    names = [f"s{i}" for i in range(300)] + ["a/b", "x=1", "%", "", "ä ö", None]
+    rows = [(n, "u", [2, 3], [float(i + j) for j in range(6)]) for i, n in enumerate(names)] + [(n, "v", [1], [np.nan]) for n in names]
+    df = spark.createDataFrame(rows, "sample_id string, name string, shape array<int>, values array<double>").repartition(7)
+    sinks.npz_bundles(df, str(tmp_path / "n"), 20_000)
+    found = list((tmp_path / "n").glob("part-*"))
+    assert 4 < len(found) < 40
+    with zipfile.ZipFile(found[0]) as z, np.load(io.BytesIO(z.read(z.namelist()[0]))) as a:
+        assert sorted(a.files) == ["u", "v"] and a["u"].shape == (2, 3)
+    got = files.npz_bundles(spark, str(tmp_path / "n")).collect()
+    assert {(r["sample_id"], tuple(r["values"])) for r in got if r["key"] == "u"} == {(n, tuple(v)) for n, k, _, v in rows if k == "u"}
+    assert len(got) == len(rows) and all(r["finite"] == (r["key"] == "u") and r["shape"] == ([2, 3] if r["finite"] else [1]) and not r["error"] for r in got)
+
+
+def test_a_broken_bundle_is_a_row(spark, tmp_path):
+    (tmp_path / "part-0.txt").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "part-1.txt", "w") as z:
+        z.writestr("a.npz", b"neither")
+    got = files.npz_bundles(spark, str(tmp_path)).collect()
+    assert {r["sample_id"] for r in got} == {None, "a"} and all(r["error"] for r in got)
+
+
+def test_round_trip_writes_few_files(spark, sf, tmp_path, monkeypatch):
+    from meshwright.plans import rules
+
+    monkeypatch.setattr(rules, "new_path", lambda *_: str(tmp_path / "n"))
+    rules.catalog.QUERIES["npz_round_trip"](spark, sf).count()
+    assert len(list((tmp_path / "n").rglob("part-*"))) <= 8
