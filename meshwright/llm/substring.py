@@ -417,7 +417,8 @@ def judged(docs: DataFrame, index: FingerprintIndex | None = None, keep: bool =
     old = index.historical(seen, bits)
     if keep:
         with_unique = index.write_texts(with_unique)
-    windows = with_unique.select("doc", "text", "unique").mapInArrow(partial(_window_rows, origin=BATCH, bits=bits), _RANGES)
+    # all columns go in, as the exchange of texts is the second pass's own only if it has the same ones
+    windows = with_unique.mapInArrow(partial(_window_rows, origin=BATCH, bits=bits), _RANGES)
     if old is not None:
         windows = windows.union(old)
     firsts = windows.groupBy("bucket").applyInArrow(_firsts, _FIRST)

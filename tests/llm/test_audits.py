@@ -206,3 +206,18 @@ def test_whitening_is_exact_beyond_longs(spark):
     rows = [(0, [3e15, 0.0]), (1, [-3e15, 1.0]), (2, [1e38, 2.0])]
     got = {r["vec_id"]: r["deviation"] for r in whitening.whiten(vectors(spark, rows)).collect()}
     assert set(got) == {0, 1, 2} and got[0] is None  # more than a long holds
+
+
+def test_texts_are_shuffled_once_for_both_passes(spark, sf):
+    from meshwright.llm import substring
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = substring.judged(substring.numbered(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))).select("doc", "kept")
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set(key, before)
+    assert re.search(r"ReusedExchange \[doc#\d+L?, text#", plan), plan
