@@ -6,11 +6,17 @@ merged, so that none is broadcast.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from meshwright.functions.scalars import clip, cross, grading, minus, norm, tet_edge_ratio, tet_quality, tet_volume, tpms_of, turns
+from meshwright.operators import bricks
 from meshwright.operators.graphs import components
 from meshwright.operators.ordering import positioned
 from meshwright.shared import tasks, written
@@ -46,14 +52,14 @@ def field(designs: DataFrame, n: int) -> DataFrame:
     return df.withColumns({"f": f, "profile": profile}).drop(*[f"_{name}{a}" for a in "xyz" for name in ("", "sin", "cos")])
 
 
-def _beside(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+def beside(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with what a written table has for their keys: it is broadcast behind a count, and never the rows."""
     return rows.join(F.broadcast(few), keys) if few.count() <= BROADCAST_ROWS else rows.hint("merge").join(few, keys)
 
 
 def masked(fields: DataFrame) -> DataFrame:
     """The voxels of fields with ``tau``, their sample's calibrated threshold, and ``solid``: within it, times the profile."""
-    f = _beside(fields, written(calibrated(fields), "thresholds"), ["sample_id"])
+    f = beside(fields, written(calibrated(fields), "thresholds"), ["sample_id"])
     return f.withColumn("solid", F.abs("f") / F.col("profile") <= F.col("tau") + 1e-9)
 
 
@@ -74,7 +80,7 @@ def calibrated(fields: DataFrame) -> DataFrame:
     low, high = F.floor("place"), F.ceil("place")
     bins = bins.filter((F.col("before") <= high) & (F.col("before") + F.col("n") > low))
     bins = written(bins.groupBy(*keys, "place").agg(F.min("before").alias("first"), F.min("bin").alias("one"), F.max("bin").alias("two")), "field-bins")
-    near = _beside(ratio, bins, keys).filter((F.col("bin") == F.col("one")) | (F.col("bin") == F.col("two")))
+    near = beside(ratio, bins, keys).filter((F.col("bin") == F.col("one")) | (F.col("bin") == F.col("two")))
     near = positioned(near.drop("bin", "one", "two"), keys, [F.col("ratio")])
     at = F.col("first") + F.col("position")
     share = F.when((at == low) & (low == high), 1.0).when(at == low, high - F.col("place")).when(at == high, F.col("place") - low)
@@ -146,11 +152,46 @@ def adjacent(mask: DataFrame, connectivity: int = 26, *keep: str) -> DataFrame:
     return near.hint("merge").join(mask.select("sample_id", F.col("id").alias("b"), "i", "j", "k"), ["sample_id", "i", "j", "k"]).select("sample_id", "a", "b", *keep)
 
 
-def labelled(mask: DataFrame, connectivity: int = 26) -> DataFrame:
-    """Voxels (sample_id, id, i, j, k) with ``root``, the smallest id of their component in their sample."""
-    nodes = mask.withColumnRenamed("id", "node")
-    edges = adjacent(mask, connectivity).select("sample_id", F.col("a").alias("source"), F.col("b").alias("target"))
-    return components(nodes, edges).withColumnRenamed("node", "id")
+def labelled(mask: DataFrame, connectivity: int = 26, brick: int = bricks.BRICK) -> DataFrame:
+    """Voxels (sample_id, id, i, j, k) with ``root``, the smallest id of their component in their sample.
+
+    Voxels hang together within bricks first; across bricks, only the voxels on their sides meet, and pieces of bricks are joined up.
+    """
+    steps = bricks.steps_within(connectivity)
+    names = mask.columns
+
+    def label(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        at, slot, ids = bricks.places(t), bricks.slots(t), t.column("id").to_numpy()
+        u, v = [], []
+        for rows, p, along, size, *_ in bricks.boxes(slot, at):
+            here = np.full(size, -1, dtype=np.int64)
+            here[p] = rows
+            for step in ((0, 0, 0), *steps):
+                other = here[p + along @ np.array(step)]
+                u.append(rows[other >= 0])
+                v.append(other[other >= 0])
+        root = bricks.roots(len(ids), np.concatenate(u), np.concatenate(v)) if u else np.arange(0)
+        return t.select([*names, *bricks.KEYS]).append_column("root", pa.array(ids[root], type=t.schema.field("id").type))
+
+    rows = mask.select("*", *[bricks.brick_of(c, brick).alias(b) for c, b in zip("ijk", bricks.KEYS, strict=True)])
+    local = bricks.in_lots(rows, mask.count(), label, StructType([*rows.schema, StructField("root", mask.schema["id"].dataType)]))
+    local = written(local, "labels")
+    apart = reduce(lambda a, b: a | b, [F.min(b) < F.max(b) for b in bricks.KEYS])
+    many = written(local.groupBy("sample_id").agg(apart.alias("apart")).filter("apart").select("sample_id"), "labels-many")
+    if many.isEmpty():
+        return local.drop(*bricks.KEYS)
+    v = local.hint("merge").join(many, "sample_id", "left_semi").select("sample_id", "i", "j", "k", *bricks.KEYS, "root")
+    out = reduce(lambda a, b: a | b, [bricks.brick_of(f"_{c}", brick) != F.col(b) for c, b in zip("ijk", bricks.KEYS, strict=True)])
+    step = F.array(*[F.struct(*[F.lit(x).cast("bigint").alias(n) for x, n in zip(o, "abc", strict=True)]) for o in steps])
+    sides = v.filter(reduce(lambda a, b: a | b, [F.pmod(c, F.lit(brick)).isin(0, brick - 1) for c in "ijk"]))
+    to = sides.select("sample_id", *bricks.KEYS, F.col("root").alias("source"), "i", "j", "k", F.explode(step).alias("o"))
+    to = to.withColumns({f"_{c}": F.col(c) + F.col(f"o.{d}") for c, d in zip("ijk", "abc", strict=True)}).filter(out).select("sample_id", "source", *[F.col(f"_{c}").alias(c) for c in "ijk"])
+    edges = to.hint("merge").join(sides.select("sample_id", "i", "j", "k", F.col("root").alias("target")), ["sample_id", "i", "j", "k"])
+    edges = written(edges.select("sample_id", "source", "target").filter("source <> target").distinct(), "labels-links")
+    pieces = edges.select("sample_id", F.explode(F.array("source", "target")).alias("node")).distinct()
+    to = components(pieces, edges).select("sample_id", F.col("node").alias("root"), F.col("root").alias("_low"))
+    return local.hint("merge").join(to, ["sample_id", "root"], "left").select(*names, F.coalesce("_low", "root").alias("root"))
 
 
 def connectivity_sweep(mask: DataFrame, connectivities: tuple[int, ...] = (6, 18, 26)) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meshwright.functions.aggregates import weighted_mean
 from meshwright.functions.scalars import azimuth_polar, norm
+from meshwright.operators import bricks
 from meshwright.operators.components import connected_components
 from meshwright.operators.ordering import quantiles
 from meshwright.operators.relational import dedup_edges
-from meshwright.shared import written
+from meshwright.shared import tasks, written
 
 
 def doubled(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
@@ -26,11 +29,30 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, ["sample_id", "node"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("bigint"))
 
 
+#: Links of a sample's graph, at most, that are joined up in one numpy step; larger graphs go by rounds over all tasks.
+WHOLE = 200_000
+
+
+def _rooted(t: pa.Table) -> pa.Table:
+    """Nodes of the graphs of a lot, by their links a, b, with the smallest node of their component."""
+    node, ends = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)
+    root = bricks.roots(len(node), ends[: len(t)], ends[len(t) :])
+    return pa.table({"node": node, "root": node[root]})
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with ``root``, the smallest node of their component in their sample."""
     kind = nodes.schema["node"].dataType
     key = lambda c: F.xxhash64("sample_id", F.col(c).cast(kind))
-    root = connected_components(edges.select(key("source").alias("a"), key("target").alias("b"))).select(F.col("node").alias("_h"), F.col("root").alias("_root"))
+    e = edges.filter(F.col("source").cast(kind).isNotNull() & F.col("target").cast(kind).isNotNull())
+    e = written(e.select(F.xxhash64("sample_id").alias("s"), key("source").alias("a"), key("target").alias("b")), "graph-links")
+    large = written(e.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WHOLE).select("s"), "graph-large")
+    some = not large.isEmpty()
+    lot = F.pmod("s", F.lit(max(tasks(e.sparkSession), -(-e.count() // WHOLE))))
+    root = (e.join(large, "s", "left_anti") if some else e).groupBy(lot.alias("lot")).applyInArrow(_rooted, "node bigint, root bigint")
+    if some:
+        root = root.unionByName(connected_components(e.join(large, "s", "left_semi").select("a", "b")))
+    root = root.select(F.col("node").alias("_h"), F.col("root").alias("_root"))
     named = nodes.withColumn("_h", key("node")).join(root, "_h", "left")
     low = named.filter("_root is not null").groupBy("_root").agg(F.min("node").alias("low"))
     return named.join(low, "_root", "left").withColumn("root", F.coalesce("low", "node")).drop("low", "_root", "_h")

@@ -7,12 +7,17 @@ of the longest branch.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from meshwright.operators.geometry import adjacent
+from meshwright.operators import bricks
+from meshwright.operators.geometry import adjacent, beside
 from meshwright.operators.graphs import components
 from meshwright.shared import written
 
@@ -36,14 +41,16 @@ _EDGES = np.uint32(sum(1 << k for k, p in enumerate(NEIGHBOURS) if sum(map(abs,
 
 def _grown(seed: np.ndarray, inside: np.ndarray, touching: np.ndarray) -> np.ndarray:
     """The part of ``inside`` that hangs together with ``seed``."""
-    while True:
+    out, growing = seed.copy(), np.arange(len(seed))
+    while len(growing):
+        seed = out[growing]
         more = seed.copy()
         for b, near in enumerate(touching):
-            more |= np.where(seed >> np.uint32(b) & np.uint32(1), near, np.uint32(0))
-        more &= inside
-        if (more == seed).all():
-            return seed
-        seed = more
+            more |= (seed >> np.uint32(b) & np.uint32(1)) * near
+        more &= inside[growing]
+        out[growing] = more
+        growing = growing[more != seed]
+    return out
 
 
 def _lowest(code: np.ndarray) -> np.ndarray:
@@ -63,87 +70,107 @@ def simple(codes: np.ndarray) -> np.ndarray:
     return one & (codes != 0) & (faces != 0) & ((_grown(_lowest(faces), empty, _EMPTY) & faces) == faces)
 
 
-def _codes(solid: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Neighbourhood codes of the voxels at ``at`` of a grid with an empty margin."""
-    out = np.zeros(len(at), dtype=np.uint32)
+def _codes(solid: np.ndarray, p: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Neighbourhood codes of the voxels at ``p`` of a flat array with empty margins."""
+    out = np.zeros(len(p), dtype=np.uint32)
     for b, step in enumerate(NEIGHBOURS):
-        out |= solid[tuple((at + step).T)].astype(np.uint32) << np.uint32(b)
+        out |= solid[p + steps @ np.array(step)].astype(np.uint32) << np.uint32(b)
     return out
 
 
-def _cycle(solid: np.ndarray, parity: np.ndarray) -> np.ndarray:
-    """One layer less: of the voxels with an empty face now, those that are simple and no ends go, one subfield after another.
+def _cycle(solid: np.ndarray, p: np.ndarray, steps: np.ndarray, field: np.ndarray) -> None:
+    """One layer less: of the voxels at ``p`` with an empty face now, those that are simple and no ends go, one subfield after another.
 
-    Voxels of a subfield (equal parities) don't touch, so that all of it can go at once. ``parity`` is that of the grid's corner.
+    Voxels of a subfield (equal parities) don't touch, so that all of it can go at once.
     """
-    at = np.argwhere(solid)
-    outer = np.zeros(len(at), dtype=bool)
+    outer = np.zeros(len(p), dtype=bool)
     for step in NEIGHBOURS:
         if sum(map(abs, step)) == 1:
-            outer |= ~solid[tuple((at + step).T)]
-    at = at[outer]
-    field = ((at + parity) % 2) @ np.array([4, 2, 1])
-    solid = solid.copy()
+            outer |= ~solid[p + steps @ np.array(step)]
+    p, steps, field = p[outer], steps[outer], field[outer]
     for f in range(8):
-        of = at[field == f]
-        codes = _codes(solid, of)
+        of = field == f
+        codes = _codes(solid, p[of], steps[of])
         ends = codes & (codes - np.uint32(1)) == 0  # one neighbour, or none
         kinds, to = np.unique(codes, return_inverse=True)
-        solid[tuple(of[simple(kinds)[to] & ~ends].T)] = False
-    return solid
-
-
-def thinned(mask: DataFrame, brick: int = 32, most: int = 1000) -> DataFrame:
+        solid[p[of][simple(kinds)[to] & ~ends]] = False
+
+
+def _peeled(t: pa.Table) -> pa.Table:
+    """A lot's own voxels that stay: bricks that are ``whole`` samples are peeled until nothing goes, others by one cycle."""
+    at, slot = bricks.places(t), bricks.slots(t)
+    own, whole, stays = t.column("own").to_numpy(), t.column("whole").to_numpy(), np.zeros(len(at), dtype=bool)
+    of = np.flatnonzero(np.isin(slot, slot[own]))  # the others are rims without a brick
+    for rows, p, steps, size, *_ in bricks.boxes(slot[of], at[of]):
+        rows = of[rows]
+        solid = np.zeros(size, dtype=bool)
+        solid[p] = True
+        field, todo = at[rows] % 2 @ np.array([4, 2, 1]), np.arange(len(rows))
+        while len(todo):
+            _cycle(solid, p[todo], steps[todo], field[todo])
+            left = solid[p[todo]]
+            again = np.unique(slot[rows[todo[~left]]])
+            todo = todo[left & whole[rows[todo]]]
+            todo = todo[np.isin(slot[rows[todo]], again)]
+        stays[rows] = solid[p]
+    return t.filter(pa.array(stays & own)).select(["sample_id", "id", "i", "j", "k"])
+
+
+def thinned(mask: DataFrame, brick: int = bricks.BRICK, most: int = 1000) -> DataFrame:
     """The skeleton of each sample's mask: voxels (sample_id, id, i, j, k) that remain when no layer can go.
 
-    Each cycle takes a layer of all samples that still change, brick by brick: a brick comes with a rim of ``RIM`` voxels, so
-    that its own come out as if the whole grid were one. Components, tunnels and cavities stay, and so do ends of curves.
+    A sample in one brick is peeled at once, by a task that has many such. Of the others, each cycle takes a layer of all that still
+    change, brick by brick: a brick comes with a rim of ``RIM`` voxels, so that its own come out as if the whole grid were one.
+    Components, tunnels and cavities stay, and so do ends of curves.
     """
     if brick < RIM:
         raise ValueError(f"a brick must be {RIM} voxels wide at least")
     schema = "sample_id " + mask.schema["sample_id"].dataType.simpleString() + ", id bigint, i bigint, j bigint, k bigint"
-
-    def peel(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[["i", "j", "k"]].to_numpy()
-        low = at.min(axis=0) - 1
-        solid = np.zeros(at.max(axis=0) - low + 2, dtype=bool)
-        solid[tuple((at - low).T)] = True
-        left = _cycle(solid, low)[tuple((at - low).T)]
-        return pdf.loc[left & pdf["own"].to_numpy(), ["sample_id", "id", "i", "j", "k"]]
-
     rows = written(mask.select("sample_id", *[F.col(c).cast("bigint").alias(c) for c in ("id", "i", "j", "k")]), "thin")
-    sizes = lambda df: df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    before, settled = sizes(rows), []
+    whole = reduce(lambda a, b: a & b, [F.min(bricks.brick_of(c, brick)) == F.max(bricks.brick_of(c, brick)) for c in "ijk"])
+    before, settled = written(rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), whole.alias("whole")), "thin-sizes"), []
     for _ in range(most):
-        near = rows
+        near = beside(rows, before, ["sample_id"])
         for c in "ijk":
-            b, o = F.floor(F.col(c) / brick), F.pmod(F.col(c), F.lit(brick))
-            near = near.withColumn(f"b{c}", F.explode(F.array_compact(F.array(b, F.when(o < RIM, b - 1), F.when(o >= brick - RIM, b + 1)))))
-        own = [F.floor(F.col(c) / brick) == F.col(f"b{c}") for c in "ijk"]
-        near = near.withColumn("own", own[0] & own[1] & own[2])
-        rows = written(near.groupBy("sample_id", "bi", "bj", "bk").applyInPandas(peel, schema), "thin")
-        after = written(sizes(rows).join(before.withColumnRenamed("n", "was"), "sample_id").select("sample_id", "n", (F.col("n") == F.col("was")).alias("same")), "thin-sizes")
-        done = after.filter("same").select("sample_id")
-        settled.append(rows.join(done, "sample_id", "left_semi"))
-        before = after.filter("not same").select("sample_id", "n")
+            b, o = bricks.brick_of(c, brick), F.pmod(F.col(c), F.lit(brick))
+            rim = [F.when(~F.col("whole") & (o < RIM), b - 1), F.when(~F.col("whole") & (o >= brick - RIM), b + 1)]
+            near = near.withColumn(f"b{c}", F.explode(F.array_compact(F.array(b, *rim))))
+        own = reduce(lambda a, b: a & b, [bricks.brick_of(c, brick) == F.col(f"b{c}") for c in "ijk"])
+        rows = written(bricks.in_lots(near.drop("n").withColumn("own", own), rows.count(), _peeled, schema), "thin")
+        after = rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("left"))
+        after = written(before.join(after, "sample_id").select("sample_id", F.col("left").alias("n"), "whole", (F.col("whole") | (F.col("n") == F.col("left"))).alias("done")), "thin-sizes")
+        before = after.filter("not done").drop("done")
         if before.isEmpty():
+            settled.append(rows)
             break
-        rows = rows.join(before, "sample_id", "left_semi")
+        settled.append(rows.join(after.filter("done").select("sample_id"), "sample_id", "left_semi"))
+        rows = rows.join(before.select("sample_id"), "sample_id", "left_semi")
     else:
         raise RuntimeError(f"masks still change after {most} cycles")
-    out = settled[0]
-    for s in settled[1:]:
-        out = out.unionByName(s)
-    return out
-
-
-def euler(mask: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, settled)
+
+
+def _eulers(t: pa.Table, side: int) -> pa.Table:
+    """Corners - edges + faces - voxels of the cells in each brick of a lot: along an axis, a voxel's cell is 2 c, and odd cells are its ends."""
+    at, brick = 2 * bricks.places(t), bricks.places(t, bricks.KEYS)
+    heads, sums = [], []
+    for x in bricks.boxes(bricks.slots(t), at):
+        seen = np.zeros(x.size, dtype=bool)
+        for step in product((-1, 0, 1), repeat=3):
+            seen[x.p + x.steps @ np.array(step)] = True
+        box, cell = x.where(np.flatnonzero(seen))
+        own = ((cell + 1) // (2 * side) == brick[x.head][box]).all(axis=1)
+        sign = 2 * ((cell % 2).sum(axis=1) % 2) - 1
+        heads.append(x.head)
+        sums.append(np.bincount(box[own], sign[own], len(x.head)).astype(np.int64))
+    return t.select(["sample_id"]).take(pa.array(np.concatenate(heads))).append_column("euler", pa.array(np.concatenate(sums)))
+
+
+def euler(mask: DataFrame, brick: int = bricks.BRICK) -> DataFrame:
     """(sample_id, euler): corners - edges + faces - voxels of each sample's closed voxels; thinning doesn't change it."""
-    parts = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(c) for v, c in zip((a, b, c), "abc", strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    cells = mask.select("sample_id", "i", "j", "k", F.explode(parts).alias("o"))
-    cells = cells.select("sample_id", *[(2 * F.col(c) + F.col(f"o.{o}")).alias(c) for c, o in zip("ijk", "abc", strict=True)]).distinct()
-    odd = sum((F.pmod(F.col(c), F.lit(2)) for c in "ijk"), F.lit(0))  # axes along which the cell is a corner
-    return cells.groupBy("sample_id").agg(F.sum(F.when(odd % 2 == 1, 1).otherwise(-1)).cast("bigint").alias("euler"))
+    schema = StructType([mask.schema["sample_id"], StructField("euler", LongType())])
+    parts = bricks.in_lots(bricks.cell_bricks(mask, brick), mask.count(), lambda t: _eulers(t, brick), schema)
+    return parts.groupBy("sample_id").agg(F.sum("euler").alias("euler"))
 
 
 def region_voxels(skeleton: DataFrame, pairs: DataFrame) -> DataFrame:
