@@ -1,4 +1,4 @@
-"""Closed triangle surfaces around voxel masks: marching cubes as a join of cell codes with a table of cases.
+"""Closed triangle surfaces around voxel masks: marching cubes over bricks of cells, by a table of cases.
 
 A cell has eight voxels as corners. Its code says which are solid; the surface cuts each of its edges between a solid and an
 empty corner in the middle. The cases are made by rule, not listed: on each face of a cell, a line goes around every run
@@ -9,12 +9,17 @@ diagonals in a face. Vertices are known by the sum of their edge's ends, so that
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from meshwright.operators import bricks
 from meshwright.operators.graphs import components
 
 CORNERS = list(product((0, 1), repeat=3))
@@ -85,20 +90,121 @@ def cases() -> dict[int, list[tuple[Point, Point, Point]]]:
     return out
 
 
-def isosurface(mask: DataFrame) -> DataFrame:
+@cache
+def _table() -> tuple[np.ndarray, np.ndarray]:
+    """The triangles of all codes (n, 3 corners, 3 axes), and where each code's begin."""
+    of = [cases().get(code, []) for code in range(256)]
+    return np.array([t for triangles in of for t in triangles], dtype=np.int64), np.cumsum([0, *map(len, of)])
+
+
+def _triangles(t: pa.Table, side: int) -> Iterator[tuple[bricks.Boxes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bricks of a lot with the triangles of their own cells: each one's box, its cell's place, and its corners within the cell."""
+    at, brick = bricks.places(t), bricks.places(t, bricks.KEYS)
+    table, begins = _table()
+    for x in bricks.boxes(bricks.slots(t), at):
+        codes = np.zeros(x.size, dtype=np.uint8)
+        for k, corner in enumerate(CORNERS):
+            codes[x.p - x.steps @ np.array(corner)] |= np.uint8(1 << k)
+        cells = np.flatnonzero(np.diff(begins)[codes])
+        box, cell = x.where(cells)
+        own = ((cell + 1) // side == brick[x.head][box]).all(axis=1)
+        box, cell, code = box[own], cell[own], codes[cells[own]]
+        n = np.diff(begins)[code]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield x, np.repeat(box, n), np.repeat(cell, n, axis=0), table[np.repeat(begins[code], n) + nth]
+
+
+def _numbers(cell: np.ndarray, corners: np.ndarray) -> np.ndarray:
+    h = 2 * cell[:, None, :] + corners + _SHIFT
+    return (h[..., 0] * _ROOM + h[..., 1]) * _ROOM + h[..., 2]
+
+
+def _faces(t: pa.Table, side: int) -> pa.Table:
+    rows, numbers = [np.zeros(0, dtype=np.int64)], [np.zeros((0, 3), dtype=np.int64)]
+    for x, box, cell, corners in _triangles(t, side):
+        rows.append(x.head[box])
+        numbers.append(_numbers(cell, corners))
+    out = t.select(["sample_id"]).take(pa.array(np.concatenate(rows)))
+    for c, v in zip("abc", np.concatenate(numbers).T, strict=True):
+        out = out.append_column(c, pa.array(np.ascontiguousarray(v)))
+    return out
+
+
+def _over_cells(mask: DataFrame, brick: int, step: Callable[[pa.Table, int], pa.Table], longs: Iterable[str]) -> DataFrame:
+    schema = StructType([mask.schema["sample_id"], *[StructField(c, LongType()) for c in longs]])
+    return bricks.in_lots(bricks.cell_bricks(mask, brick), mask.count(), lambda t: step(t, brick), schema)
+
+
+def isosurface(mask: DataFrame, brick: int = bricks.BRICK) -> DataFrame:
     """(sample_id, a, b, c): the triangles around a mask's voxels (sample_id, i, j, k), wound with their normals outward.
 
     a, b and c number vertices; ``vertices`` gives their places. What lies beyond the voxels is empty, so every surface is closed.
     """
-    corner = F.array(*[F.struct(*[F.lit(-v).cast("bigint").alias(n) for v, n in zip(c, "xyz", strict=True)], F.lit(1 << k).alias("bit")) for k, c in enumerate(CORNERS)])
-    cells = mask.select("sample_id", "i", "j", "k", F.explode(corner).alias("o")).select("sample_id", *[(F.col(c) + F.col(f"o.{o}")).alias(c) for c, o in zip("ijk", "xyz", strict=True)], "o.bit")
-    cells = cells.groupBy("sample_id", "i", "j", "k").agg(F.sum("bit").cast("int").alias("code"))
-    number = lambda p: (p[0] * _ROOM + p[1]) * _ROOM + p[2]
-    rows = [(code, [tuple(number(p) for p in t) for t in triangles]) for code, triangles in cases().items()]
-    table = mask.sparkSession.createDataFrame(rows, "code int, triangles array<struct<a: bigint, b: bigint, c: bigint>>")
-    at = number([2 * F.col(c) + _SHIFT for c in "ijk"])
-    t = cells.join(F.broadcast(table), "code").select("sample_id", at.alias("at"), F.explode("triangles").alias("t"))
-    return t.select("sample_id", *[(F.col("at") + F.col(f"t.{c}")).alias(c) for c in "abc"])
+    return _over_cells(mask, brick, _faces, "abc")
+
+
+_COUNTS = ("vertices", "faces", "edges", "unclosed", "twisted")
+_ENDS = ("u", "v", "forward", "back")
+
+
+def _counted(t: pa.Table, side: int) -> pa.Table:
+    """Each brick's own counts (u and v are null), and what lies on its sides, where other bricks may have it too, one by one.
+
+    An edge u < v is run through forward or back by its triangles; a vertex is u = v. An edge is unclosed without two triangles, and
+    twisted if two run through it alike.
+    """
+    heads, counts, shared_heads, shared_rows = [], [], [], []
+    for x, box, cell, corners in _triangles(t, side):
+        box = np.repeat(box, 3)
+        number = _numbers(cell, corners).ravel()
+        # vertices by their place in boxes of half voxels, in the order of their numbers, and the sides of the brick that they lie on
+        d = 2 * x.dims + 1
+        h = (2 * np.repeat(cell, 3, axis=0) + corners.reshape(-1, 3)) - 2 * x.low[box]
+        place = (np.cumsum(d.prod(axis=1)) - d.prod(axis=1))[box] + (h[:, 0] * d[box, 1] + h[:, 1]) * d[box, 2] + h[:, 2]
+        nth = np.repeat((cell + 1) % side, 3, axis=0)
+        sides = ((nth == 0) & (corners.reshape(-1, 3) == 0)) @ np.array([1, 2, 4]) | ((nth == side - 1) & (corners.reshape(-1, 3) == 2)) @ np.array([8, 16, 32])
+        after = np.arange(len(box)).reshape(-1, 3)[:, [1, 2, 0]].ravel()  # a corner's next one in its triangle
+
+        places, one, vertex = np.unique(place, return_index=True, return_inverse=True)
+        outer = sides[one] > 0
+        count = lambda boxes: np.bincount(boxes, minlength=len(x.head))  # noqa: B023, E731
+        shared_heads.append(x.head[box[one[outer]]])
+        shared_rows.append(np.stack([number[one[outer]], number[one[outer]], *np.zeros((2, outer.sum()), dtype=np.int64)]))
+
+        low, high = np.minimum(vertex, vertex[after]), np.maximum(vertex, vertex[after])
+        key = (low * len(places) + high) * 2 + (vertex < vertex[after])
+        order = np.argsort(key)
+        begin = np.flatnonzero(np.diff(key[order] // 2, prepend=-1))
+        n = np.diff(np.append(begin, len(key)))
+        forward = np.add.reduceat(key[order] % 2, begin) if len(begin) else n
+        edge = order[begin]
+        rim = sides[edge] & sides[after[edge]] > 0
+        inner = box[edge[~rim]]
+        unclosed, twisted = n[~rim] != 2, np.maximum(forward, n - forward)[~rim] > 1
+        shared_heads.append(x.head[box[edge[rim]]])
+        shared_rows.append(np.stack([number[one[low[edge[rim]]]], number[one[high[edge[rim]]]], forward[rim], (n - forward)[rim]]))
+
+        heads.append(x.head)
+        counts.append(np.stack([count(box[one[~outer]]), count(box[::3]), count(inner), count(inner[unclosed]), count(inner[twisted])]))
+    sample = t.select(["sample_id"])
+    own = sample.take(pa.array(np.concatenate(heads)))
+    shared = sample.take(pa.array(np.concatenate(shared_heads)))
+    for c, v, w in zip((*_COUNTS, *_ENDS), (*np.concatenate(counts, axis=1), *[None] * 4), (*[None] * 5, *np.concatenate(shared_rows, axis=1)), strict=True):
+        own = own.append_column(c, pa.nulls(len(own), pa.int64()) if v is None else pa.array(v))
+        shared = shared.append_column(c, pa.nulls(len(shared), pa.int64()) if w is None else pa.array(w))
+    return pa.concat_tables([own, shared])
+
+
+def surface_counts(mask: DataFrame, brick: int = bricks.BRICK) -> DataFrame:
+    """(sample_id, vertices, faces, edges, watertight, winding_consistent) of the surface around a mask's voxels.
+
+    Bricks count their triangles' vertices and edges where they make them; only those on their sides meet others by a shuffle.
+    """
+    one = _over_cells(mask, brick, _counted, (*_COUNTS, *_ENDS)).groupBy("sample_id", "u", "v").agg(*[F.sum(c).alias(c) for c in (*_COUNTS, "forward", "back")])
+    here = {"vertices": F.col("u") == F.col("v"), "edges": F.col("u") < F.col("v"), "unclosed": (F.col("u") < F.col("v")) & (F.col("forward") + F.col("back") != 2), "twisted": (F.col("u") < F.col("v")) & (F.greatest("forward", "back") > 1)}
+    one = one.select("sample_id", *[F.coalesce(F.col(c), here[c].cast("bigint") if c in here else F.lit(0)).alias(c) for c in _COUNTS])
+    s = one.groupBy("sample_id").agg(*[F.sum(c).alias(c) for c in _COUNTS]).filter("faces > 0")
+    return s.select("sample_id", "vertices", "faces", "edges", (F.col("unclosed") == 0).alias("watertight"), (F.col("twisted") == 0).alias("winding_consistent"))
 
 
 def vertices(faces: DataFrame, pitch: float = 1.0, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright.operators import bricks, components, geometry, graphs, skeletons
+from meshwright.operators import bricks, components, geometry, graphs, skeletons, surfaces
 from test_skeletons import VOXELS, back, pieces, table
 
 
@@ -70,6 +70,20 @@ def test_large_graphs_go_by_rounds(spark, monkeypatch):
         assert bool(names) == rounds
 
 
+@pytest.mark.parametrize("brick", [3, 32])
+def test_surfaces_are_counted_where_they_are_made(spark, capsys, brick):
+    m = masks()
+    df = moved(spark, m)
+    f = surfaces.isosurface(df, brick).cache()
+    p = surfaces.vertices(f)
+    got = {r["sample_id"]: r for r in surfaces.surface_counts(df, brick).collect()}
+    for r in geometry.surface_measures(f, p).join(f.groupBy("sample_id").agg(F.count(F.lit(1)).alias("faces")), "sample_id").join(p.groupBy("sample_id").agg(F.count(F.lit(1)).alias("vertices")), "sample_id").collect():
+        for c in ("vertices", "faces", "edges", "watertight", "winding_consistent"):
+            assert got[r["sample_id"]][c] == r[c], (r["sample_id"], c)
+    surfaces.surface_counts(df, brick).explain()
+    assert "Join" not in capsys.readouterr().out  # corners aren't joined to triangles
+
+
 @pytest.mark.parametrize("brick", [3, 32])
 def test_euler_across_bricks(spark, brick):
     m = masks()
@@ -78,3 +92,19 @@ def test_euler_across_bricks(spark, brick):
         cells = {tuple(2 * p + s) for p in np.argwhere(v) for s in np.array(list(np.ndindex(3, 3, 3))) - 1}
         want[name] = sum(1 if sum(c % 2 for c in cell) % 2 else -1 for cell in cells)
     assert {r["sample_id"]: r["euler"] for r in skeletons.euler(moved(spark, m), brick).collect()} == want
+
+
+def test_open_and_twisted_edges_are_seen(monkeypatch):
+    import pyarrow as pa
+
+    one = pa.table({"sample_id": ["s"], "i": [0], "j": [0], "k": [0], "bi": [0], "bj": [0], "bk": [0]})
+    counts = lambda: {k: v[0] for k, v in surfaces._counted(one, 32).to_pydict().items()}
+    whole = counts()
+    assert (whole["vertices"], whole["faces"], whole["edges"], whole["unclosed"], whole["twisted"]) == (6, 8, 12, 0, 0)
+    table, begins = surfaces._table()
+    torn, turned = table.copy(), table.copy()
+    torn[begins[1]], turned[begins[1]] = torn[begins[1]][0], turned[begins[1]][::-1]
+    monkeypatch.setattr(surfaces, "_table", lambda: (turned, begins))
+    assert counts()["twisted"] == 3 and counts()["unclosed"] == 0
+    monkeypatch.setattr(surfaces, "_table", lambda: (torn, begins))
+    assert counts()["unclosed"] > 0
