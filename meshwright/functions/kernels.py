@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from meshwright.functions import bricks
+from meshwright.shared import written
 
 
 #: Stands for no distance at all; squares of grids' sizes stay exact beside it.
@@ -56,12 +61,45 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[c.take(pa.array(of)) for c in b.columns[:-1]], lines], b.schema.names)
 
 
-def distance_transform(grid: DataFrame) -> DataFrame:
+def _grids(t: pa.Table) -> pa.Table:
+    """Distances over the whole grids of a lot: those of equal sizes are one array, whose lines are taken along each axis."""
+    at, far = bricks.places(t), np.empty(len(t))
+    d = np.where(t.column("solid").to_numpy(), _FAR, 0.0)
+    for x in bricks.boxes(bricks.slots(t), at):
+        flat = np.full(x.size, _FAR)
+        flat[x.p] = d[x.rows]
+        for dims in np.unique(x.dims, axis=0):
+            boxes = x.begins[(x.dims == dims).all(axis=1)]
+            cells = (boxes[:, None] + np.arange(dims.prod())).reshape(-1, *dims)[:, 1:-1, 1:-1, 1:-1]
+            grids = flat[cells]
+            for axis in (1, 2, 3):
+                lines = np.moveaxis(grids, axis, -1)
+                grids = np.moveaxis(envelope(np.minimum(lines, _FAR).reshape(-1, lines.shape[-1])).reshape(lines.shape), -1, axis)
+            flat[cells] = grids
+        far[x.rows] = flat[x.p]
+    return t.select(["sample_id", "i", "j", "k"]).append_column("distance", pa.array(np.sqrt(np.where(far >= _FAR / 2, np.inf, far))))
+
+
+def distance_transform(grid: DataFrame, brick: int = bricks.BRICK) -> DataFrame:
     """Distance (in voxels) of each solid voxel to the nearest empty one: rows (sample_id, i, j, k, solid) of whole grids.
 
-    Exact and separable: three passes, each over the lines of one axis, so a task holds lines and never a grid.
+    Exact and separable: three passes, each over the lines of one axis. Grids that lie in one brick are taken many to a task, and their
+    lines passed at once; of larger ones, a task holds lines and never a grid.
     """
-    d = grid.select("sample_id", *[F.col(c).cast("bigint").alias(c) for c in "ijk"], F.when(F.col("solid"), F.lit(float("inf"))).otherwise(F.lit(0.0)).alias("d"))
+    g = grid.select("sample_id", *[F.col(c).cast("bigint").alias(c) for c in "ijk"], F.coalesce("solid", F.lit(False)).alias("solid"))
+    g = written(g.withColumns({b: bricks.brick_of(c, brick) for c, b in zip("ijk", bricks.KEYS, strict=True)}), "distance-grids")
+    volume = reduce(lambda a, b: a * b, [F.max(c) - F.min(c) + 1 for c in "ijk"])
+    one = reduce(lambda a, b: a & b, [F.min(b) == F.max(b) for b in bricks.KEYS])
+    large = written(g.groupBy("sample_id").agg((one & (F.count(F.lit(1)) == volume)).alias("one")).filter("not one").select("sample_id"), "distance-large")
+    schema = StructType([*g.schema.fields[:4], StructField("distance", DoubleType())])
+    if large.isEmpty():
+        return bricks.in_lots(g, g.count(), _grids, schema)
+    small = g.hint("merge").join(large, "sample_id", "left_anti")
+    return bricks.in_lots(small, g.count(), _grids, schema).unionByName(_by_lines(g.hint("merge").join(large, "sample_id", "left_semi")))
+
+
+def _by_lines(grid: DataFrame) -> DataFrame:
+    d = grid.select("sample_id", *"ijk", F.when(F.col("solid"), F.lit(float("inf"))).otherwise(F.lit(0.0)).alias("d"))
     for axis in "ijk":
         others = [c for c in "ijk" if c != axis]
         line = d.groupBy("sample_id", *others).agg(F.array_sort(F.collect_list(F.struct(axis, "d"))).alias("x"))

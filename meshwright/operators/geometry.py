@@ -16,7 +16,7 @@ from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from meshwright.functions.scalars import clip, cross, grading, minus, norm, tet_edge_ratio, tet_quality, tet_volume, tpms_of, turns
-from meshwright.operators import bricks
+from meshwright.functions import bricks
 from meshwright.operators.graphs import components
 from meshwright.operators.ordering import positioned
 from meshwright.shared import tasks, written

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from meshwright.functions.aggregates import weighted_mean
 from meshwright.functions.scalars import azimuth_polar, norm
-from meshwright.operators import bricks
+from meshwright.functions import bricks
 from meshwright.operators.components import connected_components
 from meshwright.operators.ordering import quantiles
 from meshwright.operators.relational import dedup_edges

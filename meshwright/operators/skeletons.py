@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from meshwright.operators import bricks
+from meshwright.functions import bricks
 from meshwright.operators.geometry import adjacent, beside
 from meshwright.operators.graphs import components
 from meshwright.shared import written

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from meshwright.operators import bricks
+from meshwright.functions import bricks
 from meshwright.operators.graphs import components
 
 CORNERS = list(product((0, 1), repeat=3))

@@ -35,7 +35,7 @@ def analysed(designs: DataFrame, n: int, connectivity: int = 26) -> Analysis:
     pitch = geometry.SIDE / n
     grid = written(geometry.masked(geometry.field(designs, n)).select("sample_id", "id", "i", "j", "k", "solid"), "sweep-grid")
     solid = grid.filter("solid").drop("solid")
-    depth = distance_transform(grid).select("sample_id", "i", "j", "k", (2 * F.col("distance")).alias("thickness"))
+    depth = distance_transform(grid).filter("distance > 0").select("sample_id", "i", "j", "k", (2 * F.col("distance")).alias("thickness"))
     skeleton = written(skeletons.thinned(solid).hint("merge").join(depth, ["sample_id", "i", "j", "k"]), "sweep-skeleton")
     nodes, edges, raw = graphs.canonical(*skeletons.graph(skeleton, pitch, geometry.ORIGIN, connectivity))
     count = lambda df, name: df.groupBy("sample_id").agg(F.count(F.lit(1)).alias(name))

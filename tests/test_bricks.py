@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright.operators import bricks, components, geometry, graphs, skeletons, surfaces
+from meshwright.functions import bricks, kernels
+from meshwright.operators import components, geometry, graphs, skeletons, surfaces
 from test_skeletons import VOXELS, back, pieces, table
 
 
@@ -108,3 +109,16 @@ def test_open_and_twisted_edges_are_seen(monkeypatch):
     assert counts()["twisted"] == 3 and counts()["unclosed"] == 0
     monkeypatch.setattr(surfaces, "_table", lambda: (torn, begins))
     assert counts()["unclosed"] > 0
+
+
+def test_distances_of_small_and_large_grids(spark):
+    rng = np.random.default_rng(3)
+    grids = {"small": rng.random((6, 5, 7)) < 0.8, "other": rng.random((6, 5, 7)) < 0.6, "full": np.ones((3, 3, 3), dtype=bool), "long": rng.random((20, 3, 4)) < 0.9}
+    rows = [(n, *map(int, p), bool(v)) for n, g in grids.items() for p, v in np.ndenumerate(g) for p in [(p[0] - 2, p[1] + 40, p[2])]]
+    df = spark.createDataFrame(rows, "sample_id string, i int, j int, k int, solid boolean")
+    for brick in (8, 64):  # in one brick, or not: by lots, or by lines
+        for r in kernels.distance_transform(df, brick).collect():
+            g, p = grids[r["sample_id"]], (r["i"] + 2, r["j"] - 40, r["k"])
+            empty = np.argwhere(~g)
+            want = np.inf if not len(empty) else np.sqrt(((empty - p) ** 2).sum(axis=1).min())
+            assert r["distance"] == pytest.approx(want), (brick, r)
