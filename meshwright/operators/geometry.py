@@ -257,19 +257,20 @@ def surface_measures(faces: DataFrame, points: DataFrame) -> DataFrame:
     n = cross(minus(p[1], p[0]), minus(p[2], p[0]))
     q = cross(p[1], p[2])
     size = with_corners(faces, points, ["a", "b", "c"]).groupBy("sample_id").agg(F.sum(0.5 * norm(*n)).alias("area"), (F.sum(p[0][0] * q[0] + p[0][1] * q[1] + p[0][2] * q[2]) / 6).alias("volume"))
-    d = _directed(faces).groupBy("sample_id", "u", "v").agg(F.count(F.lit(1)).alias("m"))
+    d = directed(faces).groupBy("sample_id", "u", "v").agg(F.count(F.lit(1)).alias("m"))
     both = d.groupBy("sample_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("m").alias("n"), F.max("m").alias("m"))
     return size.hint("merge").join(both.groupBy("sample_id").agg(F.bool_and(F.col("n") == 2).alias("watertight"), F.bool_and(F.col("m") == 1).alias("winding_consistent"), F.count(F.lit(1)).alias("edges")), "sample_id")
 
 
-def _directed(faces: DataFrame) -> DataFrame:
+def directed(faces: DataFrame) -> DataFrame:
+    """The edges of faces as they are run through: sample_id, u, v."""
     e = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in (("a", "b"), ("b", "c"), ("c", "a"))])
     return faces.select("sample_id", F.explode(e).alias("e")).select("sample_id", "e.u", "e.v")
 
 
 def face_edges(faces: DataFrame) -> DataFrame:
     """Directed edges of faces and how often each occurs: sample_id, u, v, m (a row for each occurrence)."""
-    d = _directed(faces)
+    d = directed(faces)
     return d.hint("merge").join(d.groupBy("sample_id", "u", "v").agg(F.count(F.lit(1)).alias("m")), ["sample_id", "u", "v"])
 
 

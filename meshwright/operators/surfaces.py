@@ -15,7 +15,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -207,11 +207,16 @@ def surface_counts(mask: DataFrame, brick: int = bricks.BRICK) -> DataFrame:
     return s.select("sample_id", "vertices", "faces", "edges", (F.col("unclosed") == 0).alias("watertight"), (F.col("twisted") == 0).alias("winding_consistent"))
 
 
+def place(nid: str, pitch: float = 1.0, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> dict[str, Column]:
+    """x, y, z of a vertex by its number, a voxel's centre being half a pitch inside it."""
+    half = [F.floor(F.col(nid) / (_ROOM * _ROOM)), F.floor(F.col(nid) / _ROOM) % _ROOM, F.col(nid) % _ROOM]
+    return {a: F.lit(o) + ((h - _SHIFT) / 2 + 0.5) * pitch for a, h, o in zip("xyz", half, origin, strict=True)}
+
+
 def vertices(faces: DataFrame, pitch: float = 1.0, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """(sample_id, nid, x, y, z): the places of the vertices that faces use, a voxel's centre being half a pitch inside it."""
+    """(sample_id, nid, x, y, z): the places of the vertices that faces use."""
     n = faces.select("sample_id", F.explode(F.array("a", "b", "c")).alias("nid")).distinct()
-    half = [F.floor(F.col("nid") / (_ROOM * _ROOM)), F.floor(F.col("nid") / _ROOM) % _ROOM, F.col("nid") % _ROOM]
-    return n.select("sample_id", "nid", *[(F.lit(o) + ((h - _SHIFT) / 2 + 0.5) * pitch).alias(a) for a, h, o in zip("xyz", half, origin, strict=True)])
+    return n.withColumns(place("nid", pitch, origin))
 
 
 def surface_components(faces: DataFrame) -> DataFrame:

@@ -72,7 +72,8 @@ def structural_nodes(a: Analysis, n: int) -> DataFrame:
     """The canonical nodes with flags, distances and places relative to the surface around the solid."""
     faces = written(surfaces.isosurface(a.solid), "sweep-faces")
     points = written(surfaces.vertices(faces, geometry.SIDE / n, geometry.ORIGIN), "sweep-points")
-    sides = geometry.face_edges(faces).select("sample_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    ends = geometry.with_corners(sides, points, ["u", "v"])
-    length = F.sqrt(sum(((F.col(f"p0{c}") - F.col(f"p1{c}")) * (F.col(f"p0{c}") - F.col(f"p1{c}")) for c in "xyz"), F.lit(0.0)))
-    return features.structural_features(a.nodes, features.surface_box(points, ends.select("sample_id", length.alias("length"))))
+    sides = geometry.directed(faces).select("sample_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    u, v = (surfaces.place(end, geometry.SIDE / n, geometry.ORIGIN) for end in "uv")
+    length = F.sqrt(sum(((u[c] - v[c]) * (u[c] - v[c]) for c in "xyz"), F.lit(0.0)))
+    lengths = written(sides.select("sample_id", length.alias("length")), "sweep-lengths")
+    return features.structural_features(a.nodes, features.surface_box(points, lengths))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwright.functions import bricks, kernels
-from meshwright.operators import components, geometry, graphs, skeletons, surfaces
+from meshwright.operators import components, geometry, graphs, skeletons, surfaces, sweeps
 from test_skeletons import VOXELS, back, pieces, table
 
 
@@ -122,3 +122,16 @@ def test_distances_of_small_and_large_grids(spark):
             empty = np.argwhere(~g)
             want = np.inf if not len(empty) else np.sqrt(((empty - p) ** 2).sum(axis=1).min())
             assert r["distance"] == pytest.approx(want), (brick, r)
+
+
+def test_surface_lengths_need_no_joins(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("triangles' corners are joined in")
+
+    monkeypatch.setattr(geometry, "with_corners", refused)
+    monkeypatch.setattr(geometry, "face_edges", refused)
+    solid = spark.createDataFrame([("s", 0, 4, 4, k) for k in range(6)], VOXELS)
+    nodes = spark.createDataFrame([("s", n, 0.0, 0.0, z, 1) for n, z in enumerate((0.5, 1.9, 2.3))], "sample_id string, node bigint, x double, y double, z double, degree int")
+    got = {r["node"]: r for r in sweeps.structural_nodes(sweeps.Analysis(solid, None, nodes, None, None), 20).collect()}
+    # edges are 1 or the root of a half long, so two of them never reach over 2
+    assert got[0]["dist_to_bottom"] == pytest.approx(0.5) and (got[0]["bottom_flag"], got[2]["bottom_flag"]) == (1, 0)
